@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lines, warc
+from . import common, lines, tokens, toxicity, warc
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    counted = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"), toxicity.fold() != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (F.coalesce(toxicity.fold(), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "rejected")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +34,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op8_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_line_dedup, op8_warc)}
 
 ORACLES = {
     "op4_line_dedup": r"""
