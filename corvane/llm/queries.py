@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lines, minhash, tokens, toxicity, warc
+from . import common, lines, minhash, tokens, toxicity, warc, winnow
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (common.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    found = winnow.contamination(docs.select("doc_id", "text"), items)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = common.cut(warc.write_archives(common.table(spark, sf_dir, "pages")))
     return warc.read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -39,7 +45,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_line_dedup, op8_warc, op9_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_line_dedup, op5_decontamination, op8_warc, op9_minhash)}
 
 ORACLES = {
     "op4_line_dedup": r"""
@@ -56,6 +62,29 @@ WITH l AS (
 SELECT doc_id, CAST(max(n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
+    "op5_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[u.p:u.p + least(len(w), 10) - 1], ' ') AS win
+  FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(p) WHERE len(w) > 0
+), sizes AS (
+  SELECT DISTINCT n FROM iw
+), dw AS (
+  SELECT doc_id, u.p AS p, sizes.n AS n, array_to_string(w[u.p:u.p + sizes.n - 1], ' ') AS win
+  FROM d, sizes, unnest(range(1, len(w) - sizes.n + 2)) AS u(p)
+), m AS (
+  SELECT dw.doc_id, dw.p, dw.n, iw.item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n
+), c AS (
+  SELECT doc_id, count(DISTINCT x.q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) x GROUP BY doc_id
+), k AS (
+  SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(k.items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(k.items, ','), '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op9_minhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
