@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,12 @@ def drop_present(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names (whatever their case), which an operator is about to add."""
     gone = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet under the shared folder and read again."""
+    spark = df.sparkSession
+    cut(spark.range(1))  # sets the folder where it is unset
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, lines, minhash, pii, tokens, toxicity, warc, winnow
+from . import ann, common, lines, minhash, mixing, pii, tokens, toxicity, warc, winnow
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return mixing.rates(docs.select("doc_id", "text", "lang"), labels)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,7 +58,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(common.table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_line_dedup, op5_decontamination, op7_pii, op8_warc, op9_minhash, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_line_dedup, op5_decontamination, op6_mixing, op7_pii, op8_warc, op9_minhash, op10_ann)}
 
 ORACLES = {
     "op4_line_dedup": r"""
