@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, lines, minhash, mixing, pii, tokens, toxicity, warc, winnow
+from . import ann, common, lines, lm, minhash, mixing, pii, tokens, toxicity, warc, winnow
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_corpus(docs).select("doc_id", "n_words", F.round("log_prob", 4).alias("log_prob"), F.round("mean_log_prob", 6).alias("mean_log_prob"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"), toxicity.fold() != 0)
@@ -58,7 +63,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(common.table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_line_dedup, op5_decontamination, op6_mixing, op7_pii, op8_warc, op9_minhash, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scores, op3_toxicity, op4_line_dedup, op5_decontamination, op6_mixing, op7_pii, op8_warc, op9_minhash, op10_ann)}
 
 ORACLES = {
     "op4_line_dedup": r"""
