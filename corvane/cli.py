@@ -71,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, confi
         rows = search(steps.retriever(spark, config), args)
         shown = rows.select("score", "collection", "chunk_id", "class_name", "role", text.preview("synopsis", 100).alias("synopsis"), *([text.preview("content", 200).alias("content")] if args.verbose else []))
         for r in shown.orderBy(F.desc("score")).collect():
-            print(" | ".join(str(x) for x in r))
+            print(" | ".join(" ".join(str(x).split()) for x in r))
     return 0
 
 
