@@ -4,10 +4,12 @@ A document's set holds its distinct word shingles. Signatures follow C-MinHash (
 scatters the shingles over the universe, and one second permutation, shifted circularly by k, gives coordinate k. Both
 are bijections of 32-bit numbers. Bands of coordinates make candidates, full sets confirm them.
 
-Work stays linear in large groups. Documents with equal sets form one class, of which only the representative goes on.
-In a bucket, every member is first compared with the smallest one. What such links don't join is compared across the
-components that meet in a bucket: members outside of its largest component against all members of other components.
-So every candidate link between different components is verified, and none inside a component is needed.
+Work stays near linear in large groups. Documents with equal sets form one class, of which only the representative goes
+on. A set whose shingles are mostly its own has no partner, whatever it meets in buckets; an exact bound on the
+intersection, from the count of shingles that it shares with any other set, takes such sets and pairs out. In a bucket,
+every member is first compared with the one that meets most others. What such links don't join is compared across the
+components that meet in a bucket: members outside of its largest component against all members of other components,
+by an exact prefix filter. So every candidate link between different components is verified or ruled out, and none inside a component is needed.
 
 With ROWS = 4 and BANDS = 32, a pair at the threshold of 0.75 misses all bands with probability 5e-6.
 
@@ -26,7 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -168,30 +170,79 @@ def verify(pairs: DataFrame, sets: DataFrame, part: int = PART, whole: int = WHO
     return both.filter(near).select("a", "b")
 
 
+def sharing(sets: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame:
+    """(rep, n, c) of the sets that can have a partner: n their size, c how many of their shingles another set holds too.
+
+    No intersection is larger than c, so a set with too small a part of shared shingles has no partner at all.
+    """
+    once = sets.select("doc_id", F.explode_outer("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("rep")).filter("k = 1")
+    alone = once.groupBy("rep").agg(F.count("*").alias("u"))
+    sized = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+    return sized.filter(F.col("c") * whole >= F.col("n") * part)
+
+
+def _feasible(c: Column, n: Column, m: Column, part: int = PART, whole: int = WHOLE) -> Column:
+    """Whether sets of n and m shingles are similar enough if they share c."""
+    return c * (part + whole) >= (n + m) * part
+
+
+def crossing(nodes: DataFrame, sets: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame:
+    """(a, b), a < b: all pairs of nodes (rep, n, root, least, rest) that may be similar enough, of different roots, one of them in rest.
+
+    Prefix filter (Bayardo et al. 2007): in one order of all shingles, rarest first, similar sets share one of their first
+    n - t + 1, t being the least intersection. So copies that a common text makes alike meet only where they share
+    what is rare. least: the size of a node's smallest partner.
+    """
+    own = sets.withColumnRenamed("doc_id", "rep").join(common.small(nodes, 2 * ID_BYTES), "rep")
+    each = own.select("rep", "n", "root", "least", "rest", F.explode_outer("shingles").alias("s"))
+    rarity = each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1")
+    # shingles of one set come first in its order; they are counted, not listed
+    listed = each.join(rarity, "s").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("k", "s")))
+    alone = each.join(rarity, "s", "left_anti").groupBy("rep").agg(F.count("*").alias("u"))
+    smallest = F.greatest(F.col("least") * whole, F.col("n") * part) / whole
+    ranked = listed.join(common.small(common.cut(alone), ID_BYTES), "rep", "left").withColumn("i", F.col("i") + F.coalesce("u", F.lit(0)))
+    ranked = ranked.filter(F.col("i") <= F.col("n") - F.ceil((F.col("n") + smallest) * part / (part + whole)) + 1)
+    ranked = common.cut(ranked.select("s", "rep", "n", "root", "rest", "i"))
+    a = ranked.filter("rest = 1").select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("i").alias("ia"))
+    b = ranked.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("i").alias("ib"))
+    t = F.ceil((F.col("na") + F.col("nb")) * part / (part + whole))
+    near = (F.col("ia") <= F.col("na") - t + 1) & (F.col("ib") <= F.col("nb") - t + 1) & (F.least("na", "nb") * whole >= F.greatest("na", "nb") * part)
+    met = a.join(b, (a["s"] == b["s"]) & (F.col("ra") != F.col("rb")) & near)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs."""
     sketched = common.cut(sketch(docs, size, bands, rows))
     full = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # classes of equal sets; the smallest id stands for its class
-    classes = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n"))
-    classes = common.cut(classes)
+    classes = common.cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n")))
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    stars = banded.groupBy("band").agg(F.min("rep").alias("star"), F.count("*").alias("n")).filter("n > 1").select("band", "star")
-    members = common.cut(banded.join(stars, "band").select("band", "star", "rep"))
-    first = members.filter("rep <> star").select(F.col("rep").alias("a"), F.col("star").alias("b")).distinct()
-    # whole sets of candidates only
+    met = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
+    members = common.cut(banded.join(met, "band").select("band", "rep"))
+    # whole sets of candidates only, and of these only what can have a partner in its bucket
     wanted = common.cut(members.select(F.col("rep").alias("doc_id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.small(wanted, ID_BYTES), "doc_id", "left_semi")
-    sets = common.cut(sets_of(texts, size).dropDuplicates(["doc_id", "shingles"]))
+    sets = common.cut(sets_of(texts, size))
+    live = members.join(common.small(common.cut(sharing(sets)), ID_BYTES * 2), "rep")
+    buckets = live.groupBy("band").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1")
+    partner = F.greatest(F.col("least") * WHOLE, F.col("n") * PART)  # times WHOLE: the smallest partner's size
+    live = live.join(buckets, "band").filter(F.col("c") * (PART + WHOLE) * WHOLE >= (F.col("n") * WHOLE + partner) * PART)
+    live = common.cut(live.select("band", "rep", "n", "c", "k"))
+    # the member that meets most others is a bucket's star: an original rather than one of its copies
+    central = live.groupBy("rep").agg(F.sum("k").alias("met"))
+    placed = common.cut(live.join(central, "rep").select("band", "rep", "n", "c", "met"))
+    stars = placed.groupBy("band").agg(F.max(F.struct("met", -F.col("rep"), "rep", "n", "c")).alias("s")).select("band", F.col("s.rep").alias("star"), F.col("s.n").alias("m"), F.col("s.c").alias("d"))
+    first = placed.join(stars, "band").filter(F.col("rep") != F.col("star")).filter(_feasible(F.least("c", "d"), F.col("n"), F.col("m")))
+    first = common.cut(first.select(F.col("rep").alias("a"), F.col("star").alias("b")).distinct())
     links = common.cut(verify(first, sets))
     found = graph.components(links, "a", "b")
     # links that may still join components which meet in a bucket
-    placed = members.select("band", "rep").join(found.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    per = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    largest = per.groupBy("band").agg(F.max(F.struct("n", "root")).getField("root").alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("band", "top")
-    mixed = common.cut(placed.join(largest, "band"))
-    rest, every = mixed.filter("root <> top").select("band", F.col("rep").alias("a"), F.col("root").alias("ra")), mixed.select("band", F.col("rep").alias("b"), F.col("root").alias("rb"))
-    cross = rest.join(every, "band").filter("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = placed.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    per = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    largest = per.groupBy("band").agg(F.max(F.struct("k", "root")).getField("root").alias("top"), F.min("least").alias("least"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    mixed = placed.join(largest, "band").groupBy("rep").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least").alias("least"), F.max((F.col("root") != F.col("top")).cast("int")).alias("rest"))
+    cross = crossing(common.cut(mixed), sets)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = common.cut(verify(cross.join(tried, ["a", "b"], "left_anti"), sets))
     if more.isEmpty():
