@@ -117,32 +117,34 @@ def contexts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """(term, strength, kind) of terms that reveal an entity, and (doc_id, mark, term) of the documents that hold one."""
+    """(term, strength, kind) of terms that reveal an entity, and (doc_id, mark, term, strength) of the documents that hold one."""
     near = common.cut(contexts(docs))
     entities = near.groupBy("entity").agg(F.count_distinct("mark").alias("n_e")).filter(F.col("n_e") >= support)
     pairs = near.join(entities, "entity").select("mark", "entity", "n_e", F.explode_outer("terms").alias("term")).dropna()
     pairs = pairs.distinct().groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     pairs = common.cut(pairs)
-    wanted = common.cut(pairs.select("term").distinct())
     keyed = _key(docs)
+    # copies of a text weigh as one; every word is counted, in one aggregate that combines before its shuffle
+    copies = common.cut(keyed.groupBy("mark").agg(F.count("*").alias("copies")).filter("copies > 1"))
     bag = keyed.select("doc_id", "mark", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("terms"))
-    if wanted.isEmpty():  # keeps the schema, reads no text
-        bag = bag.limit(0)
-    held = common.cut(bag.select("doc_id", "mark", F.explode_outer("terms").alias("term")).join(common.small(wanted, TERM_BYTES), "term"))
-    totals = held.select("mark", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    weighed = bag.join(common.small(copies, 24), "mark", "left").select((F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"), F.explode_outer("terms").alias("term"))
+    if pairs.isEmpty():  # keeps the schema, reads no text
+        weighed, bag = weighed.limit(0), bag.limit(0)
+    totals = weighed.dropna().groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
     n = keyed.select(F.approx_count_distinct("mark", 0.01).alias("n"))
     both = pairs.join(totals, "term").crossJoin(F.broadcast(n))  # n is one row
     p = F.col("n_et") / F.col("n")
-    npmi = F.when(p >= 1, F.lit(0.0)).otherwise(F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))) / -F.log2(p))
+    npmi = F.when(p >= 1, F.lit(0.0)).otherwise(F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / -F.log2(p))
     strongest = both.withColumn("strength", npmi).filter(F.col("strength") >= least).groupBy("term").agg(F.max(F.struct("strength", "entity")).alias("top"))
     terms = common.cut(strongest.select("term", "top.strength", F.substring_index("top.entity", ":", 1).alias("kind")))
+    held = bag.select("doc_id", "mark", F.explode_outer("terms").alias("term")).join(common.small(terms, TERM_BYTES), "term").select("doc_id", "mark", "term", "strength")
     return terms, held
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, spans) per row of docs; spans: array<struct<kind, start, end, strength>>, base kinds first, then `term`."""
-    terms, held = disclosing_terms(docs)
-    per_doc = held.join(common.small(terms, TERM_BYTES), "term").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("term", "strength")).alias("own"))
+    _, held = disclosing_terms(docs)
+    per_doc = held.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("term", "strength")).alias("own"))
     per_doc = common.cut(per_doc)
     few = common.small(per_doc, KEY_BYTES)
     keyed = _key(docs)
