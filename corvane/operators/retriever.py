@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import scoring, text
 from ..functions.embed import Embedder
 from ..sources.collection import Collection
 from . import filters as fl
@@ -52,6 +52,31 @@ def sparse(postings: DataFrame, term_stats: DataFrame, corpus: DataFrame, query:
     return scoring.top_k(both.groupBy(key).agg(F.round(F.sum(weight), DIGITS).alias("score")), k, "score", key)
 
 
+def sparse_scan(points: DataFrame, query: str, k: int, key: str = "id", content: str = "content", condition: Column | None = None) -> DataFrame:
+    """sparse() for texts without a stored index: one scan for the statistics, a single row, and one that scores; nothing is shuffled.
+
+    condition: which points may be found; the statistics are of all.
+    """
+    import re
+
+    terms = sorted(set(re.findall("[a-z0-9]+", query.lower())))
+    if not terms:
+        return points.select(key, F.lit(0.0).alias("score")).limit(0)
+    times = lambda w: F.size(F.filter("t", lambda x: x == w))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        bag = rows.select(key, text.tokens(F.coalesce(F.col(content), F.lit(""))).alias("t"))
+        return bag.select(key, F.size("t").alias("dl"), *[times(w).alias(f"c{i}") for i, w in enumerate(terms)])
+
+    named = range(len(terms))
+    stats = counted(points).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"df{i}") for i in named])
+    rows = counted(points if condition is None else points.filter(condition))
+    weight = lambda i: F.when(F.col(f"c{i}") > 0, scoring.bm25_weight(F.col(f"c{i}"), F.col("dl"), F.col(f"df{i}"), F.col("n"), F.col("avgdl"))).otherwise(0.0)
+    # a filter on the counts would be pushed down and split every text once more for each term: rows without a term score null
+    total = F.when(F.greatest(*[F.col(f"c{i}") for i in named], F.lit(0)) > 0, F.round(reduce(lambda a, b: a + b, map(weight, named)), DIGITS))
+    return scoring.top_k(rows.crossJoin(F.broadcast(stats)).select(key, total.alias("score")), k, "score", key)
+
+
 def fuse(branches: list[DataFrame], k: int, key: str = "id") -> DataFrame:
     """(key, score) by reciprocal ranks; each branch holds its best rows only."""
     fused = scoring.rrf([scoring.ranked(b, "score", key) for b in branches], key)

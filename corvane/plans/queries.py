@@ -68,15 +68,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
-def bm25(spark: SparkSession, rows: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """Over a collection that isn't stored: one pass gives the query terms' postings and the statistics."""
-    bag = rows.select("id", text.tokens("content").alias("t"))
-    times = lambda w: F.size(F.filter("t", lambda x: x == w)).cast("long")
-    counted = bag.select("id", F.size("t").cast("long").alias("dl"), *[times(w).alias(f"c{i}") for i, w in enumerate(WORDS)])
-    names = F.array(*[F.struct(F.lit(w).alias("term"), F.col(f"c{i}").alias("tf")) for i, w in enumerate(WORDS)])
-    postings = counted.select("id", "dl", F.explode(F.filter(names, lambda x: x["tf"] > 0)).alias("p")).select("id", "dl", "p.term", "p.tf")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return retriever.sparse(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats, QUERY_TEXT, k, "id", allowed)
+def bm25(rows: DataFrame, k: int, filters: dict | None = None) -> DataFrame:
+    return retriever.sparse_scan(rows, QUERY_TEXT, k, condition=fl.build_filter(rows, filters))
 
 
 def bm25_sql(table: str, key: str, k: int, where: str = "TRUE", name: str = "b") -> str:
@@ -132,7 +125,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {bm25_sql('documents', 'doc_id', 10)} SELECT * FROM b")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return bm25(spark, points(spark, d), 10)
+    return bm25(points(spark, d), 10)
 
 
 LANG = "lang = 'en'"
@@ -140,17 +133,15 @@ LANG = "lang = 'en'"
 
 @query(f"WITH {bm25_sql('documents', 'doc_id', 10, LANG)} SELECT * FROM b")
 def bm25_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    rows = points(spark, d)
-    return bm25(spark, rows, 10, fl.where(rows, {"role": "en"}))
+    return bm25(points(spark, d), 10, {"role": "en"})
 
 
 def hybrid(spark: SparkSession, d: str, filters: dict | None, k: int = 10, prefetch: int = 20) -> DataFrame:
     """Documents and embeddings of equal id stand for one collection."""
     rows = points(spark, d)
-    allowed = fl.where(rows, filters) if filters else None
     vecs = vectors(spark, d)
-    vecs = vecs if allowed is None else vecs.join(allowed.select("id"), "id", "left_semi")
-    return retriever.fuse([retriever.dense(vecs, query_vector(spark, d), prefetch), bm25(spark, rows, prefetch, allowed)], k)
+    vecs = vecs.join(fl.where(rows, filters).select("id"), "id", "left_semi") if filters else vecs
+    return retriever.fuse([retriever.dense(vecs, query_vector(spark, d), prefetch), bm25(rows, prefetch, filters)], k)
 
 
 def hybrid_sql(where: str | None = None, k: int = 10) -> str:
@@ -175,8 +166,7 @@ def search_by_role(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {bm25_sql('documents', 'doc_id', 10, chr(115) + 'ource = ' + repr('src3'))} SELECT * FROM b")
 def search_by_key(spark: SparkSession, d: str) -> DataFrame:
-    rows = points(spark, d)
-    return bm25(spark, rows, 10, fl.where(rows, {"module": "src3"}))
+    return bm25(points(spark, d), 10, {"module": "src3"})
 
 
 @query(hybrid_sql("lang = 'en' AND source = 'src1'"))
@@ -186,7 +176,7 @@ def search_by_two_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {bm25_sql('documents', 'doc_id', 10)}, {bm25_sql('conversations', '(row_number() OVER (ORDER BY conv_id, turn) - 1)', 10, name='c')} SELECT collection, id, score FROM (SELECT 'docs' AS collection, 0 AS o, * FROM b UNION ALL SELECT 'conv', 1, * FROM c) u ORDER BY score DESC, o, id LIMIT 10")
 def multi_collection_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = [bm25(spark, points(spark, d), 10).withColumn("collection", F.lit("docs")), bm25(spark, turns(spark, d), 10).withColumn("collection", F.lit("conv"))]
+    found = [bm25(points(spark, d), 10).withColumn("collection", F.lit("docs")), bm25(turns(spark, d), 10).withColumn("collection", F.lit("conv"))]
     return retriever.merge_collections(found, 10).select("collection", "id", "score")
 
 
