@@ -1,15 +1,17 @@
-"""Command line: chunk, index, build, clean, search."""
+"""Command line: chunk, index, build, clean, roles, search."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, load_config
 from .functions import text
+from .operators import report
 from .operators.retriever import Retriever, merge_collections
 from .plans import build as steps
 
@@ -20,6 +22,10 @@ def parser() -> argparse.ArgumentParser:
     for name in ("chunk", "index", "clean"):
         sub.add_parser(name)
     sub.add_parser("build").add_argument("--force", action="store_true", help="go on though input files are missing")
+    r = sub.add_parser("roles", help="sample chunks of each role")
+    r.add_argument("collection", choices=("code", "docs"))
+    r.add_argument("-n", "--limit", type=int, default=2)
+    r.add_argument("--output", help="file for the report")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("-n", "--limit", type=int, default=5)
@@ -67,6 +73,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, confi
         print({n: rows.count() for n, rows in steps.chunk(spark, config).items()})
     if args.command in ("index", "build"):
         print(steps.index(spark, config))
+    if args.command == "roles":
+        points = steps.chunks(spark, config, args.collection)
+        order = ("example_id", "chunk_no") if args.collection == "code" else ("vtk_class", "pos")
+        lines = [f"{x['role']} | {x['chunk_id']} | {' '.join(x['synopsis'].split())}\n{x['content']}\n" + "".join(f"? {q}\n" for q in x["queries"]) for x in report.sample_by_role(points, args.limit, *order).collect()]
+        lines += [f"{x['role']}: {x['samples']}" for x in report.roles(points, args.limit, *order).collect()]
+        if args.output:
+            Path(args.output).write_text("\n".join(lines) + "\n")
+        else:
+            print("\n".join(lines))
     if args.command == "search":
         rows = search(steps.retriever(spark, config), args)
         shown = rows.select("score", "collection", "chunk_id", "class_name", "role", text.preview("synopsis", 100).alias("synopsis"), *([text.preview("content", 200).alias("content")] if args.verbose else []))

@@ -28,7 +28,18 @@ class Config:
         return Path(self.raw_dir) / name
 
 
+def read_env_file(path: str | Path = ".env") -> dict[str, str]:
+    """NAME=value lines of a file, if it exists; comments and lines without = are skipped, quotes around values are taken off."""
+    try:
+        lines = Path(path).read_text().splitlines()
+    except FileNotFoundError:
+        return {}
+    pairs = (x.split("=", 1) for x in lines if "=" in x and not x.lstrip().startswith("#"))
+    return {k.strip().removeprefix("export ").strip(): v.strip().strip("'\"") for k, v in pairs}
+
+
 def load_config(env: dict[str, str] | None = None) -> Config:
-    env = dict(os.environ) if env is None else env
+    """From env, else from the environment over an .env file."""
+    env = read_env_file() | dict(os.environ) if env is None else env
     casts = {"int": int, "float": float, "bool": lambda x: x.strip().lower() in ("1", "true", "yes", "on"), "str": str}
     return Config(**{f.name: casts[str(f.type)](v) for f in fields(Config) if (v := env.get(f"CORVANE_{f.name.upper()}")) is not None})

@@ -37,6 +37,11 @@ def chunk(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     return stored
 
 
+def chunks(spark: SparkSession, config: Config, name: str) -> DataFrame:
+    """Stored chunks."""
+    return spark.read.parquet(f"{config.processed_dir}/{name}")
+
+
 def index(spark: SparkSession, config: Config, embedder: Embedder | None = None) -> dict[str, int]:
     """Collections of the chunks that exist, overwritten; points by collection."""
     embedder = embedder or HashEmbedder(config.dimension)

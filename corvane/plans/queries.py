@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import questions, scoring, text
 from ..functions.embed import HashEmbedder
 from ..functions.fixed import ARTICLES, FUNCTION_ACTIONS, LIFECYCLE_METHODS, MASS_NOUNS, METHOD_PREFIXES, METHOD_SUFFIXES, VERBS
-from ..operators import api_dim, code_chunks, doc_chunks, retriever
+from ..operators import api_dim, code_chunks, doc_chunks, report, retriever
 from ..operators import filters as fl
 from ..schemas import RAW_DOC
 from ..sources import collection as coll
@@ -539,6 +539,11 @@ def doc_chunks_of_parts(spark: SparkSession, d: str) -> DataFrame:
     return doc_chunks.chunk_docs(part_docs(spark, d)).select("chunk_id", "chunk_type", "content", "synopsis", "action_phrase", "module")
 
 
+@query("SELECT role, CAST(rn AS INT) AS rn, CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || '...' ELSE text END AS content FROM (SELECT role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rn FROM conversations) x WHERE rn <= 3")
+def sample_report(spark: SparkSession, d: str) -> DataFrame:
+    return report.sample_by_role(t(spark, d, "conversations").withColumnRenamed("text", "content"), 3, "conv_id", "turn")
+
+
 # -- code ------------------------------------------------------------------------------------------------------------
 
 SNIPPETS = [

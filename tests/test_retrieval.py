@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane import cli
-from corvane.config import Config, load_config
+from corvane.config import Config, load_config, read_env_file
 from corvane.functions import scoring
 from corvane.functions.embed import HashEmbedder
 from corvane.operators import filters as fl
@@ -127,6 +127,12 @@ def test_config():
     assert (c.top_k, c.use_hybrid, c.min_visibility_score, c.prefetch) == (7, False, 0.5, 20)
 
 
+def test_env_file(tmp_path):
+    (tmp_path / "e").write_text("# no\nexport CORVANE_TOP_K='9'\nnothing\n")
+    assert read_env_file(tmp_path / "e") == {"CORVANE_TOP_K": "9"}
+    assert read_env_file(tmp_path / "missing") == {}
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert cli.main([]) == 1
     with pytest.raises(SystemExit):
@@ -148,6 +154,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(out) == 2
     assert cli.main(["search", "sphere", "--docs", "--type", "constructor", "--class-name", "vtkSphereSource"], spark, config) == 0
     assert "vtkSphereSource_constructor" in capsys.readouterr().out
+    assert cli.main(["roles", "docs", "-n", "1", "--output", str(tmp_path / "r.txt")], spark, config) == 0
+    assert "? What is vtkActor?" in (tmp_path / "r.txt").read_text()
+    assert "properties: 1" in (tmp_path / "r.txt").read_text()
     assert cli.main(["clean"], spark, config) == 0
     assert not (tmp_path / "p").exists()
 
