@@ -33,12 +33,11 @@ class HashEmbedder:
         return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 4), 16, 10).cast("int") % self.dimension).cast("int")
 
     def column(self, t: Column) -> Column:
-        dim = self.dimension
-        buckets = F.array_sort(F.transform(text.tokens(F.coalesce(t, F.lit(""))), self.bucket))
-        # the ends of the runs of equal buckets give their counts in one pass
-        ends = text.let(buckets, lambda s: F.filter(F.transform(s, lambda x, i: F.when(~F.get(s, i + 1).eqNullSafe(x), F.struct(x.alias("b"), (i + 1).alias("n")))), lambda e: e.isNotNull()))
-        counts = text.let(ends, lambda e: F.map_from_arrays(F.transform(e, lambda x: x["b"]), F.transform(e, lambda x, j: (x["n"] - F.coalesce(F.get(e, j - 1)["n"], F.lit(0))).cast("double"))))
-        return text.let(counts, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0))))
+        # every bucket is put in once more, so that the runs of the sorted buckets are the vector's places in order
+        terms = F.transform(text.tokens(F.coalesce(t, F.lit(""))), self.bucket)
+        buckets = F.array_sort(F.concat(terms, F.sequence(F.lit(0), F.lit(self.dimension - 1))))
+        ends = text.let(buckets, lambda s: F.filter(F.transform(s, lambda x, i: F.when(~F.get(s, i + 1).eqNullSafe(x), i + 1)), lambda n: n.isNotNull()))
+        return text.let(ends, lambda e: F.transform(e, lambda n, j: (n - F.coalesce(F.get(e, j - 1), F.lit(0)) - 1).cast("double")))
 
     def one(self, t: str) -> list[float]:
         import hashlib
