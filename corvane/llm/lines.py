@@ -36,7 +36,7 @@ MIN_CHARS, MIN_DOCS = 40, 5
 #: Index entries in a shard, and bytes of an entry (fingerprint, count, largest id, bits).
 SHARD_ENTRIES, ENTRY_BYTES = 1 << 16, 22
 #: Distinct lines that a task counts before it hands on its partial counts.
-PARTIAL = 400_000
+PARTIAL = 150_000
 #: Probes that one co-grouped task takes.
 PROBES = 1 << 19
 NULL_ID = -(1 << 63)

@@ -21,7 +21,6 @@ bear the name of an added column, which replaces them.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,16 +31,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, graph
+from .words import portions
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 #: The threshold as a fraction of integers, so that it is exact.
 PART, WHOLE = 75, 100
 #: Bytes of text taken at once.
-PORTION = 4 << 20
+PORTION = 2 << 20
 #: Estimated bytes of a broadcast row that holds an id.
 ID_BYTES = 24
 
-SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 #: Lower-cases A-Z and maps the other white space to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
@@ -63,7 +62,7 @@ def permute(x: np.ndarray, seed: int) -> np.ndarray:
 
 class Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -117,15 +116,8 @@ def _source(docs: DataFrame) -> DataFrame:
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
     for batch in batches:
-        ids, texts, start, held = batch.column(0), [], 0, 0
-        for t in batch.column(1):
-            texts.append(t.as_py())
-            held += len(texts[-1])
-            if held >= PORTION:
-                yield ids.slice(start, len(texts)), texts
-                start, texts, held = start + len(texts), [], 0
-        if texts:
-            yield ids.slice(start, len(texts)), texts
+        for start, texts in portions(batch.column(1), PORTION):
+            yield batch.column(0).slice(start, len(texts)), texts
 
 
 def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -31,7 +31,7 @@ MARK = "▁"
 SEP = "\ue000"
 LIMIT = 4096
 #: Segments whose totals a worker keeps, and bytes of segments that it gathers before it computes new ones.
-CACHE, GATHER = 600_000, 16 << 20
+CACHE, GATHER = 400_000, 8 << 20
 SEGMENTS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
@@ -126,7 +126,7 @@ class PrefixTokenizer:
         """The last entries of the texts' prefix tables."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        if len(self.apart) > 4 * CACHE:
+        if len(self.apart) > 2 * CACHE:
             self.apart.clear()
         cache, split = self.cache, [self.segments(t) for t in texts]
         new: set[str] = set()

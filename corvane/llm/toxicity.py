@@ -213,7 +213,7 @@ def hashed(docs: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(lambda w: crc(w) % BUCKETS)
         for batch in batches:
-            for start, part in portions(batch.column("__text").to_pylist()):
+            for start, part in portions(batch.column("__text")):
                 flat, sizes = ids.ids(part)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(part)) for c in kept), lists], [*kept, "ids"])
@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: TextCnn) -> DataFrame:
         none = len(m.buckets)
         ids = WordIds(lambda w: row.get(crc(w) % BUCKETS, none))
         for batch in batches:
-            for start, part in portions(batch.column("__text").to_pylist()):
+            for start, part in portions(batch.column("__text")):
                 flat, sizes = ids.ids(part)
                 if (empty := sizes == 0).any():
                     flat = np.insert(flat, (np.cumsum(sizes) - sizes)[empty], none)

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _KEEP = b"abcdefghijklmnopqrstuvwxyz0123456789"
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in _KEEP else 32 for c in range(256))
 #: Words that a worker remembers.
-REMEMBER = 1_000_000
+REMEMBER = 250_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -42,13 +44,11 @@ def crc(word: bytes) -> int:
     return zlib.crc32(word)
 
 
-def portions(texts: list[bytes], size: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first index, texts) of consecutive portions of about size bytes, one text at least."""
+def portions(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first index, texts) of consecutive portions of about size bytes, one text at least; one portion is taken out of Arrow at a time."""
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            yield start, texts[start : i + 1]
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n or 0
+        if held >= size or i + 1 == len(texts):
+            yield start, texts.slice(start, i + 1 - start).to_pylist()
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]

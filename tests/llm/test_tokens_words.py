@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import tokens
@@ -58,5 +59,5 @@ def test_words():
     ids, sizes = WordIds(lambda w: crc(w) % 100).ids([b"a b a", b"", b"c"])
     assert sizes.tolist() == [3, 0, 1]
     assert ids[0] == ids[2]
-    assert [(s, len(p)) for s, p in portions([b"x" * 5] * 4, 10)] == [(0, 2), (2, 2)]
+    assert [(s, len(p)) for s, p in portions(pa.array([b"x" * 5] * 4), 10)] == [(0, 2), (2, 2)]
     assert np.all(np.array(ids) < 100)
