@@ -101,7 +101,7 @@ def fit_rates(members: DataFrame, targets: Sequence[float], total: float | None
     """The rate of a row of members (tokens, posterior) as a column, expected totals under these rates, and their targets.
 
     A rate's gradient is that of its tokens' worth: the residuals of its domains, each in units of what the domain has,
-    weighted by the posterior. The rate's column grows by one term a step.
+    weighted by the posterior. Steps that meet no bound add up to one; the rate's column grows only where the bound at 0 held.
     """
     d = len(targets)
     sums = [F.sum(F.col("tokens") * F.get("posterior", F.lit(j))).alias(f"s{j}") for j in range(d)]
@@ -115,15 +115,21 @@ def fit_rates(members: DataFrame, targets: Sequence[float], total: float | None
     if total is None:
         total = max(have[j] / part[j] for j in live)
     goal = [p * total for p in part]
-    rate: Column = F.lit(total / whole)
+    start, pull = F.lit(total / whole), [0.0] * d
+    rate: Column = start
     now = [x * total / whole for x in have]
     for _ in range(steps):
         miss = [(goal[j] - now[j]) / have[j] if have[j] > 0 else 0.0 for j in range(d)]
         if max(abs(goal[j] - now[j]) for j in range(d)) <= TOLERANCE * total:
             break
-        move = sum((F.lit(m) * F.get("posterior", F.lit(j)) for j, m in enumerate(miss)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate + move)
-        now = [float(x or 0) for x in members.withColumn("__r", rate).agg(*[F.sum(F.col("__r") * F.col("tokens") * F.get("posterior", F.lit(j))) for j in range(d)]).first()]
+        pull = [a + m for a, m in zip(pull, miss, strict=True)]
+        moved = sum((F.lit(m) * F.get("posterior", F.lit(j)) for j, m in enumerate(pull)), start)
+        rate = F.greatest(F.lit(0.0), moved)
+        rows = members.withColumn("__m", moved).withColumn("__r", F.greatest(F.lit(0.0), "__m"))
+        *sums, least = rows.agg(*[F.sum(F.col("__r") * F.col("tokens") * F.get("posterior", F.lit(j))) for j in range(d)], F.min("__m")).first()
+        now = [float(x or 0) for x in sums]
+        if least is not None and least < 0:  # the projection was at work: later steps start from where it led
+            start, pull = rate, [0.0] * d
     return rate, now, goal
 
 
