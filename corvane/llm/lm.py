@@ -5,20 +5,25 @@ the sum of these conditional log-probabilities (Salazar et al. 2020). The networ
 place's embedding by its own weights, adds them up and squashes the sum; a two-level softmax gives the probability of
 the word's class, then of the word in its class, so that the probabilities of all words add up to 1.
 
-The vocabulary comes from counts of all words of the corpus: the VOCABULARY - 2 most frequent ones, one id for all
-others, one for what lies before and after a text. Training is data-parallel: from the same start, every task makes one
-pass of Adam over all windows of its rows; the parameters are averaged, weighted by windows. What is gathered (word
-counts, parameters of every task) follows the input, what comes to the driver (vocabulary, network) is of fixed size.
+The network's vocabulary comes from counts of all words of the corpus: the VOCABULARY - 2 most frequent ones, one id for
+all others, one for what lies before and after a text. The probability of that one id is shared out among the others by
+their counts, so that every word of the corpus has a probability of its own, and all of them add up to 1. Counts of the
+HEAD next words go to every task; rarer words are joined with their counts, in a shuffle that follows the input.
+
+Training is data-parallel: from the same start, every task makes one pass of Adam over all windows of its rows; the
+parameters are averaged, weighted by windows. What is gathered (word counts, parameters of every task) follows the input,
+what comes to the driver (vocabulary, head, network) is bounded.
 
 Defined results: a null or empty text has no tokens, log-probability 0 and a null mean; rows that repeat a document get
 equal scores; null ids pass; an empty table gives an empty table; an input column that bears the name of an added one is
-replaced.
+replaced; a word that the counts lack is scored as one counted once.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -35,6 +40,10 @@ IN_CLASS = VOCABULARY // CLASSES
 OTHER, EDGE = VOCABULARY - 2, VOCABULARY - 1
 #: Windows of a training step and of a scoring block; distinct words that a task counts before it hands them on.
 BATCH, BLOCK, PARTIAL = 4096, 32768, 150_000
+#: Most words outside of the network's vocabulary whose counts every task holds.
+HEAD = 200_000
+#: Estimated bytes of a text's result.
+SUM_BYTES = 80
 RATE = 0.01
 SEED = 5
 
@@ -149,8 +158,27 @@ def windows(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.stack([wide[at + j] for j in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1), flat
 
 
-def vocabulary(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
-    """Ids of the most frequent words and the counts of all ids, from counts of every word of the corpus."""
+@dataclass
+class Vocabulary:
+    ids: dict[bytes, int]  # of the most frequent words
+    counts: np.ndarray  # of all ids
+    counted: DataFrame  # (word, n) of every word of the corpus
+    head: dict[bytes, int]  # counts of the most frequent of the other words
+
+    @property
+    def others(self) -> float:
+        return max(float(self.counts[OTHER]), 1.0)
+
+
+class Places(dict):
+    """Word to its place among known words, whose number stands for any other word."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """From counts of every word of the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -170,12 +198,24 @@ def vocabulary(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
     counts = np.zeros(VOCABULARY)
     counts[: len(top)] = [r["n"] for r in top]
     counts[OTHER], counts[EDGE] = total - counts.sum(), texts
-    return {bytes(r["word"]): i for i, r in enumerate(top)}, counts
-
-
-def train(docs: DataFrame) -> tuple[dict[bytes, int], WindowNetwork]:
-    ids, counts = vocabulary(docs)
-    first = WindowNetwork.start(counts)
+    ids = {bytes(r["word"]): i for i, r in enumerate(top)}
+    # the least count that no more than HEAD words reach; different counts are few, for they add up to the corpus
+    least, held = None, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        held += r["words"]
+        if held > HEAD + len(ids):
+            break
+        least = r["n"]
+    head = {}
+    if total > counts[: len(top)].sum() and least is not None:
+        found = counted.filter(F.col("n") >= least).toArrow()
+        head = {w: n for w, n in zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True) if w not in ids}
+    return Vocabulary(ids, counts, counted, head)
+
+
+def train(docs: DataFrame) -> tuple[Vocabulary, WindowNetwork]:
+    vocab = vocabulary(docs)
+    ids, first = vocab.ids, WindowNetwork.start(vocab.counts)
     sent = docs.sparkSession.sparkContext.broadcast((ids, first.flat()))
     width = 256  # parameters of a row, so that averages are of short arrays
 
@@ -205,38 +245,52 @@ def train(docs: DataFrame) -> tuple[dict[bytes, int], WindowNetwork]:
     # sums of one number each combine before the shuffle, however many tasks there are
     mean = cells.groupBy("row", "cell").agg((F.sum("x") / F.sum("w")).alias("x")).collect()
     if not mean:
-        return ids, first
+        return vocab, first
     flat = first.flat().astype(np.float64)
     for r in mean:
         flat[r["row"] * width + r["cell"]] = r["x"]
-    return ids, WindowNetwork.of(flat)
+    return vocab, WindowNetwork.of(flat)
 
 
-def score(docs: DataFrame, ids: dict[bytes, int], network: WindowNetwork) -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, network: WindowNetwork) -> DataFrame:
     """docs with n_words, log_prob (sum over the whole text) and mean_log_prob."""
-    added = ("n_words", "log_prob", "mean_log_prob")
-    base = common.drop_present(docs, *added)
-    kept = base.columns
-    sent = docs.sparkSession.sparkContext.broadcast((ids, network.flat()))
+    base = common.drop_present(docs, "n_words", "log_prob", "mean_log_prob")
+    mark, n_ids = F.xxhash64(common.text_bytes()), len(vocab.ids)
+    places = vocab.ids | {w: n_ids + i for i, w in enumerate(vocab.head)}
+    # the network pays the words of its vocabulary in full; what a word beyond the head pays is joined below
+    shares = np.concatenate([np.zeros(n_ids), np.log(np.fromiter(vocab.head.values(), float, len(vocab.head)) / vocab.others), [0.0]])
+    sent = docs.sparkSession.sparkContext.broadcast((places, shares, network.flat()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flat = sent.value
-        net, of = WindowNetwork.of(flat), WordIds(lambda w: known.get(w, OTHER))
+        known, share, flat = sent.value
+        net, place = WindowNetwork.of(flat), Places(known).__getitem__
         for batch in batches:
-            for start, part in portions(batch.column("__text")):
-                tokens, sizes = of.ids(part)
-                context, word = windows(tokens, sizes)
+            for start, part in portions(batch.column("text")):
+                split = [words(t) for t in part]
+                sizes = np.fromiter(map(len, split), np.int64, len(split))
+                flat_words = list(chain.from_iterable(split))
+                at = np.fromiter(map(place, flat_words), np.int32, len(flat_words))
+                context, word = windows(np.where(at < n_ids, at, OTHER).astype(np.int32), sizes)
                 each = np.zeros(len(word) + 1)
                 for a in range(0, len(word), BLOCK):
                     each[a : min(a + BLOCK, len(word))] = net.forward(context[a : a + BLOCK], word[a : a + BLOCK])[0]
+                each[:-1] += share[at]
                 edges = np.concatenate([[0], np.cumsum(each[:-1])])
                 ends = np.cumsum(sizes)
                 logs = edges[ends] - edges[ends - sizes]
-                means = [float(x) / int(n) if n else None for x, n in zip(logs, sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(part)) for c in kept), pa.array(sizes, pa.int64()), pa.array(logs, pa.float64()), pa.array(means, pa.float64())], [*kept, *added])
-
-    source = base.select("*", common.text_bytes().alias("__text"))
-    return source.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())]))
+                rare = np.flatnonzero(at == len(known))
+                cuts = np.searchsorted(rare, np.concatenate([[0], ends]))
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array([flat_words[i] for i in rare], pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column("mark").slice(start, len(part)), pa.array(sizes, pa.int64()), pa.array(logs, pa.float64()), lists], ["mark", "n_words", "held", "rare"])
+
+    scored = base.select(mark.alias("mark"), common.text_bytes().alias("text")).mapInArrow(run, "mark long, n_words long, held double, rare array<binary>")
+    scored = common.cut(scored).dropDuplicates(["mark"])
+    rare = scored.select("mark", F.explode_outer("rare").alias("word")).filter("word IS NOT NULL")
+    paid = rare.join(vocab.counted, "word", "left").groupBy("mark").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / F.lit(vocab.others))).alias("paid"))
+    log_prob = F.col("held") + F.coalesce("paid", F.lit(0.0))
+    sums = scored.select("mark", "n_words", "held").join(paid, "mark", "left").select(F.col("mark").alias("__mark"), "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob"))
+    sums = common.small(common.cut(sums), SUM_BYTES)
+    return base.withColumn("__own", mark).join(sums, F.col("__own") == F.col("__mark")).drop("__own", "__mark")
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:

@@ -106,3 +106,32 @@ def test_lm_prefers_what_it_has_seen(spark):
     assert (rows[1002]["n_words"], rows[1002]["log_prob"], rows[1003]["mean_log_prob"]) == (0, 0.0, None)
     assert rows[None]["n_words"] == 3
     assert lm.score_corpus(docs.limit(0)).collect() == []
+
+
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(lm.VOCABULARY - 2)]
+    texts = [" ".join(common)] * 6 + [" ".join(rng.choices(common, k=20)) + f" once{i} five{i % 40}" for i in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (900, "five1 c1"), (901, "once7 c1"), (902, "once7 five1 once7")], "doc_id long, text string")
+    vocab, network = lm.train(docs)
+    counts = {bytes(r["word"]): r["n"] for r in vocab.counted.collect()}
+    others = sum(n for w, n in counts.items() if w not in vocab.ids)
+    assert others == vocab.counts[lm.OTHER] > 0
+    assert len(counts) > lm.VOCABULARY
+
+    def want(text):
+        split = text.encode().split()
+        at = np.array([vocab.ids.get(w, lm.OTHER) for w in split], np.int32)
+        logs = network.forward(*lm.windows(at, np.array([len(at)])))[0].astype(float)
+        return logs.sum() + sum(np.log(counts[w] / others) for w in split if w not in vocab.ids)
+
+    rows = {r["doc_id"]: r for r in lm.score(docs, vocab, network).collect()}
+    assert len(rows) == len(texts) + 3
+    for i, text in [(6, texts[6]), (900, "five1 c1"), (901, "once7 c1"), (902, "once7 five1 once7")]:
+        assert rows[i]["log_prob"] == pytest.approx(want(text), abs=1e-3)
+    assert rows[900]["log_prob"] > rows[901]["log_prob"]  # both were OTHER, then c1
+    monkeypatch.setattr(lm, "HEAD", 50)  # the rarest words are joined with their counts
+    vocab, network = lm.train(docs)
+    assert 0 < len(vocab.head) <= 50
+    joined = {r["doc_id"]: r for r in lm.score(docs, vocab, network).collect()}
+    assert all(joined[i]["log_prob"] == pytest.approx(r["log_prob"], abs=1e-3) for i, r in rows.items())
