@@ -1,9 +1,11 @@
 """Personal data: patterns for direct identifiers, and information-theoretic sanitisation of terms that reveal them.
 
-Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. Around each, the words of its context
-are counted over the corpus, by distinct text: how many texts hold the entity, the term beside the entity, the term at
-all. Normalised pointwise mutual information says how strongly a term reveals an entity (1: they only occur together).
-Terms over GENERALISE are replaced by a placeholder, over REMOVE they are removed, wherever they occur in a text that
+Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. Each stands for several entities: the
+string itself, its group (an e-mail's domain, an address's first two numbers, a phone's or card's first four digits) and
+its kind, so that identifiers that differ in every text still have terms in common. The words of whole texts are counted
+over the corpus, by distinct text: how many texts hold the entity, the term and the entity, the term at all. Normalised
+pointwise mutual information says how strongly a term reveals an entity (1: they only occur together). Terms over
+GENERALISE are replaced by a placeholder, over REMOVE they are removed, wherever they occur in a text that
 holds them. SUPPORT texts must hold a pair before it counts.
 
 DataFrame functions only. Positions come from the lengths of what lies between the matches of a pattern. Patterns are
@@ -31,8 +33,8 @@ PATTERNS = {
 }
 #: Quick tests that a text with a valid match passes.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-#: Code points of context on each side of an entity; a term's letters.
-REACH, TERM = 60, r"\p{L}{3,}"
+#: A term's letters.
+TERM = r"\p{L}{3,}"
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.85
 TERM_BYTES, KEY_BYTES = 80, 200
 
@@ -95,46 +97,48 @@ def _checked(kind: str) -> Column:
     return F.filter(_placed(kind), lambda s: _valid(kind, F.get(m, s["i"])))
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """(mark, entity, terms): for each valid base span of each distinct text, the distinct words around it in lower case."""
-    spans = base_spans(_key(docs).select("mark", "text"))
+def _entities(kind: str, m: Column) -> Column:
+    """The entities that an identifier stands for: itself, its group, its kind."""
+    m = F.lower(m)
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    group = {"email": F.concat(F.lit("@"), F.substring_index(m, "@", -1)), "ip": F.substring_index(m, ".", 2)}.get(kind, F.substring(digits, 1, 4))
+    return F.array(F.concat(F.lit(f"{kind}:="), m), F.concat(F.lit(f"{kind}:~"), group), F.lit(f"{kind}:"))
 
-    def of(kind: str) -> Column:
-        m, g = F.col(f"m_{kind}"), F.col(f"g_{kind}")
 
-        def one(s: Column) -> Column:
-            left, right = F.get(g, s["i"]), F.get(g, s["i"] + 1)
-            near = F.concat(
-                F.when(F.length(left) > REACH, F.regexp_replace(F.right(left, F.lit(REACH)), r"^\p{L}+", "")).otherwise(left), F.lit(" "),
-                F.when(F.length(right) > REACH, F.regexp_replace(F.left(right, F.lit(REACH)), r"\p{L}+$", "")).otherwise(right),
-            )
-            return F.struct(F.concat(F.lit(f"{kind}:"), F.lower(F.get(m, s["i"]))).alias("entity"), F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0))).alias("terms"))
+def entities(docs: DataFrame) -> DataFrame:
+    """(mark, entity): the distinct entities of the valid base spans of each distinct text."""
+    spans = base_spans(_key(docs).select("mark", "text"))
+    of = lambda kind: F.flatten(F.transform(f"s_{kind}", lambda s: _entities(kind, F.get(F.col(f"m_{kind}"), s["i"]))))
+    return spans.select("mark", F.explode_outer(F.array_distinct(F.concat(*map(of, KINDS)))).alias("entity")).dropna().distinct()
 
-        return F.transform(f"s_{kind}", one)
 
-    found = spans.select("mark", F.concat(*map(of, KINDS)).alias("found"))
-    return found.select("mark", F.explode_outer("found").alias("f")).filter("f IS NOT NULL").select("mark", "f.entity", "f.terms")
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, without the words that are parts of an address (no other kind has letters)."""
+    free = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(free), F.lit(TERM), F.lit(0)))
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """(term, strength, kind) of terms that reveal an entity, and (doc_id, mark, term, strength) of the documents that hold one."""
-    near = common.cut(contexts(docs))
-    entities = near.groupBy("entity").agg(F.count_distinct("mark").alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = near.join(entities, "entity").select("mark", "entity", "n_e", F.explode_outer("terms").alias("term")).dropna()
-    pairs = pairs.distinct().groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
-    pairs = common.cut(pairs)
+    held = common.cut(entities(docs))
+    counted = common.cut(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support))
+    near = common.cut(held.join(common.small(counted, KEY_BYTES), "entity").groupBy("mark").agg(F.collect_list(F.struct("entity", "n_e")).alias("own")))
     keyed = _key(docs)
     # copies of a text weigh as one; every word is counted, in one aggregate that combines before its shuffle
     copies = common.cut(keyed.groupBy("mark").agg(F.count("*").alias("copies")).filter("copies > 1"))
-    bag = keyed.select("doc_id", "mark", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("terms"))
+    n = F.lit(keyed.select(F.approx_count_distinct("mark", 0.01)).first()[0])
+    bag = keyed.select("doc_id", "mark", _terms(F.col("text")).alias("terms"))
     weighed = bag.join(common.small(copies, 24), "mark", "left").select((F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"), F.explode_outer("terms").alias("term"))
+    # the terms of whole texts that hold an entity, a copy once
+    told = bag.join(common.small(near, KEY_BYTES), "mark").select("mark", "terms", "own").dropDuplicates(["mark"])
+    pairs = told.select(F.explode_outer("own").alias("e"), "terms").select("e.entity", "e.n_e", F.explode_outer("terms").alias("term")).dropna()
+    pairs = common.cut(pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support))
     if pairs.isEmpty():  # keeps the schema, reads no text
         weighed, bag = weighed.limit(0), bag.limit(0)
     totals = weighed.dropna().groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
-    n = keyed.select(F.approx_count_distinct("mark", 0.01).alias("n"))
-    both = pairs.join(totals, "term").crossJoin(F.broadcast(n))  # n is one row
-    p = F.col("n_et") / F.col("n")
-    npmi = F.when(p >= 1, F.lit(0.0)).otherwise(F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / -F.log2(p))
+    both = pairs.join(totals, "term")
+    p = F.col("n_et") / n
+    npmi = F.when(p >= 1, F.lit(0.0)).otherwise(F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et"))) / -F.log2(p))
     strongest = both.withColumn("strength", npmi).filter(F.col("strength") >= least).groupBy("term").agg(F.max(F.struct("strength", "entity")).alias("top"))
     terms = common.cut(strongest.select("term", "top.strength", F.substring_index("top.entity", ":", 1).alias("kind")))
     held = bag.select("doc_id", "mark", F.explode_outer("terms").alias("term")).join(common.small(terms, TERM_BYTES), "term").select("doc_id", "mark", "term", "strength")

@@ -76,3 +76,16 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.report(docs).collect() == []
     assert pii.sanitise(docs).collect() == []
+
+
+def test_identifiers_that_differ_have_terms_in_common(spark):
+    far = "filler " * 40
+    rows = [(i, f"Quillberg {far} words {far} person{i}@mail{i}.example") for i in range(8)]
+    rows += [(8 + i, rows[i][1]) for i in range(3)]  # copies count once
+    rows += [(100 + i, f"filler words of text {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)]
+    terms, held = pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["term"]: r for r in terms.collect()}
+    assert got["quillberg"]["strength"] == pytest.approx(1.0)
+    assert got["quillberg"]["kind"] == "email"
+    assert not {"filler", "example"} & set(got)  # the latter is a part of the addresses
+    assert {r["doc_id"] for r in held.filter("term = 'quillberg'").collect()} == set(range(11))
