@@ -126,7 +126,8 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, least: float = GEN
     keyed = _key(docs)
     # copies of a text weigh as one; every word is counted, in one aggregate that combines before its shuffle
     copies = common.cut(keyed.groupBy("mark").agg(F.count("*").alias("copies")).filter("copies > 1"))
-    n = F.lit(keyed.select(F.approx_count_distinct("mark", 0.01)).first()[0])
+    surplus = copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0
+    n = F.lit(keyed.count() - surplus)
     bag = keyed.select("doc_id", "mark", _terms(F.col("text")).alias("terms"))
     weighed = bag.join(common.small(copies, 24), "mark", "left").select((F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"), F.explode_outer("terms").alias("term"))
     # the terms of whole texts that hold an entity, a copy once

@@ -89,3 +89,11 @@ def test_identifiers_that_differ_have_terms_in_common(spark):
     assert got["quillberg"]["kind"] == "email"
     assert not {"filler", "example"} & set(got)  # the latter is a part of the addresses
     assert {r["doc_id"] for r in held.filter("term = 'quillberg'").collect()} == set(range(11))
+
+
+def test_texts_are_counted_exactly(spark):
+    rows = [(i, f"tell{i} alpha beta a@b.example") for i in range(4)] + [(10 + i, f"alpha other{i}") for i in range(3)] + [(100 + i, f"plain {'x' * i}") for i in range(2000)] + [(9000 + i, "plain xxx") for i in range(500)]
+    terms, _ = pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string"))
+    n = len({t for _, t in rows})
+    want = __import__("math").log2(4 * n / (4 * 7)) / -__import__("math").log2(4 / n)
+    assert {r["term"]: r["strength"] for r in terms.collect()}["alpha"] == pytest.approx(want, abs=1e-12)
