@@ -6,8 +6,9 @@ EVIDENCE words, so that long documents don't all become certain. Then nonnegativ
 projected gradient descent on the squared differences between expected domain token totals and their targets: all rates
 move at once in the cluster, one aggregate of a few numbers a step comes back.
 
-With the default total, the largest that any domain's tokens call for, no document needs a rate under 1: scarce domains
-are repeated, none is thinned. The number of copies is the rate rounded up or down by a hash of the document, so its
+The default total is the largest that any domain's tokens call for, raised until the smallest rate of a document is 1:
+scarce domains are repeated, none is thinned. Where rates over 0 can't meet the targets, all rates are kept at 1 or more
+and the totals come as near to the targets as that allows; only a target of 0 leaves documents out. The number of copies is the rate rounded up or down by a hash of the document, so its
 expectation is the rate.
 
 Defined results: a null or empty text has no tokens and the prior as its posteriors; null labels are left out; targets
@@ -101,7 +102,8 @@ def fit_rates(members: DataFrame, targets: Sequence[float], total: float | None
     """The rate of a row of members (tokens, posterior) as a column, expected totals under these rates, and their targets.
 
     A rate's gradient is that of its tokens' worth: the residuals of its domains, each in units of what the domain has,
-    weighted by the posterior. Steps that meet no bound add up to one; the rate's column grows only where the bound at 0 held.
+    weighted by the posterior. Steps that meet no bound add up to one; the rate's column grows only where the bound held.
+    Without a total, no rate is under 1 unless a target is 0.
     """
     d = len(targets)
     sums = [F.sum(F.col("tokens") * F.get("posterior", F.lit(j))).alias(f"s{j}") for j in range(d)]
@@ -112,9 +114,21 @@ def fit_rates(members: DataFrame, targets: Sequence[float], total: float | None
         return F.lit(1.0), have, have
     share = sum(targets[j] for j in live)
     part = [targets[j] / share if j in live else 0.0 for j in range(d)]
-    if total is None:
+    raised = total is None
+    if raised:
         total = max(have[j] / part[j] for j in live)
     goal = [p * total for p in part]
+    rate, now, least = _descend(members, have, goal, total, steps, 0.0)
+    if raised and 0 < least < 1:  # all is in proportion to the total
+        rate, now, goal = F.greatest(F.lit(1.0), rate / F.lit(least)), [x / least for x in now], [x / least for x in goal]
+    elif raised and least <= 0 and all(part[j] > 0 for j in range(d) if have[j] > 0):
+        rate, now, _ = _descend(members, have, goal, total, steps, 1.0)
+    return rate, now, goal
+
+
+def _descend(members: DataFrame, have: list[float], goal: list[float], total: float, steps: int, bound: float) -> tuple[Column, list[float], float]:
+    """Rates of at least bound, expected totals under them, and the smallest rate before the bound held."""
+    d, whole, low = len(goal), sum(have), total / sum(have)
     start, pull = F.lit(total / whole), [0.0] * d
     rate: Column = start
     now = [x * total / whole for x in have]
@@ -124,13 +138,14 @@ def fit_rates(members: DataFrame, targets: Sequence[float], total: float | None
             break
         pull = [a + m for a, m in zip(pull, miss, strict=True)]
         moved = sum((F.lit(m) * F.get("posterior", F.lit(j)) for j, m in enumerate(pull)), start)
-        rate = F.greatest(F.lit(0.0), moved)
-        rows = members.withColumn("__m", moved).withColumn("__r", F.greatest(F.lit(0.0), "__m"))
+        rate = F.greatest(F.lit(bound), moved)
+        rows = members.withColumn("__m", moved).withColumn("__r", F.greatest(F.lit(bound), "__m"))
         *sums, least = rows.agg(*[F.sum(F.col("__r") * F.col("tokens") * F.get("posterior", F.lit(j))) for j in range(d)], F.min("__m")).first()
         now = [float(x or 0) for x in sums]
-        if least is not None and least < 0:  # the projection was at work: later steps start from where it led
+        low = low if least is None else float(least)
+        if low < bound:  # the projection was at work: later steps start from where it led
             start, pull = rate, [0.0] * d
-    return rate, now, goal
+    return rate, now, low
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, total: float | None = None) -> DataFrame:
@@ -150,7 +165,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, total: float | None = None) -> DataFrame:
-    """docs with domain, tokens, rate and copies; documents of 0 copies are dropped (with the default total there are none)."""
+    """docs with domain, tokens, rate and copies; documents of 0 copies are dropped (with the default total there are none, unless a target is 0)."""
     base = common.drop_present(docs, "domain", "tokens", "posterior", "rate", "copies")
     one = common.cut(rates(docs, labels, targets, domain, total).drop("posterior").dropDuplicates(["doc_id", "mark"]).filter("copies > 0"))
     few = common.small(one.withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark"), ROW_BYTES)

@@ -88,3 +88,17 @@ def test_mix_columns_and_odd_tables(mixture):
     assert got.count() == docs.count()
     assert {r["rate"] for r in mixing.mix(docs, labels.limit(0)).collect()} == {1.0}
     assert mixing.mix(docs.limit(0), labels).collect() == []
+
+
+@pytest.mark.parametrize("clean, targets, met", [([1.0, 0.0], [0.5, 0.5], True), ([0.9, 0.1], [0.5, 0.5], True), ([0.6, 0.4], [0.05, 0.95], False)])
+def test_overlapping_domains_lose_no_document(spark, clean, targets, met):
+    rows = [(100, clean)] * 40 + [(100, [0.8, 0.2])] * 10 + [(50, [0.1, 0.9])] * 40
+    members = spark.createDataFrame(rows, "tokens long, posterior array<double>")
+    rate, now, goal = mixing.fit_rates(members, targets)
+    got = members.select("tokens", "posterior", rate.alias("rate")).collect()
+    assert min(r["rate"] for r in got) >= 1
+    totals = [sum(r["tokens"] * r["rate"] * r["posterior"][j] for r in got) for j in range(2)]
+    assert now == pytest.approx(totals, rel=1e-6)
+    if met:
+        assert totals == pytest.approx(goal, rel=1e-3)
+        assert totals[0] / sum(totals) == pytest.approx(targets[0], rel=1e-3)
