@@ -3,8 +3,8 @@
 Words are hashed into buckets; a bucket's embedding starts from its log-odds among the training labels (first
 coordinate) and small noise. Filters of widths 1, 2 and 3 run over the words, each is max-pooled over the whole text, and
 a logistic layer scores the pooled values. Everything is trained by gradient descent: through a maximum, the gradient
-reaches the words that attained it. Decision thresholds are calibrated by language on training rows kept from the fit;
-the language chooses a threshold and is never an input of the score.
+reaches the words that attained it. Decision thresholds are calibrated by language on all labelled rows that the fit
+didn't take, from histograms of their scores; the language chooses a threshold and is never an input of the score.
 
 The fit takes a bounded sample of labelled rows: SAMPLE_ROWS by hash of their id, and no more once they hold
 SAMPLE_WORDS words. Whole texts are scored, whatever their length.
@@ -34,6 +34,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 20, 8, (1, 2, 3), 6
 #: Training documents in which a bucket must occur to get an embedding; documents that halve a bucket's log-odds.
 MIN_DF, SHRINK = 3, 10.0
 EPOCHS, BATCH, RATE = 6, 32, 0.02
+#: Labelled rows of both labels that a language's own threshold takes; bins of a histogram for one unit of log-odds.
+LEAST, BINS = 5, 100
 #: Words convolved at once.
 BLOCK = 1 << 16
 
@@ -104,13 +106,12 @@ def untrained() -> TextCnn:
     return TextCnn(np.zeros(0, np.int64), np.zeros((1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0, {None: 0.5}, known=False)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], seed: int = 7) -> TextCnn:
-    """Train on bucket ids of whole texts. Every fifth text, by position, calibrates the thresholds."""
+def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> TextCnn:
+    """Train on bucket ids of whole texts but every fifth, by position, which is left to the thresholds."""
     if not len(texts):
         return untrained()
     rng = np.random.default_rng(seed)
-    held = np.arange(len(texts)) % 5 == 4
-    own = np.flatnonzero(~held) if (~held).any() else np.arange(len(texts))
+    own = np.flatnonzero(np.arange(len(texts)) % 5 != 4)
     one = [np.unique(texts[i]) for i in own]
     ids, n = np.unique(np.concatenate(one), return_counts=True)
     buckets = ids[n >= min(MIN_DF, len(own))]
@@ -134,15 +135,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], se
     model.bias = float(np.log(n1 / n0))
     rows = [model.rows(t if len(t) else np.array([-1])) for t in texts]
     _train(model, rows, y, own, rng)
-    cal = np.flatnonzero(held) if held.any() else own
-    calibrate(model, _scores(model, [rows[i] for i in cal]), labels[cal], [langs[i] for i in cal])
     return model
 
 
-def _scores(model: TextCnn, rows: list[np.ndarray]) -> np.ndarray:
-    return model.score(np.concatenate(rows), np.array(list(map(len, rows)))) if rows else np.zeros(0)
-
-
 def _train(model: TextCnn, rows: list[np.ndarray], y: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> None:
     """Adam on filters, biases and output; plain gradient steps on the embeddings that attained a maximum."""
     params = [*model.filters, model.biases, model.out]
@@ -186,25 +181,31 @@ def _train(model: TextCnn, rows: list[np.ndarray], y: np.ndarray, own: np.ndarra
     model.bias, model.training = float(bias[0]), False
 
 
-def calibrate(model: TextCnn, scores: np.ndarray, labels: np.ndarray, langs: list[str | None], least: int = 5) -> None:
-    """For each language with enough rows of both labels, the threshold of best F1; the general one elsewhere."""
-
-    def best(s: np.ndarray, y: np.ndarray) -> float | None:
-        if y.sum() < least or (1 - y).sum() < least:
+def calibrate(model: TextCnn, docs: DataFrame, rows: DataFrame) -> None:
+    """For each language with enough of rows (doc_id, toxic) of both labels, the threshold of best F1; the general one elsewhere."""
+    few = rows.count() * 24 <= common.BROADCAST_BYTES  # beyond it no text is shuffled: scores are
+    scored = score(docs.join(F.broadcast(rows), "doc_id") if few else docs, model)
+    scored = scored.drop("text", "rejected") if few else scored.drop("text", "rejected").join(rows, "doc_id")
+    odds = F.log(F.col("score")) - F.log(F.greatest(1 - F.col("score"), F.lit(1e-18)))
+    hit = (F.col("toxic") > 0).cast("long")
+    bins = scored.groupBy("lang", F.floor(odds * BINS).alias("bin")).agg(F.sum(hit).alias("n1"), F.sum(1 - hit).alias("n0"), F.min("score").alias("low"), F.max("score").alias("high"))
+    bins = common.cut(bins)
+    sums = [F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.min("low").alias("low"), F.max("high").alias("high")]
+
+    def best(own: list) -> float | None:
+        n1, n0 = (np.array([r[k] for r in own], float) for k in ("n1", "n0"))
+        if n1.sum() < LEAST or n0.sum() < LEAST:
             return None
-        order = np.argsort(-s, kind="stable")
-        s, y = s[order], y[order]
-        hit = np.cumsum(y)
-        f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-        f1[:-1][s[:-1] == s[1:]] = -1  # a threshold doesn't part equal scores
-        k = int(np.argmax(f1))
-        return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
+        k = int(np.argmax(2 * np.cumsum(n1) / (np.cumsum(n1 + n0) + n1.sum())))
+        return float((own[k]["low"] + own[k + 1]["high"]) / 2) if k + 1 < len(own) else float(own[k]["low"])
 
-    model.thresholds = {None: best(scores, labels) or 0.5}
-    for lang in sorted({x for x in langs if x is not None}):
-        of = np.array([x == lang for x in langs])
-        if (t := best(scores[of], labels[of])) is not None:
-            model.thresholds[lang] = t
+    down = lambda found: sorted(found, key=lambda r: -r["low"])
+    model.thresholds = {None: best(down(bins.groupBy("bin").agg(*sums).collect())) or 0.5}
+    enough = bins.groupBy("lang").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b")).filter((F.col("a") >= LEAST) & (F.col("b") >= LEAST)).select("lang")
+    by: dict[str, list] = {}
+    for r in bins.join(enough, "lang").collect():
+        by.setdefault(r["lang"], []).append(r)
+    model.thresholds |= {lang: best(down(by[lang])) for lang in sorted(by)}
 
 
 def hashed(docs: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
@@ -225,19 +226,26 @@ def hashed(docs: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, keep: object = None) -> TextCnn:
     """Classifier from labels (doc_id, toxic) of docs (doc_id, text, lang). keep: a condition on labels' doc_id."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    rows = (rows.filter(keep) if keep is not None else rows).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(rows), "doc_id")
-    texts, y, langs, held = [], [], [], 0
-    got = hashed(few, ["doc_id", "toxic", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id", F.size("ids"))
+    rows = common.cut((rows.filter(keep) if keep is not None else rows).dropDuplicates(["doc_id"]))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    few = docs.join(F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)), "doc_id")
+    texts, y, of, held = [], [], [], 0
+    got = hashed(few, ["doc_id", "toxic"]).orderBy(F.xxhash64("doc_id"), "doc_id", F.size("ids"))
     for r in got.toLocalIterator():
         ids = np.array(r["ids"], np.int64)
         held += len(ids)
         texts.append(ids)
         y.append(int(r["toxic"] > 0))
-        langs.append(r["lang"])
+        of.append(r["doc_id"])
         if held >= SAMPLE_WORDS:
             break
-    return fit(texts, np.array(y, np.int64), langs)
+    model = fit(texts, np.array(y, np.int64))
+    if not texts:
+        return model
+    taken = docs.sparkSession.createDataFrame([(x,) for i, x in enumerate(of) if i % 5 != 4], "doc_id long")  # SAMPLE_ROWS at most
+    rest = rows.join(F.broadcast(taken), "doc_id", "left_anti")
+    calibrate(model, docs, rows if len(texts) < 5 else rest)
+    return model
 
 
 def score(docs: DataFrame, model: TextCnn) -> DataFrame:

@@ -55,6 +55,23 @@ def test_toxicity_odd_rows(spark, corpus):
     assert [(r["score"], r["rejected"]) for r in toxicity.score(odd, nothing).collect()] == [(0.0, False)] * 5
 
 
+def test_thresholds_use_all_labelled_rows(spark, corpus, monkeypatch):
+    docs, labels, truth = corpus
+    docs = [(i, t, "fr" if i % 12 in (0, 1) else lang, s, n) for i, t, lang, s, n in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 60)
+    model = toxicity.train(df, lab)
+    assert {"en", "de", "fr"} <= set(model.thresholds)  # twelve rows of the sample can't give these
+    rows = toxicity.score(df.join(lab.select("doc_id"), "doc_id"), model).collect()
+    sample = {r["doc_id"] for r in lab.orderBy(__import__("pyspark").sql.functions.xxhash64("doc_id")).limit(60).collect()}
+    rest = [(r["score"], truth[r["doc_id"]]) for r in rows if r["lang"] == "fr" and r["doc_id"] not in sample]
+    f1 = lambda limit: 2 * sum(y for s, y in rest if s >= limit) / (sum(s >= limit for s, _ in rest) + sum(y for _, y in rest))
+    assert f1(model.thresholds["fr"]) >= max(f1(s) for s, _ in rest) - 0.05
+    monkeypatch.setattr(toxicity.common, "BROADCAST_BYTES", 0)
+    assert toxicity.train(df, lab).thresholds == pytest.approx(model.thresholds)
+
+
 def test_long_texts_are_pooled_whole(spark, corpus):
     docs, labels, _ = corpus
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int")
