@@ -112,6 +112,12 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return coll.postings(points(spark, d)).filter(F.col("term").isin(WORDS))
 
 
+@query("WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), e AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) SELECT term, id, count(*) AS tf, max(dl)::BIGINT AS dl FROM e GROUP BY term, id")
+def postings_all(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index of every term; `postings` holds the query's terms alone."""
+    return coll.postings(points(spark, d))
+
+
 @query("WITH e AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df FROM e GROUP BY term")
 def term_df(spark: SparkSession, d: str) -> DataFrame:
     words = points(spark, d).select(F.explode_outer(F.array_distinct(text.tokens("content"))).alias("term")).dropna()
