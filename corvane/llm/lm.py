@@ -42,8 +42,6 @@ OTHER, EDGE = VOCABULARY - 2, VOCABULARY - 1
 BATCH, BLOCK, PARTIAL = 4096, 32768, 150_000
 #: Most words outside of the network's vocabulary whose counts every task holds.
 HEAD = 200_000
-#: Estimated bytes of a text's result.
-SUM_BYTES = 80
 RATE = 0.01
 SEED = 5
 
@@ -289,7 +287,7 @@ def score(docs: DataFrame, vocab: Vocabulary, network: WindowNetwork) -> DataFra
     paid = rare.join(vocab.counted, "word", "left").groupBy("mark").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / F.lit(vocab.others))).alias("paid"))
     log_prob = F.col("held") + F.coalesce("paid", F.lit(0.0))
     sums = scored.select("mark", "n_words", "held").join(paid, "mark", "left").select(F.col("mark").alias("__mark"), "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob"))
-    sums = common.small(common.cut(sums), SUM_BYTES)
+    sums = common.small(common.cut(sums))
     return base.withColumn("__own", mark).join(sums, F.col("__own") == F.col("__mark")).drop("__own", "__mark")
 
 

@@ -4,8 +4,8 @@ A document's set holds its distinct word shingles. Signatures follow C-MinHash (
 scatters the shingles over the universe, and one second permutation, shifted circularly by k, gives coordinate k. Both
 are bijections of 32-bit numbers. Bands of coordinates make candidates, full sets confirm them.
 
-Work stays near linear in large groups. Documents with equal sets form one class, of which only the representative goes
-on. A set whose shingles are mostly its own has no partner, whatever it meets in buckets; an exact bound on the
+Work stays near linear in large groups. Documents with equal sets form one class, which goes on as one node under a
+number of its own. A set whose shingles are mostly its own has no partner, whatever it meets in buckets; an exact bound on the
 intersection, from the count of shingles that it shares with any other set, takes such sets and pairs out. In a bucket,
 every member is first compared with the one that meets most others. What such links don't join is compared across the
 components that meet in a bucket: members outside of its largest component against all members of other components,
@@ -14,14 +14,16 @@ by an exact prefix filter. So every candidate link between different components
 With ROWS = 4 and BANDS = 32, a pair at the threshold of 0.75 misses all bands with probability 5e-6.
 
 Defined results: a null or empty text has the empty set, n_shingles 0, and is linked with nothing; a text of fewer words
-than a shingle is one shingle; rows that share a doc_id share their links; a row of null doc_id keeps its n_shingles, has
-a null component_id and is kept; an empty table gives an empty table; extra columns pass through dedup() unless they
-bear the name of an added column, which replaces them.
+than a shingle is one shingle; rows of one doc_id are one document of the graph: whatever their texts, they are linked with
+each other and share their links, but for those without text; a row of null doc_id keeps its n_shingles, has a null
+component_id and is kept; an empty table gives an empty table; dedup() adds no column, and all columns pass through it.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -31,15 +33,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, graph
-from .words import portions
+from .words import Remembered, portions
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 #: The threshold as a fraction of integers, so that it is exact.
 PART, WHOLE = 75, 100
 #: Bytes of text taken at once.
 PORTION = 2 << 20
-#: Estimated bytes of a broadcast row that holds an id.
-ID_BYTES = 24
 
 #: Lower-cases A-Z and maps the other white space to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -60,12 +60,9 @@ def permute(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
+class Words(Remembered):
+    def __init__(self):
+        super().__init__(xxhash.xxh3_64_intdigest)
 
 
 def shingle_sets(texts: list[bytes], words: Words, size: int = SHINGLE) -> list[np.ndarray]:
@@ -131,7 +128,7 @@ def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int =
             keys = np.zeros((len(sets), bands), np.int64)
             if full:
                 keys[full] = signatures([sets[i] for i in full], bands, rows).view(np.int64)
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
+            digests = np.array(list(map(_digest, sets)), np.int64).reshape(-1, 2)
             has = np.array([bool(len(s)) for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(has, bands, 0))], pa.int32()), pa.array(keys[has].ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(list(map(len, sets)), pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], ["doc_id", "n_shingles", "hi", "lo", "bands"])
@@ -139,23 +136,36 @@ def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int =
     return _source(docs).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, shingles) with the whole sets."""
+def sets_of(chosen: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(node, shingles): the whole sets of (node, hi, lo, text) rows whose text has the set of that hash, once a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for ids, texts in _portions(batches):
-            sets = shingle_sets(texts, words, size)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, sets)))], pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "shingles"])
+        words, seen = Words(), set()
+        for batch in batches:
+            nodes, hi, lo = (batch.column(i).to_pylist() for i in range(3))
+            for start, texts in portions(batch.column(3), PORTION):
+                got, sets = [], []
+                for i, s in enumerate(shingle_sets(texts, words, size), start):
+                    if nodes[i] not in seen and _digest(s) == (hi[i], lo[i]):
+                        seen.add(nodes[i])
+                        got.append(nodes[i])
+                        sets.append(s)
+                if got:
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, sets)))], pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), lists], ["node", "shingles"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, shingles array<long>")
+    return chosen.select("node", "hi", "lo", common.text_bytes().alias("text")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit hash in two signed halves."""
+    return struct.unpack(">qq", xxhash.xxh3_128_digest(s.tobytes()))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame:
     """The (a, b) of pairs whose sets are similar enough. Sets come together by shuffles on a, then on b; a key with many pairs can be split."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     n = F.size(F.array_intersect("sa", "sb"))
     near = (F.least(F.size("sa"), F.size("sb")) * whole >= F.greatest(F.size("sa"), F.size("sb")) * part) & (n * whole >= (F.size("sa") + F.size("sb") - n) * part)
@@ -163,13 +173,13 @@ def verify(pairs: DataFrame, sets: DataFrame, part: int = PART, whole: int = WHO
 
 
 def sharing(sets: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame:
-    """(rep, n, c) of the sets that can have a partner: n their size, c how many of their shingles another set holds too.
+    """(node, n, c) of the sets that can have a partner: n their size, c how many of their shingles another set holds too.
 
     No intersection is larger than c, so a set with too small a part of shared shingles has no partner at all.
     """
-    once = sets.select("doc_id", F.explode_outer("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("rep")).filter("k = 1")
-    alone = once.groupBy("rep").agg(F.count("*").alias("u"))
-    sized = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+    once = sets.select("node", F.explode_outer("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1")
+    alone = once.groupBy("node").agg(F.count("*").alias("u"))
+    sized = sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
     return sized.filter(F.col("c") * whole >= F.col("n") * part)
 
 
@@ -179,86 +189,112 @@ def _feasible(c: Column, n: Column, m: Column, part: int = PART, whole: int = WH
 
 
 def crossing(nodes: DataFrame, sets: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame:
-    """(a, b), a < b: all pairs of nodes (rep, n, root, least, rest) that may be similar enough, of different roots, one of them in rest.
+    """(a, b), a < b: all pairs of nodes (node, n, root, least, rest) that may be similar enough, of different roots, one of them in rest.
 
     Prefix filter (Bayardo et al. 2007): in one order of all shingles, rarest first, similar sets share one of their first
     n - t + 1, t being the least intersection. So copies that a common text makes alike meet only where they share
     what is rare. least: the size of a node's smallest partner.
     """
-    own = sets.withColumnRenamed("doc_id", "rep").join(common.small(nodes, 2 * ID_BYTES), "rep")
-    each = own.select("rep", "n", "root", "least", "rest", F.explode_outer("shingles").alias("s"))
+    own = sets.join(common.small(nodes), "node")
+    each = own.select("node", "n", "root", "least", "rest", F.explode_outer("shingles").alias("s"))
     rarity = each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1")
     # shingles of one set come first in its order; they are counted, not listed
-    listed = each.join(rarity, "s").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("k", "s")))
-    alone = each.join(rarity, "s", "left_anti").groupBy("rep").agg(F.count("*").alias("u"))
+    listed = each.join(rarity, "s").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("k", "s")))
+    alone = each.join(rarity, "s", "left_anti").groupBy("node").agg(F.count("*").alias("u"))
     smallest = F.greatest(F.col("least") * whole, F.col("n") * part) / whole
-    ranked = listed.join(common.small(common.cut(alone), ID_BYTES), "rep", "left").withColumn("i", F.col("i") + F.coalesce("u", F.lit(0)))
+    ranked = listed.join(common.small(common.cut(alone)), "node", "left").withColumn("i", F.col("i") + F.coalesce("u", F.lit(0)))
     ranked = ranked.filter(F.col("i") <= F.col("n") - F.ceil((F.col("n") + smallest) * part / (part + whole)) + 1)
-    ranked = common.cut(ranked.select("s", "rep", "n", "root", "rest", "i"))
-    a = ranked.filter("rest = 1").select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("i").alias("ia"))
-    b = ranked.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("i").alias("ib"))
+    ranked = common.cut(ranked.select("s", "node", "n", "root", "rest", "i"))
+    a = ranked.filter("rest = 1").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("i").alias("ia"))
+    b = ranked.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("i").alias("ib"))
     t = F.ceil((F.col("na") + F.col("nb")) * part / (part + whole))
     near = (F.col("ia") <= F.col("na") - t + 1) & (F.col("ib") <= F.col("nb") - t + 1) & (F.least("na", "nb") * whole >= F.greatest("na", "nb") * part)
     met = a.join(b, (a["s"] == b["s"]) & (F.col("ra") != F.col("rb")) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def classes_of(sketched: DataFrame) -> DataFrame:
+    """(hi, lo, node, rep, bands, n) of each class of equal sets: a number of its own, its smallest id, its documents. Materialised, for the numbers hold for one computation."""
+    full = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    return common.cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+
+
+def same_id(sketched: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(a, b): links between the classes that hold one doc_id, each with the first of them; None if no id has two sets."""
+    held = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "hi", "lo")
+    bounds = held.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("hi", "lo")])
+    several = common.cut(bounds.filter("min_hi < max_hi OR min_lo < max_lo").select("doc_id"))
+    if several.isEmpty():
+        return None
+    each = held.join(common.small(several), "doc_id").join(classes.select("hi", "lo", "node"), ["hi", "lo"]).select("doc_id", "node").distinct()
+    each = common.cut(each)
+    first = each.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return common.cut(each.withColumnRenamed("node", "a").join(first, "doc_id").filter("a <> b").select("a", "b").distinct())
+
+
 def components(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs."""
     sketched = common.cut(sketch(docs, size, bands, rows))
-    full = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # classes of equal sets; the smallest id stands for its class
-    classes = common.cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n")))
-    banded = classes.select("rep", F.explode("bands").alias("band"))
+    classes = classes_of(sketched)
+    banded = classes.select("node", F.explode("bands").alias("band"))
     met = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
-    members = common.cut(banded.join(met, "band").select("band", "rep"))
+    members = common.cut(banded.join(met, "band").select("band", "node"))
     # whole sets of candidates only, and of these only what can have a partner in its bucket
-    wanted = common.cut(members.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.small(wanted, ID_BYTES), "doc_id", "left_semi")
+    met = members.select("node").distinct()
+    wanted = common.cut(classes.select("node", "rep", "hi", "lo").join(met, "node", "left_semi"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(common.small(wanted), "rep")
     sets = common.cut(sets_of(texts, size))
-    live = members.join(common.small(common.cut(sharing(sets)), ID_BYTES * 2), "rep")
+    if sets.count() > wanted.count():  # tasks saw rows that repeat a document
+        sets = common.cut(sets.dropDuplicates(["node"]))
+    live = members.join(common.small(common.cut(sharing(sets))), "node")
     buckets = live.groupBy("band").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1")
     partner = F.greatest(F.col("least") * WHOLE, F.col("n") * PART)  # times WHOLE: the smallest partner's size
     live = live.join(buckets, "band").filter(F.col("c") * (PART + WHOLE) * WHOLE >= (F.col("n") * WHOLE + partner) * PART)
-    live = common.cut(live.select("band", "rep", "n", "c", "k"))
+    live = common.cut(live.select("band", "node", "n", "c", "k"))
     # the member that meets most others is a bucket's star: an original rather than one of its copies
-    central = live.groupBy("rep").agg(F.sum("k").alias("met"))
-    placed = common.cut(live.join(central, "rep").select("band", "rep", "n", "c", "met"))
-    stars = placed.groupBy("band").agg(F.max(F.struct("met", -F.col("rep"), "rep", "n", "c")).alias("s")).select("band", F.col("s.rep").alias("star"), F.col("s.n").alias("m"), F.col("s.c").alias("d"))
-    first = placed.join(stars, "band").filter(F.col("rep") != F.col("star")).filter(_feasible(F.least("c", "d"), F.col("n"), F.col("m")))
-    first = common.cut(first.select(F.col("rep").alias("a"), F.col("star").alias("b")).distinct())
+    central = live.groupBy("node").agg(F.sum("k").alias("met"))
+    placed = common.cut(live.join(central, "node").select("band", "node", "n", "c", "met"))
+    stars = placed.groupBy("band").agg(F.max(F.struct("met", "n", "c", "node")).alias("s")).select("band", F.col("s.node").alias("star"), F.col("s.n").alias("m"), F.col("s.c").alias("d"))
+    first = placed.join(stars, "band").filter(F.col("node") != F.col("star")).filter(_feasible(F.least("c", "d"), F.col("n"), F.col("m")))
+    first = common.cut(first.select(F.col("node").alias("a"), F.col("star").alias("b")).distinct())
     links = common.cut(verify(first, sets))
     found = graph.components(links, "a", "b")
     # links that may still join components which meet in a bucket
-    placed = placed.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = placed.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"))
     largest = per.groupBy("band").agg(F.max(F.struct("k", "root")).getField("root").alias("top"), F.min("least").alias("least"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    mixed = placed.join(largest, "band").groupBy("rep").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least").alias("least"), F.max((F.col("root") != F.col("top")).cast("int")).alias("rest"))
+    mixed = placed.join(largest, "band").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least").alias("least"), F.max((F.col("root") != F.col("top")).cast("int")).alias("rest"))
     cross = crossing(common.cut(mixed), sets)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = common.cut(verify(cross.join(tried, ["a", "b"], "left_anti"), sets))
-    if more.isEmpty():
-        roots = found
-    else:
-        roots = graph.components(links.unionByName(more), "a", "b")
-    final = classes.select("hi", "lo", "rep", "n").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    final = common.cut(final.filter("n > 1 OR root IS NOT NULL").select("hi", "lo", F.coalesce("root", "rep").alias("component")))
-    out = sketched.select("doc_id", "n_shingles", "hi", "lo").join(common.small(final, 3 * ID_BYTES), ["hi", "lo"], "left")
+    again = same_id(sketched, classes)
+    new = [x for x in (None if more.isEmpty() else more, again) if x is not None]
+    roots = graph.components(reduce(DataFrame.unionByName, new, links), "a", "b") if new else found
+    joined = classes.select("hi", "lo", "node", "rep", "n").join(roots, "node", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
+    final = common.cut(joined.select("hi", "lo", "root", "rep"))
+    least = final.groupBy("root").agg(F.min("rep").alias("component"))
+    final = common.cut(final.join(least, "root").select("hi", "lo", "component"))
+    out = sketched.select("doc_id", "n_shingles", "hi", "lo").join(common.small(final), ["hi", "lo"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component: the one of smallest doc_id, and of rows that repeat it the first by its other columns.
+    """docs without all but one document of each component: the one of smallest doc_id, and of rows that repeat it the first as JSON.
 
-    The rows to drop are few and known by id; they reach the documents by a broadcast if their number allows.
+    The rows to drop are few and known by id; they reach the documents by a broadcast if their size allows.
     """
-    found = common.cut(components(docs))
+    found = common.cut(components(docs).filter("n_shingles > 0 AND doc_id IS NOT NULL"))
     drop = common.cut(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = docs.join(common.small(drop, ID_BYTES), "doc_id", "left_anti")
-    repeated = common.cut(found.filter("doc_id IS NOT NULL AND doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    repeated = common.cut(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    said = F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # what says nothing is linked with nothing
+    gone = common.small(drop.withColumnRenamed("doc_id", "__gone"))
+    kept = docs.join(gone, (docs["doc_id"].cast("long") == F.col("__gone")) & said, "left_anti")
     if repeated.isEmpty():
-        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = common.small(repeated, ID_BYTES)
-    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return kept.select(*names)
+    again = common.small(repeated.withColumnRenamed("doc_id", "__again"))
+    same = (docs["doc_id"].cast("long") == F.col("__again")) & said
+    row = F.struct(*names)
+    one = kept.join(again, same).groupBy("__again").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return kept.join(again, same, "left_anti").select(*names).unionByName(one)

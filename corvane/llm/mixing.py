@@ -30,8 +30,6 @@ from . import common
 BUCKETS, SAMPLE_ROWS = 4096, 20_000
 EVIDENCE, STEPS, TOLERANCE = 20.0, 40, 1e-6
 SEED = 17
-#: Estimated bytes of a document's decision.
-ROW_BYTES = 120
 #: Target shares of tokens of the default domains.
 TARGETS = {"en": 0.45, "de": 0.2, "fr": 0.15, "es": 0.15, "low": 0.05}
 #: Between words: ASCII but letters and digits.
@@ -168,5 +166,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """docs with domain, tokens, rate and copies; documents of 0 copies are dropped (with the default total there are none, unless a target is 0)."""
     base = common.drop_present(docs, "domain", "tokens", "posterior", "rate", "copies")
     one = common.cut(rates(docs, labels, targets, domain, total).drop("posterior").dropDuplicates(["doc_id", "mark"]).filter("copies > 0"))
-    few = common.small(one.withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark"), ROW_BYTES)
+    few = common.small(one.withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark"))
     return base.join(few, base["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(_text()) == F.col("__mark"))).drop("__id", "__mark")

@@ -36,7 +36,6 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]
 #: A term's letters.
 TERM = r"\p{L}{3,}"
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.85
-TERM_BYTES, KEY_BYTES = 80, 200
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -122,16 +121,16 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, least: float = GEN
     """(term, strength, kind) of terms that reveal an entity, and (doc_id, mark, term, strength) of the documents that hold one."""
     held = common.cut(entities(docs))
     counted = common.cut(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support))
-    near = common.cut(held.join(common.small(counted, KEY_BYTES), "entity").groupBy("mark").agg(F.collect_list(F.struct("entity", "n_e")).alias("own")))
+    near = common.cut(held.join(common.small(counted), "entity").groupBy("mark").agg(F.collect_list(F.struct("entity", "n_e")).alias("own")))
     keyed = _key(docs)
     # copies of a text weigh as one; every word is counted, in one aggregate that combines before its shuffle
     copies = common.cut(keyed.groupBy("mark").agg(F.count("*").alias("copies")).filter("copies > 1"))
     surplus = copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0
     n = F.lit(keyed.count() - surplus)
     bag = keyed.select("doc_id", "mark", _terms(F.col("text")).alias("terms"))
-    weighed = bag.join(common.small(copies, 24), "mark", "left").select((F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"), F.explode_outer("terms").alias("term"))
+    weighed = bag.join(common.small(copies), "mark", "left").select((F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"), F.explode_outer("terms").alias("term"))
     # the terms of whole texts that hold an entity, a copy once
-    told = bag.join(common.small(near, KEY_BYTES), "mark").select("mark", "terms", "own").dropDuplicates(["mark"])
+    told = bag.join(common.small(near), "mark").select("mark", "terms", "own").dropDuplicates(["mark"])
     pairs = told.select(F.explode_outer("own").alias("e"), "terms").select("e.entity", "e.n_e", F.explode_outer("terms").alias("term")).dropna()
     pairs = common.cut(pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support))
     if pairs.isEmpty():  # keeps the schema, reads no text
@@ -142,7 +141,7 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, least: float = GEN
     npmi = F.when(p >= 1, F.lit(0.0)).otherwise(F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et"))) / -F.log2(p))
     strongest = both.withColumn("strength", npmi).filter(F.col("strength") >= least).groupBy("term").agg(F.max(F.struct("strength", "entity")).alias("top"))
     terms = common.cut(strongest.select("term", "top.strength", F.substring_index("top.entity", ":", 1).alias("kind")))
-    held = bag.select("doc_id", "mark", F.explode_outer("terms").alias("term")).join(common.small(terms, TERM_BYTES), "term").select("doc_id", "mark", "term", "strength")
+    held = bag.select("doc_id", "mark", F.explode_outer("terms").alias("term")).join(common.small(terms), "term").select("doc_id", "mark", "term", "strength")
     return terms, held
 
 
@@ -151,7 +150,7 @@ def find(docs: DataFrame) -> DataFrame:
     _, held = disclosing_terms(docs)
     per_doc = held.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("term", "strength")).alias("own"))
     per_doc = common.cut(per_doc)
-    few = common.small(per_doc, KEY_BYTES)
+    few = common.small(per_doc)
     keyed = _key(docs)
     rows = base_spans(keyed.join(few, keyed["doc_id"].eqNullSafe(few["doc_id"]) & (keyed["mark"] == few["mark"]), "left").select(keyed["doc_id"], keyed["mark"], "text", "own"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("own", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))

@@ -26,7 +26,6 @@ from . import common
 GUARANTEE, K = 10, 5
 #: What stands between words; capitals are taken for words here and lower-cased when words are compared.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-FINGERPRINT_BYTES, WINDOW_BYTES, KEY_BYTES = 24, 400, 40
 
 
 def words(text: Column) -> Column:
@@ -87,7 +86,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = common.cut(_item_prints(items.select("words"), lengths))
     keyed = _key(docs)
     own = fingerprints(keyed.select("doc_id", "mark", words(F.col("text")).alias("words")), lengths)
-    met = own.select("doc_id", "mark", F.explode_outer("prints").alias("print")).join(common.small(prints, FINGERPRINT_BYTES), "print", "left_semi")
+    met = own.select("doc_id", "mark", F.explode_outer("prints").alias("print")).join(common.small(prints), "print", "left_semi")
     met = common.cut(met.select("doc_id", "mark").distinct())
 
     lower = items.withColumn("words", F.transform("words", lambda w: F.translate(w, common.UPPER, common.LOWER)))
@@ -95,9 +94,9 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     whole = lower.filter(F.size("words") < GUARANTEE).select("item_id", F.struct(F.lit(1).alias("at"), F.size("words").alias("n"), F.array_join("words", " ").alias("window")).alias("w"))
     known = common.cut(long.select("item_id", "w.window").unionByName(whole.select("item_id", "w.window")).dropna().groupBy("window").agg(F.collect_set("item_id").alias("items")))
 
-    few = common.small(met, KEY_BYTES)
+    few = common.small(met)
     candidates = keyed.join(few, _same(keyed, few), "left_semi").select("doc_id", "mark", words(F.translate("text", common.UPPER, common.LOWER)).alias("words"))
-    found = candidates.select("doc_id", "mark", F.explode_outer(_windows("words", [GUARANTEE, *lengths])).alias("w")).select("doc_id", "mark", "w.*").join(common.small(known, WINDOW_BYTES), "window")
+    found = candidates.select("doc_id", "mark", F.explode_outer(_windows("words", [GUARANTEE, *lengths])).alias("w")).select("doc_id", "mark", "w.*").join(common.small(known), "window")
     spans = found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.collect_set("items").alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
     return spans.select("doc_id", "mark", F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
@@ -108,13 +107,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = _key(docs)
     rows = keyed.select("doc_id", "mark", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     found = common.cut(hits(docs, benchmark))
-    few = common.small(found, KEY_BYTES + 200)
+    few = common.small(found)
     return rows.join(few, _same(rows, few), "left").select(rows["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents in which a window of an item occurs."""
     found = common.cut(hits(docs, benchmark).select("doc_id", "mark"))
-    few = common.small(found, KEY_BYTES)
+    few = common.small(found)
     mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(few, docs["doc_id"].eqNullSafe(few["doc_id"]) & (mark == few["mark"]), "left_anti")

@@ -12,27 +12,33 @@ import pyarrow.compute as pc
 
 _KEEP = b"abcdefghijklmnopqrstuvwxyz0123456789"
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in _KEEP else 32 for c in range(256))
-#: Words that a worker remembers.
-REMEMBER = 250_000
+#: Bytes of words that a worker remembers, with WORD_BYTES for what else an entry takes.
+REMEMBER, WORD_BYTES = 48 << 20, 180
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
-class WordIds(dict):
-    """Word to id, by a function of the word's CRC-32 or of the word itself; forgets everything when it is full."""
+class Remembered(dict):
+    """Values of words by a function; forgets everything when it is full."""
 
     def __init__(self, of):
         super().__init__()
-        self.of = of
+        self.of, self.held = of, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBER:
+        self.held += len(word) + WORD_BYTES
+        if self.held > REMEMBER:
             self.clear()
+            self.held = len(word) + WORD_BYTES
         out = self[word] = self.of(word)
         return out
 
+
+class WordIds(Remembered):
+    """Word to id, by a function of the word's CRC-32 or of the word itself."""
+
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of the texts in one array, and the number of words of each text."""
         split = [words(t) for t in texts]

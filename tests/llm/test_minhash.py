@@ -72,6 +72,26 @@ def test_odd_rows(spark):
     assert minhash.dedup(df.limit(0)).collect() == []
 
 
+def test_one_id_with_several_texts(spark):
+    a, other = "one two three four five six seven eight nine ten " * 3, "nothing here is like the rest of it at all or in part"
+    near = a.replace("ten", "ten", 1) + "eleven"
+    rows = [(7, a, "z"), (8, near, "y"), (7, other, "a"), (9, other, "x"), (7, None, "w"), (7, "", "v"), (11, "alone", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in minhash.components(df).collect())
+    assert got == [(7, False, 7), (7, False, 7), (7, True, 7), (7, True, 7), (8, True, 7), (9, True, 7), (11, True, 11)]
+    kept = sorted((r["doc_id"], r["text"] or "", r["node"]) for r in minhash.dedup(df).collect())
+    assert kept == [(7, "", "v"), (7, "", "w"), (7, other, "a"), (11, "alone", "u")]  # `nothing ..` comes before `one ..` as JSON
+    # the same classes with an unrelated text of the same id between them
+    two = spark.createDataFrame([(7, a), (8, near)], "doc_id long, text string")
+    assert {r["component_id"] for r in minhash.components(two).collect()} == {7}
+
+
+def test_a_repeated_row_is_one_document(spark):
+    df = spark.createDataFrame([(5, "a b c d e f g h")] * 400 + [(6, "a b c d e f g h i"), (4, "q w e r t y u i")], "doc_id long, text string").repartition(6)
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.components(df).collect()} == {(5, 5), (6, 5), (4, 4)}
+    assert sorted(r["doc_id"] for r in minhash.dedup(df).collect()) == [4, 5]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 2000).astype(np.uint64)
