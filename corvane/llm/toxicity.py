@@ -9,7 +9,8 @@ didn't take, from histograms of their scores; the language chooses a threshold a
 The fit takes a bounded sample of labelled rows: SAMPLE_ROWS by hash of their id, and no more once they hold
 SAMPLE_WORDS words. Whole texts are scored, whatever their length.
 
-Defined results: a null or empty text is scored as one unknown word; null labels are left out; without labelled rows
+Defined results: a null or empty text is scored as one unknown word; null labels are left out; of labels that contradict
+each other the larger counts; without labelled rows
 every score is 0; repeated rows get equal scores; null ids and languages pass (the latter get the general threshold);
 an input column that bears the name of an added one is replaced.
 """
@@ -183,7 +184,7 @@ def _train(model: TextCnn, rows: list[np.ndarray], y: np.ndarray, own: np.ndarra
 
 def calibrate(model: TextCnn, docs: DataFrame, rows: DataFrame) -> None:
     """For each language with enough of rows (doc_id, toxic) of both labels, the threshold of best F1; the general one elsewhere."""
-    few = rows.count() * 24 <= common.BROADCAST_BYTES  # beyond it no text is shuffled: scores are
+    few = common.size_of(rows) <= common.BROADCAST_BYTES  # beyond it no text is shuffled: scores are
     scored = score(docs.join(F.broadcast(rows), "doc_id") if few else docs, model)
     scored = scored.drop("text", "rejected") if few else scored.drop("text", "rejected").join(rows, "doc_id")
     odds = F.log(F.col("score")) - F.log(F.greatest(1 - F.col("score"), F.lit(1e-18)))
@@ -226,7 +227,7 @@ def hashed(docs: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, keep: object = None) -> TextCnn:
     """Classifier from labels (doc_id, toxic) of docs (doc_id, text, lang). keep: a condition on labels' doc_id."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    rows = common.cut((rows.filter(keep) if keep is not None else rows).dropDuplicates(["doc_id"]))
+    rows = common.cut((rows.filter(keep) if keep is not None else rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     few = docs.join(F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)), "doc_id")
     texts, y, of, held = [], [], [], 0
