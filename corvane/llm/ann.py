@@ -1,18 +1,22 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted in numpy on a bounded sample, FIT_ROWS vectors by hash of their id; every vector is indexed: it goes
-down the tree to its leaf. A query walks the tree with a priority queue of branches, nearest centre first, which gives
-its leaves in the order in which it would visit them. How many leaves to visit is calibrated: for CALIBRATE sample
-queries the true neighbours are found by a scan of all vectors, and the number of visits widens until the share of them
-that lie in visited leaves reaches the wanted recall.
-
-Leaves are dealt out in blocks of bounded size by hash of the id, so a leaf that holds a third of all vectors is many
-tasks' work; every block gives its own nearest to a query, and those are merged by query. Distances are computed from
-the differences in double precision, in one order, so equal vectors tie exactly.
+The tree is fitted in numpy on a bounded sample by hash of the id, which grows with the table: one vector in FIT_SHARE,
+between FIT_ROWS and MOST_FIT_ROWS of them. Every vector is indexed: it goes down the tree to its leaf. A query walks the
+tree with a priority queue of branches, nearest centre first, which gives its leaves in the order in which it would visit
+them. How many leaves to visit is calibrated: for CALIBRATE sample queries the true neighbours are found by a scan of all
+vectors, and the number of visits widens until the share of them that lie in visited leaves reaches the wanted recall. A
+walk goes on beyond that while its leaves hold too few candidates.
+
+Both the vectors and the queries of a leaf are dealt out in blocks of BLOCK_BYTES by hash of the id, and a task compares one
+block with one block: a leaf that holds a third of all vectors, or that most queries visit, is many tasks' work. Every
+pair of blocks gives its own nearest to a query, and those are merged by query. Distances are computed from the differences
+in double precision, in one order, so equal vectors tie exactly.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
 take no part, nor do rows without an id; rows that repeat an id count as candidates of their own, but never for a query
-of the same id; with fewer candidates than k all are returned; an empty table gives no rows; other columns are ignored.
+of the same id; they are one query, by the first of their vectors in the order of arrays; a distance too large for a double
+is infinite and comes last; with fewer candidates than k all are returned; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ from pyspark.sql import functions as F
 from . import common
 
 NEAREST = 10
-FIT_ROWS, CALIBRATE, RECALL = 20_000, 100, 0.97
-#: Children of a node, sample vectors in a leaf, rows of a block, queries compared with a block at once.
-BRANCH, LEAF, BLOCK, AT_ONCE = 8, 64, 2_000, 64
+FIT_ROWS, FIT_SHARE, MOST_FIT_ROWS = 20_000, 64, 250_000
+CALIBRATE, RECALL = 100, 0.97
+#: Children of a node, sample vectors in a leaf, bytes of a block of vectors, vectors and queries compared at once.
+BRANCH, LEAF, BLOCK_BYTES, BLOCK, AT_ONCE = 8, 64, 4 << 20, 2_000, 64
 
 
 @dataclass
@@ -60,13 +65,15 @@ class Tree:
                 kids = np.arange(self.first[node], self.first[node] + self.count[node])
                 at[rows] = kids[np.argmin(_squares(x[rows], self.centres[kids]), axis=1)]
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves of a best-bin-first walk."""
-        out, queue = [], [(0.0, 0)]
-        while queue and len(out) < most:
+    def visit(self, q: np.ndarray, most: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first leaves of a best-bin-first walk: `most`, and more until they hold `need` vectors. held: vectors by leaf."""
+        out, queue, have = [], [(0.0, 0)], 0
+        while queue and (len(out) < most or have < need):
             _, node = heapq.heappop(queue)
             if self.count[node] == 0:
-                out.append(int(self.leaf[node]))
+                leaf = int(self.leaf[node])
+                out.append(leaf)
+                have += need if held is None else int(held[leaf])
                 continue
             kids = range(self.first[node], self.first[node] + self.count[node])
             for far, kid in zip(((self.centres[kids.start : kids.stop] - q) ** 2).sum(1).tolist(), kids, strict=True):
@@ -116,14 +123,12 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
     """(query's position, id, distance) of the k nearest of x to each query, ties to smaller ids, without the query's own id."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, (q, own) in enumerate(zip(queries, query_ids, strict=True)):
-        d = np.sqrt(((x - q) ** 2).sum(1))
-        d[ids == own] = np.inf
-        if len(d) > k:
-            limit = np.partition(d, k - 1)[k - 1]
-            some = np.flatnonzero(d <= limit)
-        else:
-            some = np.arange(len(d))
-        some = some[np.isfinite(d[some])]
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((x - q) ** 2).sum(1))
+        some = np.flatnonzero(ids != own)
+        if len(some) > k:
+            limit = np.partition(d[some], k - 1)[k - 1]
+            some = some[d[some] <= limit]
         some = some[np.lexsort((ids[some], d[some]))][:k]
         out.append((np.full(len(some), i), ids[some], d[some]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))  # type: ignore[return-value]
@@ -162,7 +167,18 @@ def scan(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataF
     return _merge(rows.mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
 
-def search(vectors: DataFrame, is_query, k: int = NEAREST, recall: float = RECALL, vec_id: str = "vec_id", embedding: str = "embedding", fit_rows: int = FIT_ROWS) -> DataFrame:
+def deal(indexed: DataFrame, walked: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries (leaf, id, v) with the numbers (a, b) of their blocks, so that every vector meets every query of its leaf in one (leaf, a, b), which about `most` of each share."""
+    blocks = lambda side, name: side.groupBy("leaf").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    both = F.broadcast(common.cut(blocks(indexed, "mine").join(blocks(walked, "theirs"), "leaf")))  # a row for each leaf of a tree of bounded size
+    part = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = indexed.join(both, "leaf").withColumn("a", part("mine")).withColumn("b", every("theirs")).drop("mine", "theirs")
+    asked = walked.join(both, "leaf").withColumn("b", part("theirs")).withColumn("a", every("mine")).drop("mine", "theirs")
+    return dealt, asked
+
+
+def search(vectors: DataFrame, is_query, k: int = NEAREST, recall: float = RECALL, vec_id: str = "vec_id", embedding: str = "embedding", fit_rows: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): k near neighbours of the rows for which is_query(id column) holds, among all others."""
     spark = vectors.sparkSession
     all_rows = usable(vectors, vec_id, embedding)
@@ -170,7 +186,10 @@ def search(vectors: DataFrame, is_query, k: int = NEAREST, recall: float = RECAL
     empty = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], empty)
-    rows = all_rows.filter(F.size("v") == sizes[0]["n"])
+    width = sizes[0]["n"]
+    rows = all_rows.filter(F.size("v") == width)
+    if fit_rows is None:
+        fit_rows = min(MOST_FIT_ROWS, max(FIT_ROWS, sizes[0]["count"] // FIT_SHARE))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow()
     sample_ids, x = sample.column(0).combine_chunks().to_numpy(), _matrix(sample.column(1).combine_chunks())
     tree = fit(x)
@@ -193,18 +212,20 @@ def search(vectors: DataFrame, is_query, k: int = NEAREST, recall: float = RECAL
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(sent.value.assign(_matrix(batch.column(1))), pa.int32()), batch.column(0), batch.column(1)], ["leaf", "id", "v"])
 
+    indexed = common.cut(rows.mapInArrow(index, "leaf int, id long, v array<double>"))
+    counts = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row for each leaf of a tree of bounded size
+    held = np.array([counts.get(i, 0) for i in range(tree.leaves)])
+    known = spark.sparkContext.broadcast(held)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = [sent.value.visit(v, visits) for v in _matrix(batch.column(1))]
+            leaves = [sent.value.visit(v, visits, known.value, k + own) for v, own in zip(_matrix(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
             rows_ = np.repeat(np.arange(len(batch)), list(map(len, leaves)))
             yield pa.RecordBatch.from_arrays([pa.array([b for own in leaves for b in own], pa.int32()), batch.column(0).take(pa.array(rows_)), batch.column(1).take(pa.array(rows_))], ["leaf", "id", "v"])
 
-    indexed = common.cut(rows.mapInArrow(index, "leaf int, id long, v array<double>"))
-    blocks = indexed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(common.cut(blocks))  # a row for each leaf of a tree of bounded size
-    dealt = indexed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    walked = rows.filter(is_query(F.col("id"))).mapInArrow(walk, "leaf int, id long, v array<double>")
-    asked = walked.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asking = rows.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
+    walked = common.cut(asking.mapInArrow(walk, "leaf int, id long, v array<double>"))
+    dealt, asked = deal(indexed, walked, max(1, block_bytes // (8 * width)))
 
     def compare(mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(queries):
@@ -212,9 +233,17 @@ def search(vectors: DataFrame, is_query, k: int = NEAREST, recall: float = RECAL
         own_ids, own, ids_ = mine["id"].to_numpy(np.int64), np.stack(mine["v"].to_numpy()), queries["id"].to_numpy(np.int64)
         parts = []
         for a in range(0, len(queries), AT_ONCE):
-            at, got, far = nearest(np.stack(queries["v"].iloc[a : a + AT_ONCE].to_numpy()), ids_[a : a + AT_ONCE], own, own_ids, k)
-            parts.append(pd.DataFrame({"query_id": ids_[a + at], "vec_id": got, "score": far}))
+            asks, ask_ids = np.stack(queries["v"].iloc[a : a + AT_ONCE].to_numpy()), ids_[a : a + AT_ONCE]
+            best = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+            for c in range(0, len(own), BLOCK):  # pieces that stay in the processor's cache
+                at, got, far = nearest(asks, ask_ids, own[c : c + BLOCK], own_ids[c : c + BLOCK], k)
+                best = tuple(np.concatenate(p) for p in zip(best, (at, got, far), strict=True))
+            at, got, far = best
+            order = np.lexsort((got, far, at))
+            at, got, far = at[order], got[order], far[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            parts.append(pd.DataFrame({"query_id": ask_ids[at], "vec_id": got, "score": far})[place < k])
         return pd.concat(parts)
 
-    found = dealt.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInPandas(compare, "query_id long, vec_id long, score double")
+    found = dealt.groupBy("leaf", "a", "b").cogroup(asked.groupBy("leaf", "a", "b")).applyInPandas(compare, "query_id long, vec_id long, score double")
     return _merge(found, k)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import ann, mixing
 
@@ -37,12 +38,46 @@ def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0]), (None, [1.0, 1.0]), (9, [2.0, 0.0]), (0, [3.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df.filter("vec_id IS NULL OR vec_id <> 0 OR embedding[0] = 1"), lambda i: i == 0).collect()]
-    assert sorted(got) == [(0, 1, 1, 0.0), (0, 2, 9, 1.0)]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, lambda i: i == 0).collect()]
+    assert sorted(got) == [(0, 1, 1, 0.0), (0, 2, 9, 1.0)]  # one query by the first vector of vec_id 0
     assert ann.search(df.limit(0), lambda i: i == 0).collect() == []
     assert ann.search(df.filter("vec_id = 1"), lambda i: i == 1).collect() == []
 
 
+def test_repeated_rows_lose_no_neighbour(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)]
+    df = spark.createDataFrame([*rows, rows[0], rows[3], (0, [-5.0, 1.0])], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, lambda i: i == 0).collect())
+    assert got == [(1, 1, 6.0), (2, 2, 7.0), (3, 3, 8.0), (4, 3, 8.0), *((n + 5, n + 4, n + 9.0) for n in range(6))]
+
+
+def test_huge_distances(spark):
+    df = spark.createDataFrame([(0, [1e200, 1.0]), (1, [-1e200, 1.0]), (2, [1e200, 2.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, lambda i: i < 2).collect())
+    assert got == [(0, 1, 2, 1.0), (0, 2, 1, float("inf")), (1, 1, 0, float("inf")), (1, 2, 2, float("inf"))]
+
+
+def test_blocks_bound_a_task(spark, vectors):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann.search(df, lambda i: i % 20 == 0).collect()))
+    small = ann.search(df, lambda i: i % 20 == 0, block_bytes=16 * 8 * 50)  # 50 vectors
+    assert sorted(map(tuple, small.collect())) == whole
+    hot = spark.range(4000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 7 + 1).cast("int").alias("leaf"), "id", F.array(F.col("id").cast("double")).alias("v"))
+    dealt, asked = ann.deal(hot, hot.filter("id % 5 = 0"), 50)
+    for side in (dealt, asked):
+        assert side.groupBy("leaf", "a", "b").count().agg(F.max("count")).first()[0] < 100
+    met = dealt.filter("leaf = 0").select("id", "a", "b").join(asked.filter("leaf = 0").select(F.col("id").alias("q"), "a", "b"), ["a", "b"])
+    assert met.count() == met.select("id", "q").distinct().count() == 3000 * 600
+
+
+def test_walk_goes_on_for_enough_candidates(vectors):
+    tree = ann.fit(vectors)
+    held = np.ones(tree.leaves, int)
+    assert len(tree.visit(vectors[0], 1, held, 11)) == 11
+    assert len(tree.visit(vectors[0], 1, held, 10**6)) == tree.leaves
+    assert len(tree.visit(vectors[0], 3, held * 100, 11)) == 3
+
+
 def test_walk_visits_every_leaf_once(vectors):
     tree = ann.fit(vectors)
     assert sorted(tree.visit(vectors[0], tree.leaves)) == list(range(tree.leaves))
