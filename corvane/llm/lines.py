@@ -6,10 +6,14 @@ rank points into three flat arrays: a 64-bit fingerprint, the document count and
 then probe the arrays; no line is joined.
 
 While the shards are small by count they go to every executor. Beyond the bound, probes of (shard, salt) meet the shard
-in a co-grouped task instead, and documents get back the hashes that they have to drop: the same result by a shuffle.
+in a co-grouped task instead, and documents get back the hashes that they have to drop: the same result by a shuffle. The
+probes of each shard are counted before they are sent, which gives it its salts.
 
-Defined results: a null or empty text is one empty line; a null doc_id counts as the smallest id; repeated rows count
-as documents of their own; an empty table gives an empty table; columns of the input that bear the name of an output
+Documents are counted by id. Rows that share an id are one document: their lines are counted apart, by distinct id, and
+such rows are found from the ids alone.
+
+Defined results: a null or empty text is one empty line, and stays null or empty; null ids are one id, the smallest; rows
+that repeat an id count once; an empty table gives an empty table; columns of the input that bear the name of an output
 column are replaced.
 """
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +42,7 @@ MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_ENTRIES, ENTRY_BYTES = 1 << 16, 22
 #: Distinct lines that a task counts before it hands on its partial counts.
 PARTIAL = 150_000
-#: Probes that one co-grouped task takes.
+#: Probes that one co-grouped task takes, about.
 PROBES = 1 << 19
 NULL_ID = -(1 << 63)
 
@@ -138,8 +143,13 @@ class LineShard:
         return cls(PerfectHash(levels), prints, counts, np.frombuffer(blob, np.int64, n, at + 12 * n))
 
 
-def _ids(column: pa.Array) -> list[int]:
-    return [NULL_ID if x is None else x for x in column.to_pylist()]
+def _long_lines(text: bytes, min_chars: int) -> set[bytes]:
+    """Hashes of the distinct long lines of a text."""
+    return {line_key(line, min_chars) for line in text.split(b"\n") if len(line) >= min_chars} - {None}
+
+
+def _sent(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), common.text_bytes().alias("text"))
 
 
 def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -153,23 +163,35 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(hl[:, 0].view(np.int64)), pa.array(hl[:, 1].view(np.int64)), pa.array(values[:, 0]), pa.array(values[:, 1])], ["hi", "lo", "n", "last"])
 
         for batch in batches:
-            for doc_id, text in zip(_ids(batch.column(0)), batch.column(1), strict=True):
-                found = {line_key(line, min_chars) for line in text.as_py().split(b"\n") if len(line) >= min_chars}
-                for key in found:
-                    if key is not None:
-                        if (now := seen.get(key)) is None:
-                            seen[key] = [1, doc_id]
-                        else:
-                            now[0] += 1
-                            now[1] = max(now[1], doc_id)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for key in _long_lines(text.as_py(), min_chars):
+                    if (now := seen.get(key)) is None:
+                        seen[key] = [1, doc_id]
+                    else:
+                        now[0] += 1
+                        now[1] = max(now[1], doc_id)
                 if len(seen) >= PARTIAL:
                     yield flush()
                     seen.clear()
         if seen:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), common.text_bytes().alias("text")).mapInArrow(count, "hi long, lo long, n long, last long")
-    return rows.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if keys := _long_lines(text.as_py(), min_chars):
+                    hl = halves(list(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(hl[:, 0].view(np.int64)), pa.array(hl[:, 1].view(np.int64)), pa.array([doc_id] * len(keys), pa.int64())], ["hi", "lo", "last"])
+
+    rows = _sent(docs)
+    several = common.cut(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    if several.isEmpty():
+        found = rows.mapInArrow(count, "hi long, lo long, n long, last long")
+    else:
+        apart = common.small(several)
+        once = rows.join(apart, "id", "left_semi").select("id", "text").mapInArrow(each, "hi long, lo long, last long").distinct().withColumn("n", F.lit(1).cast("long"))
+        found = rows.join(apart, "id", "left_anti").select("id", "text").mapInArrow(count, "hi long, lo long, n long, last long").unionByName(once)
+    return found.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
 
 def build_index(counts: DataFrame, shards: int) -> DataFrame:
@@ -209,7 +231,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     Adds n_lines, n_dropped and kept_sha256 (of the new text) and replaces text; other columns pass through.
     """
     counts = common.cut(line_counts(docs, min_chars).filter(F.col("n") >= min_docs))
-    entries, probes = counts.agg(F.count("*"), F.sum("n")).first()
+    entries = counts.count()
     shards = max(1, math.ceil(entries / SHARD_ENTRIES))
     index = build_index(counts, shards)
     added = ("text", "n_lines", "n_dropped", "kept_sha256")
@@ -217,17 +239,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     schema = T.StructType([docs.schema[c] for c in base] + [T.StructField("text", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def out(batch: pa.RecordBatch, rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
-        own = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())]
+        bare = batch.column("__null").to_pylist()
+        own = [pa.array([None if null else r[0] for null, r in zip(bare, rows, strict=True)], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())]
         return pa.RecordBatch.from_arrays([batch.column(c) for c in base] + own, [*base, *added])
 
-    source = docs.select(*base, F.col("doc_id").cast("long").alias("__id"), common.text_bytes().alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in base], F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("__id"), common.text_bytes().alias("__text"), F.col("text").isNull().alias("__null"))
     if entries * ENTRY_BYTES <= broadcast_bytes:
         sent = docs.sparkSession.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in index.collect()])
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loaded = {shard: LineShard.load(blob) for shard, blob in sent.value}
             for batch in batches:
-                ids = np.array(_ids(batch.column("__id")), np.int64)
+                ids = batch.column("__id").to_numpy()
 
                 def holders(rows: list[int], digests: list[bytes], ids: np.ndarray = ids) -> np.ndarray:
                     hl, go = halves(digests), np.zeros(len(digests), bool)
@@ -242,8 +265,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
         result = source.mapInArrow(probe, schema)
     else:
-        dropped = routed_drops(docs, index, shards, max(1, math.ceil(probes / shards / PROBES)), min_chars)
-        joined = source.join(dropped, F.coalesce("__id", F.lit(NULL_ID)) == F.col("__probe"), "left").drop("__probe")
+        dropped = routed_drops(docs, index, shards, min_chars)
+        joined = source.join(dropped, F.col("__id") == F.col("__probe"), "left").drop("__probe")
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -254,22 +277,40 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     return result.select(*[F.col(f"`{c}`").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in [c for c in docs.columns if c in base or c == "text"] + list(added[1:])])
 
 
-def routed_drops(docs: DataFrame, index: DataFrame, shards: int, salts: int, min_chars: int) -> DataFrame:
+def shard_salts(docs: DataFrame, shards: int, min_chars: int) -> DataFrame:
+    """(shard, salts): the tasks that the probes of each shard need, from the number of long lines that go there."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[int] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                if keys := _long_lines(text.as_py(), min_chars):
+                    seen.update((halves(list(keys))[:, 0].view(np.int64) % shards).tolist())
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["shard", "n"])
+
+    counted = _sent(docs).select("text").mapInArrow(tally, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    return common.cut(counted.select("shard", F.ceil(F.col("n") / PROBES).cast("int").alias("salts")))
+
+
+def routed_drops(docs: DataFrame, index: DataFrame, shards: int, min_chars: int) -> DataFrame:
     """(__probe, __drop): by document id the line hashes to drop, found by sending probes to the shards. A shard is copied for each salt."""
+    salts = F.broadcast(shard_salts(docs, shards, min_chars))  # a row for each SHARD_ENTRIES entries
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, digests = [], []
-            for doc_id, text in zip(_ids(batch.column(0)), batch.column(1), strict=True):
-                own = {line_key(x, min_chars) for x in text.as_py().split(b"\n") if len(x) >= min_chars} - {None}
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = _long_lines(text.as_py(), min_chars)
                 ids += [doc_id] * len(own)
                 digests += own
             if ids:
                 hi = halves(digests)[:, 0].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hi % shards, pa.int32()), pa.array([abs(i) % salts for i in ids], pa.int32()), pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["shard", "salt", "doc", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(hi % shards, pa.int32()), pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["shard", "doc", "digest"])
 
-    probes = docs.select(F.col("doc_id").cast("long"), common.text_bytes().alias("text")).mapInArrow(emit, "shard int, salt int, doc long, digest binary")
-    spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    probes = _sent(docs).mapInArrow(emit, "shard int, doc long, digest binary").join(salts, "shard")
+    probes = probes.select("shard", F.pmod(F.xxhash64("doc", "digest"), "salts").cast("int").alias("salt"), "doc", "digest")
+    spread = index.join(salts, "shard").select("shard", "blob", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def meet(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(shard):

@@ -12,12 +12,12 @@ from corvane.llm import lines
 
 def brute(docs, min_chars=40, min_docs=5):
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
-    held, last = defaultdict(int), {}
+    ids = defaultdict(set)
     rank = lambda i: -(1 << 63) if i is None else i
     for i, t in docs:
-        for k in {key(x) for x in (t or "").split("\n")}:
-            held[k] += 1
-            last[k] = max(last.get(k, -(1 << 63)), rank(i))
+        for k in (t or "").split("\n"):
+            ids[key(k)].add(rank(i))
+    held, last = {k: len(v) for k, v in ids.items()}, {k: max(v) for k, v in ids.items()}
     out = []
     for i, t in docs:
         own = (t or "").split("\n")
@@ -51,6 +51,32 @@ def test_many_shards(spark, docs, monkeypatch):
         assert sum(r["n_dropped"] for r in lines.dedup_lines(df, broadcast_bytes=limit).collect()) == sum(x[2] for x in brute(docs))
 
 
+def test_an_id_counts_once(spark):
+    line = "One line that is long enough to be counted by the operator."
+    df = spark.createDataFrame([(1, line)] * 5 + [(3, line), (None, line), (None, line)], "doc_id long, text string").repartition(3)
+    for limit in (1 << 20, 0):
+        assert {r["n_dropped"] for r in lines.dedup_lines(df, broadcast_bytes=limit).collect()} == {0}
+    more = df.unionByName(spark.createDataFrame([(4, line), (5, line)], "doc_id long, text string"))
+    for limit in (1 << 20, 0):
+        got = lines.dedup_lines(more, broadcast_bytes=limit).collect()
+        assert sorted((str(r["doc_id"]), r["text"]) for r in got if r["n_dropped"] == 0) == [("5", line)]
+
+
+def test_null_texts_stay_null(spark):
+    df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    for limit in (1 << 20, 0):
+        assert {(r["doc_id"], r["text"], r["n_lines"]) for r in lines.dedup_lines(df, broadcast_bytes=limit).collect()} == {(1, None, 1), (2, "", 1)}
+
+
+def test_salts_follow_what_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PROBES", 20)
+    line = "A hot line that a third of all documents hold, every one of them."
+    df = spark.createDataFrame([(i, line if i % 3 == 0 else f"own line of document {i} which nobody else holds at all") for i in range(300)], "doc_id long, text string")
+    salts = {r["shard"]: r["salts"] for r in lines.shard_salts(df, 4, 40).collect()}
+    assert max(salts.values()) >= 5
+    assert sum(r["n_dropped"] for r in lines.dedup_lines(df, broadcast_bytes=0).collect()) == 99
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dedup_lines(df).collect() == []
