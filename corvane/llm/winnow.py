@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 GUARANTEE, K = 10, 5
+#: Words of a document whose windows are made at once.
+CHUNK = 8192
 #: What stands between words; capitals are taken for words here and lower-cased when words are compared.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -69,6 +71,15 @@ def _windows(words_: str, lengths: list[int]) -> Column:
     return F.concat(*map(of, lengths))
 
 
+def _chunks(rows: DataFrame) -> DataFrame:
+    """rows with `words` in pieces of CHUNK words and as many as a window can reach on either side; lead: how many come before the piece, core: its own."""
+    reach = GUARANTEE - 1
+    first = F.explode_outer(F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - 1, F.lit(0)) / CHUNK).cast("int")))
+    each = rows.withColumn("chunk", first).withColumn("lead", F.least(F.col("chunk") * CHUNK, F.lit(reach)))
+    each = each.withColumn("core", F.least(F.size("words") - F.col("chunk") * CHUNK, F.lit(CHUNK)))
+    return each.withColumn("words", F.slice("words", F.col("chunk") * CHUNK - F.col("lead") + 1, F.col("lead") + F.lit(CHUNK + reach)))
+
+
 def _key(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
@@ -96,10 +107,13 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     few = common.small(met)
     candidates = keyed.join(few, _same(keyed, few), "left_semi").select("doc_id", "mark", words(F.translate("text", common.UPPER, common.LOWER)).alias("words"))
-    found = candidates.select("doc_id", "mark", F.explode_outer(_windows("words", [GUARANTEE, *lengths])).alias("w")).select("doc_id", "mark", "w.*").join(common.small(known), "window")
-    spans = found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.collect_set("items").alias("items"))
+    pieces = _chunks(candidates).select("doc_id", "mark", "chunk", "lead", "core", F.explode_outer(_windows("words", [GUARANTEE, *lengths])).alias("w"))
+    found = pieces.select("doc_id", "mark", "chunk", "lead", "core", "w.*").join(common.small(known), "window")
+    spans = found.groupBy("doc_id", "mark", "chunk", "lead", "core").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.collect_set("items").alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    return spans.select("doc_id", "mark", F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    own = F.size(F.filter(covered, lambda p: (p > F.col("lead")) & (p <= F.col("lead") + F.col("core"))))
+    spans = spans.select("doc_id", "mark", own.cast("long").alias("n"), F.array_distinct(F.flatten("items")).alias("items"))
+    return spans.groupBy("doc_id", "mark").agg(F.sum("n").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -71,6 +71,27 @@ def test_empty(spark, data):
     assert {r["n_hit"] for r in winnow.contamination(df, bench.limit(0)).collect()} == {0}
 
 
-def test_guarantee():
-    """Whatever 10 words two texts share, they share a kept hash: the minimum over a window depends on the window alone."""
-    assert winnow.GUARANTEE - winnow.K + 1 >= 1
+def test_guarantee(spark):
+    """Texts that share GUARANTEE words in a row, wherever they stand, share a kept hash."""
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(4))
+    rows = []
+    for i in range(200):
+        shared = [word() for _ in range(winnow.GUARANTEE)]
+        for side in "ab":
+            rows.append((i, side, [word() for _ in range(random.randint(0, 30))] + shared + [word() for _ in range(random.randint(0, 30))]))
+    prints = winnow.fingerprints(spark.createDataFrame(rows, "i int, side string, words array<string>"), [])
+    by = {(r["i"], r["side"]): set(r["prints"]) for r in prints.collect()}
+    assert all(by[i, "a"] & by[i, "b"] for i in range(200))
+    assert sum(bool(by[i, "a"] & by[i + 1, "b"]) for i in range(199)) == 0
+    kept = sum(len(by[i, "a"]) for i in range(200)) / sum(len(w) - winnow.K + 1 for _, s, w in rows if s == "a")
+    assert kept < 0.6  # it is a selection
+
+
+@pytest.mark.parametrize("chunk", [7, 16, 100])
+def test_pieces_of_long_texts(spark, data, monkeypatch, chunk):
+    docs, items = data
+    monkeypatch.setattr(winnow, "CHUNK", chunk)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in winnow.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == sorted((str(i), *brute(t, items)) for i, t in docs)
