@@ -10,15 +10,18 @@ holds them. SUPPORT texts must hold a pair before it counts.
 
 DataFrame functions only. Positions come from the lengths of what lies between the matches of a pattern. Patterns are
 written with possessive repeats, which need no stack for long runs, and begin at the start of a run or where the last
-match ended, which keeps long runs linear; both match what the plain patterns match.
+match ended, which keeps long runs linear; both match what the plain patterns match. Running sums over the matches go by
+blocks, and what is cut out of a text is cut out of its bytes, so that a text of a million matches is no trouble.
 
 Defined results: a null or empty text has no spans; exact copies of a text count once in the statistics and each get
-its spans; rows that repeat a document get equal results; null ids pass; an empty table gives an empty table; other
-columns pass through sanitise() unless they bear the name of an added one, which replaces them.
+its spans; rows that repeat a document get equal results; null ids pass; an empty table gives an empty table; report()
+ignores other columns, sanitise() passes them through, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,33 +59,60 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _cut_by(rows: DataFrame, name: str, pattern: Column | str, hint: Column) -> DataFrame:
+def _cut_by(rows: DataFrame, name: str, pattern: Column | str, hint: Column, text: str = "text") -> DataFrame:
     """rows with array columns m_<name>, the matches in `text`, and g_<name>, what lies between them; both null without any."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    rows = rows.withColumn(f"m_{name}", F.when(hint, F.regexp_extract_all("text", pattern, F.lit(0))))
-    return rows.withColumn(f"g_{name}", F.when(F.size(f"m_{name}") > 0, F.split("text", pattern, -1)))
+    rows = rows.withColumn(f"m_{name}", F.when(hint, F.regexp_extract_all(text, pattern, F.lit(0))))
+    return rows.withColumn(f"g_{name}", F.when(F.size(f"m_{name}") > 0, F.split(text, pattern, -1)))
 
 
-def _placed(name: str) -> Column:
-    """array<struct<start, end, i>> of the matches, in code points from 0; empty without any. i: the match's position."""
-    m, g = F.col(f"m_{name}"), F.col(f"g_{name}")
-    none = F.array().cast("array<struct<start:int,end:int,i:int>>")
+def _running(values: Column, op) -> Column:
+    """array<int> of op over the first 1, 2, .. values, from 0. Blocks of about a root of the length keep what is copied at length ** 1.5."""
+    none = F.array().cast("array<int>")
+
+    def blocks(v: Column, width: Column) -> Column:
+        def block(done: Column, k: Column) -> Column:
+            before = F.coalesce(F.element_at(F.get(done, F.size(done) - 1)["out"], -1), F.lit(0))
+            one = F.aggregate(F.slice(v, k * width + 1, width), F.struct(before.alias("at"), none.alias("out")), step)
+            return F.concat(done, F.array(one))
+
+        start = F.array().cast("array<struct<at:int,out:array<int>>>")
+        done = F.aggregate(F.sequence(F.lit(0), ((F.size(v) - 1) / width).cast("int")), start, block)
+        return F.flatten(F.transform(done, lambda b: b["out"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = op(acc["at"], x)
+        return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    return _let(values, lambda v: _let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda w: F.when(w > 0, blocks(v, w)).otherwise(none)))
+
+
+def _let(value: Column, of) -> Column:
+    """of(value), with value computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(g, i))
-        end = start + F.length(F.get(m, i))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), i.alias("i")))).alias("out"))
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
 
-    return F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+
+def _placed(name: str) -> Column:
+    """array<struct<start, end, bstart, bend, i>> of the matches, in code points and in bytes from 0; empty without any. i: the match's position."""
+    m, g = F.col(f"m_{name}"), F.col(f"g_{name}")
+    none = F.array().cast("array<struct<start:int,end:int,bstart:int,bend:int,i:int>>")
+    ends = lambda size: _running(F.transform(m, lambda x, i: size(x) + size(F.get(g, i))), _sum)
+    spans = F.transform(F.arrays_zip(ends(F.length).alias("c"), ends(F.octet_length).alias("b"), m.alias("m")), lambda x, i: F.struct(
+        (x["c"] - F.length(x["m"])).alias("start"), x["c"].alias("end"), (x["b"] - F.octet_length(x["m"])).alias("bstart"), x["b"].alias("bend"), i.alias("i")))
+    return F.when(F.size(m) > 0, spans).otherwise(none)
 
 
-def _key(docs: DataFrame) -> DataFrame:
+def _key(docs: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    return docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"), *kept)
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """rows with array<struct<start, end, i>> s_<kind> of the valid matches of each kind in `text`, and the m_ and g_ columns they come from."""
+    """rows with array<struct<start, end, bstart, bend, i>> s_<kind> of the valid matches of each kind in `text`, and the m_ and g_ columns they come from."""
     for kind in KINDS:
         hint = F.contains("text", F.lit("@")) if kind == "email" else F.col("text").rlike(HINTS[kind])
         rows = _cut_by(rows, kind, PATTERNS[kind], hint)
@@ -145,51 +175,64 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, least: float = GEN
     return terms, held
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, spans) per row of docs; spans: array<struct<kind, start, end, strength>>, base kinds first, then `term`."""
+def find(docs: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, mark, text, spans) per row of docs and its kept columns; spans: array<struct<kind, start, end, bstart, bend, removed>>, base kinds first, then `term`.
+
+    Terms are looked for between addresses; identifiers of the other kinds hold no letters.
+    """
     _, held = disclosing_terms(docs)
-    per_doc = held.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("term", "strength")).alias("own"))
-    per_doc = common.cut(per_doc)
+    split = lambda gone: F.collect_set(F.when((F.col("strength") >= REMOVE) == gone, F.col("term")))
+    per_doc = common.cut(held.groupBy("doc_id", "mark").agg(split(False).alias("own_general"), split(True).alias("own_removed")))
     few = common.small(per_doc)
-    keyed = _key(docs)
-    rows = base_spans(keyed.join(few, keyed["doc_id"].eqNullSafe(few["doc_id"]) & (keyed["mark"] == few["mark"]), "left").select(keyed["doc_id"], keyed["mark"], "text", "own"))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("own", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
-    rows = _cut_by(rows, "term", pattern, F.size("own") > 0).withColumn("s_term", _placed("term"))
+    keyed = _key(docs, kept)
+    rows = base_spans(keyed.join(few, keyed["doc_id"].eqNullSafe(few["doc_id"]) & (keyed["mark"] == few["mark"]), "left").select(*[keyed[c] for c in keyed.columns], "own_general", "own_removed"))
+    blank = lambda i: F.repeat(F.lit(" "), F.coalesce(F.octet_length(F.get("m_email", i)), F.lit(0)))  # addresses are ASCII: as many bytes as code points
+    masked = F.array_join(F.transform("g_email", lambda x, i: F.concat(x, blank(i))), "")
+    rows = rows.withColumn("masked", F.when(F.size("m_email") > 0, masked).otherwise(F.col("text")))
+    for name in ("general", "removed"):
+        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(f"own_{name}", "|"), F.lit(r")(?!\p{L})"))
+        rows = _cut_by(rows, name, pattern, F.size(f"own_{name}") > 0, "masked").withColumn(f"s_{name}", _placed(name))
 
-    def base(kind: str) -> Column:
-        return F.transform(f"s_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("double").alias("strength")))
+    def as_spans(name: str, kind: str, removed: bool) -> Column:
+        return F.transform(f"s_{name}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["bstart"].alias("bstart"), s["bend"].alias("bend"), F.lit(removed).alias("removed")))
 
-    rows = rows.withColumn("base", F.concat(*map(base, KINDS)))
-    m, own, spans = F.col("m_term"), F.col("own"), F.col("base")
-    free = F.filter("s_term", lambda s: ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    strength = lambda s: F.get(F.filter(own, lambda t: t["term"] == F.lower(F.get(m, s["i"]))), F.lit(0))["strength"]
-    added = F.transform(free, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(strength(s), F.lit(0.0)).alias("strength")))
-    return rows.select("doc_id", "mark", "text", F.concat("base", added).alias("spans"))
+    terms = F.concat(as_spans("general", "term", False), as_spans("removed", "term", True))
+    return rows.select(*keyed.columns, F.concat(*[as_spans(k, k, False) for k in KINDS], F.when(F.size(terms) > 0, F.array_sort(terms)).otherwise(terms)).alias("spans"))
 
 
 def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _sanitised() -> Column:
+    """The text of rows of find() with what its spans cover replaced. Spans that overlap are replaced together, by what stands for the first."""
+    at = F.array_sort(F.transform("spans", lambda s: F.struct(s["bstart"].alias("a"), (-s["bend"]).alias("z"), F.when(s["removed"], "").otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">"))).alias("put"))))
+
+    def joined(s: Column) -> Column:
+        reach = _running(F.transform(s, lambda x: -x["z"]), F.greatest)
+        return _let(F.struct(F.col("text").cast("binary").alias("raw"), reach.alias("reach")), lambda x: pieces(s, x["raw"], x["reach"]))
+
+    def pieces(s: Column, raw: Column, reach: Column) -> Column:
+        done = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))  # where the spans before end
+        parts = F.transform(s, lambda x, i: F.when(x["a"] >= done(i), F.concat(F.substring(raw, done(i) + 1, x["a"] - done(i)).cast("string"), x["put"])).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), F.substring(raw, F.element_at(reach, -1) + 1, F.octet_length("text")).cast("string"))
+
+    return F.when(F.size("spans") > 0, _let(at, joined)).otherwise(F.col("text"))
+
+
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_<kind>..., base_sha256, spans) per row of docs."""
-    found = find(docs)
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    """(doc_id, n_<kind>..., base_sha256, spans, n_term, n_removed, sanitised_sha256) per row of docs. n_term: terms generalised or removed."""
+    found = find(docs).withColumn("clean", _sanitised())
+    count = lambda of, name: F.size(F.filter("spans", of)).cast("long").alias(name)
     base = F.filter("spans", lambda s: s["kind"] != "term")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), count("term"))
+    of_kind = lambda k: count(lambda s: s["kind"] == k, f"n_{k}")
+    kinds = list(map(of_kind, (*KINDS, "term")))
+    return found.select("doc_id", *kinds[:-1], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), kinds[-1], count(lambda s: s["removed"], "n_removed"), F.sha2("clean", 256).alias("sanitised_sha256"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with base spans replaced by <kind>, terms generalised to <term> or removed by their strength."""
-    found = find(docs)
-    ordered = found.withColumn("spans", F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"])))
-
-    def step(acc: Column, s: Column) -> Column:
-        put = F.when((s["kind"] == "term") & (s["strength"] >= REMOVE), F.lit("")).otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
-        skip = s["start"] < acc["at"]  # lies in what is replaced already
-        out = F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), put)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    none = F.array().cast("array<string>")
-    text = F.aggregate("spans", F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return ordered.select("doc_id", text.alias("text"))
+    """docs with base spans of the text replaced by <kind>, terms generalised to <term> or removed by their strength; a null text becomes empty."""
+    own, away = common.hidden(docs, ("doc_id", "text"))
+    found = find(own, list(away.values()))
+    back = [F.col(away.get(c, c)).alias(c) if c != "text" else F.col("clean").alias(c) for c in docs.columns]
+    return found.withColumn("clean", _sanitised()).select(*back)

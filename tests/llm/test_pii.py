@@ -97,3 +97,58 @@ def test_texts_are_counted_exactly(spark):
     n = len({t for _, t in rows})
     want = __import__("math").log2(4 * n / (4 * 7)) / -__import__("math").log2(4 / n)
     assert {r["term"]: r["strength"] for r in terms.collect()}["alpha"] == pytest.approx(want, abs=1e-12)
+
+
+def test_very_many_matches_take_no_square(spark):
+    import time
+
+    text = "é a@b.cd 1.2.3.4 " * 100_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.report(docs.limit(0)).collect()
+    began = time.time()
+    (r,) = pii.base_spans(docs.select("text")).selectExpr("size(s_email) n", "size(s_ip) m", "s_ip[99999] last").collect()
+    assert time.time() - began < 20
+    assert (r["n"], r["m"]) == (100_000, 100_000)
+    assert (r["last"]["start"], r["last"]["end"]) == (17 * 100_000 - 8, 17 * 100_000 - 1)
+    (clean,) = pii.sanitise(docs).collect()
+    assert clean["text"] == "é <email> <ip> " * 100_000
+    assert time.time() - began < 60
+
+
+def test_overlaps_are_replaced_together(spark):
+    rows = [(1, "é +1 234 567 8901@mail.example, 4111 1111 1111 1111 +49 (30) 1234567 ü"), (2, "10.20.30.40@x.yz"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "keep", 5) for i, t in rows], "doc_id long, text string, spans string, mark int")
+    got = pii.sanitise(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "é <phone>, <card> <phone> ü", "keep", 5), (2, "<email>", "keep", 5), (3, "", "keep", 5)]
+
+
+def test_terms_against_plain_counts(spark, told):
+    """Strengths by their definition, from every pair of a term and an entity of the distinct texts."""
+    from math import log2
+
+    texts = sorted({r["text"] for r in told.collect()})
+    terms = [set(re.findall(r"[^\W\d_]{3,}", re.sub(PLAIN["email"], " ", t).lower())) for t in texts]
+    entities = [{x for k, a, b in base(t) for x in (f"{k}:={t[a:b].lower()}", f"{k}:~@{t[a:b].split('@')[-1].lower()}", f"{k}:")} for t in texts]
+    n, want = len(texts), {}
+    for e in set().union(*entities):
+        n_e = sum(e in x for x in entities)
+        for t in set().union(*terms):
+            n_t, both = sum(t in x for x in terms), sum(e in x and t in y for x, y in zip(entities, terms, strict=True))
+            if n_e >= pii.SUPPORT and both >= pii.SUPPORT:
+                strength = log2(both * n / (n_e * n_t)) / -log2(both / n)
+                if strength >= pii.GENERALISE:
+                    want[t] = max(strength, want.get(t, -2))
+    got = {r["term"]: r["strength"] for r in pii.disclosing_terms(told)[0].collect()}
+    assert got == pytest.approx(want)
+    assert want
+
+
+def test_what_is_removed_is_reported(spark, told):
+    rows = {r["doc_id"]: r for r in pii.report(told).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(told).collect()}
+    for i, r in rows.items():
+        assert r["sanitised_sha256"] == hashlib.sha256(clean[i].encode()).hexdigest()
+        assert r["n_term"] == r["spans"].count("term:")
+        assert r["n_term"] - r["n_removed"] == clean[i].count("<term>")
+    assert sum(r["n_term"] for r in rows.values()) > 0
