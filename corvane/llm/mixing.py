@@ -3,8 +3,9 @@
 A naive Bayes classifier over hashed words learns domains from a labelled table, by counting. It gives every document
 posterior probabilities of the domains; its log-likelihoods are averaged over a document's words and sharpened by
 EVIDENCE words, so that long documents don't all become certain. Then nonnegative rates, one a document, are fitted by
-projected gradient descent on the squared differences between expected domain token totals and their targets: all rates
-move at once in the cluster, one aggregate of a few numbers a step comes back.
+projected gradient descent on the squared differences between expected domain token totals and their targets. All rates
+move at once. While no rate meets its bound, a step's totals follow from the second moments of the posteriors, a few sums
+taken once; where the bound holds, one aggregate of a few numbers comes back from the cluster for each step.
 
 The default total is the largest that any domain's tokens call for, raised until the smallest rate of a document is 1:
 scarce domains are repeated, none is thinned. Where rates over 0 can't meet the targets, all rates are kept at 1 or more
@@ -14,11 +15,13 @@ expectation is the rate.
 Defined results: a null or empty text has no tokens and the prior as its posteriors; null labels are left out; targets
 of domains without labels are dropped and the rest scaled to 1; without any labelled row all rates are 1; rows that
 repeat a document get equal rates; an empty table gives an empty table; input columns that bear the name of an added
-one are replaced.
+one are replaced; of labels that contradict each other the first as JSON counts. Targets that the rates don't meet within
+TOLERANCE give a warning with the totals.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +31,7 @@ from . import common
 
 #: Buckets of words; labelled rows of the fit, by hash of their id.
 BUCKETS, SAMPLE_ROWS = 4096, 20_000
-EVIDENCE, STEPS, TOLERANCE = 20.0, 40, 1e-6
+EVIDENCE, STEPS, FREE_STEPS, TOLERANCE = 20.0, 40, 10_000, 1e-6
 SEED = 17
 #: Target shares of tokens of the default domains.
 TARGETS = {"en": 0.45, "de": 0.2, "fr": 0.15, "es": 0.15, "low": 0.05}
@@ -59,7 +62,9 @@ class Domains:
 
 def train(docs: DataFrame, labels: DataFrame, domain: Column, names: Sequence[str]) -> Domains | None:
     """Classifier of the named domains from docs joined with labels on doc_id; None without labelled rows."""
-    rows = labels.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    row = F.struct(*[F.col(f"`{c}`") for c in labels.columns])
+    one = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
+    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     own = [c for c in docs.columns if c in ("doc_id", "text", "lang", "source")]
     few = docs.select(*own).join(F.broadcast(rows), "doc_id").select(domain.alias("domain"), _text().alias("text")).filter(F.col("domain").isin(list(names)))
     words = few.select("domain", F.explode_outer(_buckets(F.col("text"))).alias("bucket"))
@@ -104,8 +109,10 @@ def fit_rates(members: DataFrame, targets: Sequence[float], total: float | None
     Without a total, no rate is under 1 unless a target is 0.
     """
     d = len(targets)
-    sums = [F.sum(F.col("tokens") * F.get("posterior", F.lit(j))).alias(f"s{j}") for j in range(d)]
-    have = [float(x or 0) for x in members.agg(*sums).first()]
+    p = [F.get("posterior", F.lit(j)) for j in range(d)]
+    sums = [F.sum(F.col("tokens") * p[j]) for j in range(d)] + [F.sum(F.col("tokens") * p[j] * p[k]) for j in range(d) for k in range(d)]
+    got = [float(x or 0) for x in members.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()]
+    have, moments = got[:d], [got[d + j * d : d + j * d + d] for j in range(d)]
     whole = sum(have)
     live = [j for j in range(d) if have[j] > 0 and targets[j] > 0]
     if not live or whole <= 0:
@@ -115,30 +122,43 @@ def fit_rates(members: DataFrame, targets: Sequence[float], total: float | None
     raised = total is None
     if raised:
         total = max(have[j] / part[j] for j in live)
-    goal = [p * total for p in part]
-    rate, now, least = _descend(members, have, goal, total, steps, 0.0)
+    goal = [x * total for x in part]
+    rate, now, least = _descend(members, have, moments, goal, total, steps, 0.0)
     if raised and 0 < least < 1:  # all is in proportion to the total
         rate, now, goal = F.greatest(F.lit(1.0), rate / F.lit(least)), [x / least for x in now], [x / least for x in goal]
     elif raised and least <= 0 and all(part[j] > 0 for j in range(d) if have[j] > 0):
-        rate, now, _ = _descend(members, have, goal, total, steps, 1.0)
+        rate, now, _ = _descend(members, have, moments, goal, total, steps, 1.0)
+    if max(abs(g - n) for g, n in zip(goal, now, strict=True)) > TOLERANCE * total:
+        warnings.warn(f"expected domain totals {now} differ from their targets {goal}", stacklevel=2)
     return rate, now, goal
 
 
-def _descend(members: DataFrame, have: list[float], goal: list[float], total: float, steps: int, bound: float) -> tuple[Column, list[float], float]:
+def _descend(members: DataFrame, have: list[float], moments: list[list[float]], goal: list[float], total: float, steps: int, bound: float) -> tuple[Column, list[float], float]:
     """Rates of at least bound, expected totals under them, and the smallest rate before the bound held."""
-    d, whole, low = len(goal), sum(have), total / sum(have)
-    start, pull = F.lit(total / whole), [0.0] * d
-    rate: Column = start
-    now = [x * total / whole for x in have]
+    d, whole = len(goal), sum(have)
+    level = total / whole
+    start: Column = F.lit(level)
+    far = lambda now: max(abs(g - n) for g, n in zip(goal, now, strict=True)) > TOLERANCE * total
+    pulled = lambda now: [(goal[j] - now[j]) / have[j] if have[j] > 0 else 0.0 for j in range(d)]
+    moved = lambda pull, start: sum((F.lit(m) * F.get("posterior", F.lit(j)) for j, m in enumerate(pull)), start)
+    # steps without a bound need the moments alone
+    now, pull = [x * level for x in have], [0.0] * d
+    for _ in range(FREE_STEPS):
+        if not far(now):
+            break
+        pull = [a + m for a, m in zip(pull, pulled(now), strict=True)]
+        now = [level * have[j] + sum(pull[k] * moments[k][j] for k in range(d)) for j in range(d)]
+    least = members.agg(F.min(moved(pull, start))).first()[0]
+    if least is None or least >= bound:
+        return F.greatest(F.lit(bound), moved(pull, start)), now, level if least is None else float(least)
+    rate, now, low, pull = start, [x * level for x in have], level, [0.0] * d
     for _ in range(steps):
-        miss = [(goal[j] - now[j]) / have[j] if have[j] > 0 else 0.0 for j in range(d)]
-        if max(abs(goal[j] - now[j]) for j in range(d)) <= TOLERANCE * total:
+        if not far(now):
             break
-        pull = [a + m for a, m in zip(pull, miss, strict=True)]
-        moved = sum((F.lit(m) * F.get("posterior", F.lit(j)) for j, m in enumerate(pull)), start)
-        rate = F.greatest(F.lit(bound), moved)
-        rows = members.withColumn("__m", moved).withColumn("__r", F.greatest(F.lit(bound), "__m"))
+        pull = [a + m for a, m in zip(pull, pulled(now), strict=True)]
+        rows = members.withColumn("__m", moved(pull, start)).withColumn("__r", F.greatest(F.lit(bound), "__m"))
         *sums, least = rows.agg(*[F.sum(F.col("__r") * F.col("tokens") * F.get("posterior", F.lit(j))) for j in range(d)], F.min("__m")).first()
+        rate = F.greatest(F.lit(bound), moved(pull, start))
         now = [float(x or 0) for x in sums]
         low = low if least is None else float(least)
         if low < bound:  # the projection was at work: later steps start from where it led
@@ -162,9 +182,12 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     return rows.withColumn("rate", rate).select("doc_id", "mark", top.alias("domain"), "tokens", "posterior", "rate", copies)
 
 
+ADDED = ("domain", "tokens", "rate", "copies")
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, total: float | None = None) -> DataFrame:
     """docs with domain, tokens, rate and copies; documents of 0 copies are dropped (with the default total there are none, unless a target is 0)."""
-    base = common.drop_present(docs, "domain", "tokens", "posterior", "rate", "copies")
-    one = common.cut(rates(docs, labels, targets, domain, total).drop("posterior").dropDuplicates(["doc_id", "mark"]).filter("copies > 0"))
+    base = common.drop_present(docs, *ADDED)
+    one = common.cut(rates(docs, labels, targets, domain, total).select("doc_id", "mark", *ADDED).dropDuplicates(["doc_id", "mark"]).filter("copies > 0"))
     few = common.small(one.withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark"))
     return base.join(few, base["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(_text()) == F.col("__mark"))).drop("__id", "__mark")

@@ -137,3 +137,31 @@ def test_overlapping_domains_lose_no_document(spark, clean, targets, met):
     if met:
         assert totals == pytest.approx(goal, rel=1e-3)
         assert totals[0] / sum(totals) == pytest.approx(targets[0], rel=1e-3)
+
+
+def test_rates_against_least_squares(spark):
+    """With no bound in the way, rates are level + posterior x pull, pull by numpy from the normal equations."""
+    rng = np.random.default_rng(4)
+    tokens, p = rng.integers(1, 200, 500), rng.dirichlet([2, 1, 1], 500)
+    members = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens long, posterior array<double>")
+    targets = [0.4, 0.3, 0.3]
+    rate, now, goal = mixing.fit_rates(members, targets, total=3.0 * tokens.sum())
+    got = np.array([r["r"] for r in members.select(rate.alias("r")).collect()])
+    moments = (tokens[:, None] * p).T @ p
+    pull, *_ = np.linalg.lstsq(moments, np.array(goal) - 3.0 * (tokens @ p), rcond=None)
+    assert got == pytest.approx(3.0 + p @ pull, abs=1e-3)
+    assert (got * tokens) @ p == pytest.approx(goal, rel=1e-5)
+    assert now == pytest.approx(goal, rel=1e-5)
+
+
+def test_targets_out_of_reach_are_told(spark):
+    members = spark.createDataFrame([(100, [0.6, 0.4])] * 5, "tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="differ from their targets"):
+        mixing.fit_rates(members, [0.05, 0.95])
+
+
+def test_contradicting_labels(spark, mixture):
+    docs, labels = mixture
+    twice = labels.unionByName(labels.withColumn("quality", F.lit(0)))
+    one = sorted(map(str, mixing.rates(docs, twice, {"en": 0.5, "low": 0.5}).collect()))
+    assert one == sorted(map(str, mixing.rates(docs, twice.repartition(5), {"en": 0.5, "low": 0.5}).collect()))
