@@ -37,6 +37,31 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept["mixing"])
 
 
+def test_columns_of_the_user_stay(spark, tmp_path):
+    random.seed(10)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    line = "This licence line is repeated in very many documents of the corpus."
+    names = "score rejected n_lines n_dropped kept_sha256 posterior mark domain tokens rate copies node root bands hi lo ids n_hit items words print id".split()
+    docs = [(i, (" ".join(word() for _ in range(30)) + "\n" + line) if i else None, "en", "s", 7, *[f"{n}{i}" for n in names]) for i in range(60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i > 50)) for i in range(1, 60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this occurs")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df, given = spark.read.parquet(f"{tmp_path}/documents.parquet"), {d[0]: d for d in docs}
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.stored(stage(spark, df, str(tmp_path)))
+        assert out.columns[: len(df.columns)] == df.columns
+        assert out.schema[: len(df.columns)] == df.schema[:]
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} >= {0}
+        for r in rows:
+            assert [r[n] for n in names] == list(given[r["doc_id"]][5:])
+            assert (r["text"] is None) == (r["doc_id"] == 0)
+            assert r["n_chars"] == (7 if name == "toxicity" or r["doc_id"] in (0, max(x["doc_id"] for x in rows)) else len(r["text"]))
+        df = out if name != "mixing" else df
+    assert out.columns[len(df.columns) :] == ["mixing_domain", "mixing_tokens", "mixing_rate", "mixing_copies"]
+
+
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
