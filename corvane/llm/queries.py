@@ -13,8 +13,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    counted = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"))
+    counted = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), budget=tokens.LIMIT)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"), "budget_chars")
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

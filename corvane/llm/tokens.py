@@ -4,11 +4,13 @@ The encoding of a text's prefix is found from encodings of shorter prefixes: it
 prefix that ends in a piece p such that p and t stay apart when they are encoded together. So a pass over a text gives
 the exact token count of every prefix, and questions about truncation or budgets need no further encoding.
 
-Pieces never cross from other characters to a word mark, nor hold a character outside of the vocabulary. Both bound
-segments that are encoded on their own; the table of a segment is computed once per task and kept while the cache has
-room. Segments in sorted order share the work of common beginnings.
+Pieces never cross from other characters to a word mark, so segments are encoded on their own. A text's table is kept in
+two levels: the counts at the ends of its segments, and the table of each segment, computed once per task and kept while
+the cache has room. The longest prefix within a budget lies in the one segment in which the budget is passed, whose table
+answers it. Segments in sorted order share the work of common beginnings. Totals of very long segments need no more of
+the table than its last entries, as many as a piece is long.
 
-Defined results: a null or empty text has no tokens (its table is [0]); repeated rows each get their count; a null
+Defined results: a null or empty text has no tokens (its table is [0], its longest prefix 0); repeated rows each get their count; a null
 doc_id passes through; an empty table gives an empty table; an extra column that bears the name of an added one is
 replaced.
 """
@@ -30,8 +32,9 @@ MARK = "▁"
 #: Separates segments on the fast way; texts that hold it take the slow way.
 SEP = "\ue000"
 LIMIT = 4096
-#: Segments whose totals a worker keeps, and bytes of segments that it gathers before it computes new ones.
-CACHE, GATHER = 400_000, 8 << 20
+#: Characters of segments whose totals a worker keeps, with SEGMENT for what else an entry takes; pairs of pieces that it remembers;
+#: characters of texts that it gathers before it computes new segments; characters of a table that is held whole.
+CACHE, SEGMENT, PAIRS, GATHER, WHOLE = 64 << 20, 160, 800_000, 8 << 20, 1 << 12
 SEGMENTS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
@@ -59,6 +62,7 @@ class PrefixTokenizer:
         self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.apart: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, int] = {}
+        self.held = 0
         self._last = ("", [0], [""])
 
     def _merge(self, s: str) -> list[str]:
@@ -84,12 +88,19 @@ class PrefixTokenizer:
                 break
             keep += 1
         counts, last = counts[: keep + 1], last[: keep + 1]
+        self._extend(s, counts, last, keep + 1, len(s))
+        self._last = (s, counts, last) if len(s) <= WHOLE else ("", [0], [""])
+        return counts
+
+    def _extend(self, s: str, counts: list[int], last: list[str], start: int, end: int) -> None:
+        """Add the entries of prefixes of start to end characters; the lists end with that of start - 1."""
         whole, apart, ends = self.whole, self.apart, self.ends
-        for i in range(keep + 1, len(s) + 1):
+        shift = start - len(counts)  # entries that the lists don't hold any more
+        for i in range(start, end + 1):
             tail, c = s[i - 2 if i > 1 else 0 : i], s[i - 1]
             for size in ends.get(tail, ()) if i > 1 else ():
                 if size <= i and (t := s[i - size : i]) in whole:
-                    p = last[i - size]
+                    p = last[i - size - shift]
                     if p == "":  # nothing before
                         break
                     ok = apart.get((p, t))
@@ -100,9 +111,17 @@ class PrefixTokenizer:
             else:
                 size, t = 1, c
             last.append(t)
-            counts.append(counts[i - size] + (1 if size > 1 or c in whole else len(c.encode())))
-        self._last = (s, counts, last)
-        return counts
+            counts.append(counts[i - size - shift] + (1 if size > 1 or c in whole else len(c.encode())))
+
+    def total(self, s: str) -> int:
+        """The last entry of a segment's table."""
+        if len(s) <= WHOLE:
+            return self.table(s)[-1]
+        counts, last = [0], [""]
+        for a in range(0, len(s), WHOLE):
+            self._extend(s, counts, last, a + 1, min(len(s), a + WHOLE))
+            counts, last = counts[-self.longest - 1 :], last[-self.longest - 1 :]
+        return counts[-1]
 
     @staticmethod
     def segments(text: str) -> list[str]:
@@ -122,19 +141,46 @@ class PrefixTokenizer:
             base += counts[-1]
         return out.tolist()
 
-    def totals(self, texts: list[str]) -> list[int]:
-        """The last entries of the texts' prefix tables."""
-        if len(self.cache) > CACHE:
+    def ends_of(self, texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+        """Segments of each text and the tokens of each, new ones computed in sorted order."""
+        if self.held > CACHE:
             self.cache.clear()
-        if len(self.apart) > 2 * CACHE:
+            self.held = 0
+        if len(self.apart) > PAIRS:
             self.apart.clear()
         cache, split = self.cache, [self.segments(t) for t in texts]
         new: set[str] = set()
         for s in split:
             new.update(s)
         for s in sorted(new.difference(cache)):
-            cache[s] = self.table(s)[-1]
-        return [sum(map(cache.__getitem__, s)) for s in split]
+            cache[s] = self.total(s)
+            self.held += len(s) + SEGMENT
+        for s in split:
+            yield s, list(map(cache.__getitem__, s))
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """The last entries of the texts' prefix tables."""
+        return [sum(own) for _, own in self.ends_of(texts)]
+
+    def totals_and_cuts(self, texts: list[str], budget: int) -> list[tuple[int, int]]:
+        """The last entry of each text's table, and the characters of its longest prefix within the budget."""
+        out = []
+        for text, (segments, own) in zip(texts, self.ends_of(texts), strict=True):
+            whole = sum(own)
+            if whole <= budget:
+                out.append((whole, len(text)))
+                continue
+            base, at = 0, 0
+            for s, n in zip(segments, own, strict=True):
+                if base + n > budget or base == budget:
+                    break
+                base, at = base + n, at + len(s)
+            at -= 1  # the mark that is put before the text
+            # later segments add a token each at least; in this one the last entry that fits counts
+            counts = self.table(s) if base < budget else [0]
+            fits = max(i for i, n in enumerate(counts) if base + n <= budget)
+            out.append((whole, max(0, at + fits)))
+        return out
 
 
 _loaded: dict[str, PrefixTokenizer] = {}
@@ -160,18 +206,24 @@ def groups(texts: list[str], size: int = GATHER) -> Iterator[list[str]]:
         yield part
 
 
-def count_tokens(docs: DataFrame, path: str, name: str = "n_tokens", column: str = "text") -> DataFrame:
-    """docs with the token count of each whole text: the last entry of its prefix table, which stays in the worker."""
-    base = common.drop_present(docs, name)
+def count_tokens(docs: DataFrame, path: str, name: str = "n_tokens", column: str = "text", budget: int | None = None, chars: str = "budget_chars") -> DataFrame:
+    """docs with the token count of each whole text and, with a budget, the characters of its longest prefix within it; both from its prefix table, which stays in the worker."""
+    added = [name] if budget is None else [name, chars]
+    base = common.drop_present(docs, *added)
     kept = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
-            counts = [n for part in groups([x or "" for x in batch.column("__text").to_pylist()]) for n in t.totals(part)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int64())], [*kept, name])
+            parts = groups([x or "" for x in batch.column("__text").to_pylist()])
+            if budget is None:
+                own = [[n for part in parts for n in t.totals(part)]]
+            else:
+                own = list(zip(*(x for part in parts for x in t.totals_and_cuts(part, budget)), strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x, pa.int64()) for x in own)], [*kept, *added])
 
-    return base.withColumn("__text", F.col(column).cast("string")).mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(name, T.LongType())]))
+    fields = [T.StructField(n, T.LongType()) for n in added]
+    return base.withColumn("__text", F.col(column).cast("string")).mapInArrow(run, T.StructType([*base.schema.fields, *fields]))
 
 
 def with_prefix_counts(docs: DataFrame, path: str, name: str = "prefix_counts", column: str = "text") -> DataFrame:

@@ -36,6 +36,9 @@ def test_totals(both):
 def test_operator(spark, both):
     path = P.path("piece_bpe_32k.model")
     docs = spark.createDataFrame([(1, "hello world", 9), (2, None, 9), (None, "", 9), (1, "hello world", 9)], "doc_id long, text string, n_tokens int")
+    cut = tokens.count_tokens(docs, path, budget=1)
+    assert cut.columns == ["doc_id", "text", "n_tokens", "budget_chars"]
+    assert sorted({(r["text"] or "", r["budget_chars"]) for r in cut.collect()}) == [("", 0), ("hello world", max(i for i in range(12) if len(both[1].encode("hello world"[:i])) <= 1))]
     got = tokens.count_tokens(docs, path)
     assert got.columns == ["doc_id", "text", "n_tokens"]
     n = len(both[1].encode("hello world"))
@@ -54,6 +57,30 @@ def test_truncation(spark, both):
     assert row[0]["cut"] == fits[-1]
 
 
+def test_longest_prefix_within_a_budget(both):
+    own, library = both
+    random.seed(5)
+    made = ["".join(random.choice("aeth \n▁ion世🙂.,=") for _ in range(random.randint(0, 60))) for _ in range(120)] + [x for x in ODD if len(x) < 200]
+    for budget in (0, 1, 3, 9):
+        for s, (n, cut) in zip(made, own.totals_and_cuts(made, budget), strict=True):
+            counts = [len(library.encode(s[:i])) for i in range(len(s) + 1)]
+            assert (n, cut) == (counts[-1], max(i for i, c in enumerate(counts) if c <= budget)), repr(s)
+
+
+def test_very_long_segments(both, monkeypatch):
+    own, library = both
+    random.seed(6)
+    text = "".join(random.choice("abcdefXYZ0189+/é世") for _ in range(20_000))
+    assert own.totals([text]) == [len(library.encode(text))]
+    whole = own.table(own.segments(text)[0])
+    for size in (17, 64, 999):
+        monkeypatch.setattr(tokens, "WHOLE", size)
+        assert own.total(own.segments(text)[0]) == whole[-1]
+    monkeypatch.setattr(tokens, "CACHE", 1000)
+    assert own.totals([text[:500], "a b c"] * 3) == [len(library.encode(x)) for x in [text[:500], "a b c"] * 3]
+    assert own.held < 3000
+
+
 def test_words():
     assert words("The CAT's; ÉTÉ\t9".encode()) == [b"the", b"cat", b"s", "ÉtÉ".encode(), b"9"]
     ids, sizes = WordIds(lambda w: crc(w) % 100).ids([b"a b a", b"", b"c"])
