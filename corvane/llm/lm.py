@@ -2,17 +2,21 @@
 
 Each word is predicted from the SIDE words on either side of it, never from itself; a text's pseudo-log-likelihood is
 the sum of these conditional log-probabilities (Salazar et al. 2020). The network embeds the context words, scales each
-place's embedding by its own weights, adds them up and squashes the sum; a two-level softmax gives the probability of
-the word's class, then of the word in its class, so that the probabilities of all words add up to 1.
+place's embedding by its own weights, adds them up and squashes the sum; a softmax of three levels gives the probability
+of the word's class, of its group in the class, then of the word in its group, so that the probabilities of all words add
+up to 1.
 
 The network's vocabulary comes from counts of all words of the corpus: the VOCABULARY - 2 most frequent ones, one id for
 all others, one for what lies before and after a text. The probability of that one id is shared out among the others by
 their counts, so that every word of the corpus has a probability of its own, and all of them add up to 1. Counts of the
 HEAD next words go to every task; rarer words are joined with their counts, in a shuffle that follows the input.
 
-Training is data-parallel: from the same start, every task makes one pass of Adam over all windows of its rows; the
-parameters are averaged, weighted by windows. What is gathered (word counts, parameters of every task) follows the input,
-what comes to the driver (vocabulary, head, network) is bounded.
+Training is data-parallel and sees every window once. Texts are dealt into buckets by a hash of the document; a bucket is
+one sequence of steps, in the order of the texts' hashes, and how many there are follows from the corpus's words: results
+don't depend on how the input is partitioned. There are ROUNDS rounds, each over its share of the texts: all buckets start
+from the same parameters, which are averaged after it, an embedding by how often each bucket met its word, the rest by
+windows. What is gathered (word counts, parameters of every bucket) follows the input, what comes to the driver
+(vocabulary, head, network) is bounded.
 
 Defined results: a null or empty text has no tokens, log-probability 0 and a null mean; rows that repeat a document get
 equal scores; null ids pass; an empty table gives an empty table; an input column that bears the name of an added one is
@@ -21,6 +25,7 @@ replaced; a word that the counts lack is scored as one counted once.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,26 +35,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 from .words import WordIds, portions, words
 
-VOCABULARY, CLASSES, SIDE, HIDDEN = 1024, 32, 2, 16
-IN_CLASS = VOCABULARY // CLASSES
+CLASSES, GROUPS, MEMBERS = 32, 32, 16
+VOCABULARY, SIDE, HIDDEN = CLASSES * GROUPS * MEMBERS, 2, 16
 OTHER, EDGE = VOCABULARY - 2, VOCABULARY - 1
-#: Windows of a training step and of a scoring block; distinct words that a task counts before it hands them on.
-BATCH, BLOCK, PARTIAL = 4096, 32768, 150_000
+#: Windows of a training step and of a scoring block, words taken from texts at once; distinct words that a task counts before it hands them on.
+BATCH, BLOCK, AT_ONCE, PARTIAL = 4096, 4096, 1 << 18, 150_000
+#: Rounds of training; words of a bucket at most and at least, and buckets that a corpus between them has.
+ROUNDS, BUCKET_WORDS, LEAST_WORDS, BUCKETS = 4, 2_000_000, 1 << 16, 8
 #: Most words outside of the network's vocabulary whose counts every task holds.
 HEAD = 200_000
-RATE = 0.01
+#: Parameters of a row on their way to the average: whole rows of embeddings.
+ROW = 256 * HIDDEN
+RATE, SPARSE_RATE = 0.01, 0.2
 SEED = 5
 
 
 class WindowNetwork:
-    """Parameters: emb (VOCABULARY, HIDDEN), place (2 SIDE, HIDDEN), b, top (HIDDEN, CLASSES), tb, kin (CLASSES, HIDDEN), low (HIDDEN, IN_CLASS), lb (CLASSES, IN_CLASS)."""
+    """Parameters by name: embeddings, weights of places and a bias make the hidden layer; each level of the softmax has weights, biases, and vectors of what was chosen above."""
 
-    SHAPES = {"emb": (VOCABULARY, HIDDEN), "place": (2 * SIDE, HIDDEN), "b": (HIDDEN,), "top": (HIDDEN, CLASSES), "tb": (CLASSES,), "kin": (CLASSES, HIDDEN), "low": (HIDDEN, IN_CLASS), "lb": (CLASSES, IN_CLASS)}
+    SHAPES = {
+        "emb": (VOCABULARY, HIDDEN), "place": (2 * SIDE, HIDDEN), "b": (HIDDEN,), "top": (HIDDEN, CLASSES), "tb": (CLASSES,), "kin": (CLASSES, HIDDEN), "mid": (HIDDEN, GROUPS),
+        "mb": (CLASSES, GROUPS), "sub": (CLASSES * GROUPS, HIDDEN), "low": (HIDDEN, MEMBERS), "lb": (CLASSES * GROUPS, MEMBERS),
+    }
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
@@ -60,9 +71,11 @@ class WindowNetwork:
         rng = np.random.default_rng(SEED)
         p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in cls.SHAPES.items()}
         p["place"] += 1
-        share = (counts + 1) / (counts + 1).sum()
-        by = share.reshape(CLASSES, IN_CLASS)
-        p["tb"], p["lb"], p["b"] = np.log(by.sum(1)).astype(np.float32), np.log(by / by.sum(1, keepdims=True)).astype(np.float32), np.zeros(HIDDEN, np.float32)
+        share = ((counts + 1) / (counts + 1).sum()).reshape(CLASSES, GROUPS, MEMBERS)
+        groups, classes = share.sum(2), share.sum((1, 2))
+        p["b"] = np.zeros(HIDDEN, np.float32)
+        p["tb"], p["mb"] = np.log(classes).astype(np.float32), np.log(groups / classes[:, None]).astype(np.float32)
+        p["lb"] = np.log(share / groups[:, :, None]).reshape(-1, MEMBERS).astype(np.float32)
         return cls(p)
 
     def flat(self) -> np.ndarray:
@@ -85,66 +98,93 @@ class WindowNetwork:
         p = self.p
         h = np.tile(p["b"], (len(word), 1))
         for j in range(2 * SIDE):
-            h += np.take(p["emb"] * p["place"][j], context[:, j], axis=0)
+            h += np.take(p["emb"], context[:, j], axis=0) * p["place"][j]
         np.tanh(h, out=h)
-        kin, member = word // IN_CLASS, word % IN_CLASS
+        group, member = word // MEMBERS, word % MEMBERS
+        kin, own = group // GROUPS, group % GROUPS
         g = h + np.take(p["kin"], kin, axis=0)
+        f = g + np.take(p["sub"], group, axis=0)
         a = p["top"].T @ h.T + p["tb"][:, None]
-        c = np.ascontiguousarray((g @ p["low"] + np.take(p["lb"], kin, axis=0)).T)
+        c = p["mid"].T @ g.T + np.take(p["mb"].T, kin, axis=1)
+        e = p["low"].T @ f.T + np.take(p["lb"].T, group, axis=1)
         columns = np.arange(len(word))
         out = np.zeros(len(word), h.dtype)
-        for logits, at in ((a, kin), (c, member)):
+        for logits, at in ((a, kin), (c, own), (e, member)):
             logits -= logits.max(0)
-            own = logits[at, columns]
+            chosen = logits[at, columns]
             np.exp(logits, out=logits)
             total = logits.sum(0)
-            out += own - np.log(total)
+            out += chosen - np.log(total)
             logits /= total
-        return out, h, g, kin, member, a, c
+        return out, h, g, f, kin, own, group, member, a, c, e
 
-    def gradients(self, context: np.ndarray, word: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log-probability."""
+    def gradients(self, context: np.ndarray, word: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Of the mean negative log-probability: of all parameters but the embeddings; ids of the embeddings met; the gradients of those."""
         p, n = self.p, len(word)
-        _, h, g, kin, member, da, dc = self.forward(context, word)
+        _, h, g, f, kin, own, group, member, da, dc, de = self.forward(context, word)
         columns = np.arange(n)
-        da[kin, columns] -= 1
-        dc[member, columns] -= 1
-        da /= n
-        dc /= n
-        out = {"top": (da @ h).T, "tb": da.sum(1), "low": (dc @ g).T}
-        dg = dc.T @ p["low"].T
-        pick = np.zeros((CLASSES, n), h.dtype)
-        pick[kin, columns] = 1
-        out["kin"], out["lb"] = pick @ dg, pick @ dc.T
+        for d, at in ((da, kin), (dc, own), (de, member)):
+            d[at, columns] -= 1
+            d /= n
+        out = {"top": (da @ h).T, "tb": da.sum(1), "mid": (dc @ g).T, "low": (de @ f).T}
+        df = de.T @ p["low"].T
+        dg = dc.T @ p["mid"].T + df
+        by = lambda rows, at, size: np.stack([np.bincount(at, x, size) for x in rows], axis=1).astype(h.dtype)  # sums of columns by at
+        out["kin"], out["mb"] = by(np.ascontiguousarray(dg.T), kin, CLASSES), by(dc, kin, CLASSES)
+        out["sub"], out["lb"] = by(np.ascontiguousarray(df.T), group, CLASSES * GROUPS), by(de, group, CLASSES * GROUPS)
         dh = (da.T @ p["top"].T + dg) * (1 - h * h)
-        out["b"] = dh.sum(0)
-        # by place, the sum of dh over the windows that hold a word there: it gives the gradients of embeddings and places
-        weights = np.ascontiguousarray(dh.T, np.float64)
-        out["emb"], out["place"] = np.zeros_like(p["emb"]), np.zeros_like(p["place"])
+        out["b"], out["place"] = dh.sum(0), np.zeros_like(p["place"])
+        pulls = np.empty((2 * SIDE, n, HIDDEN), h.dtype)
         for j in range(2 * SIDE):
-            ids = context[:, j].astype(np.intp)
-            held = np.stack([np.bincount(ids, w, VOCABULARY) for w in weights], axis=1).astype(h.dtype)
-            out["emb"] += held * p["place"][j]
-            out["place"][j] = (held * p["emb"]).sum(0)
-        return out
+            out["place"][j] = np.einsum("nd,nd->d", dh, np.take(p["emb"], context[:, j], axis=0))
+            pulls[j] = dh * p["place"][j]
+        ids = context.T.ravel()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        return out, ids[cuts], np.add.reduceat(pulls.reshape(-1, HIDDEN)[order], cuts, axis=0)
 
 
 class Trainer:
-    """Adam over the batches that add() fills up."""
+    """Adam over steps of BATCH windows; embeddings, of which a step meets few, by their summed squares."""
 
     def __init__(self, network: WindowNetwork):
         self.net, self.steps, self.seen = network, 0, 0
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items() if k != "emb"}
+        self.squares, self.met = np.zeros_like(network.p["emb"]), np.zeros(VOCABULARY)
+        self.rest: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, context: np.ndarray, word: np.ndarray, last: bool = False) -> None:
+        """Steps over whole batches of what was added so far; over all of it if it is the last."""
+        self.rest.append((context, word))
+        if not last and sum(len(w) for _, w in self.rest) < BATCH:
+            return
+        context, word = (np.concatenate(x) for x in zip(*self.rest, strict=True))
+        whole = len(word) if last else len(word) // BATCH * BATCH
+        for a in range(0, whole, BATCH):
+            self.step(context[a : min(whole, a + BATCH)], word[a : min(whole, a + BATCH)])
+        self.rest = [(context[whole:], word[whole:])]
 
     def step(self, context: np.ndarray, word: np.ndarray) -> None:
         self.steps += 1
         self.seen += len(word)
         rate = RATE / (1 + self.steps / 200) ** 0.5
-        for k, g in self.net.gradients(context, word).items():
+        grads, ids, pulls = self.net.gradients(context, word)
+        for k, g in grads.items():
             m, v = self.moments[k]
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
             self.net.p[k] -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.98**self.steps)) + 1e-8)
+        self.squares[ids] += pulls * pulls
+        self.net.p["emb"][ids] -= SPARSE_RATE * pulls / (np.sqrt(self.squares[ids]) + 1e-8)
+        self.met += np.bincount(context.ravel(), minlength=VOCABULARY)
+
+    def rows(self) -> Iterator[tuple[bytes, bytes]]:
+        """(parameters, weights) of ROW numbers each: of embeddings a weight for each, of the others one."""
+        flat, n = self.net.flat(), VOCABULARY * HIDDEN
+        for a in range(0, len(flat), ROW):
+            weights = self.met[a // HIDDEN : a // HIDDEN + ROW // HIDDEN] if a < n else np.array([self.seen])
+            yield flat[a : a + ROW].tobytes(), weights.astype(np.float64).tobytes()
 
 
 def windows(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,43 +251,94 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(ids, counts, counted, head)
 
 
+def dealt(docs: DataFrame, ids: dict[bytes, int], buckets: int) -> DataFrame:
+    """(bucket, round, ids) of each text, a bucket's texts together and in one order; materialised."""
+    sent = docs.sparkSession.sparkContext.broadcast(ids)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        of = WordIds(lambda w: known.get(w, OTHER))
+        for batch in batches:
+            for start, part in portions(batch.column(2)):
+                flat, sizes = of.ids(part)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat.astype(np.int16), pa.int16()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), batch.column(1).slice(start, len(part)), lists], ["bucket", "mark", "ids"])
+
+    text = common.text_bytes()
+    bucket = F.pmod(F.xxhash64("doc_id", text), F.lit(buckets)).cast("int")
+    rows = docs.select(bucket.alias("bucket"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(encode, "bucket int, mark long, ids array<smallint>")
+    placed = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "mark")
+    return common.cut(placed.select("bucket", F.pmod(F.xxhash64("mark"), F.lit(ROUNDS)).cast("int").alias("round"), "ids"))
+
+
 def train(docs: DataFrame) -> tuple[Vocabulary, WindowNetwork]:
     vocab = vocabulary(docs)
-    ids, first = vocab.ids, WindowNetwork.start(vocab.counts)
-    sent = docs.sparkSession.sparkContext.broadcast((ids, first.flat()))
-    width = 256  # parameters of a row, so that averages are of short arrays
+    spark, words_ = docs.sparkSession, vocab.counts[:EDGE].sum()
+    each = min(BUCKET_WORDS, max(LEAST_WORDS, words_ / BUCKETS))
+    texts = dealt(docs, vocab.ids, max(1, math.ceil(words_ / each)))
+    network = WindowNetwork.start(vocab.counts)
+    for turn in range(ROUNDS):
+        network = _round(texts.filter(F.col("round") == turn), network, spark)
+    return vocab, network
+
+
+def _round(texts: DataFrame, network: WindowNetwork, spark) -> WindowNetwork:
+    """The average of what each bucket's windows make of the network."""
+    before = network.flat()
+    sent = spark.sparkContext.broadcast(before)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flat = sent.value
-        of = WordIds(lambda w: known.get(w, OTHER))
-        trainer = Trainer(WindowNetwork.of(flat.copy()))
-        rest: tuple[np.ndarray, np.ndarray] | None = None
+        now, trainer = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if trainer is not None:
+                trainer.add(np.zeros((0, 2 * SIDE), np.int32), np.zeros(0, np.int32), last=True)
+                rows = list(trainer.rows())
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([now] * len(rows), pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], ["row", "bucket", "v", "w"])
+
         for batch in batches:
-            for _, part in portions(batch.column(0)):
-                context, word = windows(*of.ids(part))
-                if rest is not None:
-                    context, word = np.concatenate([rest[0], context]), np.concatenate([rest[1], word])
-                whole = len(word) // BATCH * BATCH
-                for a in range(0, whole, BATCH):
-                    trainer.step(context[a : a + BATCH], word[a : a + BATCH])
-                rest = context[whole:], word[whole:]
-        if rest is not None and len(rest[1]):
-            trainer.step(*rest)
-        if trainer.seen:
-            own = trainer.net.flat()
-            rows = [own[a : a + width].astype(np.float64) * trainer.seen for a in range(0, len(own), width)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64())), pa.array([float(trainer.seen)] * len(rows))], ["row", "v", "w"])
-
-    fitted = docs.select(common.text_bytes().alias("text")).mapInArrow(fit, "row int, v array<double>, w double")
-    cells = fitted.select("row", "w", F.posexplode("v").alias("cell", "x"))
-    # sums of one number each combine before the shuffle, however many tasks there are
-    mean = cells.groupBy("row", "cell").agg((F.sum("x") / F.sum("w")).alias("x")).collect()
-    if not mean:
-        return vocab, first
-    flat = first.flat().astype(np.float64)
-    for r in mean:
-        flat[r["row"] * width + r["cell"]] = r["x"]
-    return vocab, WindowNetwork.of(flat)
+            own, lists = batch.column(0).to_numpy(), batch.column(1)
+            flat, sizes = lists.flatten().to_numpy().astype(np.int32), lists.value_lengths().to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes)
+            a = 0
+            while a < len(own):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + AT_ONCE, side="right")))
+                b = min(b, a + int(np.searchsorted(own[a:], own[a], side="right")))
+                if own[a] != now:
+                    yield from done()
+                    now, trainer = int(own[a]), Trainer(WindowNetwork.of(sent.value.copy()))
+                trainer.add(*windows(flat[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b]))
+                a = b
+        yield from done()
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted, so that one sum is held at a time."""
+        now, total, weight = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                start = sent.value[now * ROW : now * ROW + len(total)]
+                spread = np.repeat(weight, len(total) // len(weight))
+                out = np.where(spread > 0, total / np.maximum(spread, 1e-9), start).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["row", "v"])
+
+        for batch in batches:
+            for row, v, w in zip(*(batch.column(c).to_pylist() for c in ("row", "v", "w")), strict=True):
+                w = np.frombuffer(w, np.float64)
+                v = np.frombuffer(v, np.float32).astype(np.float64) * np.repeat(w, len(v) // 4 // len(w))
+                if row != now:
+                    yield from done()
+                    now, total, weight = row, v, w
+                else:
+                    total, weight = total + v, weight + w
+        yield from done()
+
+    fitted = texts.select("bucket", "ids").mapInArrow(fit, "row int, bucket int, v binary, w binary")
+    together = fitted.repartition("row").sortWithinPartitions("row", "bucket")
+    after = before.copy()
+    for r in together.mapInArrow(mean, "row int, v binary").collect():  # the network once
+        after[r["row"] * ROW : r["row"] * ROW + len(r["v"]) // 4] = np.frombuffer(r["v"], np.float32)
+    return WindowNetwork.of(after)
 
 
 def score(docs: DataFrame, vocab: Vocabulary, network: WindowNetwork) -> DataFrame:

@@ -85,12 +85,43 @@ def test_long_texts_are_pooled_whole(spark, corpus):
         toxicity.BLOCK = old
 
 
+def test_pooling_against_loops(corpus):
+    """Convolution and maximum written out, one filter, text and place at a time."""
+    rng = np.random.default_rng(2)
+    model = toxicity.fit([rng.integers(0, 50, rng.integers(1, 30)) for _ in range(60)], rng.integers(0, 2, 60))
+    texts = [rng.integers(0, len(model.buckets) + 1, n) for n in (1, 2, 3, 40)]
+    got, _ = model.pooled(np.concatenate(texts), np.array(list(map(len, texts))))
+    for i, rows in enumerate(texts):
+        column = 0
+        for width, w in zip(toxicity.WIDTHS, model.filters, strict=True):
+            for k in range(toxicity.FILTERS):
+                values = [sum(float(model.vectors[rows[t + j]] @ w[j, :, k]) for j in range(width) if t + j < len(rows)) for t in range(len(rows))]
+                assert got[i, column] == pytest.approx(max(values) + model.biases[column], abs=1e-4)
+                column += 1
+    logit = [sum(max(0.0, x) * o for x, o in zip(row, model.out, strict=True)) + model.bias for row in got.tolist()]
+    assert model.score(np.concatenate(texts), np.array(list(map(len, texts)))) == pytest.approx([1 / (1 + np.exp(-x)) for x in logit], abs=1e-5)
+
+
+def test_contradicting_labels_are_settled(spark, corpus):
+    docs, labels, _ = corpus
+    df = spark.createDataFrame(docs[:300], "doc_id long, text string, lang string, source string, n_chars int")
+    lab = spark.createDataFrame([*labels, *[(i, 1, 0) for i, _, _ in labels]], "doc_id long, quality int, toxic int")
+    one = toxicity.digest(toxicity.train(df, lab))
+    assert one == toxicity.digest(toxicity.train(df.repartition(7), lab.repartition(5)))
+    assert one == toxicity.digest(toxicity.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+
+
 def test_window_network_gradients():
     rng = np.random.default_rng(1)
     net = lm.WindowNetwork({k: v.astype(np.float64) for k, v in lm.WindowNetwork.start(rng.integers(1, 50, lm.VOCABULARY).astype(float)).p.items()})
     context, word = rng.integers(0, lm.VOCABULARY, (40, 2 * lm.SIDE)), rng.integers(0, lm.VOCABULARY, 40)
-    grads = net.gradients(context, word)
+    context[:, 1] = 7
+    grads, ids, pulls = net.gradients(context, word)
+    assert ids.tolist() == sorted(set(context.ravel().tolist()))
+    grads["emb"] = np.zeros_like(net.p["emb"])
+    grads["emb"][ids] = pulls
     loss = lambda: -net.forward(context, word)[0].astype(float).mean()
+    assert set(grads) == set(net.p)
     for name, g in grads.items():
         at = tuple(np.unravel_index(np.argmax(np.abs(g)), g.shape))
         old, e = net.p[name][at], 1e-3
@@ -102,11 +133,75 @@ def test_window_network_gradients():
 
 
 def test_probabilities_add_up():
-    net = lm.WindowNetwork.start(np.ones(lm.VOCABULARY))
+    rng = np.random.default_rng(3)
+    net = lm.WindowNetwork.start(rng.integers(1, 90, lm.VOCABULARY).astype(float))
     context = np.tile(np.arange(2 * lm.SIDE), (lm.VOCABULARY, 1))
     assert abs(np.exp(net.forward(context, np.arange(lm.VOCABULARY))[0].astype(float)).sum() - 1) < 1e-3
 
 
+def test_log_probability_against_loops():
+    """Every layer written out for one window at a time."""
+    rng = np.random.default_rng(5)
+    p = {k: rng.normal(0, 0.5, s) for k, s in lm.WindowNetwork.SHAPES.items()}
+    context, word = rng.integers(0, lm.VOCABULARY, (6, 2 * lm.SIDE)), rng.integers(0, lm.VOCABULARY, 6)
+
+    def choose(x, weights, biases, at):
+        logits = [sum(a * b for a, b in zip(x, weights[:, j], strict=True)) + biases[j] for j in range(len(biases))]
+        return logits[at] - np.log(sum(np.exp(v) for v in logits))
+
+    for c, w, got in zip(context, word, lm.WindowNetwork(p).forward(context, word)[0], strict=True):
+        h = [np.tanh(p["b"][d] + sum(p["emb"][c[j], d] * p["place"][j, d] for j in range(2 * lm.SIDE))) for d in range(lm.HIDDEN)]
+        group, member = divmod(int(w), lm.MEMBERS)
+        kin, own = divmod(group, lm.GROUPS)
+        g = [x + y for x, y in zip(h, p["kin"][kin], strict=True)]
+        f = [x + y for x, y in zip(g, p["sub"][group], strict=True)]
+        want = choose(h, p["top"], p["tb"], kin) + choose(g, p["mid"], p["mb"][kin], own) + choose(f, p["low"], p["lb"][group], member)
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    rng = random.Random(7)
+    after = {w: rng.sample(range(300), 4) for w in range(300)}
+
+    def text():
+        w, out = rng.randrange(300), []
+        for _ in range(60):
+            out.append(f"w{w}")
+            w = rng.choice(after[w]) if rng.random() < 0.8 else rng.randrange(300)
+        return " ".join(out)
+
+    rows = [(i, text()) for i in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_scores_dont_depend_on_partitions(spark, spoken):
+    docs = spoken.filter("doc_id < 1500")
+    one = {r["doc_id"]: r["log_prob"] for r in lm.score_corpus(docs.repartition(1)).collect()}
+    many = {r["doc_id"]: r["log_prob"] for r in lm.score_corpus(docs.repartition(13)).collect()}
+    assert many == pytest.approx(one, rel=1e-4)
+
+
+def test_context_is_learned(spark, spoken, monkeypatch):
+    """On texts that were held out, the network beats the shares of words by far."""
+    monkeypatch.setattr(lm, "BATCH", 512)
+    vocab, network = lm.train(spoken.filter("doc_id % 10 <> 0"))
+    held = spoken.filter("doc_id % 10 = 0")
+    start = lm.WindowNetwork.start(vocab.counts)
+    for k in ("emb", "kin", "sub"):
+        start.p[k][:] = 0
+    start.p["top"][:], start.p["mid"][:], start.p["low"][:] = 0, 0, 0
+    mean = lambda net: np.mean([r["mean_log_prob"] for r in lm.score(held, vocab, net).collect()])
+    assert mean(network) > mean(start) + 0.5
+
+
+def test_lm_very_long_text_and_clashing_names(spark, spoken):
+    vocab, network = lm.train(spoken.limit(200))
+    docs = spark.createDataFrame([(1, "w1 w2 rare" * 300_000, "a", 5, 0.5), (2, "w1 w2", "b", 6, 0.5)], "doc_id long, text string, mark string, n_words int, mean_log_prob double")
+    rows = {r["doc_id"]: r for r in lm.score(docs, vocab, network).collect()}
+    assert (rows[1]["n_words"], rows[1]["mark"], rows[2]["n_words"]) == (600_001, "a", 2)
+
+
 def test_windows_stay_inside_texts():
     context, word = lm.windows(np.array([1, 2, 3, 9], np.int32), np.array([3, 0, 1]))
     assert context.tolist() == [[lm.EDGE, lm.EDGE, 2, 3], [lm.EDGE, 1, 3, lm.EDGE], [1, 2, lm.EDGE, lm.EDGE], [lm.EDGE] * 4]
@@ -128,7 +223,7 @@ def test_lm_prefers_what_it_has_seen(spark):
 def test_every_word_has_its_own_probability(spark, monkeypatch):
     rng = random.Random(2)
     common = [f"c{i}" for i in range(lm.VOCABULARY - 2)]
-    texts = [" ".join(common)] * 6 + [" ".join(rng.choices(common, k=20)) + f" once{i} five{i % 40}" for i in range(200)]
+    texts = [" ".join(common)] * 12 + [" ".join(rng.choices(common, k=20)) + f" once{i} five{i % 40}" for i in range(200)]
     docs = spark.createDataFrame([*enumerate(texts), (900, "five1 c1"), (901, "once7 c1"), (902, "once7 five1 once7")], "doc_id long, text string")
     vocab, network = lm.train(docs)
     counts = {bytes(r["word"]): r["n"] for r in vocab.counted.collect()}
@@ -144,7 +239,7 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
 
     rows = {r["doc_id"]: r for r in lm.score(docs, vocab, network).collect()}
     assert len(rows) == len(texts) + 3
-    for i, text in [(6, texts[6]), (900, "five1 c1"), (901, "once7 c1"), (902, "once7 five1 once7")]:
+    for i, text in [(12, texts[12]), (900, "five1 c1"), (901, "once7 c1"), (902, "once7 five1 once7")]:
         assert rows[i]["log_prob"] == pytest.approx(want(text), abs=1e-3)
     assert rows[900]["log_prob"] > rows[901]["log_prob"]  # both were OTHER, then c1
     monkeypatch.setattr(lm, "HEAD", 50)  # the rarest words are joined with their counts
