@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import WordIds, portions, words
+from .words import portions, words
 
 CLASSES, GROUPS, MEMBERS = 32, 32, 16
 VOCABULARY, SIDE, HIDDEN = CLASSES * GROUPS * MEMBERS, 2, 16
@@ -251,35 +251,56 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(ids, counts, counted, head)
 
 
-def dealt(docs: DataFrame, ids: dict[bytes, int], buckets: int) -> DataFrame:
-    """(bucket, round, ids) of each text, a bucket's texts together and in one order; materialised."""
-    sent = docs.sparkSession.sparkContext.broadcast(ids)
+def encoded(docs: DataFrame, vocab: Vocabulary, buckets: int = 1) -> DataFrame:
+    """(bucket, mark, ids, share, rare) of each text: a hash of the document, one of the text, ids of its words, the log-shares of words of the head, words beyond it."""
+    n_ids = len(vocab.ids)
+    places = vocab.ids | {w: n_ids + i for i, w in enumerate(vocab.head)}
+    # the network pays the words of its vocabulary in full; what a word beyond the head pays is joined later
+    shares = np.concatenate([np.zeros(n_ids), np.log(np.fromiter(vocab.head.values(), float, len(vocab.head)) / vocab.others), [0.0]])
+    sent = docs.sparkSession.sparkContext.broadcast((places, shares))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        of = WordIds(lambda w: known.get(w, OTHER))
+        known, share = sent.value
+        place = Places(known).__getitem__
         for batch in batches:
             for start, part in portions(batch.column(2)):
-                flat, sizes = of.ids(part)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat.astype(np.int16), pa.int16()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), batch.column(1).slice(start, len(part)), lists], ["bucket", "mark", "ids"])
+                split = [words(t) for t in part]
+                sizes = np.fromiter(map(len, split), np.int64, len(split))
+                flat = list(chain.from_iterable(split))
+                at = np.fromiter(map(place, flat), np.int32, len(flat))
+                cuts = np.r_[0, np.cumsum(sizes)]
+                sums = np.r_[0, np.cumsum(share[at])][cuts]
+                rare = np.flatnonzero(at == len(known))
+                ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.where(at < n_ids, at, OTHER).astype(np.int16), pa.int16()))
+                beyond = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, cuts), pa.int32()), pa.array([flat[i] for i in rare], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, len(part)) for i in range(2)), ids, pa.array(np.diff(sums)), beyond], ["bucket", "mark", "ids", "share", "rare"])
 
     text = common.text_bytes()
-    bucket = F.pmod(F.xxhash64("doc_id", text), F.lit(buckets)).cast("int")
-    rows = docs.select(bucket.alias("bucket"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(encode, "bucket int, mark long, ids array<smallint>")
-    placed = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "mark")
-    return common.cut(placed.select("bucket", F.pmod(F.xxhash64("mark"), F.lit(ROUNDS)).cast("int").alias("round"), "ids"))
+    # of another seed than the hash of shuffles
+    bucket = F.pmod(F.xxhash64(F.lit(1), "doc_id", text), F.lit(buckets)).cast("int")
+    rows = docs.select(bucket.alias("bucket"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return rows.mapInArrow(encode, "bucket int, mark long, ids array<smallint>, share double, rare array<binary>")
+
+
+def _texts(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in one array, and the number of words of each text."""
+    return ids.flatten().to_numpy().astype(np.int32), ids.value_lengths().to_numpy().astype(np.int64)
 
 
 def train(docs: DataFrame) -> tuple[Vocabulary, WindowNetwork]:
+    return _train(docs)[:2]
+
+
+def _train(docs: DataFrame) -> tuple[Vocabulary, WindowNetwork, DataFrame]:
+    """The vocabulary, the network, and what encoded() makes of docs, each bucket's texts together and in one order; materialised."""
     vocab = vocabulary(docs)
     spark, words_ = docs.sparkSession, vocab.counts[:EDGE].sum()
-    each = min(BUCKET_WORDS, max(LEAST_WORDS, words_ / BUCKETS))
-    texts = dealt(docs, vocab.ids, max(1, math.ceil(words_ / each)))
+    buckets = max(1, math.ceil(words_ / min(BUCKET_WORDS, max(LEAST_WORDS, words_ / BUCKETS))))
+    texts = common.cut(encoded(docs, vocab, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "mark"))
     network = WindowNetwork.start(vocab.counts)
     for turn in range(ROUNDS):
-        network = _round(texts.filter(F.col("round") == turn), network, spark)
-    return vocab, network
+        network = _round(texts.filter(F.pmod(F.xxhash64("mark"), F.lit(ROUNDS)) == turn), network, spark)
+    return vocab, network, texts
 
 
 def _round(texts: DataFrame, network: WindowNetwork, spark) -> WindowNetwork:
@@ -297,8 +318,7 @@ def _round(texts: DataFrame, network: WindowNetwork, spark) -> WindowNetwork:
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([now] * len(rows), pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], ["row", "bucket", "v", "w"])
 
         for batch in batches:
-            own, lists = batch.column(0).to_numpy(), batch.column(1)
-            flat, sizes = lists.flatten().to_numpy().astype(np.int32), lists.value_lengths().to_numpy().astype(np.int64)
+            own, (flat, sizes) = batch.column(0).to_numpy(), _texts(batch.column(1))
             ends = np.cumsum(sizes)
             a = 0
             while a < len(own):
@@ -341,38 +361,30 @@ def _round(texts: DataFrame, network: WindowNetwork, spark) -> WindowNetwork:
     return WindowNetwork.of(after)
 
 
-def score(docs: DataFrame, vocab: Vocabulary, network: WindowNetwork) -> DataFrame:
-    """docs with n_words, log_prob (sum over the whole text) and mean_log_prob."""
+def score(docs: DataFrame, vocab: Vocabulary, network: WindowNetwork, texts: DataFrame | None = None) -> DataFrame:
+    """docs with n_words, log_prob (sum over the whole text) and mean_log_prob. texts: what encoded() makes of docs, if it is there."""
     base = common.drop_present(docs, "n_words", "log_prob", "mean_log_prob")
-    mark, n_ids = F.xxhash64(common.text_bytes()), len(vocab.ids)
-    places = vocab.ids | {w: n_ids + i for i, w in enumerate(vocab.head)}
-    # the network pays the words of its vocabulary in full; what a word beyond the head pays is joined below
-    shares = np.concatenate([np.zeros(n_ids), np.log(np.fromiter(vocab.head.values(), float, len(vocab.head)) / vocab.others), [0.0]])
-    sent = docs.sparkSession.sparkContext.broadcast((places, shares, network.flat()))
+    mark = F.xxhash64(common.text_bytes())
+    texts = encoded(base, vocab) if texts is None else texts
+    sent = docs.sparkSession.sparkContext.broadcast(network.flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, share, flat = sent.value
-        net, place = WindowNetwork.of(flat), Places(known).__getitem__
+        net = WindowNetwork.of(sent.value)
         for batch in batches:
-            for start, part in portions(batch.column("text")):
-                split = [words(t) for t in part]
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
-                flat_words = list(chain.from_iterable(split))
-                at = np.fromiter(map(place, flat_words), np.int32, len(flat_words))
-                context, word = windows(np.where(at < n_ids, at, OTHER).astype(np.int32), sizes)
+            flat, sizes = _texts(batch.column(1))
+            ends = np.cumsum(sizes)
+            logs, a = batch.column(2).to_numpy().copy(), 0
+            while a < len(sizes):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + AT_ONCE, side="right")))
+                context, word = windows(flat[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b])
                 each = np.zeros(len(word) + 1)
-                for a in range(0, len(word), BLOCK):
-                    each[a : min(a + BLOCK, len(word))] = net.forward(context[a : a + BLOCK], word[a : a + BLOCK])[0]
-                each[:-1] += share[at]
-                edges = np.concatenate([[0], np.cumsum(each[:-1])])
-                ends = np.cumsum(sizes)
-                logs = edges[ends] - edges[ends - sizes]
-                rare = np.flatnonzero(at == len(known))
-                cuts = np.searchsorted(rare, np.concatenate([[0], ends]))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array([flat_words[i] for i in rare], pa.binary()))
-                yield pa.RecordBatch.from_arrays([batch.column("mark").slice(start, len(part)), pa.array(sizes, pa.int64()), pa.array(logs, pa.float64()), lists], ["mark", "n_words", "held", "rare"])
+                for k in range(0, len(word), BLOCK):
+                    each[k + 1 : k + 1 + BLOCK] = net.forward(context[k : k + BLOCK], word[k : k + BLOCK])[0]
+                logs[a:b] += np.diff(np.cumsum(each)[np.r_[0, np.cumsum(sizes[a:b])]])
+                a = b
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(logs), batch.column(3)], ["mark", "n_words", "held", "rare"])
 
-    scored = base.select(mark.alias("mark"), common.text_bytes().alias("text")).mapInArrow(run, "mark long, n_words long, held double, rare array<binary>")
+    scored = texts.select("mark", "ids", "share", "rare").mapInArrow(run, "mark long, n_words long, held double, rare array<binary>")
     scored = common.cut(scored).dropDuplicates(["mark"])
     rare = scored.select("mark", F.explode_outer("rare").alias("word")).filter("word IS NOT NULL")
     paid = rare.join(vocab.counted, "word", "left").groupBy("mark").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / F.lit(vocab.others))).alias("paid"))
@@ -384,4 +396,5 @@ def score(docs: DataFrame, vocab: Vocabulary, network: WindowNetwork) -> DataFra
 
 def score_corpus(docs: DataFrame) -> DataFrame:
     """Train on all of docs, then score all of docs."""
-    return score(docs, *train(docs))
+    vocab, network, texts = _train(docs)
+    return score(docs, vocab, network, texts)
