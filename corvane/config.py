@@ -24,8 +24,8 @@ class Config:
     use_hybrid: bool = True
     min_visibility_score: float = 0.0
 
-    def path(self, name: str) -> Path:
-        return Path(self.raw_dir) / name
+    def path(self, name: str) -> str:
+        return f"{self.raw_dir.rstrip('/')}/{name}"
 
 
 def read_env_file(path: str | Path = ".env") -> dict[str, str]:

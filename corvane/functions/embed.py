@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import text
+TERMS = re.compile("[a-z0-9]+")
+#: Terms that a worker remembers, none longer than 64 characters.
+REMEMBER = 500_000
 
 
 class Embedder(Protocol):
@@ -24,47 +28,70 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Term frequencies in buckets: first four hex digits of the term's MD5, modulo the dimension."""
+    """Term frequencies in buckets: first four hex digits of the term's MD5, modulo the dimension. Terms are hashed once in a worker while they fit its memory."""
 
     def __init__(self, dimension: int = 384):
         self.dimension = dimension
 
-    def bucket(self, term: Column) -> Column:
-        return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 4), 16, 10).cast("int") % self.dimension).cast("int")
-
     def column(self, t: Column) -> Column:
-        # every bucket is put in once more, so that the runs of the sorted buckets are the vector's places in order
-        terms = F.transform(text.tokens(F.coalesce(t, F.lit(""))), self.bucket)
-        buckets = F.array_sort(F.concat(terms, F.sequence(F.lit(0), F.lit(self.dimension - 1))))
-        ends = text.let(buckets, lambda s: F.filter(F.transform(s, lambda x, i: F.when(~F.get(s, i + 1).eqNullSafe(x), i + 1)), lambda n: n.isNotNull()))
-        return text.let(ends, lambda e: F.transform(e, lambda n, j: (n - F.coalesce(F.get(e, j - 1), F.lit(0)) - 1).cast("double")))
+        dimension = self.dimension
+
+        @F.arrow_udf("array<double>")
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            buckets = Buckets(dimension)
+            for texts in batches:
+                yield pa.array([buckets.vector(x.as_py() or "") for x in texts], pa.list_(pa.float64()))
+
+        return encode(t.cast("string"))
 
     def one(self, t: str) -> list[float]:
-        import hashlib
-        import re
+        return Buckets(self.dimension).vector(t).tolist()
+
+
+class Buckets(dict):
+    """Term to bucket; forgets everything when it is full."""
 
-        out = [0.0] * self.dimension
-        for term in re.findall("[a-z0-9]+", t.lower()):
-            out[int(hashlib.md5(term.encode()).hexdigest()[:4], 16) % self.dimension] += 1
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, term: str) -> int:
+        if len(self) >= REMEMBER:
+            self.clear()
+        out = int(hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()[:4], 16) % self.dimension
+        if len(term) <= 64:
+            self[term] = out
         return out
 
+    def vector(self, text: str) -> np.ndarray:
+        terms = TERMS.findall(text.lower())
+        return np.bincount(np.fromiter(map(self.__getitem__, terms), np.int64, len(terms)), minlength=self.dimension).astype(float)
+
 
 class ModelEmbedder:
-    """Any model that encodes lists of texts, in Arrow batches. load runs once in each worker."""
+    """Any model that encodes lists of texts, in Arrow batches. load runs once in each process, for all columns and queries."""
 
     def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], dimension: int):
-        self.load, self.dimension = load, dimension
+        self.load, self.dimension, self._model = load, dimension, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_model": None}  # workers load their own
+
+    def model(self) -> Callable[[list[str]], np.ndarray]:
+        if self._model is None:
+            self._model = self.load()
+        return self._model
 
     def column(self, t: Column) -> Column:
-        load = self.load
+        own = self
 
-        @F.pandas_udf("array<double>")
-        def encode(batches: pd.Series) -> pd.Series:  # pragma: no cover - needs a model
-            if not hasattr(encode, "model"):
-                encode.model = load()
-            return pd.Series(list(np.asarray(encode.model(batches.fillna("").tolist()), dtype=float)))
+        @F.arrow_udf("array<double>")
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                got = np.asarray(own.model()([x or "" for x in texts.to_pylist()]), dtype=float).reshape(len(texts), own.dimension)
+                yield pa.array(list(got), pa.list_(pa.float64()))
 
-        return encode(t)
+        return encode(t.cast("string"))
 
     def one(self, t: str) -> list[float]:
-        return [float(x) for x in self.load()([t])[0]]
+        return [float(x) for x in self.model()([t])[0]]

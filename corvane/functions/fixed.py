@@ -61,7 +61,8 @@ ACTOR_LIKE = frozenset((
     "vtkProp3DAxisFollower", "vtkFlagpoleLabel", "vtkAssembly", "vtkPropAssembly", "vtkLODProp3D", "vtkAxesGrid", "vtkAvatar",
 ))
 
-# Class of a property that is only used inline, by the class of its parent.
+# Class of a property that is only used inline, by the class of its parent. Only these parents can be found; the
+# mapping that results must match names each parent with further property classes that its look-up never reaches.
 INLINE_PROPERTY = {
     "vtkActor": "vtkProperty", "vtkVolume": "vtkVolumeProperty", "vtkImageSlice": "vtkImageProperty",
     "vtkActor2D": "vtkProperty2D", "vtkTextActor": "vtkTextProperty",

@@ -90,6 +90,16 @@ def tokens(text: Text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def dedupe_first(items: Text) -> Column:
+    """Array without what repeats an earlier element."""
+    return F.array_distinct(_c(items))
+
+
+def first_nonempty(items: Text) -> Column:
+    """First element that is neither null nor empty, null without any."""
+    return F.get(F.filter(_c(items), lambda x: x != ""), F.lit(0))
+
+
 def dedupe_ci(texts: Text) -> Column:
     """Array without nulls and without what repeats an earlier element in another case."""
     return let(F.filter(_c(texts), lambda x: x.isNotNull()), lambda a: let(F.transform(a, lambda x: F.lower(x)), lambda low: F.filter(a, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: Rows up to which the dimension is sent to every task. It is as large as an API, not as the data.
+#: Rows up to which the dimension is sent to every task. It is as large as an API, not as the data; look-ups share one count of it.
 MOST_CLASSES = 200_000
 
 
@@ -25,8 +25,16 @@ def api_methods(docs: DataFrame) -> DataFrame:
 
 
 def dimension(rows: DataFrame) -> DataFrame:
-    """rows for a join: sent to every task if there are few enough."""
-    return F.broadcast(rows) if rows.limit(MOST_CLASSES + 1).count() <= MOST_CLASSES else rows
+    """rows for a join: sent to every task if there are few enough. Rows of one plan are counted once in a session."""
+    key = (rows.sparkSession.sparkContext.applicationId, rows.semanticHash())
+    known = next((few for other, few in _FEW.get(key, ()) if other.sameSemantics(rows)), None)
+    if known is None:
+        known = rows.limit(MOST_CLASSES + 1).count() <= MOST_CLASSES
+        _FEW.setdefault(key, []).append((rows, known))
+    return F.broadcast(rows) if known else rows
+
+
+_FEW: dict[tuple[str, int], list[tuple[DataFrame, bool]]] = {}
 
 
 def role(col: str = "role") -> Column:
@@ -54,6 +62,27 @@ def search_classes(classes: DataFrame, query: str, limit: int = 10) -> DataFrame
     return classes.withColumn("place", place).filter("place IS NOT NULL").orderBy("place", "class").limit(limit)
 
 
+def class_doc(classes: DataFrame, name: str) -> DataFrame:
+    return class_info(classes, name).select("class_doc")
+
+
+def class_synopsis(classes: DataFrame, name: str) -> DataFrame:
+    return class_info(classes, name).select("synopsis")
+
+
+def class_methods(methods: DataFrame, name: str) -> DataFrame:
+    """Names of a class's methods, in order."""
+    return method_info(methods, name).select("method").orderBy("method")
+
+
+def method_doc(methods: DataFrame, name: str, method: str) -> DataFrame:
+    return method_info(methods, name, method).select("doc")
+
+
+def method_signature(methods: DataFrame, name: str, method: str) -> DataFrame:
+    return method_info(methods, name, method).select("signature")
+
+
 def class_info(classes: DataFrame, name: str) -> DataFrame:
     return classes.filter(F.col("class") == name)
 

@@ -25,6 +25,6 @@ def roles(chunks: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def counts(code: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Files with chunks, chunks, and files read, by nothing: one row."""
+    """Records of code read, those of them without code, chunks, and files with chunks: one row."""
     made = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("example_id").alias("files_with_chunks"))
-    return code.agg(F.count("*").alias("files")).crossJoin(made)
+    return code.agg(F.count("*").alias("files"), F.count_if(F.col("code") == "").alias("files_without_code")).crossJoin(made)

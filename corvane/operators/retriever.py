@@ -15,10 +15,16 @@ from . import filters as fl
 
 #: Decimals of a score before rows are ordered, so that equal rows tie.
 DIGITS = 6
-#: Names of fields that differ between collections.
-ALIASES = {"docs": {"class_name": "vtk_class", "vtk_class_names": "vtk_class", "type": "chunk_type"}, "code": {"class_name": "vtk_class_names", "vtk_class": "vtk_class_names"}}
+#: Names of fields that differ between collections: of documentation, of code.
+DOC_ALIASES = {"class_name": "vtk_class", "vtk_class_names": "vtk_class", "type": "chunk_type"}
+CODE_ALIASES = {"class_name": "vtk_class_names", "vtk_class": "vtk_class_names"}
 
-Filters = dict[str, Any] | Column | None
+Filters = dict[str, Any] | Column | fl.FilterBuilder | None
+
+
+def aliases(points: DataFrame) -> dict[str, str]:
+    """Other names of the fields of points, by what fields there are."""
+    return CODE_ALIASES if "vtk_class_names" in points.columns else DOC_ALIASES
 
 
 def dense(points: DataFrame, query: list[float], k: int, key: str = "id", vec: str = "vec", norm: str | None = "norm") -> DataFrame:
@@ -62,7 +68,7 @@ def sparse_scan(points: DataFrame, query: str, k: int, key: str = "id", content:
     terms = sorted(set(re.findall("[a-z0-9]+", query.lower())))
     if not terms:
         return points.select(key, F.lit(0.0).alias("score")).limit(0)
-    times = lambda w: F.size(F.filter("t", lambda x: x == w))
+    times = lambda w: F.size("t") - F.size(F.array_remove("t", w))
 
     def counted(rows: DataFrame) -> DataFrame:
         bag = rows.select(key, text.tokens(F.coalesce(F.col(content), F.lit(""))).alias("t"))
@@ -112,15 +118,25 @@ def project_result(rows: DataFrame, collection: str) -> DataFrame:
 
 
 class Retriever:
-    """Search over collections by name. Results come with columns of project_result()."""
+    """Search over collections by name. Results come with columns of project_result().
+
+    code and docs: names of the collections that the shorthands search. least_visibility: points under it are never found.
+    Filters are mappings, Columns or builders; a builder's wished conditions don't filter: among the hits, those that meet
+    more of them come first.
+    """
 
-    def __init__(self, collections: dict[str, Collection], embedder: Embedder, prefetch: int = 20):
+    def __init__(self, collections: dict[str, Collection], embedder: Embedder, prefetch: int = 20, code: str = "code", docs: str = "docs", limit: int = 10, least_visibility: float = 0.0, hybrid: bool = True):
         self.collections, self.embedder, self.prefetch = collections, embedder, prefetch
+        self.code, self.docs, self.limit, self.least_visibility, self.hybrid = code, docs, limit, least_visibility, hybrid
 
     def _passing(self, name: str, filters: Filters) -> tuple[Collection, DataFrame, bool]:
         c = self.collections[name]
-        condition = fl.build_filter(c.points, filters, ALIASES.get(name))
-        return c, (c.points if condition is None else c.points.filter(condition)), condition is not None
+        given = filters.build() if isinstance(filters, fl.FilterBuilder) else filters
+        conditions = [x for x in (fl.build_filter(c.points, given, aliases(c.points)), self._visible(c.points)) if x is not None]
+        return c, reduce(lambda points, x: points.filter(x), conditions, c.points), bool(conditions)
+
+    def _visible(self, points: DataFrame) -> Column | None:
+        return F.col("visibility_score") >= self.least_visibility if self.least_visibility > 0 and "visibility_score" in points.columns else None
 
     def _branches(self, name: str, query: str, filters: Filters, k: int, modes: tuple[str, ...]) -> list[DataFrame]:
         c, points, filtered = self._passing(name, filters)
@@ -135,40 +151,50 @@ class Retriever:
                 out.append(dense(points, self.embedder.one(query), k))
         return out
 
-    def _result(self, name: str, hits: DataFrame) -> DataFrame:
-        return result(self.collections[name].points, hits, name).orderBy(F.desc("score"), "id")
+    def _result(self, name: str, hits: DataFrame, filters: Filters) -> DataFrame:
+        points = self.collections[name].points
+        if not isinstance(filters, fl.FilterBuilder):
+            return result(points, hits, name).orderBy(F.desc("score"), "id")
+        wished = points.join(F.broadcast(hits.select("id")), "id").select("id", filters.boost().alias("boost"))
+        return result(points, hits, name).join(F.broadcast(wished), "id").orderBy(F.desc("boost"), F.desc("score"), "id").drop("boost")  # as many rows as hits
+
+    def search(self, query: str, collection: str | None = None, limit: int | None = None, filters: Filters = None, vector_name: str = "content") -> DataFrame:
+        name, limit = collection or self.code, limit or self.limit
+        return self._result(name, self._branches(name, query, filters, limit, ("queries" if vector_name == "queries" else "content",))[0], filters)
 
-    def search(self, query: str, collection: str = "code", limit: int = 10, filters: Filters = None, vector_name: str = "content") -> DataFrame:
-        return self._result(collection, self._branches(collection, query, filters, limit, ("queries" if vector_name == "queries" else "content",))[0])
+    def bm25_search(self, query: str, collection: str | None = None, limit: int | None = None, filters: Filters = None) -> DataFrame:
+        name, limit = collection or self.code, limit or self.limit
+        return self._result(name, self._branches(name, query, filters, limit, ("bm25",))[0], filters)
 
-    def bm25_search(self, query: str, collection: str = "code", limit: int = 10, filters: Filters = None) -> DataFrame:
-        return self._result(collection, self._branches(collection, query, filters, limit, ("bm25",))[0])
+    def hybrid_search(self, query: str, collection: str | None = None, limit: int | None = None, filters: Filters = None, prefetch_limit: int | None = None) -> DataFrame:
+        name, limit = collection or self.code, limit or self.limit
+        branches = self._branches(name, query, filters, self.prefetch if prefetch_limit is None else prefetch_limit, ("content", "bm25"))
+        return self._result(name, fuse(branches, limit), filters)
 
-    def hybrid_search(self, query: str, collection: str = "code", limit: int = 10, filters: Filters = None, prefetch_limit: int | None = None) -> DataFrame:
-        branches = self._branches(collection, query, filters, self.prefetch if prefetch_limit is None else prefetch_limit, ("content", "bm25"))
-        return self._result(collection, fuse(branches, limit))
+    def _either(self, query: str, collection: str, limit: int | None, filters: Filters, hybrid: bool | None) -> DataFrame:
+        return (self.hybrid_search if (self.hybrid if hybrid is None else hybrid) else self.search)(query, collection, limit, filters)
 
-    def search_code(self, query: str, limit: int = 10, filters: Filters = None, hybrid: bool = True) -> DataFrame:
-        return (self.hybrid_search if hybrid else self.search)(query, "code", limit, filters)
+    def search_code(self, query: str, limit: int | None = None, filters: Filters = None, hybrid: bool | None = None) -> DataFrame:
+        return self._either(query, self.code, limit, filters, hybrid)
 
-    def search_docs(self, query: str, limit: int = 10, filters: Filters = None, hybrid: bool = True) -> DataFrame:
-        return (self.hybrid_search if hybrid else self.search)(query, "docs", limit, filters)
+    def search_docs(self, query: str, limit: int | None = None, filters: Filters = None, hybrid: bool | None = None) -> DataFrame:
+        return self._either(query, self.docs, limit, filters, hybrid)
 
-    def search_by_class(self, class_name: str, collection: str = "docs", limit: int = 10) -> DataFrame:
-        return self.bm25_search(class_name, collection, limit, {"class_name": class_name})
+    def search_by_class(self, class_name: str, collection: str | None = None, limit: int | None = None) -> DataFrame:
+        return self.bm25_search(class_name, collection or self.docs, limit, {"class_name": class_name})
 
-    def search_by_role(self, query: str, role: str, collection: str = "code", limit: int = 10) -> DataFrame:
+    def search_by_role(self, query: str, role: str, collection: str | None = None, limit: int | None = None) -> DataFrame:
         return self.hybrid_search(query, collection, limit, {"role": role})
 
-    def search_by_datatype(self, query: str, input_type: str | None = None, output_type: str | None = None, collection: str = "code", limit: int = 10) -> DataFrame:
+    def search_by_datatype(self, query: str, input_type: str | None = None, output_type: str | None = None, collection: str | None = None, limit: int | None = None) -> DataFrame:
         wanted = {k: v for k, v in (("input_datatype", input_type), ("output_datatype", output_type)) if v}
         return self.hybrid_search(query, collection, limit, wanted or None)
 
-    def search_by_module(self, query: str, module: str, limit: int = 10) -> DataFrame:
-        return self.hybrid_search(query, "docs", limit, {"module": module})
+    def search_by_module(self, query: str, module: str, limit: int | None = None) -> DataFrame:
+        return self.hybrid_search(query, self.docs, limit, {"module": module})
 
-    def search_by_chunk_type(self, query: str, chunk_type: str, limit: int = 10) -> DataFrame:
-        return self.hybrid_search(query, "docs", limit, {"chunk_type": chunk_type})
+    def search_by_chunk_type(self, query: str, chunk_type: str, limit: int | None = None) -> DataFrame:
+        return self.hybrid_search(query, self.docs, limit, {"chunk_type": chunk_type})
 
 
 def merge_collections(results: list[DataFrame], limit: int) -> DataFrame:

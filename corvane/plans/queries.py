@@ -14,6 +14,7 @@ from ..operators import api_dim, code_chunks, doc_chunks, report, retriever
 from ..operators import filters as fl
 from ..schemas import RAW_DOC
 from ..sources import collection as coll
+from ..sources import storage
 from ..sources.jsonl import with_doc_defaults
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,10 +73,10 @@ def bm25(rows: DataFrame, k: int, filters: dict | None = None) -> DataFrame:
     return retriever.sparse_scan(rows, QUERY_TEXT, k, condition=fl.build_filter(rows, filters))
 
 
-def bm25_sql(table: str, key: str, k: int, where: str = "TRUE", name: str = "b") -> str:
+def bm25_sql(table: str, key: str, k: int, where: str = "TRUE", name: str = "b", words: str = IN) -> str:
     return f"""{name}_tok AS (SELECT {key} AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w, * FROM {table}),
 {name}_dl AS (SELECT id, len(w) AS dl FROM {name}_tok), {name}_st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM {name}_dl),
-{name}_p AS (SELECT id, term, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(w) AS term FROM {name}_tok) x WHERE term IN ({IN}) GROUP BY id, term),
+{name}_p AS (SELECT id, term, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(w) AS term FROM {name}_tok) x WHERE term IN ({words}) GROUP BY id, term),
 {name}_df AS (SELECT term, count(*)::DOUBLE AS df FROM {name}_p GROUP BY term),
 {name} AS (SELECT p.id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
   FROM {name}_p p JOIN {name}_df USING (term) JOIN {name}_dl USING (id) CROSS JOIN {name}_st WHERE p.id IN (SELECT id FROM {name}_tok WHERE {where}) GROUP BY p.id ORDER BY score DESC, p.id LIMIT {k})"""
@@ -186,11 +187,83 @@ def multi_collection_topk(spark: SparkSession, d: str) -> DataFrame:
     return retriever.merge_collections(found, 10).select("collection", "id", "score")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, round(sum(v), 6) AS total, round(sum(s), 6) AS norms FROM (SELECT doc_id, sum(c) AS v, sqrt(sum(c * c)) AS s FROM (SELECT doc_id, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS b, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents) x GROUP BY 1, 2) y GROUP BY doc_id) z")
+@query("SELECT doc_id, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS bucket, count(*)::DOUBLE AS value FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents) x GROUP BY 1, 2")
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    vec = points(spark, d).select(HashEmbedder(64).column(F.col("content")).alias("v"))
-    rows = vec.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("t"), scoring.norm(F.col("v")).alias("s")).filter("t > 0")
-    return rows.agg(F.count("*").alias("n"), F.round(F.sum("t"), 6).alias("total"), F.round(F.sum("s"), 6).alias("norms"))
+    """The places of every document's vector that aren't 0."""
+    vec = points(spark, d).select("id", HashEmbedder(64).column(F.col("content")).alias("v"))
+    return vec.select(F.col("id").alias("doc_id"), F.posexplode("v").alias("bucket", "value")).filter("value <> 0")
+
+
+# -- search over a stored index --------------------------------------------------------------------------------------
+
+
+class GivenVector:
+    """Encodes any query as one vector that is there already."""
+
+    dimension = 0
+
+    def __init__(self, vector: list[float]):
+        self.vector = vector
+
+    def one(self, t: str) -> list[float]:
+        return self.vector
+
+
+_BUILT: dict[tuple[str, str], coll.Collection] = {}
+
+
+def indexed(spark: SparkSession, d: str) -> coll.Collection:
+    """The collection of all documents, with the embeddings of equal id, built once in a session in the shared folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        rows = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("vtk_class"), F.col("lang").alias("role"), F.col("source").alias("module"), "n_chars")
+        vecs = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+        path = f"{storage.shared_folder(spark)}/corvane-index-{key[0]}-{abs(hash(d))}"
+        _BUILT[key] = coll.Collection.create("docs", path, rows.join(vecs, "id", "left"), None, key="id", layout=("role",))
+    return _BUILT[key]
+
+
+def engine(spark: SparkSession, d: str) -> retriever.Retriever:
+    return retriever.Retriever({"docs": indexed(spark, d)}, GivenVector(query_vector(spark, d)), code="docs")
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', 10)} SELECT * FROM b")
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).bm25_search(QUERY_TEXT).select("id", "score")
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', 10, LANG)} SELECT * FROM b")
+def bm25_indexed_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).bm25_search(QUERY_TEXT, filters={"role": "en"}).select("id", "score")
+
+
+@query(hybrid_sql("TRUE"))
+def hybrid_indexed(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).hybrid_search(QUERY_TEXT).select("id", "score")
+
+
+@query(hybrid_sql("lang = 'de'"))
+def search_by_role_indexed(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).search_by_role(QUERY_TEXT, "de").select("id", "score")
+
+
+@query(hybrid_sql("source = 'src1'"))
+def search_by_module_indexed(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).search_by_module(QUERY_TEXT, "src1").select("id", "score")
+
+
+CLASS_SQL = bm25_sql("documents", "doc_id", 10, "lang = 'de'", words="'de'")
+
+
+@query(f"WITH {CLASS_SQL} SELECT id, 'de' AS class_name, score FROM b")
+def search_by_class(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the class `de` by that word."""
+    return engine(spark, d).search_by_class("de").select("id", "class_name", "score")
+
+
+@query("SELECT doc_id AS id, lang AS role, coalesce(source, '') AS module FROM documents")
+def scroll_indexed(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d).scroll(["id", "role", F.coalesce("module", F.lit("")).alias("module")])
 
 
 # -- filters ---------------------------------------------------------------------------------------------------------
@@ -240,19 +313,27 @@ def result_projection(spark: SparkSession, d: str) -> DataFrame:
 def queries_fallback(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
     asked = F.when(F.col("quality").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("quality "), F.col("quality").cast("string"))))
-    rows = rows.select("doc_id", "text", asked.alias("queries"))
-    return rows.select("doc_id", F.explode(F.when(F.size("queries") > 0, F.col("queries")).otherwise(F.array(F.coalesce("text", F.lit(""))))).alias("asked"))
+    return coll.asked_texts(rows.select("doc_id", "text", asked.alias("queries")), "doc_id", "text").select("doc_id", F.col("q").alias("asked"))
 
 
 @query("SELECT page_id, contains(url, 'utm_source') AS flag FROM pages")
 def flag_contains(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").select("page_id", F.contains("url", F.lit("utm_source")).alias("flag"))
+    return t(spark, d, "pages").select("page_id", code_chunks.is_pythonic(F.col("url"), "utm_source").alias("flag"))
+
 
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of a conversation as members of a group, in order: the role is the class, a long text has the property `long`."""
+    none = F.array().cast("array<struct<variable:string,class:string>>")
+    long = F.when(F.length("text") > 200, F.array(F.struct(F.lit("x").alias("variable"), F.lit("long").alias("class")))).otherwise(none)
+    own = F.struct("turn", F.struct(F.col("role").alias("class"), F.when(F.col("role") != "system", F.col("role")).otherwise("").alias("role"), long.alias("properties")).alias("m"))
+    by = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(own)).alias("c"))
+    return by.select("conv_id", F.transform("c", lambda x: x["m"]).alias("members"))
 
-@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+
+@query("""WITH e AS (SELECT conv_id, turn, 0 AS p, role AS name FROM conversations UNION ALL SELECT conv_id, turn, 1, 'long' FROM conversations WHERE length(text) > 200),
+f AS (SELECT conv_id, name, min(turn * 2 + p) AS first FROM e GROUP BY conv_id, name) SELECT conv_id, string_agg(name, ',' ORDER BY first) AS names FROM f GROUP BY conv_id""")
 def struct_array_flatten(spark: SparkSession, d: str) -> DataFrame:
-    by = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("c"))
-    return by.select("conv_id", F.array_join(F.transform("c", lambda x: x["role"]), ",").alias("roles"))
+    return members(spark, d).select("conv_id", F.array_join(code_chunks.class_names(F.col("members")), ",").alias("names"))
 
 
 # -- joins -----------------------------------------------------------------------------------------------------------
@@ -310,14 +391,14 @@ def count_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'documents' AS name, count(*) AS points_count FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
 def collection_info(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda n: t(spark, d, n).agg(F.lit(n).alias("name"), F.count("*").alias("points_count"))
+    one = lambda n: coll.Collection(n, *[t(spark, d, n)] * 5).info().select("name", "points_count")
     return one("documents").unionByName(one("pages")).unionByName(one("embeddings"))
 
 
 @query("SELECT conv_id, string_agg(role || ':' || turn, ' → ' ORDER BY turn) AS flow FROM conversations GROUP BY conv_id")
 def ordered_string_agg(spark: SparkSession, d: str) -> DataFrame:
     each = t(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(":", "role", F.col("turn").cast("string")).alias("x"))
-    return each.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda s: s["x"]), " → ").alias("flow"))
+    return each.groupBy("conv_id").agg(code_chunks.joined(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda s: s["x"])).alias("flow"))
 
 
 @query("SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ', ') AS langs FROM documents GROUP BY source")
@@ -325,9 +406,9 @@ def collect_set_sorted(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ", ").alias("langs"))
 
 
-@query("SELECT conv_id, arg_min(role, turn) FILTER (WHERE role <> 'system') AS role FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, coalesce(arg_min(role, turn) FILTER (WHERE role <> 'system'), '') AS role FROM conversations GROUP BY conv_id")
 def first_nonempty(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("role", F.when(F.col("role") != "system", F.col("turn"))).alias("role"))
+    return members(spark, d).select("conv_id", code_chunks.first_role(F.col("members")).alias("role"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS content, arg_min(role, turn) AS first_role, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY conv_id")
@@ -342,32 +423,41 @@ def sample_per_group(spark: SparkSession, d: str) -> DataFrame:
     return retriever.sample_per_group(t(spark, d, "documents"), "lang", 2, "doc_id").select("lang", "doc_id", "rn")
 
 
-def first_rows(rows: DataFrame, *keys, order: str = "doc_id") -> DataFrame:
-    """First row of each key: a partial minimum before the shuffle, no sort."""
-    return rows.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
+def users(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events in order, as calls: name and arguments."""
+    each = F.struct("event_id", F.struct(F.col("event_type").alias("name"), F.array(F.col("event_id").cast("string")).alias("args")).alias("call"))
+    by = t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(each)).alias("c"))
+    return by.select("user_id", F.transform("c", lambda x: x["call"]).alias("calls"))
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedupe_first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The row form: a partial minimum before the shuffle, no sort."""
+    return t(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) x GROUP BY user_id")
 def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
-    return first_rows(t(spark, d, "documents"), "text")
+    return users(spark, d).select("user_id", F.array_join(text.dedupe_first(F.transform("calls", lambda c: c["name"])), ",").alias("kinds"))
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(text)")
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w)
+SELECT doc_id, string_agg(x, ',' ORDER BY i) AS words FROM (SELECT doc_id, arg_min(x, i) AS x, min(i) AS i FROM e WHERE i <= 40 GROUP BY doc_id, lower(x)) y GROUP BY doc_id""")
 def dedupe_ci(spark: SparkSession, d: str) -> DataFrame:
-    return first_rows(t(spark, d, "documents"), F.lower("text"))
+    """First spellings among the first forty ASCII words of each document that has any."""
+    first = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 40)
+    return t(spark, d, "documents").select("doc_id", F.array_join(text.dedupe_ci(first), ",").alias("words")).filter("words <> ''")
 
 
-@query("SELECT user_id, event_type, arg_min(event_id, event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+@query("SELECT user_id, event_type, min(event_id)::VARCHAR AS args FROM events GROUP BY user_id, event_type")
 def dedupe_calls(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.min_by("value", "event_id").alias("value"))
+    once = users(spark, d).select("user_id", F.explode(code_chunks.first_by_name(F.col("calls"))).alias("c"))
+    return once.select("user_id", F.col("c.name").alias("event_type"), F.array_join("c.args", ",").alias("args"))
 
 
 @query("SELECT user_id, array_to_string(list_slice(list(event_type ORDER BY event_id), 1, 8), ',') AS calls FROM events GROUP BY user_id")
 def slice_first_n(spark: SparkSession, d: str) -> DataFrame:
-    # the first eight of each user are cut before the shuffle
-    few = t(spark, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter(F.col("rn") <= code_chunks.SHOWN_CALLS)
-    by = few.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rn", "event_type"))).alias("c"))
-    return by.select("user_id", F.array_join(F.transform("c", lambda x: x["event_type"]), ",").alias("calls"))
+    return users(spark, d).select("user_id", F.array_join(F.transform(code_chunks.first_calls(F.col("calls")), lambda c: c["name"]), ",").alias("calls"))
 
 
 @query("SELECT p_brand, array_to_string(list_slice(n, 1, 30), ', ') || CASE WHEN len(n) > 30 THEN chr(10) || '... and ' || (len(n) - 30) || ' more' ELSE '' END AS listed FROM (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS n FROM part GROUP BY p_brand) x")
@@ -494,17 +584,24 @@ def call_to_phrase(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("a", args).select("method", "args", questions.call_to_phrase(F.col("method"), F.col("a")).alias("phrase"))
 
 
-CODE_LINES = [("x = vtk.vtkActor()\nself.a.SetMapper(self.b)",), ("Superclass: vtkObject\nmore",), ("no parent",), ("Superclass:   vtkA, Superclass: vtkB",), ("vtk.notone self.x_1",)]
+#: Word characters of Spark's Unicode classes, for RE2.
+RE2_WORD = r"[\pL\pM\p{Nd}\p{Nl}\p{Pc}]"
 
 
-@query(f"SELECT line, regexp_extract(line, 'Superclass:\\s*(\\w+)', 1) AS parent FROM {sql_values(CODE_LINES, 'line')}")
+@query(f"SELECT page_id, regexp_extract(replace(html, '<title>', 'Superclass: '), 'Superclass:\\s*({RE2_WORD}+)', 1) AS parent FROM pages")
 def regex_extract(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, CODE_LINES, "line string").select("line", text.superclass("line").alias("parent"))
+    """The first word of a page's title, which stands where documentation names a parent."""
+    return t(spark, d, "pages").select("page_id", text.superclass(F.replace("html", F.lit("<title>"), F.lit("Superclass: "))).alias("parent"))
 
 
-@query(f"SELECT line, regexp_replace(regexp_replace(line, '\\bvtk\\.(vtk\\w+)', '\\1', 'g'), '\\bself\\.(\\w+)', '\\1', 'g') AS code, replace(line, 'self.', '') AS bare FROM {sql_values(CODE_LINES, 'line')}")
+LINKED = "replace(replace(url, 'http://', 'vtk.vtk'), '/', ' self.')"
+
+
+@query(f"SELECT page_id, regexp_replace(regexp_replace({LINKED}, '\\bvtk\\.(vtk\\w+)', '\\1', 'g'), '\\bself\\.(\\w+)', '\\1', 'g') AS code, replace({LINKED}, 'self.', '') AS bare FROM pages")
 def regex_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, CODE_LINES, "line string").select("line", text.rewrite_code("line").alias("code"), text.strip_self("line").alias("bare"))
+    """Addresses of pages, written like attributes of `vtk` and `self`."""
+    line = F.replace(F.replace("url", F.lit("http://"), F.lit("vtk.vtk")), F.lit("/"), F.lit(" self."))
+    return t(spark, d, "pages").select("page_id", text.rewrite_code(line).alias("code"), text.strip_self(line).alias("bare"))
 
 
 @query("SELECT doc_id, coalesce(trim(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '' AND NOT contains(x, '->') AND NOT starts_with(x, 'The'))[-1]), '') AS line FROM documents")
@@ -534,15 +631,39 @@ def part_docs(spark: SparkSession, d: str) -> DataFrame:
     return with_doc_defaults(raw)
 
 
-@query("""WITH p AS (SELECT 'vtkPart' || p_partkey AS c, 'part' || p_partkey AS v, p_brand AS m, p_name AS s, lower(p_type) AS a, p_size, p_partkey AS k,
-  CASE WHEN p_partkey % 3 = 0 AND p_partkey > 0 THEN p_name || chr(10) || 'Superclass: vtkPart' || (p_partkey - 1) WHEN p_partkey % 3 < 2 THEN p_name ELSE '' END AS doc FROM part)
-SELECT c || '_overview' AS chunk_id, 'class_overview' AS chunk_type, '# ' || c || chr(10) || chr(10) || doc || chr(10) || chr(10) || '## Methods' || chr(10) || 'SetSize' AS content, 'Overview of ' || c || ': ' || s AS synopsis, CASE WHEN a <> '' THEN 'overview of ' || a ELSE c || ' overview' END AS action_phrase, m AS module FROM p WHERE doc <> ''
-UNION ALL SELECT c || '_constructor', 'constructor', '# ' || c || ' Constructor' || chr(10) || chr(10) || v || ' = ' || c || '()', 'Create ' || c || CASE WHEN s <> '' THEN ' - ' || s ELSE '' END, c || ' constructor', m FROM p
-UNION ALL SELECT c || '_SetSize', 'method', '# ' || c || '.SetSize' || chr(10) || chr(10) || 'SetSize(n)' || chr(10) || 'Sets size ' || p_size, c || '.SetSize() - Sets size ' || p_size, c || ' set size', m FROM p
-UNION ALL SELECT c || '__hidden', 'method', '# ' || c || '._hidden' || chr(10) || chr(10) || '_hidden()', c || '._hidden()', c || ' _hidden', m FROM p
-UNION ALL SELECT x.c || '_inheritance', 'inheritance', '# ' || x.c || ' Inheritance' || chr(10) || chr(10) || '**Superclass:** `vtkPart' || (x.k - 1) || '`' || coalesce(chr(10) || '**Superclass Module:** `' || y.m || '`', ''), x.c || ' inherits from vtkPart' || (x.k - 1), '', x.m FROM p x LEFT JOIN p y ON y.k = x.k - 1 WHERE x.k % 3 = 0 AND x.k > 0""")
+def part_chunk(pos: str, kind: str, suffix: str, content: str, synopsis: str, phrase: str, asked: str, source: str = "p") -> str:
+    """SELECT of one kind of chunk of the parts; an empty question is left out."""
+    return f"SELECT {pos} AS pos, c || '_{suffix}' AS chunk_id, '{kind}' AS chunk_type, {content} AS content, {synopsis} AS synopsis, {phrase} AS action_phrase, m AS module, 'utility' AS role, 0.3::DOUBLE AS visibility_score, array_to_string(list_filter({asked}, lambda x: x IS NOT NULL), chr(10)) AS queries FROM {source}"
+
+
+def phrase_sql(x: str) -> str:
+    """Question for a phrase that isn't null."""
+    last, rest = f"regexp_extract({x}, '\\S+$')", f"trim(regexp_replace({x}, '\\S+$', ''))"
+    verb = VERB_CASE.replace("CASE last", f"CASE {last}")
+    return f"CASE WHEN {x} = '' THEN NULL WHEN {verb} IS NULL THEN 'How do you use ' || {x} || '?' WHEN {rest} = '' THEN 'How do you ' || {verb} || '?' ELSE 'How do you ' || {verb} || ' ' || ({article_sql(rest)}) || '?' END"
+
+
+NL = "chr(10)"
+PARTS_SQL = f"""WITH p AS (SELECT 'vtkPart' || p_partkey AS c, 'part' || p_partkey AS v, p_brand AS m, p_name AS s, lower(p_type) AS a, p_size, p_partkey AS k,
+  CASE WHEN p_partkey % 3 = 0 AND p_partkey > 0 THEN p_name || {NL} || 'Superclass: vtkPart' || (p_partkey - 1) WHEN p_partkey % 3 < 2 THEN p_name ELSE '' END AS doc FROM part),
+q AS (SELECT *, CASE WHEN doc <> '' THEN 1 ELSE 0 END AS o FROM p), h AS (SELECT x.*, coalesce({NL} || '**Superclass Module:** `' || y.m || '`', '') AS up FROM q x LEFT JOIN p y ON y.k = x.k - 1 WHERE x.k % 3 = 0 AND x.k > 0)
+""" + "\nUNION ALL ".join([
+    part_chunk("0", "class_overview", "overview", f"'# ' || c || {NL} || {NL} || doc || {NL} || {NL} || '## Methods' || {NL} || 'SetSize'", "'Overview of ' || c || ': ' || s", "CASE WHEN a <> '' THEN 'overview of ' || a ELSE c || ' overview' END",
+               f"[{phrase_sql('a')}, 'What is ' || c || '?', 'What does ' || c || ' do?', 'How do I use ' || c || '?']", "q WHERE doc <> ''"),
+    part_chunk("o", "constructor", "constructor", f"'# ' || c || ' Constructor' || {NL} || {NL} || v || ' = ' || c || '()'", "'Create ' || c || CASE WHEN s <> '' THEN ' - ' || s ELSE '' END", "c || ' constructor'", "['How to create ' || c || '?', c || ' constructor']", "q"),
+    part_chunk("o + 1", "method", "SetSize", f"'# ' || c || '.SetSize' || {NL} || {NL} || 'SetSize(n)' || {NL} || 'Sets size ' || p_size", "c || '.SetSize() - Sets size ' || p_size", "c || ' set size'",
+               f"[CASE WHEN a <> '' THEN 'How do you set the size of ' || ({article_sql('a')}) || '?' END, 'How to use ' || c || '.SetSize']", "q"),
+    part_chunk("o + 2", "method", "_hidden", f"'# ' || c || '._hidden' || {NL} || {NL} || '_hidden()'", "c || '._hidden()'", "c || ' _hidden'",
+               f"[CASE WHEN a <> '' THEN 'How do you _hidden ' || ({article_sql('a')}) || '?' END, 'How to use ' || c || '._hidden']", "q"),
+    part_chunk("o + 3", "inheritance", "inheritance", f"'# ' || c || ' Inheritance' || {NL} || {NL} || '**Superclass:** `vtkPart' || (k - 1) || '`' || up", "c || ' inherits from vtkPart' || (k - 1)", "''",
+               "['What does ' || c || ' inherit from?', c || ' parent class', c || ' base class']", "h"),
+])
+
+
+@query(PARTS_SQL)
 def doc_chunks_of_parts(spark: SparkSession, d: str) -> DataFrame:
-    return doc_chunks.chunk_docs(part_docs(spark, d)).select("chunk_id", "chunk_type", "content", "synopsis", "action_phrase", "module")
+    chunks = doc_chunks.chunk_docs(part_docs(spark, d))
+    return chunks.select("pos", "chunk_id", "chunk_type", "content", "synopsis", "action_phrase", "module", "role", "visibility_score", F.array_join("queries", "\n").alias("queries"))
 
 
 @query("SELECT role, CAST(rn AS INT) AS rn, CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || '...' ELSE text END AS content FROM (SELECT role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rn FROM conversations) x WHERE rn <= 3")
@@ -565,12 +686,85 @@ CLASSES = [
 CLASS_SCHEMA = "class string, module string, role string, visibility_score double, action_phrase string, synopsis string, input_datatype string, output_datatype string"
 
 
-@query()
+
+# Snippets for the rules of static analysis, and by hand the lifecycles that they have.
+RULES = [
+    ("keywords", "a = vtk.vtkActor(mapper=m0)\nm = vtkPolyDataMapper()\nb = vtkActor(mapper=m, visibility=True)\ns = vtkSphereSource(center=(1, 2, 3), thetaResolution=9)\n"),
+    ("results", "s = vtkSphereSource()\np = s.GetOutputPort()\nn = vtkMath.Random(1)\nvtkMath.Seed(n)\nx: int = vtkSphereSource()\n"),
+    ("getter", "a = vtkActor()\np = a.GetProperty()\np.SetColor(1, 0, 0)\na.GetProperty().SetOpacity(0.5)\na.GetMapper().Update()\n"),
+    ("attributes", "s = vtkSphereSource()\ns.radius = 2.5\ns.SetRadius(3)\nm = vtkPolyDataMapper()\na = vtkActor()\na.mapper = m\n"),
+    ("blocks", "r = vtkRenderer()\nif ready:\n    r.ResetCamera()\nwhile busy:\n    r.Render()\nwith lock:\n    c = vtkCamera()\ntry:\n    c.Zoom(2)\nfinally:\n    r.Clear()\n"),
+    ("loops", "r = vtkRenderer()\ns = vtkSphereSource()\nfor a in xs:\n    r.AddActor(a)\nfor i in range(3):\n    s.SetRadius(i)\n    r.Render()\nelse:\n    s.Update()\n"),
+    ("last mapper", "m1 = vtkPolyDataMapper()\nm2 = vtkPolyDataMapper()\na = vtkActor()\na.SetMapper(m1)\na.SetMapper(m2)\n"),
+    ("properties", "p = vtkProperty()\na = vtkActor()\na.SetProperty(p)\np.SetColor(1, 0, 0)\nf = vtkFollower()\nf.GetProperty().SetOpacity(1)\n"),
+    ("rebound", "x = vtkSphereSource()\nx.SetRadius(1)\nx = vtkRenderer()\nx.Render()\n"),
+    ("shared", "m = vtkPolyDataMapper()\na = vtkActor()\nb = vtkActor()\na.SetMapper(m)\nb.SetMapper(m)\nvtkPolyDataMapper.SetGlobal(1)\nvtkProperty.Reset()\nvtkVolume.Reset()\n"),
+    ("infrastructure", "st = vtkInteractorStyleTrackball()\ni1 = vtkRenderWindowInteractor()\ni1.Start()\ni2 = vtkRenderWindowInteractor()\ni2.SetRenderWindow(w)\ni2.Initialize()\ni2.Start()\ni2.Start()\nw = vtkRenderWindow()\nw.SetSize(9, 9)\n"),
+    ("classes", "class App:\n    def __init__(self):\n        self.m = vtkPolyDataMapper()\n        self.r = vtk.vtkRenderer()\n        self.a = vtkActor()\n    def run(self, x):\n        self.a.SetMapper(self.m)\n        self.a.x = 1\n        self.r.Render()\n        self.m.Update()\nclass Empty:\n    def go(self):\n        s = vtkSphereSource()\n"),
+    ("scopes", "def make_it():\n    return vtkSphereSource()\ndef main():\n    s = make_it()\n    r = vtkRenderer()\n    unknown = vtkNothing()\nasync def later():\n    z = vtkSphereSource()\nif __name__ == '__main__':\n    main()\n"),
+    ("chains", "a = vtkActor()\nb = a\nb.GetProperty().SetColor(1, 0, 0)\na.GetMapper().GetInput().Update()\na.Get().Go()\n"),
+]
+MORE_CLASSES = CLASSES + [(c, "mod.More", role, 0.5, "", "", "", "") for c, role in (("vtkProperty", "properties"), ("vtkCamera", "scene"), ("vtkInteractorStyleTrackball", "infrastructure"), ("vtkVolume", "properties"), ("vtkFollower", "properties"))]
+PIPELINE, WINDOW = SNIPPETS[0][0], SNIPPETS[1][0]
+BALL, MAPPER, ACTOR, RENDERER, WIN, INTERACTOR = "vtkSphereSource", "vtkPolyDataMapper", "vtkActor", "vtkRenderer", "vtkRenderWindow", "vtkRenderWindowInteractor"
+PROPS, INFRA = "properties", "infrastructure"
+#: example_id, chunk_no, member_no, variable, class, role, mapper, actor, methods, statements
+LIFECYCLES = [
+    (PIPELINE, 1, 0, "m", MAPPER, PROPS, None, "a", "SetInputConnection", 2), (PIPELINE, 1, 1, "a", ACTOR, PROPS, "m", None, "SetMapper", 3), (PIPELINE, 2, 0, "s", BALL, "input", None, None, "SetRadius,SetThetaResolution", 2),
+    (WINDOW, 1, 0, "win", WIN, INFRA, None, None, "AddRenderer", 2), (WINDOW, 1, 1, "it", INTERACTOR, INFRA, None, None, "SetRenderWindow", 2), (WINDOW, 1, 2, "it", INTERACTOR, INFRA, None, None, "Start", 1),
+    (WINDOW, 2, 0, "ren", RENDERER, "renderer", None, None, "", 1), (WINDOW, 3, 0, None, "vtkMath", "utility", None, None, "Random", 1),
+    ("keywords", 1, 0, "a", ACTOR, PROPS, None, None, "", 1), ("keywords", 2, 0, "m", MAPPER, PROPS, None, "b", "", 1), ("keywords", 2, 1, "b", ACTOR, PROPS, "m", None, "SetMapper,SetVisibility", 1),
+    ("keywords", 3, 0, "s", BALL, "input", None, None, "SetCenter,SetThetaresolution", 1),
+    ("results", 1, 0, "s", BALL, "input", None, None, "", 1), ("results", 2, 0, None, "vtkMath", "utility", None, None, "Random,Seed", 2),
+    ("getter", 1, 0, "a", ACTOR, PROPS, None, None, "", 3),
+    ("attributes", 1, 0, "m", MAPPER, PROPS, None, "a", "", 1), ("attributes", 1, 1, "a", ACTOR, PROPS, "m", None, "SetMapper", 2), ("attributes", 2, 0, "s", BALL, "input", None, None, "SetRadius", 3),
+    ("blocks", 1, 0, "r", RENDERER, "renderer", None, None, "ResetCamera,Render,Clear", 4), ("blocks", 2, 0, "c", "vtkCamera", "scene", None, None, "Zoom", 2),
+    ("loops", 1, 0, "r", RENDERER, "renderer", None, None, "Render", 3), ("loops", 2, 0, "s", BALL, "input", None, None, "SetRadius", 2),
+    ("last mapper", 1, 0, "m2", MAPPER, PROPS, None, "a", "", 1), ("last mapper", 1, 1, "a", ACTOR, PROPS, "m2", None, "SetMapper", 3), ("last mapper", 2, 0, "m1", MAPPER, PROPS, None, "a", "", 1),
+    ("properties", 1, 0, "a", ACTOR, PROPS, None, None, "SetProperty", 4), ("properties", 2, 0, "f", "vtkFollower", PROPS, None, None, "", 2),
+    ("rebound", 1, 0, "x", RENDERER, "renderer", None, None, "SetRadius,Render", 4),
+    ("shared", 1, 0, "m", MAPPER, PROPS, None, "b", "", 1), ("shared", 1, 1, "a", ACTOR, PROPS, "m", None, "SetMapper", 2), ("shared", 2, 0, "m", MAPPER, PROPS, None, "b", "", 1),
+    ("shared", 2, 1, "b", ACTOR, PROPS, "m", None, "SetMapper", 2), ("shared", 3, 0, None, "vtkVolume", PROPS, None, None, "Reset", 1),
+    ("infrastructure", 1, 0, "w", WIN, INFRA, None, None, "SetSize", 2), ("infrastructure", 1, 1, "i2", INTERACTOR, INFRA, None, None, "SetRenderWindow,Initialize", 3),
+    ("infrastructure", 1, 2, "st", "vtkInteractorStyleTrackball", INFRA, None, None, "", 1), ("infrastructure", 1, 3, "i2", INTERACTOR, INFRA, None, None, "Start", 1),
+    ("classes", 1, 0, "self.m", MAPPER, PROPS, None, "self.a", "Update", 2), ("classes", 1, 1, "self.a", ACTOR, PROPS, "self.m", None, "SetMapper", 2), ("classes", 2, 0, "self.r", RENDERER, "renderer", None, None, "", 1),
+    ("scopes", 1, 0, "r", RENDERER, "renderer", None, None, "", 1), ("scopes", 2, 0, "z", BALL, "input", None, None, "", 1),
+    ("chains", 1, 0, "a", ACTOR, PROPS, None, None, "", 1),
+]
+
+
+def typed_values(rows: list[tuple], **columns: str) -> str:
+    """SELECT of literal rows, with types."""
+    casts = ", ".join(f"CAST({n} AS {kind}) AS {n}" for n, kind in columns.items())
+    return f"SELECT {casts} FROM {sql_values(rows, *columns)}"
+
+
+@query(typed_values(LIFECYCLES, example_id="VARCHAR", chunk_no="INT", member_no="INT", variable="VARCHAR", **{"class": "VARCHAR"}, role="VARCHAR", mapper="VARCHAR", actor="VARCHAR", methods="VARCHAR", statements="BIGINT"))
 def code_lifecycles(spark: SparkSession, d: str) -> DataFrame:
-    return code_chunks.lifecycles(values(spark, SNIPPETS, "example_id string, code string"), values(spark, CLASSES, CLASS_SCHEMA))
+    return code_chunks.lifecycles(values(spark, SNIPPETS + RULES, "example_id string, code string"), values(spark, MORE_CLASSES, CLASS_SCHEMA))
+
+
+#: chunk_no, chunk_id, action_phrase, synopsis, role, visibility_score, input_datatype, output_datatype, content, variable_name, vtk_class_names, methods, queries, is_pythonic
+CHUNKS = [
+    (1, "Pipeline_chunk_1", "Poly data mapper → Actor display → Property", "Poly data mapper with input connection set to s.GetOutputPort() → Actor display with mapper set to m → Property", PROPS, round((0.7 + 0.5 + 0.5) / 3, 6), "vtkPolyData", ACTOR,
+     "from mod.Core import vtkActor, vtkPolyDataMapper\n\nm = vtkPolyDataMapper()\nm.SetInputConnection(s.GetOutputPort())\na = vtkActor()\na.SetMapper(m)\na.GetProperty().SetColor(1, 0, 0)",
+     "m, a", "vtkPolyDataMapper,vtkActor,vtkProperty", "SetInputConnection|SetMapper|",
+     "How do you use poly data mapper?\nHow do you set the input connection of a poly data mapper?\nHow do you display an actor?\nHow do you set the mapper of an actor display?\nHow do you use property?", True),
+    (2, "Pipeline_chunk_2", "Polygonal sphere creation", "Polygonal sphere creation with radius set to 2.0, theta resolution set to 8", "input", 0.8, "", "vtkPolyData",
+     "from mod.Sources import vtkSphereSource\n\ns = vtkSphereSource(radius=2.0)\ns.SetThetaResolution(8)", "s", BALL, "SetRadius,SetThetaResolution",
+     "How do you create a polygonal sphere?\nHow do you set the radius of a polygonal sphere creation?\nHow do you set the theta resolution of a polygonal sphere creation?", True),
+    (1, "Window_chunk_1", "Render window → Render window interactor", "Render window with renderer added → Render window interactor with render window set to win", INFRA, 0.9, "vtkRenderer", "",
+     "import vtkmodules.vtkRenderingOpenGL2\nimport vtkmodules.vtkInteractionStyle\nfrom mod.Core import vtkRenderWindow, vtkRenderWindowInteractor\n\nwin = vtkRenderWindow()\nwin.AddRenderer(ren)\nit = vtkRenderWindowInteractor()\nit.SetRenderWindow(win)\nit.Start()",
+     "win, it, it", "vtkRenderWindow,vtkRenderWindowInteractor", "AddRenderer|SetRenderWindow,Start",
+     "How do you use render window?\nHow do you add a renderer to a render window?\nHow do you use render window interactor?\nHow do you set the render window of a render window interactor?\nhow to make a window", False),
+    (2, "Window_chunk_2", "Renderer", "Renderer", "renderer", 0.9, ACTOR, RENDERER, "from mod.Core import vtkRenderer\n\nren = vtkRenderer()", "ren", RENDERER, "", "How do you use renderer?\nhow to make a window", False),
+    (3, "Window_chunk_3", "Math", "Math", "utility", 0.4, "", "", "from mod.Math import vtkMath\n\nvtkMath.Random()", "", "vtkMath", "Random", "How do you use math?\nHow do you random a math?", False),
+]
 
 
-@query()
+@query(typed_values(CHUNKS, chunk_no="INT", chunk_id="VARCHAR", action_phrase="VARCHAR", synopsis="VARCHAR", role="VARCHAR", visibility_score="DOUBLE", input_datatype="VARCHAR", output_datatype="VARCHAR", content="VARCHAR", variable_name="VARCHAR", vtk_class_names="VARCHAR", methods="VARCHAR", queries="VARCHAR", is_pythonic="BOOLEAN"))
 def code_chunks_of_snippets(spark: SparkSession, d: str) -> DataFrame:
     chunks = code_chunks.chunk_code(values(spark, SNIPPETS, "example_id string, code string"), values(spark, CLASSES, CLASS_SCHEMA))
-    return chunks.withColumns({"vtk_classes": F.to_json("vtk_classes"), "vtk_class_names": F.array_join("vtk_class_names", ","), "queries": F.array_join("queries", "\n")})
+    methods = F.array_join(F.transform("vtk_classes", lambda c: F.array_join(c["methods"], ",")), "|")
+    shown = chunks.select("chunk_no", "chunk_id", "action_phrase", "synopsis", "role", F.round("visibility_score", 6).alias("visibility_score"), "input_datatype", "output_datatype", "content", "variable_name", F.array_join("vtk_class_names", ",").alias("vtk_class_names"), methods.alias("methods"), F.array_join("queries", "\n").alias("queries"), "is_pythonic")
+    return shown

@@ -4,28 +4,34 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions.embed import Embedder
+from . import storage
 
 PARTS = ("points", "query_vectors", "postings", "term_stats", "corpus_stats")
 
 
-def with_positions(rows: DataFrame, *order: str) -> DataFrame:
-    """Contiguous positions from 0 in a global order, without one task that sorts everything.
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows with their range partition __p in a global order and their number __n in it, without one task that sorts everything."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    return parts.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
 
-    Rows are range-partitioned and sorted; counts by partition, one row each, give every partition its offset.
-    """
-    from pyspark.sql import types as T  # noqa: F401
 
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+def placed(local: DataFrame, name: str = "position") -> DataFrame:
+    """Contiguous positions from 0 of rows from numbered(): counts by partition, one row each, give every partition its offset."""
     counts = local.groupBy("__p").agg(F.count("*").alias("__c"))
     offsets = counts.withColumn("__o", F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = local.join(F.broadcast(offsets.select("__p", F.coalesce("__o", F.lit(0)).alias("__o"))), "__p")  # a row a partition
-    return placed.select(*rows.columns, (F.col("__n") - 1 + F.col("__o")).cast("long").alias("position"))
+    both = local.join(F.broadcast(offsets.select("__p", F.coalesce("__o", F.lit(0)).alias("__o"))), "__p")  # a row a partition
+    own = [c for c in local.columns if c not in ("__p", "__n")]
+    return both.select(*own, (F.col("__n") - 1 + F.col("__o")).cast("long").alias(name))
+
+
+def with_positions(rows: DataFrame, *order: str) -> DataFrame:
+    """Contiguous positions from 0 in a global order; rows that tie take any places among them."""
+    return placed(numbered(rows, *order))
 
 
 def postings(points: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
@@ -38,6 +44,13 @@ def corpus_stats(points: DataFrame, content: str = "content") -> DataFrame:
     return points.select(F.size(text.tokens(F.coalesce(F.col(content), F.lit("")))).cast("long").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def asked_texts(rows: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
+    """(key, qpos, q): the texts of a row's `queries`, or its content where there are none."""
+    text_ = F.coalesce(F.col(content), F.lit(""))
+    own = F.when(F.size(F.coalesce("queries", F.array())) > 0, F.col("queries")).otherwise(F.array(text_)) if "queries" in rows.columns else F.array(text_)
+    return rows.select(key, F.posexplode(own).alias("qpos", "q"))
+
+
 @dataclass
 class Collection:
     name: str
@@ -48,29 +61,42 @@ class Collection:
     corpus_stats: DataFrame
 
     @classmethod
-    def build(cls, name: str, chunks: DataFrame, embedder: Embedder, key: str | None = None, order: tuple[str, ...] = ("chunk_id",), content: str = "content") -> Collection:
-        """From chunks; without a key column, ids are positions in the given order. Texts of `queries` have vectors too; without any, the content's."""
-        ided = chunks.withColumn("id", F.col(key).cast("long")) if key else with_positions(chunks, *order).withColumnRenamed("position", "id")
-        if content != "content":
-            ided = ided.withColumn("content", F.col(content))
-        vec = embedder.column(F.col("content"))
-        points = ided.drop("queries").withColumn("vec", vec).withColumn("norm", scoring.norm(F.col("vec")))
-        if "queries" in ided.columns:
-            texts = ided.select("id", F.when(F.size(F.coalesce("queries", F.array())) > 0, F.col("queries")).otherwise(F.array("content")).alias("q"))
+    def create(
+        cls, name: str, path: str, chunks: DataFrame, embedder: Embedder | None, key: str | None = None, order: tuple[str, ...] = ("chunk_id",), content: str = "content",
+        layout: tuple[str, ...] = (), buckets: int | None = None,
+    ) -> Collection:
+        """A collection of chunks under path, in the place of what was there.
+
+        Without a key column, ids are positions in the given order, ties broken by a hash of the whole row. The rows are
+        stored with their ids first, and all tables come from these. Texts of `queries` have vectors too; without any, the
+        content's. Without an embedder the chunks bring a column vec. layout: fields of filters; points lie in their order, so
+        that statistics of files and row groups prune a filtered scan. The inverted index lies in the order of terms.
+        """
+        spark, staged = chunks.sparkSession, f"{path}/.staged"
+        rows = chunks if content == "content" else chunks.withColumn("content", F.col(content))
+        if key:
+            rows.withColumn("id", F.col(key).cast("long")).write.mode("overwrite").parquet(staged)
+            ided = spark.read.parquet(staged)
+        else:
+            ties = rows.withColumn("__tie", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
+            numbered(ties, *order, "__tie").drop("__tie").write.mode("overwrite").parquet(staged)
+            ided = placed(spark.read.parquet(staged), "id")
+        vectors = F.col("vec") if embedder is None else embedder.column(F.col("content"))
+        points = ided.drop("queries").withColumn("vec", vectors).withColumn("norm", scoring.norm(F.col("vec")))
+        laid = [f for f in layout if f in points.columns]
+        (points.repartitionByRange(*laid, "id").sortWithinPartitions(*laid, "id") if laid else points).write.mode("overwrite").parquet(f"{path}/points")
+        if embedder is None:
+            asked = ided.select("id", F.lit(0).alias("qpos"), "vec")
         else:
-            texts = ided.select("id", F.array("content").alias("q"))
-        asked = texts.select("id", F.posexplode("q").alias("qpos", "q")).select("id", "qpos", embedder.column(F.col("q")).alias("vec"))
-        inverted = postings(points.select("id", "content"))
-        return cls(name, points, asked.withColumn("norm", scoring.norm(F.col("vec"))), inverted, inverted.groupBy("term").agg(F.count("*").alias("df")), corpus_stats(points))
-
-    def write(self, path: str, buckets: int | None = None) -> None:
-        """Overwrites the collection. The inverted index is laid out by term, so that row-group statistics prune a look-up."""
-        self.points.write.mode("overwrite").parquet(f"{path}/points")
-        self.query_vectors.write.mode("overwrite").parquet(f"{path}/query_vectors")
-        (self.postings.repartitionByRange(buckets, "term") if buckets else self.postings.repartitionByRange("term")).sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        stored = self.points.sparkSession.read.parquet(f"{path}/postings")
-        stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
+            asked = asked_texts(ided).select("id", "qpos", embedder.column(F.col("q")).alias("vec"))
+        asked.withColumn("norm", scoring.norm(F.col("vec"))).write.mode("overwrite").parquet(f"{path}/query_vectors")
+        inverted = postings(ided.select("id", "content"))
+        (inverted.repartitionByRange(buckets, "term") if buckets else inverted.repartitionByRange("term")).sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        stored.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+        corpus_stats(ided).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        storage.delete(spark, staged)
+        return cls.read(spark, name, path)
 
     @classmethod
     def read(cls, spark: SparkSession, name: str, path: str) -> Collection:

@@ -16,10 +16,19 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema) -> DataFrame
     return spark.read.schema(full).option("mode", "PERMISSIVE").json(paths)
 
 
-def read_code(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(example_id, code) of records with code; a record without id is `unknown`."""
+def read_code_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(example_id, code) of all records; a record without id is `unknown`, one without code has an empty one."""
     raw = read_jsonl(spark, paths, RAW_CODE)
-    return raw.select(F.coalesce("id", F.lit("unknown")).alias("example_id"), F.coalesce("code", F.lit("")).alias("code")).filter("code <> ''")
+    return raw.select(F.coalesce("id", F.lit("unknown")).alias("example_id"), F.coalesce("code", F.lit("")).alias("code"))
+
+
+def with_code(records: DataFrame) -> DataFrame:
+    return records.filter("code <> ''")
+
+
+def read_code(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(example_id, code) of records with code."""
+    return with_code(read_code_records(spark, paths))
 
 
 def read_docs(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -118,3 +118,80 @@ def test_doc_chunks(spark):
     classes = api_dim.api_classes(docs)
     assert [r["class"] for r in api_dim.search_classes(classes, "FOO").collect()] == ["vtkFoo"]
     assert {r["method"] for r in api_dim.method_info(api_dim.api_methods(docs), "vtkFoo").collect()} == {"SetX", "Skip", "SetY"}
+
+
+def test_classes_beyond_the_broadcast(spark, monkeypatch):
+    classes = spark.createDataFrame(CLASSES, CLASS_SCHEMA)
+    code = spark.createDataFrame([*SNIPPETS, SNIPPETS[0]], "example_id string, code string")
+    key = lambda df: sorted(map(str, df.collect()))
+    sent = key(code_chunks.lifecycles(code, classes))
+    monkeypatch.setattr(api_dim, "MOST_CLASSES", 2)
+    assert key(code_chunks.lifecycles(code, classes)) == sent
+
+
+def test_files_are_analysed_once(spark):
+    chunks = code_chunks.chunk_code(spark.createDataFrame(SNIPPETS, "example_id string, code string"), spark.createDataFrame(CLASSES, CLASS_SCHEMA))
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_dimension_accessors(spark):
+    raw = [("vtkFoo", "mod", "Foo doc.", "a foo", "", "filter", 0.5, "", "", ["SetX"], {"sections": {"Methods defined here:": {"methods": {"SetX": "SetX(x) -> None\nSets.", "A": "A()"}}}})]
+    docs = jsonl.with_doc_defaults(spark.createDataFrame(raw, RAW_DOC))
+    classes, methods = api_dim.api_classes(docs), api_dim.api_methods(docs)
+    assert api_dim.class_doc(classes, "vtkFoo").collect() == [("Foo doc.",)]
+    assert api_dim.class_synopsis(classes, "vtkFoo").collect() == [("a foo",)]
+    assert api_dim.class_methods(methods, "vtkFoo").collect() == [("A",), ("SetX",)]
+    assert api_dim.method_signature(methods, "vtkFoo", "SetX").collect() == [("SetX(x) -> None",)]
+    assert api_dim.method_doc(methods, "vtkFoo", "A").collect() == [("A()",)]
+
+
+def large_script():
+    """About nine hundred lines: pipelines with an actor each, 2D ones, a loop, text, windows and an interactor."""
+    lines = ["import vtk", "def main():"]
+    for i in range(20):
+        lines += [f"    source{i} = vtkSphereSource()", f"    source{i}.SetCenter({i}, 0, 0)", f"    source{i}.SetRadius({i}.5)"]
+        lines += [f"    source{i}.SetThetaResolution({k})" for k in range(8)]
+        lines += [f"    mapper{i} = vtkPolyDataMapper()", f"    mapper{i}.SetInputConnection(source{i}.GetOutputPort())", f"    actor{i} = vtkActor()", f"    actor{i}.SetMapper(mapper{i})"]
+        lines += [f"    actor{i}.GetProperty().SetOpacity(0.{k + 1})" for k in range(9)]
+    for i in range(6):
+        lines += [f"    flat{i} = vtkPolyDataMapper2D()", f"    actor2d{i} = vtkActor2D()", f"    actor2d{i}.SetMapper(flat{i})", f"    text{i} = vtkTextProperty()", f"    text{i}.SetFontSize({i})", f"    actor2d{i}.SetTextProperty(text{i})"]
+    lines += ["    ren = vtkRenderer()", "    win = vtkRenderWindow()", "    win.AddRenderer(ren)", "    for a in actors:", "        ren.AddActor(a)", "        ren.ResetCamera()", "    it = vtkRenderWindowInteractor()", "    it.SetRenderWindow(win)"]
+    lines += [f"    ren.SetBackground({i}, 0, 0)" for i in range(400)] + ["    it.Initialize()", "    win.Render()", "    it.Start()", "main()"]
+    return "\n".join(lines) + "\n"
+
+
+@pytest.fixture(scope="module")
+def large(spark):
+    roles = [(c, "mod.X", r, 0.5, "", "", "", "") for c, r in (ROLES | {"vtkPolyDataMapper2D": "properties", "vtkActor2D": "properties", "vtkTextProperty": "properties"}).items()]
+    chunks = code_chunks.chunk_code(spark.createDataFrame([("large", large_script())], "example_id string, code string"), spark.createDataFrame(roles, CLASS_SCHEMA))
+    return sorted(chunks.collect(), key=lambda r: r["chunk_no"])
+
+
+def test_large_script_chunks(large):
+    assert large_script().count("\n") > 850
+    assert len(large) == 1 + 20 + 6 + 20 + 1  # infrastructure, actors, 2D actors, sources, renderer
+    sizes = [len(r["content"]) for r in large]
+    assert sum(n < 50 for n in sizes) < 0.3 * len(sizes)
+    assert sum(n > 4000 for n in sizes) < 3
+    assert len({(r["chunk_id"], r["chunk_no"]) for r in large}) == len(large)
+    assert all(r["queries"] and r["synopsis"] and r["content"] and r["role"] for r in large)
+
+
+def test_large_script_groups(large):
+    by = {}
+    for r in large:
+        by.setdefault(r["variable_name"], []).append(r)
+    assert "mapper3, actor3" in by and "flat2, actor2d2" in by  # mappers stand with their actors, 2D ones too
+    assert by["flat2, actor2d2"][0]["vtk_class_names"] == ["vtkPolyDataMapper2D", "vtkActor2D", "vtkTextProperty"]
+    assert "text2.SetFontSize(2)" in by["flat2, actor2d2"][0]["content"]
+    infra = large[0]
+    assert infra["role"] == "infrastructure"
+    assert infra["content"].rstrip().endswith("it.Start()")
+    assert "ren.AddActor" not in infra["content"]  # the loop's body is the renderer's
+    (renderer,) = by["ren"]
+    assert "for a in actors:" in renderer["content"] and "ren.ResetCamera()" in renderer["content"]
+    assert len(renderer["queries"]) == len(set(q.lower() for q in renderer["queries"]))
+    assert by["source4"][0]["content"].count("source4.SetThetaResolution") == 8
+    assert by["source4"][0]["synopsis"].count("theta resolution") == 1  # of repeated calls the first
+    assert "mapper3.SetInputConnection(source3.GetOutputPort())" in by["mapper3, actor3"][0]["content"]
+    assert all("vtk.vtk" not in r["content"] and "self." not in r["content"] for r in large)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corvane import cli
 from corvane.config import Config, load_config, read_env_file
 from corvane.functions import scoring
-from corvane.functions.embed import HashEmbedder
+from corvane.functions.embed import HashEmbedder, ModelEmbedder
 from corvane.operators import filters as fl
 from corvane.operators import retriever as rt
 from corvane.plans import build
@@ -27,8 +27,7 @@ def rows(spark):
 @pytest.fixture(scope="module")
 def engine(spark, rows, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("c"))
-    built = Collection.build("code", rows.withColumn("chunk_id", F.col("n").cast("string")), HashEmbedder(32), key="n")
-    built.write(path)
+    Collection.create("code", path, rows.withColumn("chunk_id", F.col("n").cast("string")), HashEmbedder(32), key="n")
     return rt.Retriever({"code": Collection.read(spark, "code", path)}, HashEmbedder(32))
 
 
@@ -122,6 +121,62 @@ def test_merge_and_samples(spark, rows):
     assert {(r["role"], r["n"]) for r in rt.sample_per_group(rows, "role", 1, "n").collect()} == {("x", 0), ("y", 1)}
 
 
+def test_wished_conditions_rank(engine):
+    points = engine.collections["code"].points
+    plain = [r["id"] for r in engine.bm25_search("red apple tree", limit=6).collect()]
+    wished = fl.FilterBuilder(points).exclude("n", 1).should_match("role", "y")
+    got = engine.bm25_search("red apple tree", limit=6, filters=wished).collect()
+    assert "boost" not in got[0].asDict()
+    assert [r["id"] for r in got] == sorted((i for i in plain if i != 1), key=lambda i: (i % 2 == 0, plain.index(i)))
+
+
+def test_ids_are_the_same_in_all_tables(spark, tmp_path):
+    """Rows that tie in the order of a collection: every table knows a text by one id."""
+    same = spark.createDataFrame([("unknown", 1, f"text number{i}") for i in range(50)] * 2, "example_id string, chunk_no int, content string").repartition(7)
+    c = Collection.create("code", str(tmp_path / "c"), same, HashEmbedder(16), order=("example_id", "chunk_no"))
+    texts = {r["id"]: r["content"] for r in c.points.collect()}
+    assert sorted(texts) == list(range(100))
+    for r in c.postings.filter("term LIKE 'number%'").collect():
+        assert texts[r["id"]].endswith(r["term"])
+    assert not (tmp_path / "c" / ".staged").exists()
+    assert c.info().first()["points_count"] == 100
+    assert {r["df"] for r in c.term_stats.filter("term <> 'text'").collect()} == {2}
+    again = Collection.create("code", str(tmp_path / "c"), same.limit(3), HashEmbedder(16), order=("example_id", "chunk_no"))
+    assert again.points.count() == 3
+
+
+def test_index_is_pruned_by_term(spark, engine):
+    plan = engine.bm25_search("red", "code")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,red)" in plan or "In(term, [red" in plan
+
+
+def test_model_embedder(spark, tmp_path):
+    times = []
+
+    def load():
+        times.append(1)
+        return lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts]
+
+    e = ModelEmbedder(load, 2)
+    assert [e.one("tree"), e.one("be")] == [[4.0, 2.0], [2.0, 1.0]]
+    assert len(times) == 1
+    df = spark.createDataFrame([(0, "tree"), (1, None), (2, "be")], "n long, content string")
+    assert [r["v"] for r in df.orderBy("n").select(e.column(F.col("content")).alias("v")).collect()] == [[4.0, 2.0], [0.0, 0.0], [2.0, 1.0]]
+    Collection.create("docs", str(tmp_path / "m"), df, e, key="n")
+    found = rt.Retriever({"docs": Collection.read(spark, "docs", str(tmp_path / "m"))}, e, docs="docs").search_docs("tree", hybrid=False).collect()
+    assert [r["id"] for r in found] == [0, 2]
+
+
+def test_products_of_odd_vectors(spark):
+    rows = [(0, [3.0, 4.0]), (1, None), (2, [1.0]), (3, []), (4, [None, 1.0]), (5, [0.0, 0.0]), (6, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = {r["id"]: (r["c"], r["n"]) for r in df.select("id", scoring.cosine(F.col("v"), [1.0, 0.0]).alias("c"), scoring.norm(F.col("v")).alias("n")).collect()}
+    assert got[0] == (pytest.approx(0.6), 5.0)
+    assert got[6] == (1.0, 1.0)
+    assert [got[i][0] for i in (1, 2, 3, 4, 5)] == [None] * 5
+    assert got[1][1] is None
+
+
 def test_config():
     c = load_config({"CORVANE_TOP_K": "7", "CORVANE_USE_HYBRID": "no", "CORVANE_MIN_VISIBILITY_SCORE": "0.5"})
     assert (c.top_k, c.use_hybrid, c.min_visibility_score, c.prefetch) == (7, False, 0.5, 20)
@@ -145,6 +200,12 @@ def test_command_line(spark, tmp_path, capsys):
     (raw / "tests.jsonl").write_text(json.dumps({"code": "s = vtkSphereSource()"}) + "\n")
     (raw / "docs.jsonl").write_text("\n".join(json.dumps({"class_name": c[0], "module_name": c[1], "role": c[2], "visibility_score": c[3], "action_phrase": c[4], "class_doc": "About " + c[0]}) for c in CLASSES))
     assert cli.main(["build"], spark, config) == 0
+    out = capsys.readouterr().out
+    assert "'docs': 14" in out
+    assert "'files': 5, 'files_without_code': 1, 'chunks': 6, 'files_with_chunks': 3" in out
+    # the points of a collection lie in the order of its filters
+    assert [r["chunk_type"] for r in spark.read.parquet(str(tmp_path / "i" / "docs" / "points")).collect()] == ["class_overview"] * 7 + ["constructor"] * 7
+    assert build.main(["--index"], spark, config) == 0
     assert "'docs': 14" in capsys.readouterr().out
     found = build.retriever(spark, config)
     assert found.search_by_class("vtkActor").first()["class_name"] == "vtkActor"
@@ -157,6 +218,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["roles", "docs", "-n", "1", "--output", str(tmp_path / "r.txt")], spark, config) == 0
     assert "? What is vtkActor?" in (tmp_path / "r.txt").read_text()
     assert "properties: 1" in (tmp_path / "r.txt").read_text()
+    assert cli.main(["search", "sphere", "--code", "--pythonic", "true"], spark, config) == 0
+    assert "Pipeline_chunk" in capsys.readouterr().out
+    few = Config(**{**config.__dict__, "top_k": 1, "min_visibility_score": 0.85, "use_hybrid": False})
+    engine = build.retriever(spark, few)
+    assert cli.main(["search", "sphere renderer", "--bm25"], spark, few) == 0
+    assert len(capsys.readouterr().out.strip().splitlines()) == 1
+    assert min(r["visibility_score"] for r in engine.search_docs("renderer", limit=9).collect()) >= 0.85
+    assert engine.search_code("renderer").collect() == engine.search("renderer", "code").collect()
+    renamed = Config(**{**config.__dict__, "code_collection": "snippets", "docs_collection": "api"})
+    assert build.main([], spark, renamed) == 0
+    assert build.retriever(spark, renamed).search_by_class("vtkActor").first()["collection"] == "api"
+    assert cli.main(["search", "vtkSphereSource", "--docs", "--bm25", "-n", "1"], spark, renamed) == 0
+    assert "api | vtkSphereSource" in capsys.readouterr().out
+    assert cli.main(["roles", "code", "-n", "1"], spark, renamed) == 0
+    assert build.main(["--clean"], spark, Config(**{**config.__dict__, "processed_dir": str(tmp_path / "no"), "index_dir": str(tmp_path / "no")})) == 0
+    assert "nothing" in capsys.readouterr().out
     assert cli.main(["clean"], spark, config) == 0
     assert not (tmp_path / "p").exists()
 
