@@ -26,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .words import portions
 
 #: White space stripped from a line's ends to get its key.
 STRIP = b" \t\n\x0b\x0c\r"
@@ -41,7 +41,7 @@ MIN_CHARS, MIN_DOCS = 40, 5
 #: Index entries in a shard, and bytes of an entry (fingerprint, count, largest id, bits).
 SHARD_ENTRIES, ENTRY_BYTES = 1 << 16, 22
 #: Distinct lines that a task counts before it hands on its partial counts.
-PARTIAL = 150_000
+PARTIAL = 100_000
 #: Probes that one co-grouped task takes, about.
 PROBES = 1 << 19
 NULL_ID = -(1 << 63)
@@ -197,14 +197,16 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def build_index(counts: DataFrame, shards: int) -> DataFrame:
     """(shard, blob): the perfect hash and arrays of each shard."""
 
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def build(key, rows):
+        import pandas as pd
+
         hi, lo = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("hi", "lo"))
         return pd.DataFrame({"shard": [key[0]], "blob": [LineShard.build(hi, lo, rows["n"].to_numpy(np.int64), rows["last"].to_numpy(np.int64)).dump()]})
 
     return counts.groupBy(F.pmod("hi", F.lit(shards)).cast("int").alias("shard")).applyInPandas(build, "shard int, blob binary")
 
 
-def _rewrite(doc_ids: list[int], texts: list[bytes], min_chars: int, holders) -> Iterator[tuple[bytes, int, int]]:
+def _rewrite(texts: list[bytes], min_chars: int, holders) -> Iterator[tuple[bytes, int, int]]:
     """New text, lines before, lines dropped of each document. holders(row numbers, digests) says which of the lines go."""
     split = [t.split(b"\n") for t in texts]
     places, digests = [], []
@@ -250,18 +252,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loaded = {shard: LineShard.load(blob) for shard, blob in sent.value}
             for batch in batches:
-                ids = batch.column("__id").to_numpy()
+                for start, texts in portions(batch.column("__text")):
+                    part = batch.slice(start, len(texts))
+                    ids = part.column("__id").to_numpy()
 
-                def holders(rows: list[int], digests: list[bytes], ids: np.ndarray = ids) -> np.ndarray:
-                    hl, go = halves(digests), np.zeros(len(digests), bool)
-                    shard, own = hl[:, 0].view(np.int64) % shards if shards > 1 else np.zeros(len(hl), np.int64), ids[rows]
-                    for s, part in loaded.items():
-                        at = np.flatnonzero(shard == s)
-                        known, last = part.last_holder(hl[at, 0], hl[at, 1])
-                        go[at] = known & (last != own[at])
-                    return go
+                    def holders(rows: list[int], digests: list[bytes], ids: np.ndarray = ids) -> np.ndarray:
+                        hl, go = halves(digests), np.zeros(len(digests), bool)
+                        shard, own = hl[:, 0].view(np.int64) % shards if shards > 1 else np.zeros(len(hl), np.int64), ids[rows]
+                        for s, index_ in loaded.items():
+                            at = np.flatnonzero(shard == s)
+                            known, last = index_.last_holder(hl[at, 0], hl[at, 1])
+                            go[at] = known & (last != own[at])
+                        return go
 
-                yield out(batch, list(_rewrite([], batch.column("__text").to_pylist(), min_chars, holders)))
+                    yield out(part, list(_rewrite(texts, min_chars, holders)))
 
         result = source.mapInArrow(probe, schema)
     else:
@@ -270,8 +274,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                go = [set(x or ()) for x in batch.column("__drop").to_pylist()]
-                yield out(batch, list(_rewrite([], batch.column("__text").to_pylist(), min_chars, lambda rows, digests, go=go: [d in go[i] for i, d in zip(rows, digests, strict=True)])))
+                for start, texts in portions(batch.column("__text")):
+                    part = batch.slice(start, len(texts))
+                    go = [set(x or ()) for x in part.column("__drop").to_pylist()]
+                    yield out(part, list(_rewrite(texts, min_chars, lambda rows, digests, go=go: [d in go[i] for i, d in zip(rows, digests, strict=True)])))
 
         result = joined.mapInArrow(apply, schema)
     return result.select(*[F.col(f"`{c}`").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in [c for c in docs.columns if c in base or c == "text"] + list(added[1:])])
@@ -312,7 +318,9 @@ def routed_drops(docs: DataFrame, index: DataFrame, shards: int, min_chars: int)
     probes = probes.select("shard", F.pmod(F.xxhash64("doc", "digest"), "salts").cast("int").alias("salt"), "doc", "digest")
     spread = index.join(salts, "shard").select("shard", "blob", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
-    def meet(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+    def meet(asked, shard):
+        import pandas as pd
+
         if not len(asked) or not len(shard):
             return pd.DataFrame({"doc": pd.Series([], dtype="int64"), "digest": pd.Series([], dtype="object")})
         hl, ids = halves([bytes(x) for x in asked["digest"]]), asked["doc"].to_numpy(np.int64)

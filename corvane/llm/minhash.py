@@ -39,7 +39,7 @@ SHINGLE, BANDS, ROWS = 5, 32, 4
 #: The threshold as a fraction of integers, so that it is exact.
 PART, WHOLE = 75, 100
 #: Bytes of text taken at once.
-PORTION = 2 << 20
+PORTION = 1 << 20
 
 #: Lower-cases A-Z and maps the other white space to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))

@@ -38,7 +38,7 @@ EPOCHS, BATCH, RATE = 6, 32, 0.02
 #: Labelled rows of both labels that a language's own threshold takes; bins of a histogram for one unit of log-odds.
 LEAST, BINS = 5, 100
 #: Words convolved at once.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 
 
 @dataclass

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 _KEEP = b"abcdefghijklmnopqrstuvwxyz0123456789"
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in _KEEP else 32 for c in range(256))
 #: Bytes of words that a worker remembers, with WORD_BYTES for what else an entry takes.
-REMEMBER, WORD_BYTES = 48 << 20, 180
+REMEMBER, WORD_BYTES = 16 << 20, 180
 
 
 def words(text: bytes) -> list[bytes]:
@@ -50,8 +50,12 @@ def crc(word: bytes) -> int:
     return zlib.crc32(word)
 
 
-def portions(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first index, texts) of consecutive portions of about size bytes, one text at least; one portion is taken out of Arrow at a time."""
+def portions(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first index, texts) of consecutive portions of about size bytes, one text at least; one portion is taken out of Arrow at a time.
+
+    What Arrow has freed of earlier batches goes back to the system: a worker shares its executor's memory with others.
+    """
+    pa.default_memory_pool().release_unused()
     start, held = 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         held += n or 0
