@@ -49,6 +49,11 @@ def _buckets(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), BETWEEN), ""), lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int"))
 
 
+def _constant(numbers: Sequence[float]) -> Column:
+    """array<double> of the numbers, from one string that the optimiser folds: a literal for each costs the driver a call and an expression."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>")
+
+
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -90,7 +95,7 @@ def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     rows = base.withColumn("__b", _buckets(_text())).withColumn("tokens", F.size("__b").cast("long"))
 
     def total(weights: list[float]) -> Column:
-        table = F.lit(weights)
+        table = _constant(weights)
         return F.aggregate("__b", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b))
 
     scale = F.lit(EVIDENCE) / F.greatest(F.col("tokens").cast("double"), F.lit(EVIDENCE))
