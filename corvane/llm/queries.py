@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, lines, lm, minhash, mixing, pii, tokens, toxicity, warc, winnow
+from . import ann, common, importance, lines, lm, minhash, mixing, pii, tokens, toxicity, warc, winnow
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,12 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(common.table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scores, op3_toxicity, op4_line_dedup, op5_decontamination, op6_mixing, op7_pii, op8_warc, op9_minhash, op10_ann)}
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (common.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return importance.resample(docs.select("doc_id", "text"), items)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scores, op3_toxicity, op4_line_dedup, op5_decontamination, op6_mixing, op7_pii, op8_warc, op9_minhash, op10_ann, op13_importance)}
 
 ORACLES = {
     "op4_line_dedup": r"""
@@ -132,4 +137,43 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f""",
+    "op13_importance": r"""
+WITH tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), d AS (
+  SELECT 0 AS side, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 1, NULL, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark
+), e AS (
+  SELECT side, doc_id, unnest(w) AS a, unnest(w[2:] || [NULL]) AS b, unnest(w[3:] || [NULL, NULL]) AS c FROM d WHERE len(w) > 0
+), f AS (
+  SELECT side, doc_id, a, b, c, count(*) AS n FROM e GROUP BY ALL
+), words AS (
+  SELECT w, list_transform(range(length(hex(encode(w))) // 2), lambda k: ('0x' || substr(hex(encode(w)), 2 * k + 1, 2))::BIGINT) AS bytes FROM (SELECT DISTINCT a AS w FROM f)
+), one AS (
+  SELECT w, bytes, list_reduce(list_prepend(4294967295, bytes), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])) AS s FROM words, tab
+), two AS (
+  SELECT a, b, list_reduce(list_prepend(o.s, list_prepend(32, words.bytes)), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])) AS s
+  FROM (SELECT DISTINCT a, b FROM f WHERE b IS NOT NULL) p JOIN one o ON o.w = p.a JOIN words ON words.w = p.b, tab
+), three AS (
+  SELECT a, b, c, list_reduce(list_prepend(two.s, list_prepend(32, words.bytes)), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])) AS s
+  FROM (SELECT DISTINCT a, b, c FROM f WHERE c IS NOT NULL) p JOIN two USING (a, b) JOIN words ON words.w = p.c, tab
+), k AS (
+  SELECT side, doc_id, n, xor(s, 4294967295) % 10000 AS bucket FROM f JOIN one ON one.w = f.a
+  UNION ALL SELECT side, doc_id, n, xor(s, 4294967295) % 10000 FROM f JOIN two USING (a, b)
+  UNION ALL SELECT side, doc_id, n, xor(s, 4294967295) % 10000 FROM f JOIN three USING (a, b, c)
+), g AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0)::DOUBLE AS t FROM k GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM g) + 10000) / ((s + 1) * ((SELECT sum(t) FROM g) + 10000))))::BIGINT AS gain FROM g
+), v AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM k JOIN gain USING (bucket) WHERE side = 0 GROUP BY doc_id
+), x AS (
+  SELECT d.doc_id, len(w) >= 20 AS enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN v USING (doc_id) WHERE side = 0
+), y AS (
+  SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS r FROM x
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= (SELECT 5 * count(*) // 100 FROM x WHERE enough) THEN r END AS rank FROM y""",
 }
