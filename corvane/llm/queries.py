@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, importance, lines, lm, minhash, mixing, pii, tokens, toxicity, warc, winnow
+from . import ann, common, importance, lines, lm, minhash, mixing, negatives, pii, tokens, toxicity, warc, winnow
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +63,17 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(common.table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(common.table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label)
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (common.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return importance.resample(docs.select("doc_id", "text"), items)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scores, op3_toxicity, op4_line_dedup, op5_decontamination, op6_mixing, op7_pii, op8_warc, op9_minhash, op10_ann, op13_importance)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scores, op3_toxicity, op4_line_dedup, op5_decontamination, op6_mixing, op7_pii, op8_warc, op9_minhash, op10_ann, op12_hard_negatives, op13_importance)}
 
 ORACLES = {
     "op4_line_dedup": r"""
@@ -137,6 +142,19 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f""",
+    "op12_hard_negatives": """
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, a.label = b.label AS same, b.id AS id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     "op13_importance": r"""
 WITH tab AS (
   SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
