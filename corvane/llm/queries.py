@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, importance, lines, lm, minhash, mixing, negatives, pii, tokens, toxicity, warc, winnow
+from . import ann, common, importance, lines, lm, minhash, mixing, negatives, ngram_join, pii, tokens, toxicity, warc, winnow
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(common.table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(common.table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label)
@@ -73,7 +77,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs.select("doc_id", "text"), items)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scores, op3_toxicity, op4_line_dedup, op5_decontamination, op6_mixing, op7_pii, op8_warc, op9_minhash, op10_ann, op12_hard_negatives, op13_importance)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scores, op3_toxicity, op4_line_dedup, op5_decontamination, op6_mixing, op7_pii, op8_warc, op9_minhash, op10_ann, op11_ngram_join, op12_hard_negatives, op13_importance)}
 
 ORACLES = {
     "op4_line_dedup": r"""
@@ -142,6 +146,25 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f""",
+    "op11_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS sh FROM w
+), u AS (
+  SELECT doc_id, len(sh) AS n, hash(unnest(sh)) AS h FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (max(a.n) + max(b.n) - count(*))
+), e AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r AS (
+  SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a
+), c AS (
+  SELECT node, min(root) AS component_id FROM r GROUP BY node
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN c ON s.doc_id = c.node""",
     "op12_hard_negatives": """
 WITH r AS (
   SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
