@@ -6,8 +6,8 @@ SLOTS hashed counters, summed in every task before it sends anything; equal coun
 there is, never what is found: two similar sets share one of the first n - t + 1 shingles of each, t being the least
 intersection for their sizes, in any order (Chaudhuri et al. 2006; Xiao et al. 2008).
 
-Classes are joined on the shingles of their prefixes. A pair is kept if its sizes fit (length), if what follows its first
-common place can still give t (positional), and if the suffixes behind that place can (suffix): PIVOTS cut the order into
+Classes are joined on the shingles of their prefixes and on steps of sizes (length filter). A pair is kept if its sizes fit, if what
+follows its first common place can still give t (positional), and if the suffixes behind that place can (suffix): PIVOTS cut the order into
 pieces, and the sums over pieces of the differences of how many shingles both suffixes have there are bounds of how much
 they differ. What is left is verified once a pair on whole sets.
 
@@ -165,33 +165,41 @@ def least_common(n: Column, m: Column, part: int = PART, whole: int = WHOLE) ->
     return F.ceil((n + m) * part / F.lit(float(part + whole)) - 1e-9)
 
 
-def fits(n: Column, i: Column, m: Column, j: Column, part: int = PART, whole: int = WHOLE) -> Column:
-    """Length and positional filter: whether sets of n and m whose first common shingle is their i-th and j-th can be similar."""
+def fits(n: Column, i: Column, m: Column, j: Column, upto: Column, part: int = PART, whole: int = WHOLE) -> Column:
+    """Length and positional filter: whether sets of n and m that have their i-th and j-th shingle in common can be similar. upto: how many up to that place they can have in common, 1 if it is the first."""
     lengths = F.least(n, m) * whole >= F.greatest(n, m) * part
-    return lengths & (1 + F.least(n - i, m - j) >= least_common(n, m, part, whole))
+    return lengths & (upto + F.least(n - i, m - j) >= least_common(n, m, part, whole))
 
 
-def suffixes_fit(n: Column, i: Column, a: Column, m: Column, j: Column, b: Column, part: int = PART, whole: int = WHOLE) -> Column:
+def suffixes_fit(n: Column, i: Column, a: Column, m: Column, j: Column, b: Column, upto: Column, part: int = PART, whole: int = WHOLE) -> Column:
     """Suffix filter: a and b say how many shingles lie before each pivot. In every piece the suffixes behind i and j differ by as much as their numbers there."""
     behind = lambda ends, at, size: F.transform(F.concat(ends, F.array(size.cast("int"))), lambda e: F.greatest(e, at.cast("int")))
     gaps = F.zip_with(behind(a, i, n), behind(b, j, m), lambda x, y: x - y)
     before = F.slice(F.concat(F.array((i - j).cast("int")), gaps), F.lit(1), F.size(gaps))
     differ = F.aggregate(F.zip_with(gaps, before, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return 1 + (n - i + m - j - differ) / 2 >= least_common(n, m, part, whole)
+    return upto + (n - i + m - j - differ) / 2 >= least_common(n, m, part, whole)
 
 
 def classes_of(sketched: DataFrame, prefixed: DataFrame) -> DataFrame:
     """(node, hi, lo, rep, copies, n, prefix, ends) of each class of equal sets: its number, its smallest id, its documents. Materialised, for numbers hold for one computation."""
     reps = sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     first = prefixed.groupBy("hi", "lo").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "ends")])
-    return common.cut(reps.join(first, ["hi", "lo"]).withColumn("node", F.monotonically_increasing_id()))
+    return common.stored(reps.join(first, ["hi", "lo"]).withColumn("node", F.monotonically_increasing_id()))
 
 
-def lists(classes: DataFrame) -> DataFrame:
-    """(s, node, n, i): the prefix shingles that several classes share, i being the shingle's place in the set, from 1."""
-    each = classes.select("node", "n", F.posexplode("prefix").alias("i", "s"))
-    shared = common.cut(each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1"))
-    return each.join(common.small(shared.select("s")), "s").select("s", "node", "n", (F.col("i") + 1).cast("long").alias("i"))
+def lists(classes: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame:
+    """(s, node, n, i, met): members of the lists of prefix shingles that several classes share; i is the shingle's place in the set, from 1.
+
+    A list holds one shingle and sizes that may fit: a class is in the lists of its own step of sizes and of the next one, and similar sets
+    are a step apart at most. met: in how many places of lists a class is.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(whole / part) * (1 + 1e-6)))
+    each = classes.select("node", "n", F.posexplode("prefix").alias("i", "place"), step.alias("step")).withColumn("step", F.explode(F.array("step", F.col("step") + 1)))
+    each = each.select(F.xxhash64("place", "step").alias("s"), "node", (F.col("i") + 1).alias("i"))
+    shared = common.stored(each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s"))
+    held = common.stored(each.join(common.small(shared), "s"))
+    sizes = held.groupBy("node").agg(F.count("*").alias("met")).join(classes.select("node", "n"), "node")
+    return held.join(common.small(common.stored(sizes)), "node").select("s", "node", "n", F.col("i").cast("long").alias("i"), "met")
 
 
 def _first_met(pairs: DataFrame) -> DataFrame:
@@ -207,7 +215,7 @@ def star_pairs(rooted: DataFrame, nth: int) -> DataFrame:
     per = rooted.groupBy("s", "root").agg(F.count("*").alias("k"), F.max(F.struct("met", "n", "node", "i")).alias("star"))
     rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("k"), F.desc("star.met"), "root"))
     stars = per.withColumn("r", rank).filter(F.col("r") == nth).select("s", F.col("root").alias("other"), F.col("star.node").alias("b"), F.col("star.n").alias("nb"), F.col("star.i").alias("j"))
-    met = rooted.join(stars, "s").filter("root <> other").filter(fits(F.col("n"), F.col("i"), F.col("nb"), F.col("j")))
+    met = rooted.join(stars, "s").filter("root <> other").filter(fits(F.col("n"), F.col("i"), F.col("nb"), F.col("j"), F.least("i", "j")))
     return met.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb", "i", "j")
 
 
@@ -215,10 +223,10 @@ def crossing_pairs(rooted: DataFrame) -> DataFrame:
     """All pairs in the lists that may be similar and lie in different components: one of the two is outside of its list's largest."""
     per = rooted.groupBy("s", "root").agg(F.count("*").alias("k"))
     top = per.groupBy("s").agg(F.max(F.struct("k", "root")).getField("root").alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("s", "top")
-    placed = common.cut(rooted.join(top, "s"))
+    placed = common.stored(rooted.join(top, "s"))
     a = placed.filter("root <> top").select("s", F.col("node").alias("a"), F.col("n").alias("na"), "i", F.col("root").alias("ra"))
     b = placed.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("root").alias("rb"))
-    met = a.join(b, (a["s"] == b["s"]) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("i"), F.col("nb"), F.col("j")))
+    met = a.join(b, (a["s"] == b["s"]) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("i"), F.col("nb"), F.col("j"), F.lit(1)))
     return met.select("a", "b", "na", "nb", "i", "j")
 
 
@@ -235,42 +243,41 @@ def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     order = Order(rarity(sketched))
     documents = sketched.filter(F.col("chunk").isNull()).select("doc_id", "n", "hi", "lo")
     classes = classes_of(documents, prefixes(docs, order, size))
-    listed = common.cut(lists(classes))
-    # whole sets and pieces of what meets another class in a prefix
-    met = listed.groupBy("node").agg(F.count("*").alias("met"))
-    wanted = common.cut(classes.join(met, "node").select("node", "rep", "hi", "lo", "ends", "met"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(common.small(wanted.select("node", "rep", "hi", "lo")), "rep")
-    sets = common.cut(minhash.sets_of(texts, size))
-    if sets.count() > wanted.count():  # tasks saw rows that repeat a document
-        sets = common.cut(sets.dropDuplicates(["node"]))
-    members = common.cut(listed.join(common.small(wanted.select("node", "met")), "node").select("s", "node", "n", "i", "met"))
-    ends, rows = wanted.select("node", "ends"), members.count()
+    members = common.stored(lists(classes))
+    ends, rows = classes.select("node", "ends"), members.count()
     tried: DataFrame | None = None
     links = common.cut(documents.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0))
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     def rooted() -> DataFrame:
-        return common.cut(members.join(common.small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        return common.stored(members.join(common.small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
 
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs that were not tried before, and the links among them."""
+    def verified(pairs: DataFrame, upto: Column) -> tuple[DataFrame, DataFrame]:
+        """Pairs that were not tried before, and the links among them. Whole sets are made for what passes all filters."""
         once = _first_met(pairs)
-        once = common.cut(once if tried is None else once.join(tried, ["a", "b"], "left_anti"))
+        once = common.stored(once if tried is None else once.join(tried, ["a", "b"], "left_anti"))
         left, right = ends.select(F.col("node").alias("a"), F.col("ends").alias("ea")), ends.select(F.col("node").alias("b"), F.col("ends").alias("eb"))
-        near = once.join(left, "a").join(right, "b").filter(suffixes_fit(*map(F.col, ("na", "i", "ea", "nb", "j", "eb"))))
-        return once.select("a", "b"), common.cut(minhash.verify(near.select("a", "b"), sets, PART, WHOLE))
+        near = once.join(left, "a").join(right, "b").filter(suffixes_fit(*map(F.col, ("na", "i", "ea", "nb", "j", "eb")), upto))
+        near = common.stored(near.select("a", "b"))
+        nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+        wanted = common.cut(classes.select("node", "rep", "hi", "lo").join(nodes, "node", "left_semi"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(common.small(wanted), "rep")
+        sets = common.stored(minhash.sets_of(texts, size))
+        if sets.count() > wanted.count():  # tasks saw rows that repeat a document
+            sets = common.stored(sets.dropDuplicates(["node"]))
+        return once.select("a", "b"), common.cut(minhash.verify(near, sets, PART, WHOLE))
 
     for nth in range(1, ROUNDS + 1):
         now = rooted()
         if nth > 1 and open_pairs(now) <= PATIENCE * rows:
             break
-        pairs, found = verified(star_pairs(now, nth))
-        tried = pairs if tried is None else common.cut(tried.unionByName(pairs))
+        pairs, found = verified(star_pairs(now, nth), F.least("i", "j"))
+        tried = pairs if tried is None else common.stored(tried.unionByName(pairs))
         if found.isEmpty():
             break
         links = common.cut(links.unionByName(found))
         roots = graph.components(links, "a", "b")
-    _, found = verified(crossing_pairs(rooted()))
+    _, found = verified(crossing_pairs(rooted()), F.lit(1))
     again = minhash.same_id(documents.withColumnRenamed("n", "n_shingles"), classes)
     new = [x for x in (None if found.isEmpty() else found, again) if x is not None]
     if new:
