@@ -9,7 +9,7 @@ intersection for their sizes, in any order (Chaudhuri et al. 2006; Xiao et al. 2
 Classes are joined on the shingles of their prefixes and on steps of sizes (length filter). A pair is kept if its sizes fit, if what
 follows its first common place can still give t (positional), and if the suffixes behind that place can (suffix): PIVOTS cut the order into
 pieces, and the sums over pieces of the differences of how many shingles both suffixes have there are bounds of how much
-they differ. What is left is verified once a pair on whole sets.
+they differ; of whole sets the same bound stands in the join's condition. What is left is verified once a pair on whole sets.
 
 The result are classes of linked documents, so no pair inside of a component is needed. In the list of a prefix shingle,
 members are first compared with one of them, that which shares most with others; such rounds go on with further
@@ -39,7 +39,7 @@ SHINGLE = 3
 #: The least similarity as a fraction of integers, so that it is exact.
 PART, WHOLE = 90, 100
 #: Counters of shingles, in chunks that are summed as one row; pieces of the order for the suffix filter.
-SLOTS, CHUNK, PIECES = 1 << 20, 1 << 15, 32
+SLOTS, CHUNK, PIECES = 1 << 22, 1 << 15, 32
 #: Digests of texts that a task remembers, so that repeated texts are counted and sent once by it.
 REMEMBER = 100_000
 #: Rounds of comparing with one member, and pairs for each row of the lists beyond which another round is tried.
@@ -86,7 +86,7 @@ def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(list(map(len, sets)), pa.int64()), hi, lo, *none], ["doc_id", "n", "hi", "lo", "chunk", "counts"])
         parts = counts.reshape(-1, CHUNK)
         some = np.flatnonzero(parts.any(1))
-        packed = pa.array([parts[i].astype("<i4" if parts[i].max() < 1 << 31 else "<i8").tobytes() for i in some], pa.binary())
+        packed = pa.array([_packed(parts[i]) for i in some], pa.binary())
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), pa.int64())] * 4, pa.array(some, pa.int32()), packed], ["doc_id", "n", "hi", "lo", "chunk", "counts"])
 
     return _source(docs).mapInArrow(run, SKETCH)
@@ -96,8 +96,14 @@ def slot(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters of a chunk in as few bytes as its largest needs."""
+    most = int(counts.max())
+    return counts.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if most < 1 << 8 * n)).tobytes()
+
+
 def _counters(chunk: bytes) -> np.ndarray:
-    return np.frombuffer(chunk, "<i4" if len(chunk) == 4 * CHUNK else "<i8").astype(np.int64)
+    return np.frombuffer(chunk, f"<u{len(chunk) // CHUNK}").astype(np.int64)
 
 
 def rarity(sketched: DataFrame) -> np.ndarray:
@@ -108,7 +114,7 @@ def rarity(sketched: DataFrame) -> np.ndarray:
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 total[chunk] = total.get(chunk, 0) + _counters(counts.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_packed(v) for v in total.values()], pa.binary())], ["chunk", "counts"])
 
     rows = sketched.filter(F.col("chunk").isNotNull()).select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros((SLOTS // CHUNK, CHUNK), np.int64)
@@ -141,7 +147,7 @@ def prefix_size(n: int, part: int = PART, whole: int = WHOLE) -> int:
 
 
 def prefixes(docs: DataFrame, order: Order, size: int = SHINGLE, part: int = PART, whole: int = WHOLE) -> DataFrame:
-    """(hi, lo, n, prefix, ends): of every set, once a task, the places of its prefix and how many of its shingles lie before each pivot."""
+    """(hi, lo, n, prefix, ends, held): of every set, once a task, the places of its prefix, how many of its shingles lie before each pivot, and how many in each piece, a byte each, 255 at most."""
     sent = docs.sparkSession.sparkContext.broadcast(order)  # SLOTS ranks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +161,11 @@ def prefixes(docs: DataFrame, order: Order, size: int = SHINGLE, part: int = PAR
             ends = [np.searchsorted(p, sent.value.pivots).astype(np.int32) for p in placed]
             lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, x)))], pa.int32()), pa.array(np.concatenate(x), kind))
             hi, lo = (pa.array([d[i] for d, _ in new], pa.int64()) for i in range(2))
-            yield pa.RecordBatch.from_arrays([hi, lo, pa.array(list(map(len, placed)), pa.int64()), lists(first, pa.int64()), lists(ends, pa.int32())], ["hi", "lo", "n", "prefix", "ends"])
+            held = [np.minimum(np.diff(np.r_[0, e, len(p)]), 255).astype(np.uint8).view(np.int64) for e, p in zip(ends, placed, strict=True)]
+            arrays = [hi, lo, pa.array(list(map(len, placed)), pa.int64()), lists(first, pa.int64()), lists(ends, pa.int32()), lists(held, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["hi", "lo", "n", "prefix", "ends", "held"])
 
-    return _source(docs).mapInArrow(run, "hi long, lo long, n long, prefix array<long>, ends array<int>")
+    return _source(docs).mapInArrow(run, "hi long, lo long, n long, prefix array<long>, ends array<int>, held array<long>")
 
 
 def least_common(n: Column, m: Column, part: int = PART, whole: int = WHOLE) -> Column:
@@ -180,10 +188,17 @@ def suffixes_fit(n: Column, i: Column, a: Column, m: Column, j: Column, b: Colum
     return upto + (n - i + m - j - differ) / 2 >= least_common(n, m, part, whole)
 
 
+def pieces_fit(n: Column, a: list[Column], m: Column, b: list[Column], part: int = PART, whole: int = WHOLE) -> Column:
+    """The same bound for whole sets, from their packed numbers by piece, cheap enough for the condition of a join."""
+    byte = lambda x, i: F.shiftrightunsigned(x, 8 * i).bitwiseAND(255)
+    differ = sum((F.abs(byte(x, i) - byte(y, i)) for x, y in zip(a, b, strict=True) for i in range(8)), F.lit(0))
+    return n + m - differ >= 2 * least_common(n, m, part, whole)
+
+
 def classes_of(sketched: DataFrame, prefixed: DataFrame) -> DataFrame:
-    """(node, hi, lo, rep, copies, n, prefix, ends) of each class of equal sets: its number, its smallest id, its documents. Materialised, for numbers hold for one computation."""
+    """(node, hi, lo, rep, copies, n, prefix, ends, held) of each class of equal sets: its number, its smallest id, its documents. Materialised, for numbers hold for one computation."""
     reps = sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    first = prefixed.groupBy("hi", "lo").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "ends")])
+    first = prefixed.groupBy("hi", "lo").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "ends", "held")])
     return common.stored(reps.join(first, ["hi", "lo"]).withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -219,14 +234,16 @@ def star_pairs(rooted: DataFrame, nth: int) -> DataFrame:
     return met.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb", "i", "j")
 
 
-def crossing_pairs(rooted: DataFrame) -> DataFrame:
-    """All pairs in the lists that may be similar and lie in different components: one of the two is outside of its list's largest."""
+def crossing_pairs(rooted: DataFrame, pieces: DataFrame) -> DataFrame:
+    """All pairs in the lists that may be similar and lie in different components: one of the two is outside of its list's largest. pieces: (node, held)."""
     per = rooted.groupBy("s", "root").agg(F.count("*").alias("k"))
     top = per.groupBy("s").agg(F.max(F.struct("k", "root")).getField("root").alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("s", "top")
-    placed = common.stored(rooted.join(top, "s"))
-    a = placed.filter("root <> top").select("s", F.col("node").alias("a"), F.col("n").alias("na"), "i", F.col("root").alias("ra"))
-    b = placed.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("root").alias("rb"))
-    met = a.join(b, (a["s"] == b["s"]) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("i"), F.col("nb"), F.col("j"), F.lit(1)))
+    words = range(PIECES // 8)
+    placed = common.stored(rooted.join(top, "s").join(pieces, "node").select("s", "node", "n", "i", "root", "top", *[F.get("held", F.lit(x)).alias(f"p{x}") for x in words]))
+    a = placed.filter("root <> top").select("s", F.col("node").alias("a"), F.col("n").alias("na"), "i", F.col("root").alias("ra"), *[F.col(f"p{x}").alias(f"a{x}") for x in words])
+    b = placed.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("root").alias("rb"), *[F.col(f"p{x}").alias(f"b{x}") for x in words])
+    near = pieces_fit(F.col("na"), [F.col(f"a{x}") for x in words], F.col("nb"), [F.col(f"b{x}") for x in words])
+    met = a.join(b, (a["s"] == b["s"]) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("i"), F.col("nb"), F.col("j"), F.lit(1)) & near)
     return met.select("a", "b", "na", "nb", "i", "j")
 
 
@@ -277,7 +294,7 @@ def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             break
         links = common.cut(links.unionByName(found))
         roots = graph.components(links, "a", "b")
-    _, found = verified(crossing_pairs(rooted()), F.lit(1))
+    _, found = verified(crossing_pairs(rooted(), classes.select("node", "held")), F.lit(1))
     again = minhash.same_id(documents.withColumnRenamed("n", "n_shingles"), classes)
     new = [x for x in (None if found.isEmpty() else found, again) if x is not None]
     if new:
