@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Decimals of a score before rows are ordered, so that equal rows tie.
+DIGITS = 6
 
 
 def _blocks(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,8 +13,7 @@ from ..functions.embed import Embedder
 from ..sources.collection import Collection
 from . import filters as fl
 
-#: Decimals of a score before rows are ordered, so that equal rows tie.
-DIGITS = 6
+DIGITS = scoring.DIGITS
 #: Names of fields that differ between collections: of documentation, of code.
 DOC_ALIASES = {"class_name": "vtk_class", "vtk_class_names": "vtk_class", "type": "chunk_type"}
 CODE_ALIASES = {"class_name": "vtk_class_names", "vtk_class": "vtk_class_names"}
@@ -122,19 +121,24 @@ class Retriever:
 
     code and docs: names of the collections that the shorthands search. least_visibility: points under it are never found.
     Filters are mappings, Columns or builders; a builder's wished conditions don't filter: among the hits, those that meet
-    more of them come first.
+    more of them come first. block_max: sparse search skips blocks of postings; vector_index: dense search goes through a
+    collection's index of vectors, where it has one. Both run their first steps when they are called.
     """
 
-    def __init__(self, collections: dict[str, Collection], embedder: Embedder, prefetch: int = 20, code: str = "code", docs: str = "docs", limit: int = 10, least_visibility: float = 0.0, hybrid: bool = True):
+    def __init__(self, collections: dict[str, Collection], embedder: Embedder, prefetch: int = 20, code: str = "code", docs: str = "docs", limit: int = 10, least_visibility: float = 0.0, hybrid: bool = True, block_max: bool = False, vector_index: bool = False):
         self.collections, self.embedder, self.prefetch = collections, embedder, prefetch
         self.code, self.docs, self.limit, self.least_visibility, self.hybrid = code, docs, limit, least_visibility, hybrid
+        self.block_max, self.vector_index = block_max, vector_index
 
     def _passing(self, name: str, filters: Filters) -> tuple[Collection, DataFrame, bool]:
         c = self.collections[name]
-        given = filters.build() if isinstance(filters, fl.FilterBuilder) else filters
-        conditions = [x for x in (fl.build_filter(c.points, given, aliases(c.points)), self._visible(c.points)) if x is not None]
+        conditions = self._conditions(c, filters)
         return c, reduce(lambda points, x: points.filter(x), conditions, c.points), bool(conditions)
 
+    def _conditions(self, c: Collection, filters: Filters) -> list[Column]:
+        given = filters.build() if isinstance(filters, fl.FilterBuilder) else filters
+        return [x for x in (fl.build_filter(c.points, given, aliases(c.points)), self._visible(c.points)) if x is not None]
+
     def _visible(self, points: DataFrame) -> Column | None:
         return F.col("visibility_score") >= self.least_visibility if self.least_visibility > 0 and "visibility_score" in points.columns else None
 
@@ -142,7 +146,11 @@ class Retriever:
         c, points, filtered = self._passing(name, filters)
         out = []
         for mode in modes:
-            if mode == "bm25":
+            if mode == "bm25" and self.block_max:
+                out.append(c.block_max().search(query, k, points if filtered else None))
+            elif mode == "content" and self.vector_index and "vectors" in c.about:
+                out.append(c.nearest(self.embedder.one(query), k, reduce(lambda a, b: a & b, self._conditions(c, filters)) if filtered else None))
+            elif mode == "bm25":
                 out.append(sparse(c.postings, c.term_stats, c.corpus_stats, query, k, allowed=points if filtered else None))
             elif mode == "queries":
                 vectors = c.query_vectors.join(points.select("id"), "id", "left_semi") if filtered else c.query_vectors

@@ -266,6 +266,68 @@ def scroll_indexed(spark: SparkSession, d: str) -> DataFrame:
     return indexed(spark, d).scroll(["id", "role", F.coalesce("module", F.lit("")).alias("module")])
 
 
+@query(f"WITH {bm25_sql('documents', 'doc_id', 10)} SELECT * FROM b")
+def bm25_blockmax(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d).block_max().search(QUERY_TEXT, 10)
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', 10, LANG)} SELECT * FROM b")
+def bm25_blockmax_filtered(spark: SparkSession, d: str) -> DataFrame:
+    c = indexed(spark, d)
+    return c.block_max().search(QUERY_TEXT, 10, c.points.filter(F.col("role") == "en"))
+
+
+def with_vectors(spark: SparkSession, d: str) -> coll.Collection:
+    """indexed() with an index of its vectors, built once in a session."""
+    key = (spark.sparkContext.applicationId, f"{d} vectors")
+    if key not in _BUILT:
+        _BUILT[key] = indexed(spark, d).index_vectors()
+    return _BUILT[key]
+
+
+INDEXED = "vec_id IN (SELECT doc_id FROM documents)"
+
+
+@query(f"WITH {dense_sql(10, INDEXED)} SELECT * FROM d")
+def dense_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Through the inverted file, with bounds instead of a calibrated number of visits."""
+    return with_vectors(spark, d).nearest(query_vector(spark, d), 10, exact=True)
+
+
+@query(f"WITH {dense_sql(10, INDEXED.replace(')', ' WHERE source = ' + repr('src3') + ')'))} SELECT * FROM d")
+def dense_index_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return with_vectors(spark, d).nearest(query_vector(spark, d), 10, F.col("module") == "src3", exact=True)
+
+
+def upserted(spark: SparkSession, d: str) -> coll.Collection:
+    """All documents, of which a tenth is then replaced, a tenth removed and a tenth added again under new ids."""
+    key = (spark.sparkContext.applicationId, f"{d} upserted")
+    if key not in _BUILT:
+        rows = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("role"), F.array(F.lit(1.0)).alias("vec"))
+        path = f"{storage.shared_folder(spark)}/corvane-upserted-{key[0]}-{abs(hash(d))}"
+        first = coll.Collection.create("docs", path, rows, None, key="id", layout=("role",))
+        changed = rows.filter("id % 10 = 3").withColumn("content", F.concat("content", F.lit(" thereof Thing")))
+        added = rows.filter("id % 10 = 5").withColumn("id", F.col("id") + 1_000_000_000)
+        _BUILT[key] = first.upsert(changed.unionByName(added)).upsert(removed=rows.filter("id % 10 = 7"))
+    return _BUILT[key]
+
+
+UPSERTED = """n AS (SELECT CASE WHEN doc_id % 10 = 3 THEN coalesce(text, '') || ' thereof Thing' ELSE text END AS text, doc_id, lang FROM documents WHERE doc_id % 10 <> 7
+UNION ALL SELECT text, doc_id + 1000000000, lang FROM documents WHERE doc_id % 10 = 5)"""
+
+
+@query(f"WITH {UPSERTED}, {bm25_sql('n', 'doc_id', 10, LANG)} SELECT * FROM b")
+def upsert_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Search after upserts, by statistics kept up by differences."""
+    return retriever.Retriever({"docs": upserted(spark, d)}, GivenVector([1.0]), code="docs", block_max=True).bm25_search(QUERY_TEXT, filters={"role": "en"}).select("id", "score")
+
+
+@query(f"WITH {UPSERTED}, e AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM n) SELECT term, count(DISTINCT doc_id) AS df FROM e GROUP BY term")
+def upsert_term_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies of all terms after upserts."""
+    return upserted(spark, d).term_stats
+
+
 # -- filters ---------------------------------------------------------------------------------------------------------
 
 

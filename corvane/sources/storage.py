@@ -34,3 +34,30 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it isn't there."""
+    where, fs = _at(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """A new small file; FileExistsError if there is one."""
+    where, fs = _at(spark, path)
+    if fs.exists(where):
+        raise FileExistsError(path)
+    out = fs.create(where, False)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    where, fs = _at(spark, path)
+    source = fs.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(source)).decode()
+    finally:
+        source.close()

@@ -138,7 +138,7 @@ def test_ids_are_the_same_in_all_tables(spark, tmp_path):
     assert sorted(texts) == list(range(100))
     for r in c.postings.filter("term LIKE 'number%'").collect():
         assert texts[r["id"]].endswith(r["term"])
-    assert not (tmp_path / "c" / ".staged").exists()
+    assert not list((tmp_path / "c").glob("*/.staged"))
     assert c.info().first()["points_count"] == 100
     assert {r["df"] for r in c.term_stats.filter("term <> 'text'").collect()} == {2}
     again = Collection.create("code", str(tmp_path / "c"), same.limit(3), HashEmbedder(16), order=("example_id", "chunk_no"))
@@ -204,7 +204,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert "'docs': 14" in out
     assert "'files': 5, 'files_without_code': 1, 'chunks': 6, 'files_with_chunks': 3" in out
     # the points of a collection lie in the order of its filters
-    assert [r["chunk_type"] for r in spark.read.parquet(str(tmp_path / "i" / "docs" / "points")).collect()] == ["class_overview"] * 7 + ["constructor"] * 7
+    assert [r["chunk_type"] for r in Collection.read(spark, "docs", str(tmp_path / "i" / "docs")).points.collect()] == ["class_overview"] * 7 + ["constructor"] * 7
     assert build.main(["--index"], spark, config) == 0
     assert "'docs': 14" in capsys.readouterr().out
     found = build.retriever(spark, config)
