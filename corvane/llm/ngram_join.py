@@ -39,7 +39,7 @@ SHINGLE = 3
 #: The least similarity as a fraction of integers, so that it is exact.
 PART, WHOLE = 90, 100
 #: Counters of shingles, in chunks that are summed as one row; pieces of the order for the suffix filter.
-SLOTS, CHUNK, PIECES = 1 << 22, 1 << 15, 32
+SLOTS, CHUNK, PIECES = 1 << 20, 1 << 15, 32
 #: Digests of texts that a task remembers, so that repeated texts are counted and sent once by it.
 REMEMBER = 100_000
 #: Rounds of comparing with one member, and pairs for each row of the lists beyond which another round is tried.
@@ -97,13 +97,20 @@ def slot(shingles: np.ndarray) -> np.ndarray:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counters of a chunk in as few bytes as its largest needs."""
-    most = int(counts.max())
-    return counts.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if most < 1 << 8 * n)).tobytes()
+    """Counters of a chunk in as few bytes as its largest needs, or those that aren't 0 with their places if these take less."""
+    some, most = np.flatnonzero(counts), int(counts.max())
+    width = next(n for n in (1, 2, 4, 8) if most < 1 << 8 * n)
+    if len(some) * (2 + width) < CHUNK * width // 2:
+        return some.astype("<u2").tobytes() + counts[some].astype(f"<u{width}").tobytes() + bytes([width])
+    return counts.astype(f"<u{width}").tobytes()
 
 
 def _counters(chunk: bytes) -> np.ndarray:
-    return np.frombuffer(chunk, f"<u{len(chunk) // CHUNK}").astype(np.int64)
+    if len(chunk) % CHUNK == 0:
+        return np.frombuffer(chunk, f"<u{len(chunk) // CHUNK}").astype(np.int64)
+    n, out = (len(chunk) - 1) // (2 + chunk[-1]), np.zeros(CHUNK, np.int64)
+    out[np.frombuffer(chunk, "<u2", n)] = np.frombuffer(chunk, f"<u{chunk[-1]}", n, 2 * n)
+    return out
 
 
 def rarity(sketched: DataFrame) -> np.ndarray:
@@ -212,9 +219,9 @@ def lists(classes: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame
     each = classes.select("node", "n", F.posexplode("prefix").alias("i", "place"), step.alias("step")).withColumn("step", F.explode(F.array("step", F.col("step") + 1)))
     each = each.select(F.xxhash64("place", "step").alias("s"), "node", (F.col("i") + 1).alias("i"))
     shared = common.stored(each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s"))
-    held = common.stored(each.join(common.small(shared), "s"))
+    held = common.stored(each.join(shared, "s"))  # both grow with the input: a shuffle at any size
     sizes = held.groupBy("node").agg(F.count("*").alias("met")).join(classes.select("node", "n"), "node")
-    return held.join(common.small(common.stored(sizes)), "node").select("s", "node", "n", F.col("i").cast("long").alias("i"), "met")
+    return held.join(common.stored(sizes), "node").select("s", "node", "n", F.col("i").cast("long").alias("i"), "met")
 
 
 def _first_met(pairs: DataFrame) -> DataFrame:

@@ -121,6 +121,14 @@ def test_filters_lose_no_pair(spark):
     assert 0 < sum(similar) < sum(r["p"] for r in got) and sum(r["p"] and r["s"] for r in got) < sum(r["p"] for r in got)
 
 
+def test_counters_are_packed_and_unpacked():
+    for held, most in ((0.0001, 3), (0.3, 200), (0.9, 70_000), (0.001, 1 << 40), (1.0, 255)):
+        rng = np.random.default_rng(1)
+        counts = np.where(rng.random(ngram_join.CHUNK) < held, rng.integers(1, most + 1, ngram_join.CHUNK), 0)
+        counts[5] = most
+        assert (ngram_join._counters(ngram_join._packed(counts)) == counts).all()
+
+
 def test_rarer_shingles_come_first(spark):
     common_text, n = "the same few words in all of these texts here", 40
     df = spark.createDataFrame([(i, f"{common_text} x{i} y{i} z{i}") for i in range(n)], "doc_id long, text string").repartition(4)
