@@ -5,9 +5,11 @@ SUBSPACES parts, a byte each (Jegou et al. 2011). Centres and code books are fit
 the id (FIT_ROWS vectors, FIT_BYTES); every vector is encoded. A search reads codes of the visited lists only, as the lists are
 partitions that the scan prunes, ranks by table look-ups, and reads whole vectors of the candidates alone.
 
-Filters hold before every cut: ids that don't pass take no place among candidates, and lists are visited until enough
-that pass were seen. How many lists are visited is calibrated when the index is built: queries from the sample widen
-their visits until they find a RECALL part of their true neighbours.
+Filters hold before every cut: ids that don't pass take no place among candidates, and lists are visited until as many
+that pass were seen as a search without a filter sees at all. Where a filter goes along with the vectors, so that nothing near
+the query passes, this can be too few and recall falls; exact=True isn't touched by that. How many lists are visited is
+calibrated when the index is built: queries from the sample widen their visits until they find a RECALL part of their true
+neighbours.
 
 exact=True gives exact results: each vector's quantisation error and each list's reach bound the cosine by the Cauchy-Schwarz
 and triangle inequalities, and whatever may still be among the k best is scored exactly.
@@ -222,6 +224,12 @@ class VectorIndex:
 
         return rows.select("list", "id", "code", "error").mapInArrow(look_up, "list int, id long, s double, error double")
 
+    def _seen(self, visited: list[int], allowed: DataFrame | None) -> int:
+        """How many vectors of the visited lists may be found."""
+        if allowed is None:
+            return sum(self.lists[b][0] for b in visited)
+        return self.codes.filter(F.col("list").isin(visited)).select("id").join(allowed.select("id"), "id", "left_semi").count()
+
     def _scored(self, q: np.ndarray, chosen: DataFrame, lists: list[int]) -> DataFrame:
         """(id, score): cosines of chosen (list, id) rows, which are few, from the lists named."""
         rows = self.vectors.filter(F.col("list").isin(lists)).join(F.broadcast(chosen.select("id")), "id", "left_semi")
@@ -234,12 +242,10 @@ class VectorIndex:
         if q is None or k < 1 or not self.lists:
             return empty
         order, take = self._order(q), min(len(self.lists), visits or self.visits)
-        while True:
-            visited = order[:take]
-            best = self.approximate(q, visited, allowed).orderBy(F.desc("s"), "id").limit(rerank * k).collect()
-            if len(best) >= k or take >= len(order):
-                break
+        enough = k if allowed is None else max(k, sum(self.lists[b][0] for b in order[:take]))  # as many as a search without a filter sees
+        while take < len(order) and self._seen(order[:take], allowed) < enough:
             take = min(len(order), 2 * take)
+        best = self.approximate(q, order[:take], allowed).orderBy(F.desc("s"), "id").limit(rerank * k).collect()
         if not best:
             return empty
         chosen = self.spark.createDataFrame([(r["id"],) for r in best], "id long")
