@@ -94,6 +94,26 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Tables:
+    """Tables stored for one step, deleted when it ends without an error: by then what it returns must be materialised."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        out, path = store(df)
+        self.paths.append(path)
+        return out
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, error: object, *_: object) -> None:
+        if error is None:
+            for path in self.paths:
+                delete(self.spark, path)
+
+
 def hidden(df: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
     """df with all columns outside of keep under private names, and the names by which they go: an operator that adds columns meets none of them."""
     away = {c: f"__own{i}" for i, c in enumerate(df.columns) if c not in keep}

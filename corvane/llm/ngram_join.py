@@ -210,7 +210,7 @@ def classes_of(sketched: DataFrame, prefixed: DataFrame) -> DataFrame:
 
 
 def lists(classes: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame:
-    """(s, node, n, i, met): members of the lists of prefix shingles that several classes share; i is the shingle's place in the set, from 1.
+    """(s, node, n, i, met), stored: members of the lists of prefix shingles that several classes share; i is the shingle's place in the set, from 1.
 
     A list holds one shingle and sizes that may fit: a class is in the lists of its own step of sizes and of the next one, and similar sets
     are a step apart at most. met: in how many places of lists a class is.
@@ -218,10 +218,11 @@ def lists(classes: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(whole / part) * (1 + 1e-6)))
     each = classes.select("node", "n", F.posexplode("prefix").alias("i", "place"), step.alias("step")).withColumn("step", F.explode(F.array("step", F.col("step") + 1)))
     each = each.select(F.xxhash64("place", "step").alias("s"), "node", (F.col("i") + 1).alias("i"))
-    shared = common.stored(each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s"))
-    held = common.stored(each.join(shared, "s"))  # both grow with the input: a shuffle at any size
-    sizes = held.groupBy("node").agg(F.count("*").alias("met")).join(classes.select("node", "n"), "node")
-    return held.join(common.stored(sizes), "node").select("s", "node", "n", F.col("i").cast("long").alias("i"), "met")
+    with common.Tables(classes.sparkSession) as own:
+        shared = own.stored(each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s"))
+        held = own.stored(each.join(shared, "s"))  # both grow with the input: a shuffle at any size
+        sizes = held.groupBy("node").agg(F.count("*").alias("met")).join(classes.select("node", "n"), "node")
+        return common.stored(held.join(own.stored(sizes), "node").select("s", "node", "n", F.col("i").cast("long").alias("i"), "met"))
 
 
 def _first_met(pairs: DataFrame) -> DataFrame:
@@ -241,12 +242,12 @@ def star_pairs(rooted: DataFrame, nth: int) -> DataFrame:
     return met.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb", "i", "j")
 
 
-def crossing_pairs(rooted: DataFrame, pieces: DataFrame) -> DataFrame:
-    """All pairs in the lists that may be similar and lie in different components: one of the two is outside of its list's largest. pieces: (node, held)."""
+def crossing_pairs(rooted: DataFrame, pieces: DataFrame, own: common.Tables) -> DataFrame:
+    """All pairs in the lists that may be similar and lie in different components: one of the two is outside of its list's largest. pieces: (node, held); own keeps what is stored meanwhile."""
     per = rooted.groupBy("s", "root").agg(F.count("*").alias("k"))
     top = per.groupBy("s").agg(F.max(F.struct("k", "root")).getField("root").alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("s", "top")
     words = range(PIECES // 8)
-    placed = common.stored(rooted.join(top, "s").join(pieces, "node").select("s", "node", "n", "i", "root", "top", *[F.get("held", F.lit(x)).alias(f"p{x}") for x in words]))
+    placed = own.stored(rooted.join(top, "s").join(pieces, "node").select("s", "node", "n", "i", "root", "top", *[F.get("held", F.lit(x)).alias(f"p{x}") for x in words]))
     a = placed.filter("root <> top").select("s", F.col("node").alias("a"), F.col("n").alias("na"), "i", F.col("root").alias("ra"), *[F.col(f"p{x}").alias(f"a{x}") for x in words])
     b = placed.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), F.col("root").alias("rb"), *[F.col(f"p{x}").alias(f"b{x}") for x in words])
     near = pieces_fit(F.col("na"), [F.col(f"a{x}") for x in words], F.col("nb"), [F.col(f"b{x}") for x in words])
@@ -267,45 +268,50 @@ def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     order = Order(rarity(sketched))
     documents = sketched.filter(F.col("chunk").isNull()).select("doc_id", "n", "hi", "lo")
     classes = classes_of(documents, prefixes(docs, order, size))
-    members = common.stored(lists(classes))
+    members = lists(classes)
     ends, rows = classes.select("node", "ends"), members.count()
     tried: DataFrame | None = None
+    kept = ""
     links = common.cut(documents.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0))
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
-    def rooted() -> DataFrame:
-        return common.stored(members.join(common.small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    def rooted(own: common.Tables) -> DataFrame:
+        return own.stored(members.join(common.small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
 
-    def verified(pairs: DataFrame, upto: Column) -> tuple[DataFrame, DataFrame]:
+    def verified(pairs: DataFrame, upto: Column, own: common.Tables) -> tuple[DataFrame, DataFrame]:
         """Pairs that were not tried before, and the links among them. Whole sets are made for what passes all filters."""
         once = _first_met(pairs)
-        once = common.stored(once if tried is None else once.join(tried, ["a", "b"], "left_anti"))
+        once = own.stored(once if tried is None else once.join(tried, ["a", "b"], "left_anti"))
         left, right = ends.select(F.col("node").alias("a"), F.col("ends").alias("ea")), ends.select(F.col("node").alias("b"), F.col("ends").alias("eb"))
         near = once.join(left, "a").join(right, "b").filter(suffixes_fit(*map(F.col, ("na", "i", "ea", "nb", "j", "eb")), upto))
-        near = common.stored(near.select("a", "b"))
+        near = own.stored(near.select("a", "b"))
         nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
         wanted = common.cut(classes.select("node", "rep", "hi", "lo").join(nodes, "node", "left_semi"))
         texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(common.small(wanted), "rep")
-        sets = common.stored(minhash.sets_of(texts, size))
+        sets = own.stored(minhash.sets_of(texts, size))
         if sets.count() > wanted.count():  # tasks saw rows that repeat a document
-            sets = common.stored(sets.dropDuplicates(["node"]))
+            sets = own.stored(sets.dropDuplicates(["node"]))
         return once.select("a", "b"), common.cut(minhash.verify(near, sets, PART, WHOLE))
 
     for nth in range(1, ROUNDS + 1):
-        now = rooted()
-        if nth > 1 and open_pairs(now) <= PATIENCE * rows:
-            break
-        pairs, found = verified(star_pairs(now, nth), F.least("i", "j"))
-        tried = pairs if tried is None else common.stored(tried.unionByName(pairs))
+        with common.Tables(docs.sparkSession) as own:  # what a round stores goes when its links are kept
+            now = rooted(own)
+            if nth > 1 and open_pairs(now) <= PATIENCE * rows:
+                break
+            pairs, found = verified(star_pairs(now, nth), F.least("i", "j"), own)
+            before, (tried, kept) = kept, common.store(pairs if tried is None else tried.unionByName(pairs))
+        if before:
+            common.delete(docs.sparkSession, before)
         if found.isEmpty():
             break
         links = common.cut(links.unionByName(found))
-        roots = graph.components(links, "a", "b")
-    _, found = verified(crossing_pairs(rooted(), classes.select("node", "held")), F.lit(1))
+        roots = graph.components(links, "a", "b", common.BROADCAST_BYTES)
+    with common.Tables(docs.sparkSession) as own:
+        _, found = verified(crossing_pairs(rooted(own), classes.select("node", "held"), own), F.lit(1), own)
     again = minhash.same_id(documents.withColumnRenamed("n", "n_shingles"), classes)
     new = [x for x in (None if found.isEmpty() else found, again) if x is not None]
     if new:
-        roots = graph.components(reduce(DataFrame.unionByName, new, links), "a", "b")
+        roots = graph.components(reduce(DataFrame.unionByName, new, links), "a", "b", common.BROADCAST_BYTES)
     joined = classes.select("node", "hi", "lo", "rep", "copies").join(roots, "node", "left").filter("copies > 1 OR root IS NOT NULL")
     joined = common.cut(joined.select("hi", "lo", "rep", F.coalesce("root", "node").alias("root")))
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
