@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
 The tree is fitted in numpy on a bounded sample by hash of the id, which grows with the table: one vector in FIT_SHARE,
-between FIT_ROWS and MOST_FIT_ROWS of them. Every vector is indexed: it goes down the tree to its leaf. A query walks the
+between FIT_ROWS and MOST_FIT_ROWS of them, and FIT_BYTES at most. Every vector is indexed: it goes down the tree to its leaf. A query walks the
 tree with a priority queue of branches, nearest centre first, which gives its leaves in the order in which it would visit
 them. How many leaves to visit is calibrated: for CALIBRATE sample queries the true neighbours are found by a scan of all
 vectors, and the number of visits widens until the share of them that lie in visited leaves reaches the wanted recall. A
@@ -10,7 +10,7 @@ walk goes on beyond that while its leaves hold too few candidates.
 Both the vectors and the queries of a leaf are dealt out in blocks of BLOCK_BYTES by hash of the id, and a task compares one
 block with one block: a leaf that holds a third of all vectors, or that most queries visit, is many tasks' work. Every
 pair of blocks gives its own nearest to a query, and those are merged by query. Distances are computed from the differences
-in double precision, in one order, so equal vectors tie exactly.
+in double precision, in one order, so equal vectors tie exactly; squares beyond the range of doubles are avoided by a scale.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
 take no part, nor do rows without an id; rows that repeat an id count as candidates of their own, but never for a query
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from . import common
 
 NEAREST = 10
-FIT_ROWS, FIT_SHARE, MOST_FIT_ROWS = 20_000, 64, 250_000
+FIT_ROWS, FIT_SHARE, MOST_FIT_ROWS, FIT_BYTES = 20_000, 64, 250_000, 128 << 20
+#: Distances below which squares may have lost digits.
+TINY = 1e-140
 CALIBRATE, RECALL = 100, 0.97
 #: Children of a node, sample vectors in a leaf, bytes of a block of vectors, vectors and queries compared at once.
 BRANCH, LEAF, BLOCK_BYTES, BLOCK, AT_ONCE = 8, 64, 4 << 20, 2_000, 64
@@ -119,12 +121,25 @@ def fit(x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int = 11) -
     return Tree(np.array(centres), np.array(first), counts, numbers)
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows of x to q. Where squares leave the range of doubles, differences are divided by the largest one before they are squared."""
+    with np.errstate(over="ignore", under="ignore"):
+        d = np.sqrt(((x - q) ** 2).sum(1))
+        odd = np.flatnonzero(~np.isfinite(d) | (d < TINY))
+        if len(odd):
+            gaps = np.abs(x[odd] - q)
+            most = gaps.max(1)
+            some = np.isfinite(most) & (most > 0)
+            d[odd] = most
+            d[odd[some]] = most[some] * np.sqrt(((gaps[some] / most[some, None]) ** 2).sum(1))
+    return d
+
+
 def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's position, id, distance) of the k nearest of x to each query, ties to smaller ids, without the query's own id."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, (q, own) in enumerate(zip(queries, query_ids, strict=True)):
-        with np.errstate(over="ignore"):
-            d = np.sqrt(((x - q) ** 2).sum(1))
+        d = distances(x, q)
         some = np.flatnonzero(ids != own)
         if len(some) > k:
             limit = np.partition(d[some], k - 1)[k - 1]
@@ -189,7 +204,7 @@ def search(vectors: DataFrame, is_query, k: int = NEAREST, recall: float = RECAL
     width = sizes[0]["n"]
     rows = all_rows.filter(F.size("v") == width)
     if fit_rows is None:
-        fit_rows = min(MOST_FIT_ROWS, max(FIT_ROWS, sizes[0]["count"] // FIT_SHARE))
+        fit_rows = min(MOST_FIT_ROWS, max(FIT_ROWS, sizes[0]["count"] // FIT_SHARE), max(LEAF, FIT_BYTES // (8 * width)))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow()
     sample_ids, x = sample.column(0).combine_chunks().to_numpy(), _matrix(sample.column(1).combine_chunks())
     tree = fit(x)

@@ -54,7 +54,22 @@ def test_repeated_rows_lose_no_neighbour(spark):
 def test_huge_distances(spark):
     df = spark.createDataFrame([(0, [1e200, 1.0]), (1, [-1e200, 1.0]), (2, [1e200, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, lambda i: i < 2).collect())
-    assert got == [(0, 1, 2, 1.0), (0, 2, 1, float("inf")), (1, 1, 0, float("inf")), (1, 2, 2, float("inf"))]
+    assert got == [(0, 1, 2, 1.0), (0, 2, 1, 2e200), (1, 1, 0, 2e200), (1, 2, 2, 2e200)]
+
+
+def test_distances_at_the_ends_of_doubles():
+    x = np.array([[1e-200, 0.0], [3e-200, 4e-200], [0.0, 0.0], [3e250, 4e250], [1.5e308, 0.0], [3.0, 4.0]])
+    assert ann.distances(x, np.zeros(2)).tolist() == pytest.approx([1e-200, 5e-200, 0.0, 5e250, 1.5e308, 5.0], rel=1e-15)
+    assert ann.distances(x[4:5], np.array([-1.5e308, 0.0])).tolist() == [float("inf")]
+
+
+def test_sample_is_bounded_in_bytes(spark, vectors, monkeypatch):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    seen, fit = [], ann.fit
+    monkeypatch.setattr(ann, "FIT_BYTES", 100 * 8 * vectors.shape[1])
+    monkeypatch.setattr(ann, "fit", lambda x: seen.append(len(x)) or fit(x))
+    assert ann.search(df, lambda i: i % 20 == 0).count() == 10 * len(range(0, len(vectors), 20))
+    assert seen == [100]
 
 
 def test_blocks_bound_a_task(spark, vectors):
