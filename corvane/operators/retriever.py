@@ -122,17 +122,21 @@ class Retriever:
     code and docs: names of the collections that the shorthands search. least_visibility: points under it are never found.
     Filters are mappings, Columns or builders; a builder's wished conditions don't filter: among the hits, those that meet
     more of them come first. block_max: sparse search skips blocks of postings; vector_index: dense search goes through a
-    collection's index of vectors, where it has one. Both run their first steps when they are called.
+    collection's index of vectors, where it has one; payload_index: filters by fields go through a collection's bitmaps. All
+    run their first steps when they are called.
     """
 
-    def __init__(self, collections: dict[str, Collection], embedder: Embedder, prefetch: int = 20, code: str = "code", docs: str = "docs", limit: int = 10, least_visibility: float = 0.0, hybrid: bool = True, block_max: bool = False, vector_index: bool = False):
+    def __init__(self, collections: dict[str, Collection], embedder: Embedder, prefetch: int = 20, code: str = "code", docs: str = "docs", limit: int = 10, least_visibility: float = 0.0, hybrid: bool = True, block_max: bool = False, vector_index: bool = False, payload_index: bool = False):
         self.collections, self.embedder, self.prefetch = collections, embedder, prefetch
         self.code, self.docs, self.limit, self.least_visibility, self.hybrid = code, docs, limit, least_visibility, hybrid
-        self.block_max, self.vector_index = block_max, vector_index
+        self.block_max, self.vector_index, self.payload_index = block_max, vector_index, payload_index
 
     def _passing(self, name: str, filters: Filters) -> tuple[Collection, DataFrame, bool]:
         c = self.collections[name]
         conditions = self._conditions(c, filters)
+        if self.payload_index and isinstance(filters, dict) and filters:
+            points, visible = c.filtered(filters, aliases(c.points)), self._visible(c.points)
+            return c, points if visible is None else points.filter(visible), True
         return c, reduce(lambda points, x: points.filter(x), conditions, c.points), bool(conditions)
 
     def _conditions(self, c: Collection, filters: Filters) -> list[Column]:

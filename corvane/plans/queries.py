@@ -219,7 +219,7 @@ def indexed(spark: SparkSession, d: str) -> coll.Collection:
         rows = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("vtk_class"), F.col("lang").alias("role"), F.col("source").alias("module"), "n_chars")
         vecs = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
         path = f"{storage.shared_folder(spark)}/corvane-index-{key[0]}-{abs(hash(d))}"
-        _BUILT[key] = coll.Collection.create("docs", path, rows.join(vecs, "id", "left"), None, key="id", layout=("role",))
+        _BUILT[key] = coll.Collection.create("docs", path, rows.join(vecs, "id", "left"), None, key="id", layout=("role",), indexed=("role", "module", "n_chars"))
     return _BUILT[key]
 
 
@@ -277,6 +277,18 @@ def bm25_blockmax_filtered(spark: SparkSession, d: str) -> DataFrame:
     return c.block_max().search(QUERY_TEXT, 10, c.points.filter(F.col("role") == "en"))
 
 
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2') AND n_chars > 500")
+def filter_bitmap(spark: SparkSession, d: str) -> DataFrame:
+    found = indexed(spark, d).filtered({"role": "en", "module": ["src1", "src2"], "n_chars": {"gt": 500}})
+    return found.select(F.col("id").alias("doc_id"))
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', 10, 'lang = ' + repr('en') + ' AND n_chars < 3000')} SELECT * FROM b")
+def bm25_bitmap_filtered(spark: SparkSession, d: str) -> DataFrame:
+    by = retriever.Retriever({"docs": indexed(spark, d)}, GivenVector(query_vector(spark, d)), code="docs", block_max=True, payload_index=True)
+    return by.bm25_search(QUERY_TEXT, filters={"role": "en", "n_chars": {"lt": 3000}}).select("id", "score")
+
+
 def with_vectors(spark: SparkSession, d: str) -> coll.Collection:
     """indexed() with an index of its vectors, built once in a session."""
     key = (spark.sparkContext.applicationId, f"{d} vectors")

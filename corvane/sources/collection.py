@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions.embed import Embedder
-from . import blocks, manifest, segments, storage
+from ..operators import filters as fl
+from . import blocks, manifest, payload, segments, storage
 from .vector_index import VectorIndex
 
 PARTS = ("points", "query_vectors", "postings", "term_stats", "corpus_stats")
@@ -88,14 +89,14 @@ class Collection:
     @classmethod
     def create(
         cls, name: str, path: str, chunks: DataFrame, embedder: Embedder | None, key: str | None = None, order: tuple[str, ...] = ("chunk_id",), content: str = "content",
-        layout: tuple[str, ...] = (), buckets: int | None = None,
+        layout: tuple[str, ...] = (), buckets: int | None = None, indexed: tuple[str, ...] = (),
     ) -> Collection:
         """A collection of chunks under path, in the place of what was there: the next version, which holds once all of it is written.
 
         Without a key column, ids are positions in the given order, ties broken by a hash of the whole row. The rows are
         stored with their ids first, and all tables come from these. Texts of `queries` have vectors too; without any, the
         content's. Without an embedder the chunks bring a column vec. layout: fields of filters; points lie in their order, so
-        that statistics of files and row groups prune a filtered scan. The inverted index lies in the order of terms.
+        that statistics of files and row groups prune a filtered scan. indexed: fields with bitmaps, for filtered(). The inverted index lies in the order of terms.
         """
         spark, folder = chunks.sparkSession, segments.new_folder()
         before, _ = manifest.load(spark, path)
@@ -108,7 +109,8 @@ class Collection:
             ties = rows.withColumn("__tie", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
             numbered(ties, *order, "__tie").drop("__tie").write.parquet(staged)
             ided = placed(spark.read.parquet(staged), "id")
-        about = {"key": key, "content": content, "layout": [f for f in layout if f in ided.columns], "buckets": buckets}
+        about = {"key": key, "content": content, "layout": [f for f in layout if f in ided.columns], "buckets": buckets, "indexed": [f for f in indexed if f in ided.columns]}
+        payload.check(ided.schema, about["indexed"])
         _write(at, ided, embedder, about)
         segments.drop_staged(spark, at)
         manifest.commit(spark, path, about | {"segments": [{"folder": folder, "gone": 0}], "folders": [folder]}, before)
@@ -172,6 +174,8 @@ class Collection:
         spark, folder = self.points.sparkSession, segments.new_folder()
         at = f"{self.path}/{folder}"
         segments.write_points(self.points, at, self.about["layout"])
+        if self.about.get("indexed"):
+            payload.write(spark, at, self.about["indexed"])
         self.query_vectors.write.parquet(f"{at}/query_vectors")
         segments.write_postings(self.postings, at, self.about["buckets"])
         segments.counts_of(self.points, text_size()).write.parquet(f"{at}/corpus_stats")
@@ -217,6 +221,23 @@ class Collection:
         own = fresh.select("id", F.round(scoring.cosine(F.col("vec"), query, F.col("norm")), scoring.DIGITS).alias("score"))
         return scoring.top_k(found.unionByName(own), k, "score", "id")
 
+    def filtered(self, filters: dict[str, Any] | Column | None, aliases: dict[str, str] | None = None) -> DataFrame:
+        """Points that pass a filter. Bitmaps of its indexed fields are intersected first, and only files that hold some of what is left are read."""
+        spark, parts = self.points.sparkSession, self.about["segments"]
+        asked = payload.conditions(self.points.schema, self.about.get("indexed", []), filters, aliases or {}) if isinstance(filters, dict) else []
+        if not asked:
+            return fl.where(self.points, filters, aliases)
+        out = []
+        for i, s in enumerate(parts):
+            rows, dead = payload.read(spark, f"{self.path}/{s['folder']}", asked, segments.LISTED, segments.SENT), segments.gone(spark, self.path, parts[i + 1 :])
+            if rows is not None:
+                out.append(rows if dead is None else rows.join(dead, "id", "left_anti"))
+        if not out:
+            return self.points.limit(0)
+        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.points.schema if f.name not in whole.columns]
+        return fl.where(whole.select("*", *missing).select(*self.points.columns), filters, aliases)
+
     def scroll_page(self, limit: int, after: tuple | None = None, columns: list[str] | None = None) -> Page:
         """The next rows after a key, in the order of the layout's fields and the id, reading only the files in which they lie.
 
@@ -269,6 +290,8 @@ def _write(folder: str, ided: DataFrame, embedder: Embedder | None, about: dict[
     vectors = F.col("vec") if embedder is None else embedder.column(F.col("content"))
     points = ided.drop("queries").withColumn("vec", vectors).withColumn("norm", scoring.norm(F.col("vec")))
     segments.write_points(points, folder, about["layout"])
+    if about.get("indexed"):
+        payload.write(ided.sparkSession, folder, about["indexed"])
     if embedder is None:
         asked = ided.select("id", F.lit(0).alias("qpos"), "vec")
     else:
