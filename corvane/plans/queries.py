@@ -45,6 +45,21 @@ def sql_values(rows: list[tuple], *names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({', '.join(names)})"
 
 
+def of_parts(spark: SparkSession, d: str, rows: list[tuple], *names: str) -> DataFrame:
+    """A row a part: in turn one of the rows, with the part's name for {} (joined, each word a capital) and <> (by underscores)."""
+    joined = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
+    which = F.element_at(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names, strict=True)]) for r in rows]), (F.pmod("p_partkey", F.lit(len(rows))) + 1).cast("int"))
+    put = lambda n: F.replace(F.replace(F.col(f"r.{n}"), F.lit("{}"), joined), F.lit("<>"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    return t(spark, d, "part").withColumn("r", which).select("p_partkey", *[put(n).alias(n) for n in names])
+
+
+def of_parts_sql(rows: list[tuple], *names: str) -> str:
+    joined = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '')"
+    put = lambda n: f"replace(replace({n}, '{{}}', {joined}), '<>', replace(p_name, ' ', '_')) AS {n}"
+    numbered = sql_values([(i, *r) for i, r in enumerate(rows)], "which", *names)
+    return f"(SELECT p_partkey, {', '.join(map(put, names))} FROM part JOIN {numbered} ON p_partkey % {len(rows)} = which) AS made"
+
+
 # -- ranked search ---------------------------------------------------------------------------------------------------
 
 QUERY_TEXT = "the tion and thereof thing"
@@ -516,10 +531,10 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w)
-SELECT doc_id, string_agg(x, ',' ORDER BY i) AS words FROM (SELECT doc_id, arg_min(x, i) AS x, min(i) AS i FROM e WHERE i <= 40 GROUP BY doc_id, lower(x)) y GROUP BY doc_id""")
+SELECT doc_id, string_agg(x, ',' ORDER BY i) AS words FROM (SELECT doc_id, arg_min(x, i) AS x, min(i) AS i FROM e GROUP BY doc_id, lower(x)) y GROUP BY doc_id""")
 def dedupe_ci(spark: SparkSession, d: str) -> DataFrame:
-    """First spellings among the first forty ASCII words of each document that has any."""
-    first = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 40)
+    """First spellings of the ASCII words of each document that has any."""
+    first = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     return t(spark, d, "documents").select("doc_id", F.array_join(text.dedupe_ci(first), ",").alias("words")).filter("words <> ''")
 
 
@@ -551,21 +566,21 @@ def row_position_id(spark: SparkSession, d: str) -> DataFrame:
 
 # -- names and texts -------------------------------------------------------------------------------------------------
 
-NAMES = [("vtkSphereSource",), ("vtkLUTSize",), ("vtkmDataSet",), ("Plain",), ("vtk",), ("phiResolution",), ("theta_resolution",), ("a",), ("",), ("ABC",)]
+NAMES = [("vtkSphereSource",), ("vtkLUTSize",), ("vtkmDataSet",), ("Plain",), ("vtk",), ("phiResolution",), ("theta_resolution",), ("a",), ("",), ("ABC",), ("vtk{}",), ("vtkm{}Filter",), ("<>",), ("{}",)]
 
 
-def names(spark: SparkSession) -> DataFrame:
-    return values(spark, NAMES, "name string")
+def names(spark: SparkSession, d: str) -> DataFrame:
+    return of_parts(spark, d, NAMES, "name")
 
 
 CAMEL = lambda x: f"lower(ltrim(regexp_replace({x}, '([A-Z])', ' \\1', 'g')))"
 CAP = lambda x: f"(upper(substr({x}, 1, 1)) || substr({x}, 2))"
-NAMES_SQL = sql_values(NAMES, "name")
+NAMES_SQL = of_parts_sql(NAMES, "name")
 
 
-@query(f"SELECT name, {CAMEL('name')} AS words FROM {NAMES_SQL}")
+@query(f"SELECT p_partkey, name, {CAMEL('name')} AS words FROM {NAMES_SQL}")
 def camel_to_words(spark: SparkSession, d: str) -> DataFrame:
-    return names(spark).select("name", text.camel_to_words("name").alias("words"))
+    return names(spark, d).select("p_partkey", "name", text.camel_to_words("name").alias("words"))
 
 
 @query(f"SELECT doc_id, {CAP('text')} AS capital, {CAP('lang')} AS lang FROM documents")
@@ -573,14 +588,14 @@ def capitalize_first(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", text.capitalize_first("text").alias("capital"), text.capitalize_first("lang").alias("lang"))
 
 
-@query(f"SELECT name, 'Set' || {CAP('lower(name)')} AS setter FROM {NAMES_SQL}")
+@query(f"SELECT p_partkey, name, 'Set' || {CAP('lower(name)')} AS setter FROM {NAMES_SQL}")
 def attr_to_setter(spark: SparkSession, d: str) -> DataFrame:
-    return names(spark).select("name", text.attr_to_setter("name").alias("setter"))
+    return names(spark, d).select("p_partkey", "name", text.attr_to_setter("name").alias("setter"))
 
 
-@query(f"SELECT name, CASE WHEN b = '' THEN lower(name) ELSE lower(substr(b, 1, 1)) || substr(b, 2) END AS var FROM (SELECT name, CASE WHEN starts_with(name, 'vtkm') THEN substr(name, 5) WHEN starts_with(name, 'vtk') THEN substr(name, 4) ELSE name END AS b FROM {NAMES_SQL}) x")
+@query(f"SELECT p_partkey, name, CASE WHEN b = '' THEN lower(name) ELSE lower(substr(b, 1, 1)) || substr(b, 2) END AS var FROM (SELECT p_partkey, name, CASE WHEN starts_with(name, 'vtkm') THEN substr(name, 5) WHEN starts_with(name, 'vtk') THEN substr(name, 4) ELSE name END AS b FROM {NAMES_SQL}) x")
 def class_to_var(spark: SparkSession, d: str) -> DataFrame:
-    return names(spark).select("name", text.class_to_var("name").alias("var"))
+    return names(spark, d).select("p_partkey", "name", text.class_to_var("name").alias("var"))
 
 
 def quoted(xs) -> str:
@@ -606,16 +621,16 @@ def preview_truncate(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", text.preview("text", 100).alias("shown"))
 
 
-PHRASES = [("isosurface generation",), ("data reading",), ("2D chart rendering",), ("rendering",), ("sphere",), ("",), ("the plane cutting",), ("event interaction",), ("image to grid conversion",), ("information",)]
+PHRASES = [("isosurface generation",), ("data reading",), ("2D chart rendering",), ("rendering",), ("sphere",), ("",), ("the plane cutting",), ("event interaction",), ("image to grid conversion",), ("information",), ("<> rendering",), ("<>",), ("{} reading",)]
 VERB_CASE = "CASE last " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VERBS.items()) + " END"
 
 
-@query(f"SELECT phrase, CASE WHEN phrase = '' THEN NULL WHEN verb IS NULL THEN 'How do you use ' || phrase || '?' WHEN subject = '' THEN 'How do you ' || verb || '?' ELSE 'How do you ' || verb || ' ' || ({article_sql('subject')}) || '?' END AS question FROM (SELECT *, {VERB_CASE} AS verb FROM (SELECT phrase, regexp_extract(phrase, '\\S+$') AS last, trim(regexp_replace(phrase, '\\S+$', '')) AS subject FROM {sql_values(PHRASES, 'phrase')}) x) y")
+@query(f"SELECT p_partkey, phrase, CASE WHEN phrase = '' THEN NULL WHEN verb IS NULL THEN 'How do you use ' || phrase || '?' WHEN subject = '' THEN 'How do you ' || verb || '?' ELSE 'How do you ' || verb || ' ' || ({article_sql('subject')}) || '?' END AS question FROM (SELECT *, {VERB_CASE} AS verb FROM (SELECT p_partkey, phrase, regexp_extract(phrase, '\\S+$') AS last, trim(regexp_replace(phrase, '\\S+$', '')) AS subject FROM {of_parts_sql(PHRASES, 'phrase')}) x) y")
 def phrase_to_question(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, PHRASES, "phrase string").select("phrase", questions.class_to_question(F.col("phrase")).alias("question"))
+    return of_parts(spark, d, PHRASES, "phrase").select("p_partkey", "phrase", questions.class_to_question(F.col("phrase")).alias("question"))
 
 
-METHODS = [("SetRadius", "sphere"), ("AddRenderer", "render window"), ("VisibilityOn", "actor"), ("ShadingOff", "data"), ("GetOutput", "sphere"), ("Update", "sphere"), ("Set", "image"), ("RemoveAllLights", "scene"), ("Orient", "axis"), ("ComputeNormals", "mesh"), ("BuildLUT", "table")]
+METHODS = [("SetRadius", "sphere"), ("AddRenderer", "render window"), ("VisibilityOn", "actor"), ("ShadingOff", "data"), ("GetOutput", "sphere"), ("Update", "sphere"), ("Set", "image"), ("RemoveAllLights", "scene"), ("Orient", "axis"), ("ComputeNormals", "mesh"), ("BuildLUT", "table"), ("Set{}", "<>"), ("Add{}", "the <>"), ("{}On", "{}"), ("{}Off", "<>"), ("Get{}", "<>"), ("Compute{}", "data"), ("Remove{}", "")]
 
 
 def method_sql() -> str:
@@ -624,21 +639,21 @@ def method_sql() -> str:
     return f"CASE WHEN starts_with(method, 'Get') OR method IN ({quoted(LIFECYCLE_METHODS)}) THEN NULL {' '.join(cases)} ELSE 'How do you ' || {CAMEL('method')} || ' ' || subject || '?' END"
 
 
-@query(f"SELECT method, phrase, {method_sql()} AS question FROM (SELECT *, {article_sql('phrase')} AS subject FROM {sql_values(METHODS, 'method', 'phrase')}) x")
+@query(f"SELECT p_partkey, method, phrase, {method_sql()} AS question FROM (SELECT *, {article_sql('phrase')} AS subject FROM {of_parts_sql(METHODS, 'method', 'phrase')}) x")
 def method_to_question(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, METHODS, "method string, phrase string").select("method", "phrase", questions.method_to_question(F.col("method"), F.col("phrase")).alias("question"))
+    return of_parts(spark, d, METHODS, "method", "phrase").select("p_partkey", "method", "phrase", questions.method_to_question(F.col("method"), F.col("phrase")).alias("question"))
 
 
-FUNCTIONS = [("make_hexahedron",), ("makeHexahedron",), ("create_lookup_table",), ("helper",), ("my_helper",), ("addActor2",), ("get_items",), ("_private",)]
+FUNCTIONS = [("make_hexahedron",), ("makeHexahedron",), ("create_lookup_table",), ("helper",), ("my_helper",), ("addActor2",), ("get_items",), ("_private",), ("make_<>",), ("create{}",), ("<>",), ("_<>",)]
 
 
-@query(f"""SELECT name, CASE WHEN len(p) < 2 THEN 'how to use ' || name WHEN lower(p[1]) IN ({quoted(FUNCTION_ACTIONS)}) THEN 'how to ' || lower(p[1]) || CASE WHEN substr(lower(p[2]), 1, 1) IN ({quoted('aeiou')}) THEN ' an ' ELSE ' a ' END || lower(array_to_string(p[2:], ' ')) ELSE 'how to use ' || lower(array_to_string(p, ' ')) END AS question
-FROM (SELECT name, CASE WHEN len(s) = 1 THEN regexp_extract_all(name, '[a-z]+|[A-Z][a-z]*') ELSE s END AS p FROM (SELECT name, list_filter(string_split(name, '_'), lambda x: x <> '') AS s FROM {sql_values(FUNCTIONS, 'name')}) x) y""")
+@query(f"""SELECT p_partkey, name, CASE WHEN len(p) < 2 THEN 'how to use ' || name WHEN lower(p[1]) IN ({quoted(FUNCTION_ACTIONS)}) THEN 'how to ' || lower(p[1]) || CASE WHEN substr(lower(p[2]), 1, 1) IN ({quoted('aeiou')}) THEN ' an ' ELSE ' a ' END || lower(array_to_string(p[2:], ' ')) ELSE 'how to use ' || lower(array_to_string(p, ' ')) END AS question
+FROM (SELECT p_partkey, name, CASE WHEN len(s) = 1 THEN regexp_extract_all(name, '[a-z]+|[A-Z][a-z]*') ELSE s END AS p FROM (SELECT p_partkey, name, list_filter(string_split(name, '_'), lambda x: x <> '') AS s FROM {of_parts_sql(FUNCTIONS, 'name')}) x) y""")
 def funcname_to_question(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, FUNCTIONS, "name string").select("name", questions.function_to_question(F.col("name")).alias("question"))
+    return of_parts(spark, d, FUNCTIONS, "name").select("p_partkey", "name", questions.function_to_question(F.col("name")).alias("question"))
 
 
-CALLS = [("SetRadius", "2.5"), ("SetCenter", "1.0|2.0|3.0"), ("AddRenderer", "ren"), ("CreateDefaultLookupTable", ""), ("ShadingOn", ""), ("GetOutput", ""), ("Render", ""), ("Orient", "x|y"), ("Orient", ""), ("Reset", ""), ("SetFlag", "")]
+CALLS = [("SetRadius", "2.5"), ("SetCenter", "1.0|2.0|3.0"), ("AddRenderer", "ren"), ("CreateDefaultLookupTable", ""), ("ShadingOn", ""), ("GetOutput", ""), ("Render", ""), ("Orient", "x|y"), ("Orient", ""), ("Reset", ""), ("SetFlag", ""), ("Set{}", "<>"), ("Set{}", "1|<>"), ("Add{}", "<>"), ("{}On", ""), ("{}Off", ""), ("Get{}", "1"), ("Align{}", "<>")]
 
 
 def call_sql() -> str:
@@ -651,11 +666,11 @@ def call_sql() -> str:
     return f"CASE WHEN starts_with(method, 'Get') OR method IN ({quoted(LIFECYCLE_METHODS)}) THEN NULL {' '.join(cases)} WHEN len(a) > 0 THEN {CAMEL('method')} || ' with ' || array_to_string(a, ', ') END"
 
 
-@query(f"SELECT method, args, {call_sql()} AS phrase FROM (SELECT method, args, CASE WHEN args = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(args, '|') END AS a FROM {sql_values(CALLS, 'method', 'args')}) x")
+@query(f"SELECT p_partkey, method, args, {call_sql()} AS phrase FROM (SELECT p_partkey, method, args, CASE WHEN args = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(args, '|') END AS a FROM {of_parts_sql(CALLS, 'method', 'args')}) x")
 def call_to_phrase(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, CALLS, "method string, args string")
+    rows = of_parts(spark, d, CALLS, "method", "args")
     args = F.when(F.col("args") == "", F.array().cast("array<string>")).otherwise(F.split("args", r"\|"))
-    return rows.withColumn("a", args).select("method", "args", questions.call_to_phrase(F.col("method"), F.col("a")).alias("phrase"))
+    return rows.withColumn("a", args).select("p_partkey", "method", "args", questions.call_to_phrase(F.col("method"), F.col("a")).alias("phrase"))
 
 
 #: Word characters of Spark's Unicode classes, for RE2.
@@ -813,9 +828,24 @@ def typed_values(rows: list[tuple], **columns: str) -> str:
     return f"SELECT {casts} FROM {sql_values(rows, *columns)}"
 
 
-@query(typed_values(LIFECYCLES, example_id="VARCHAR", chunk_no="INT", member_no="INT", variable="VARCHAR", **{"class": "VARCHAR"}, role="VARCHAR", mapper="VARCHAR", actor="VARCHAR", methods="VARCHAR", statements="BIGINT"))
+def part_sources(spark: SparkSession, d: str) -> DataFrame:
+    """An example a part: in turn one of the snippets, with the part's name in a comment, in a string and as an unknown variable's value at its end."""
+    p, rows = t(spark, d, "part"), SNIPPETS + RULES
+    one = F.element_at(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(c).alias("code")) for i, c in rows]), (F.pmod("p_partkey", F.lit(len(rows))) + 1).cast("int"))
+    made = F.concat(F.lit("# "), "p_name", F.lit("\n"), F.col("s.code"), F.lit("\nlabel = '"), "p_name", F.lit("'\n"))
+    return p.withColumn("s", one).select(F.concat("s.id", F.lit("#"), F.col("p_partkey").cast("string")).alias("example_id"), made.alias("code"))
+
+
+def part_lifecycles() -> str:
+    rows = SNIPPETS + RULES
+    lives = typed_values(LIFECYCLES, example_id="VARCHAR", chunk_no="INT", member_no="INT", variable="VARCHAR", **{"class": "VARCHAR"}, role="VARCHAR", mapper="VARCHAR", actor="VARCHAR", methods="VARCHAR", statements="BIGINT")
+    numbered = sql_values([(i, r[0]) for i, r in enumerate(rows)], "which", "of")
+    return f"SELECT l.* REPLACE (example_id || '#' || p_partkey AS example_id) FROM part JOIN {numbered} ON p_partkey % {len(rows)} = which JOIN ({lives}) l ON l.example_id = v.of"
+
+
+@query(part_lifecycles())
 def code_lifecycles(spark: SparkSession, d: str) -> DataFrame:
-    return code_chunks.lifecycles(values(spark, SNIPPETS + RULES, "example_id string, code string"), values(spark, MORE_CLASSES, CLASS_SCHEMA))
+    return code_chunks.lifecycles(part_sources(spark, d), values(spark, MORE_CLASSES, CLASS_SCHEMA))
 
 
 #: chunk_no, chunk_id, action_phrase, synopsis, role, visibility_score, input_datatype, output_datatype, content, variable_name, vtk_class_names, methods, queries, is_pythonic
