@@ -828,24 +828,25 @@ def typed_values(rows: list[tuple], **columns: str) -> str:
     return f"SELECT {casts} FROM {sql_values(rows, *columns)}"
 
 
-def part_sources(spark: SparkSession, d: str) -> DataFrame:
-    """An example a part: in turn one of the snippets, with the part's name in a comment, in a string and as an unknown variable's value at its end."""
-    p, rows = t(spark, d, "part"), SNIPPETS + RULES
+def part_sources(spark: SparkSession, d: str, rows: list[tuple]) -> DataFrame:
+    """An example a part, its id with the part's number: in turn one of the snippets, with the part's name in a comment, in a string and as an unknown variable's value at its end."""
+    p = t(spark, d, "part")
     one = F.element_at(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(c).alias("code")) for i, c in rows]), (F.pmod("p_partkey", F.lit(len(rows))) + 1).cast("int"))
     made = F.concat(F.lit("# "), "p_name", F.lit("\n"), F.col("s.code"), F.lit("\nlabel = '"), "p_name", F.lit("'\n"))
-    return p.withColumn("s", one).select(F.concat("s.id", F.lit("#"), F.col("p_partkey").cast("string")).alias("example_id"), made.alias("code"))
+    named = F.concat(F.regexp_replace("s.id", "/$", ""), F.lit("#"), F.col("p_partkey").cast("string"), F.when(F.endswith("s.id", F.lit("/")), F.lit("/")).otherwise(F.lit("")))
+    return p.withColumn("s", one).select(named.alias("example_id"), made.alias("code"))
 
 
 def part_lifecycles() -> str:
     rows = SNIPPETS + RULES
     lives = typed_values(LIFECYCLES, example_id="VARCHAR", chunk_no="INT", member_no="INT", variable="VARCHAR", **{"class": "VARCHAR"}, role="VARCHAR", mapper="VARCHAR", actor="VARCHAR", methods="VARCHAR", statements="BIGINT")
     numbered = sql_values([(i, r[0]) for i, r in enumerate(rows)], "which", "of")
-    return f"SELECT l.* REPLACE (example_id || '#' || p_partkey AS example_id) FROM part JOIN {numbered} ON p_partkey % {len(rows)} = which JOIN ({lives}) l ON l.example_id = v.of"
+    return f"SELECT l.* REPLACE (regexp_replace(example_id, '/$', '') || '#' || p_partkey || CASE WHEN ends_with(example_id, '/') THEN '/' ELSE '' END AS example_id) FROM part JOIN {numbered} ON p_partkey % {len(rows)} = which JOIN ({lives}) l ON l.example_id = v.of"
 
 
 @query(part_lifecycles())
 def code_lifecycles(spark: SparkSession, d: str) -> DataFrame:
-    return code_chunks.lifecycles(part_sources(spark, d), values(spark, MORE_CLASSES, CLASS_SCHEMA))
+    return code_chunks.lifecycles(part_sources(spark, d, SNIPPETS + RULES), values(spark, MORE_CLASSES, CLASS_SCHEMA))
 
 
 #: chunk_no, chunk_id, action_phrase, synopsis, role, visibility_score, input_datatype, output_datatype, content, variable_name, vtk_class_names, methods, queries, is_pythonic
@@ -866,9 +867,12 @@ CHUNKS = [
 ]
 
 
-@query(typed_values(CHUNKS, chunk_no="INT", chunk_id="VARCHAR", action_phrase="VARCHAR", synopsis="VARCHAR", role="VARCHAR", visibility_score="DOUBLE", input_datatype="VARCHAR", output_datatype="VARCHAR", content="VARCHAR", variable_name="VARCHAR", vtk_class_names="VARCHAR", methods="VARCHAR", queries="VARCHAR", is_pythonic="BOOLEAN"))
+CHUNKS_SQL = typed_values(CHUNKS, chunk_no="INT", chunk_id="VARCHAR", action_phrase="VARCHAR", synopsis="VARCHAR", role="VARCHAR", visibility_score="DOUBLE", input_datatype="VARCHAR", output_datatype="VARCHAR", content="VARCHAR", variable_name="VARCHAR", vtk_class_names="VARCHAR", methods="VARCHAR", queries="VARCHAR", is_pythonic="BOOLEAN")
+
+
+@query(f"SELECT c.* REPLACE (replace(chunk_id, '_chunk_', '#' || p_partkey || '_chunk_') AS chunk_id) FROM part JOIN ({CHUNKS_SQL}) c ON p_partkey % {len(SNIPPETS)} = CASE WHEN starts_with(chunk_id, 'Pipeline') THEN 0 ELSE 1 END")
 def code_chunks_of_snippets(spark: SparkSession, d: str) -> DataFrame:
-    chunks = code_chunks.chunk_code(values(spark, SNIPPETS, "example_id string, code string"), values(spark, CLASSES, CLASS_SCHEMA))
+    chunks = code_chunks.chunk_code(part_sources(spark, d, SNIPPETS), values(spark, CLASSES, CLASS_SCHEMA))
     methods = F.array_join(F.transform("vtk_classes", lambda c: F.array_join(c["methods"], ",")), "|")
     shown = chunks.select("chunk_no", "chunk_id", "action_phrase", "synopsis", "role", F.round("visibility_score", 6).alias("visibility_score"), "input_datatype", "output_datatype", "content", "variable_name", F.array_join("vtk_class_names", ",").alias("vtk_class_names"), methods.alias("methods"), F.array_join("queries", "\n").alias("queries"), "is_pythonic")
     return shown
