@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import positions
+
 _BOUNDS = {"gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v}
 
 
@@ -84,9 +86,13 @@ class FilterBuilder:
         return self
 
     def match_text(self, field: str, words: str) -> FilterBuilder:
-        """Field holds all these words, whatever their case."""
-        for w in words.lower().split():
-            self._must.append(F.contains(F.lower(F.col(field)), F.lit(w)))
+        """Field holds all these words, whatever their case: whole words, as the sparse encoder has them."""
+        self._must.append(positions.has_words(F.col(field), words))
+        return self
+
+    def match_phrase(self, field: str, phrase: str) -> FilterBuilder:
+        """Field holds the words of the phrase one after the other."""
+        self._must.append(positions.has_phrase(F.col(field), phrase))
         return self
 
     def build(self) -> Column | None:

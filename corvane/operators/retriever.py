@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions.embed import Embedder
+from ..sources import positions
 from ..sources.collection import Collection
 from . import filters as fl
 
@@ -183,6 +184,17 @@ class Retriever:
         branches = self._branches(name, query, filters, self.prefetch if prefetch_limit is None else prefetch_limit, ("content", "bm25"))
         return self._result(name, fuse(branches, limit), filters)
 
+    def phrase_search(self, phrase: str, collection: str | None = None, limit: int | None = None, filters: Filters = None) -> DataFrame:
+        """bm25_search() among the points that hold the words of the phrase one after the other; through stored places where the collection has them."""
+        name, limit = collection or self.code, limit or self.limit
+        c, points, filtered = self._passing(name, filters)
+        if c.about.get("positional"):
+            held = c.phrase(phrase).select("id")
+            held = held.join(points.select("id"), "id", "left_semi") if filtered else held
+        else:
+            held = points.filter(positions.has_phrase(F.col("content"), phrase)).select("id")
+        return self._result(name, sparse(c.postings, c.term_stats, c.corpus_stats, phrase, limit, allowed=held), filters)
+
     def _either(self, query: str, collection: str, limit: int | None, filters: Filters, hybrid: bool | None) -> DataFrame:
         return (self.hybrid_search if (self.hybrid if hybrid is None else hybrid) else self.search)(query, collection, limit, filters)
 

@@ -16,6 +16,7 @@ from ..schemas import RAW_DOC
 from ..sources import collection as coll
 from ..sources import storage
 from ..sources.jsonl import with_doc_defaults
+from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -332,7 +333,7 @@ def upserted(spark: SparkSession, d: str) -> coll.Collection:
     if key not in _BUILT:
         rows = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("role"), F.array(F.lit(1.0)).alias("vec"))
         path = f"{storage.shared_folder(spark)}/corvane-upserted-{key[0]}-{abs(hash(d))}"
-        first = coll.Collection.create("docs", path, rows, None, key="id", layout=("role",))
+        first = coll.Collection.create("docs", path, rows, None, key="id", layout=("role",), positional=True)
         changed = rows.filter("id % 10 = 3").withColumn("content", F.concat("content", F.lit(" thereof Thing")))
         added = rows.filter("id % 10 = 5").withColumn("id", F.col("id") + 1_000_000_000)
         _BUILT[key] = first.upsert(changed.unionByName(added)).upsert(removed=rows.filter("id % 10 = 7"))
@@ -355,6 +356,50 @@ def upsert_term_stats(spark: SparkSession, d: str) -> DataFrame:
     return upserted(spark, d).term_stats
 
 
+@query(f"WITH {UPSERTED} SELECT doc_id FROM n WHERE list_has_all(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ['the', 'and', 'of'])")
+def match_words(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold all words, by their stored lists, after upserts."""
+    return upserted(spark, d).words("of the and").select(F.col("id").alias("doc_id"))
+
+
+@query(f"""WITH {UPSERTED}, w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM n)
+SELECT * FROM (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'the' AND w[i + 1] = 'the')) AS n FROM w) x WHERE n > 0""")
+def match_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a phrase and how often it stands there, occurrences that overlap each, after upserts."""
+    return upserted(spark, d).phrase("The the").select(F.col("id").alias("doc_id"), F.size("starts").cast("long").alias("n"))
+
+
+@query(f"WITH {UPSERTED}, {bm25_sql('n', 'doc_id', 10, LANG + ' AND contains(chr(32) || array_to_string(w, chr(32)) || chr(32), ' + repr(' the of ') + ')', words=repr('the') + ', ' + repr('of'))} SELECT * FROM b")
+def phrase_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best documents by BM25 among those of a language that hold a phrase."""
+    return retriever.Retriever({"docs": upserted(spark, d)}, GivenVector([1.0]), code="docs").phrase_search("the of", filters={"role": "en"}).select("id", "score")
+
+
+@query("SELECT doc_id FROM documents WHERE list_has_all(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ['the', 'and']) AND contains(' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') || ' ', ' of the ')")
+def filter_text(spark: SparkSession, d: str) -> DataFrame:
+    """Words and a phrase as conditions on texts without an index."""
+    docs = t(spark, d, "documents")
+    return docs.filter(fl.FilterBuilder(docs).match_text("text", "and THE").match_phrase("text", "of the").build()).select("doc_id")
+
+
+def streamed(spark: SparkSession, d: str) -> coll.Collection:
+    """All documents as they came through a stream into a collection."""
+    key = (spark.sparkContext.applicationId, f"{d} streamed")
+    if key not in _BUILT:
+        source = spark.readStream.schema(t(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+        rows = source.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("role"), F.array(F.lit(1.0)).alias("vec"))
+        path = f"{storage.shared_folder(spark)}/corvane-streamed-{key[0]}-{abs(hash(d))}"
+        ingest.stream_collection(rows, "docs", path, None, f"{path}-checkpoint", layout=("role",)).awaitTermination()
+        _BUILT[key] = coll.Collection.read(spark, "docs", path)
+    return _BUILT[key]
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', 10, LANG)} SELECT * FROM b")
+def bm25_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Search in what a stream has brought, by statistics kept up batch by batch."""
+    return retriever.Retriever({"docs": streamed(spark, d)}, GivenVector([1.0]), code="docs").bm25_search(QUERY_TEXT, filters={"role": "en"}).select("id", "score")
+
+
 # -- filters ---------------------------------------------------------------------------------------------------------
 
 

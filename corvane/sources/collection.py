@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..functions.embed import Embedder
 from ..operators import filters as fl
-from . import blocks, manifest, payload, segments, storage
+from . import blocks, manifest, payload, positions, segments, storage
 from .vector_index import VectorIndex
 
 PARTS = ("points", "query_vectors", "postings", "term_stats", "corpus_stats")
@@ -89,7 +89,7 @@ class Collection:
     @classmethod
     def create(
         cls, name: str, path: str, chunks: DataFrame, embedder: Embedder | None, key: str | None = None, order: tuple[str, ...] = ("chunk_id",), content: str = "content",
-        layout: tuple[str, ...] = (), buckets: int | None = None, indexed: tuple[str, ...] = (),
+        layout: tuple[str, ...] = (), buckets: int | None = None, indexed: tuple[str, ...] = (), positional: bool = False, note: dict[str, Any] | None = None,
     ) -> Collection:
         """A collection of chunks under path, in the place of what was there: the next version, which holds once all of it is written.
 
@@ -97,6 +97,7 @@ class Collection:
         stored with their ids first, and all tables come from these. Texts of `queries` have vectors too; without any, the
         content's. Without an embedder the chunks bring a column vec. layout: fields of filters; points lie in their order, so
         that statistics of files and row groups prune a filtered scan. indexed: fields with bitmaps, for filtered(). The inverted index lies in the order of terms.
+        positional: places of terms are stored too, for words() and phrase(). note: what the manifest says besides, in this and later versions.
         """
         spark, folder = chunks.sparkSession, segments.new_folder()
         before, _ = manifest.load(spark, path)
@@ -109,7 +110,7 @@ class Collection:
             ties = rows.withColumn("__tie", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
             numbered(ties, *order, "__tie").drop("__tie").write.parquet(staged)
             ided = placed(spark.read.parquet(staged), "id")
-        about = {"key": key, "content": content, "layout": [f for f in layout if f in ided.columns], "buckets": buckets, "indexed": [f for f in indexed if f in ided.columns]}
+        about = {"key": key, "content": content, "layout": [f for f in layout if f in ided.columns], "buckets": buckets, "indexed": [f for f in indexed if f in ided.columns], "positional": positional} | (note or {})
         payload.check(ided.schema, about["indexed"])
         _write(at, ided, embedder, about)
         segments.drop_staged(spark, at)
@@ -135,13 +136,13 @@ class Collection:
         payload = self.points.drop("vec", "norm")
         return payload.select(*columns) if columns else payload
 
-    def upsert(self, chunks: DataFrame | None = None, embedder: Embedder | None = None, removed: DataFrame | list[int] | None = None, compact_after: int = 8) -> Collection:
+    def upsert(self, chunks: DataFrame | None = None, embedder: Embedder | None = None, removed: DataFrame | list[int] | None = None, compact_after: int = 8, note: dict[str, Any] | None = None) -> Collection:
         """The next version: chunks take the place of rows of their ids or are added, rows of removed ids go.
 
         Only points of the ids concerned are read, for the terms that their old texts had. chunks have ids as at create(); of
         rows that repeat an id the last by their JSON stays, rows without an id are left out. removed: ids, or a column id;
         an id in both is replaced. Beyond compact_after folders they are put together. Another writer's version in between
-        raises manifest.Conflict, and nothing changes.
+        raises manifest.Conflict, and nothing changes. note: what the manifest says besides, from the moment the rows hold.
         """
         key = self.about.get("key")
         if not key:
@@ -165,7 +166,7 @@ class Collection:
         segments.drop_staged(spark, at)
         storage.delete(spark, f"{staged}-old")
         parts = [*self.about["segments"], {"folder": folder, "gone": n_gone}]
-        manifest.commit(spark, self.path, self.about | {"segments": parts, "folders": [*self.about["folders"], folder]}, self.version)
+        manifest.commit(spark, self.path, self.about | {"segments": parts, "folders": [*self.about["folders"], folder]} | (note or {}), self.version)
         new = Collection.read(spark, self.name, self.path)
         return new.compact() if len(parts) > compact_after else new
 
@@ -176,6 +177,8 @@ class Collection:
         segments.write_points(self.points, at, self.about["layout"])
         if self.about.get("indexed"):
             payload.write(spark, at, self.about["indexed"])
+        if self.about.get("positional"):
+            positions.write(self.points, at)
         self.query_vectors.write.parquet(f"{at}/query_vectors")
         segments.write_postings(self.postings, at, self.about["buckets"])
         segments.counts_of(self.points, text_size()).write.parquet(f"{at}/corpus_stats")
@@ -238,6 +241,19 @@ class Collection:
         missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.points.schema if f.name not in whole.columns]
         return fl.where(whole.select("*", *missing).select(*self.points.columns), filters, aliases)
 
+    def words(self, words: str) -> DataFrame:
+        """(id) of texts that hold all words, by the lists of these words alone."""
+        return positions.holding(self._places(), words)
+
+    def phrase(self, phrase: str) -> DataFrame:
+        """(id, starts) of texts that hold the words of a phrase one after the other, and at which words it begins."""
+        return positions.phrases(self._places(), phrase)
+
+    def _places(self) -> DataFrame:
+        if not self.about.get("positional"):
+            raise ValueError("create the collection with positional=True")
+        return segments.alive(self.points.sparkSession, self.path, self.about["segments"], "places")
+
     def scroll_page(self, limit: int, after: tuple | None = None, columns: list[str] | None = None) -> Page:
         """The next rows after a key, in the order of the layout's fields and the id, reading only the files in which they lie.
 
@@ -292,6 +308,8 @@ def _write(folder: str, ided: DataFrame, embedder: Embedder | None, about: dict[
     segments.write_points(points, folder, about["layout"])
     if about.get("indexed"):
         payload.write(ided.sparkSession, folder, about["indexed"])
+    if about.get("positional"):
+        positions.write(ided, folder)
     if embedder is None:
         asked = ided.select("id", F.lit(0).alias("qpos"), "vec")
     else:
