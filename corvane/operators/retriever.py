@@ -155,6 +155,8 @@ class Retriever:
                 out.append(c.block_max().search(query, k, points if filtered else None))
             elif mode == "content" and self.vector_index and "vectors" in c.about:
                 out.append(c.nearest(self.embedder.one(query), k, reduce(lambda a, b: a & b, self._conditions(c, filters)) if filtered else None))
+            elif mode == "queries" and self.vector_index and "late" in c.about:
+                out.append(c.nearest_queries(self.embedder.one(query), k, reduce(lambda a, b: a & b, self._conditions(c, filters)) if filtered else None))
             elif mode == "bm25":
                 out.append(sparse(c.postings, c.term_stats, c.corpus_stats, query, k, allowed=points if filtered else None))
             elif mode == "queries":

@@ -16,6 +16,7 @@ from ..schemas import RAW_DOC
 from ..sources import collection as coll
 from ..sources import storage
 from ..sources.jsonl import with_doc_defaults
+from ..sources.late_index import LateIndex
 from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -382,6 +383,20 @@ def filter_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.filter(fl.FilterBuilder(docs).match_text("text", "and THE").match_phrase("text", "of the").build()).select("doc_id")
 
 
+def late(spark: SparkSession, d: str) -> LateIndex:
+    """All embeddings, four a point, in lists; built once in a session in the shared folder."""
+    path = f"{storage.shared_folder(spark)}/corvane-late-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    if storage.exists(spark, f"{path}/centres.json"):
+        return LateIndex(spark, path)
+    return LateIndex.build(t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("id"), F.col("embedding").alias("vec")), path)
+
+
+@query("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id // 4 AS id, round(max(list_cosine_similarity(embedding::DOUBLE[], q)), 6) AS score FROM embeddings, q GROUP BY 1 ORDER BY score DESC, id LIMIT 10")
+def multivector_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Points of four vectors by their largest cosine, through lists with bounds."""
+    return late(spark, d).search(query_vector(spark, d), 10)
+
+
 def streamed(spark: SparkSession, d: str) -> coll.Collection:
     """All documents as they came through a stream into a collection."""
     key = (spark.sparkContext.applicationId, f"{d} streamed")

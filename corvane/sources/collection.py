@@ -19,6 +19,7 @@ from ..functions import scoring, text
 from ..functions.embed import Embedder
 from ..operators import filters as fl
 from . import blocks, manifest, payload, positions, segments, storage
+from .late_index import LateIndex
 from .vector_index import VectorIndex
 
 PARTS = ("points", "query_vectors", "postings", "term_stats", "corpus_stats")
@@ -171,7 +172,7 @@ class Collection:
         return new.compact() if len(parts) > compact_after else new
 
     def compact(self) -> Collection:
-        """The next version, with the same rows in one folder. An index of vectors is built anew if there was one."""
+        """The next version, with the same rows in one folder. Indexes of vectors are built anew if there were any."""
         spark, folder = self.points.sparkSession, segments.new_folder()
         at = f"{self.path}/{folder}"
         segments.write_points(self.points, at, self.about["layout"])
@@ -182,11 +183,12 @@ class Collection:
         self.query_vectors.write.parquet(f"{at}/query_vectors")
         segments.write_postings(self.postings, at, self.about["buckets"])
         segments.counts_of(self.points, text_size()).write.parquet(f"{at}/corpus_stats")
-        about = {k: v for k, v in self.about.items() if k != "vectors"} | {"segments": [{"folder": folder, "gone": 0}], "folders": [folder]}
+        about = {k: v for k, v in self.about.items() if k not in ("vectors", "late")} | {"segments": [{"folder": folder, "gone": 0}], "folders": [folder]}
         manifest.commit(spark, self.path, about, self.version)
         manifest.vacuum(spark, self.path)
         new = Collection.read(spark, self.name, self.path)
-        return new.index_vectors() if "vectors" in self.about else new
+        new = new.index_vectors() if "vectors" in self.about else new
+        return new.index_queries() if "late" in self.about else new
 
     def block_max(self) -> blocks.BlockMax:
         """Sparse search that skips blocks of postings."""
@@ -224,6 +226,34 @@ class Collection:
         own = fresh.select("id", F.round(scoring.cosine(F.col("vec"), query, F.col("norm")), scoring.DIGITS).alias("score"))
         return scoring.top_k(found.unionByName(own), k, "score", "id")
 
+    def index_queries(self, lists: int | None = None) -> Collection:
+        """The next version, with an index of the query vectors. Later upserts are searched beside it until it is built anew."""
+        spark, folder = self.points.sparkSession, f"part-of-queries-{uuid.uuid4().hex}"
+        LateIndex.build(self.query_vectors, f"{self.path}/{folder}", lists=lists)
+        old = self.about.get("late", {}).get("folder")
+        folders = [f for f in self.about["folders"] if f != old]
+        about = self.about | {"late": {"folder": folder, "segments": len(self.about["segments"])}, "folders": [*folders, folder]}
+        manifest.commit(spark, self.path, about, self.version)
+        return Collection.read(spark, self.name, self.path)
+
+    def nearest_queries(self, query: list[float], k: int, condition: Column | None = None) -> DataFrame:
+        """(id, score) of the k points of which a query vector has the largest cosine, exactly, through the index of query vectors."""
+        spark, have = self.points.sparkSession, self.about.get("late")
+        if have is None:
+            raise ValueError("index_queries() first")
+        later = self.about["segments"][have["segments"] :]
+        allowed = None if condition is None else self.points.filter(condition).select("id")
+        replaced, among = segments.gone(spark, self.path, later), allowed
+        if replaced is not None:  # what the index has of replaced ids are other vectors
+            among = (self.points.select("id") if allowed is None else allowed).join(replaced, "id", "left_anti")
+        found = LateIndex(spark, f"{self.path}/{have['folder']}").search(query, k, among)
+        if not later:
+            return found
+        fresh = segments.alive(spark, self.path, later, "query_vectors")
+        fresh = fresh if allowed is None else fresh.join(allowed, "id", "left_semi")
+        own = fresh.select("id", scoring.cosine(F.col("vec"), query, F.col("norm")).alias("s")).groupBy("id").agg(F.round(F.max("s"), scoring.DIGITS).alias("score"))
+        return scoring.top_k(found.unionByName(own), k, "score", "id")
+
     def filtered(self, filters: dict[str, Any] | Column | None, aliases: dict[str, str] | None = None) -> DataFrame:
         """Points that pass a filter. Bitmaps of its indexed fields are intersected first, and only files that hold some of what is left are read."""
         spark, parts = self.points.sparkSession, self.about["segments"]
