@@ -32,7 +32,10 @@ def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
 
 
 def placed(local: DataFrame, name: str = "position") -> DataFrame:
-    """Contiguous positions from 0 of rows from numbered(): counts by partition, one row each, give every partition its offset."""
+    """Contiguous positions from 0 of stored rows from numbered(): counts by partition, one row each, give every partition its offset.
+
+    They must be stored: ranges are sampled, so a plan that numbers rows twice, once for the counts, can number them by two sets of ranges.
+    """
     counts = local.groupBy("__p").agg(F.count("*").alias("__c"))
     offsets = counts.withColumn("__o", F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
     both = local.join(F.broadcast(offsets.select("__p", F.coalesce("__o", F.lit(0)).alias("__o"))), "__p")  # a row a partition
@@ -42,7 +45,7 @@ def placed(local: DataFrame, name: str = "position") -> DataFrame:
 
 def with_positions(rows: DataFrame, *order: str) -> DataFrame:
     """Contiguous positions from 0 in a global order; rows that tie take any places among them."""
-    return placed(numbered(rows, *order))
+    return placed(storage.stored(numbered(rows, *order)))
 
 
 def postings(points: DataFrame, key: str = "id", content: str = "content") -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, path: str):
@@ -17,6 +18,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where, fs = _at(spark, path)
+    return fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     """Remove a file or a folder with all that is in it; whether it was there."""
     where, fs = _at(spark, path)
@@ -36,6 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows from a new folder in the shared one, so that plans that use them twice see the same rows in the same partitions' numbers."""
+    path = f"{shared_folder(rows.sparkSession)}/corvane-rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names of what lies in a folder; none if it isn't there."""
     where, fs = _at(spark, path)

@@ -251,3 +251,13 @@ def test_streaming_ingest(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r["chunk_id"] for r in rows) == ["vtkNew_constructor", "vtkNew_inheritance", "vtkNew_overview"]
     assert api_dim.module_classes(classes, "mod.Math").collect()[0]["class"] == "vtkMath"
+
+
+def test_positions_are_those_of_one_numbering(spark):
+    """Columns that the counts by partition don't need change what is sampled for ranges."""
+    from corvane.sources.collection import with_positions
+
+    rows = spark.range(30_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("a"), "id", F.concat_ws("", *[F.sha2((F.col("id") + i).cast("string"), 512) for i in range(4)]).alias("t"))
+    got = with_positions(rows, "a", "id").collect()
+    assert sorted(r["position"] for r in got) == list(range(30_000))
+    assert [r["position"] for r in sorted(got, key=lambda r: (r["a"], r["id"]))] == list(range(30_000))
