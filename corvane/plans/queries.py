@@ -401,7 +401,9 @@ def streamed(spark: SparkSession, d: str) -> coll.Collection:
     """All documents as they came through a stream into a collection."""
     key = (spark.sparkContext.applicationId, f"{d} streamed")
     if key not in _BUILT:
-        source = spark.readStream.schema(t(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+        source = spark.readStream.schema(t(spark, d, "documents").schema)
+        # a stream's source is a folder: that of the table, or the one in which the table is a file
+        source = source.parquet(f"{d}/documents.parquet") if storage.is_folder(spark, f"{d}/documents.parquet") else source.option("pathGlobFilter", "documents.parquet").parquet(d)
         rows = source.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("role"), F.array(F.lit(1.0)).alias("vec"))
         path = f"{storage.shared_folder(spark)}/corvane-streamed-{key[0]}-{abs(hash(d))}"
         ingest.stream_collection(rows, "docs", path, None, f"{path}-checkpoint", layout=("role",)).awaitTermination()

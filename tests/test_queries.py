@@ -23,3 +23,8 @@ def test_entry_is_registered():
 
     assert "hybrid_rrf_filtered" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.streamed(spark, str(tmp_path)).points.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
