@@ -14,30 +14,108 @@ Results equal those of scoring all postings, rounded alike, ties and filters inc
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import scoring, text
+from . import storage
 
 SPAN = 512
+#: Words of a portion that is put together at once; what stands for a missing id there.
+PORTION, NONE = 1 << 20, -(1 << 63)
+BLOCK = "term string, span long, max_tf long, min_dl long, size long, held array<struct<id:long,tf:int,dl:int>>"
 #: Ranges that are scored for the threshold, by k; numbers of ranges up to which they are literals of the scan.
 FIRST, LITERALS = 4, 2000
 
 
-def blocks(postings: DataFrame, key: str = "id", span: int = SPAN) -> DataFrame:
-    """(term, span, max_tf, min_dl, size, held) of (term, id, tf, dl) rows; held: the postings of a block, by id. A block holds span postings at most if ids don't repeat."""
-    of = F.floor(F.col(key) / span)
-    one = F.struct(F.col(key).alias("id"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
-    by = postings.groupBy("term", of.alias("span"))
-    return by.agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").alias("size"), F.array_sort(F.collect_list(one)).alias("held"))
-
-
-def store(postings: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Blocks as Parquet in the order of terms and ranges, which prunes files and row groups by both."""
-    found = blocks(postings)
-    laid = found.repartitionByRange(buckets, "term", "span") if buckets else found.repartitionByRange("term", "span")
-    laid.sortWithinPartitions("term", "span").write.mode("overwrite").parquet(path)
+def blocks(points: DataFrame, key: str = "id", span: int = SPAN, *, content: str = "content", positional: bool = False, ranges: int | None = None) -> DataFrame:
+    """(term, span, max_tf, min_dl, size, held) of texts; held: the (id, tf, dl) postings of a block, by id; positional: also `at`, the places of each.
+
+    Texts, not their words, are shuffled, into ranges of ids. There words come one by one, and what lies together is put
+    together in portions of PORTION words, so a range of very long texts can give a term several blocks, each with other ids.
+    """
+    texts = points.select(F.floor(F.col(key) / span).alias("span"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(content), F.lit("")).alias("t"))
+    laid = texts.repartitionByRange(ranges, "span") if ranges else texts.repartitionByRange("span")
+    words = laid.sortWithinPartitions("span", "id").select("span", "id", text.tokens("t").alias("w"))
+    each = words.select("span", "id", F.size("w").alias("dl"), F.posexplode("w").alias("place", "term"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for portion in _portions(batches):
+            yield from _grouped(portion, positional).to_batches()
+
+    return each.mapInArrow(run, f"{BLOCK}, at array<array<int>>" if positional else BLOCK)
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in portions that end with a range or, if it is longer than PORTION, with an id."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(len(b) for b in held) < PORTION:
+            continue
+        whole = pa.Table.from_batches(held)
+        for name in ("span", "id"):
+            column = whole.column(name).combine_chunks().fill_null(NONE).to_numpy()
+            ends = np.flatnonzero(column[1:] != column[:-1]) + 1
+            if len(ends):
+                yield whole.slice(0, ends[-1])
+                whole = whole.slice(ends[-1])
+                break
+        held = whole.to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _grouped(rows: pa.Table, positional: bool) -> pa.Table:
+    """The blocks of (span, id, dl, place, term) rows by span and id."""
+    whole = lambda name: rows.column(name).combine_chunks()
+    spans, ids, dl, place = (whole(n).fill_null(NONE if n in ("span", "id") else 0).to_numpy() for n in ("span", "id", "dl", "place"))
+    terms = whole("term").dictionary_encode()
+    code = terms.indices.to_numpy().astype(np.int64)
+    # spans ascend, so their ranks are numbers of changes
+    at = np.concatenate([[0], np.cumsum(spans[1:] != spans[:-1])]) * len(terms.dictionary) + code
+    order = np.argsort(at, kind="stable")
+    at, spans, ids, dl, place, code = at[order], spans[order], ids[order], dl[order], place[order], code[order]
+    starts = lambda *of: np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in of])]))
+    one = starts(at, ids)  # a posting each
+    tf, longest = np.diff(np.append(one, len(at))).astype(np.int32), np.maximum.reduceat(dl, one).astype(np.int32)
+    block = starts(at[one])
+    ends = pa.array(np.append(block, len(one)).astype(np.int32))
+    known = lambda x: pa.array(x, pa.int64(), mask=x == NONE)
+    postings = pa.StructArray.from_arrays([known(ids[one]), pa.array(tf), pa.array(longest)], ["id", "tf", "dl"])
+    first = one[block]
+    columns = {
+        "term": terms.dictionary.take(pa.array(code[first])), "span": known(spans[first]), "max_tf": pa.array(np.maximum.reduceat(tf, block).astype(np.int64)),
+        "min_dl": pa.array(np.minimum.reduceat(longest, block).astype(np.int64)), "size": pa.array(np.diff(np.append(block, len(one))).astype(np.int64)), "held": pa.ListArray.from_arrays(ends, postings),
+    }
+    if positional:
+        places = pa.ListArray.from_arrays(pa.array(np.append(one, len(at)).astype(np.int32)), pa.array(place.astype(np.int32)))
+        columns["at"] = pa.ListArray.from_arrays(ends, places)
+    return pa.table(columns)
+
+
+def store(points: DataFrame, path: str, buckets: int | None = None, *, positional: bool = False, ranges: int | None = None) -> None:
+    """Blocks as Parquet in the order of terms and ranges, which prunes files and row groups by both. They are written once before, as ranges are sampled."""
+    spark = points.sparkSession
+    blocks(points, positional=positional, ranges=ranges).write.parquet(f"{path}-by-id")
+    found, parts = spark.read.parquet(f"{path}-by-id"), buckets or ranges
+    laid = found.repartitionByRange(parts, "term", "span") if parts else found.repartitionByRange("term", "span")
+    laid.sortWithinPartitions("term", "span").write.parquet(path)
+    storage.delete(spark, f"{path}-by-id")
+
+
+def postings(held: DataFrame) -> DataFrame:
+    """(term, id, tf, dl) of blocks; a condition on terms prunes what is read."""
+    return held.select("term", F.explode("held").alias("p")).select("term", "p.id", F.col("p.tf").cast("long").alias("tf"), F.col("p.dl").cast("long").alias("dl"))
+
+
+def places(held: DataFrame) -> DataFrame:
+    """(term, id, at): the places, from 0 and ascending, of every term of every text, of blocks with places."""
+    return held.select("term", F.explode(F.arrays_zip(F.col("held.id").alias("id"), "at")).alias("p")).select("term", "p.id", "p.at")
 
 
 def terms_of(query: str) -> list[str]:

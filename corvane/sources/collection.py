@@ -22,7 +22,7 @@ from . import blocks, manifest, payload, positions, segments, storage
 from .late_index import LateIndex
 from .vector_index import VectorIndex
 
-PARTS = ("points", "query_vectors", "postings", "term_stats", "corpus_stats")
+PARTS = ("points", "query_vectors", "blocks", "term_stats", "corpus_stats")
 
 
 def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
@@ -129,7 +129,7 @@ class Collection:
         if not number:
             raise FileNotFoundError(f"no collection at {path}")
         parts = about["segments"]
-        rows = [segments.alive(spark, path, parts, p) for p in PARTS[:3]]
+        rows = [*(segments.alive(spark, path, parts, p) for p in PARTS[:2]), segments.alive(spark, path, parts, "blocks", blocks.postings)]
         return cls(name, *rows, segments.term_stats(spark, path, parts), segments.corpus_stats(spark, path, parts), path, number, about)
 
     def info(self) -> DataFrame:
@@ -178,13 +178,12 @@ class Collection:
         """The next version, with the same rows in one folder. Indexes of vectors are built anew if there were any."""
         spark, folder = self.points.sparkSession, segments.new_folder()
         at = f"{self.path}/{folder}"
-        segments.write_points(self.points, at, self.about["layout"])
+        n = [segments.ranges(spark, f"{self.path}/{s['folder']}/points") for s in self.about["segments"]]
+        segments.write_points(self.points, at, self.about["layout"], sum(x or 0 for x in n) or None)
         if self.about.get("indexed"):
             payload.write(spark, at, self.about["indexed"])
-        if self.about.get("positional"):
-            positions.write(self.points, at)
         self.query_vectors.write.parquet(f"{at}/query_vectors")
-        segments.write_postings(self.postings, at, self.about["buckets"])
+        segments.write_postings(spark.read.parquet(f"{at}/points"), at, self.about["buckets"], self.about.get("positional", False), parts=segments.ranges(spark, f"{at}/points"))
         segments.counts_of(self.points, text_size()).write.parquet(f"{at}/corpus_stats")
         about = {k: v for k, v in self.about.items() if k not in ("vectors", "late")} | {"segments": [{"folder": folder, "gone": 0}], "folders": [folder]}
         manifest.commit(spark, self.path, about, self.version)
@@ -276,16 +275,17 @@ class Collection:
 
     def words(self, words: str) -> DataFrame:
         """(id) of texts that hold all words, by the lists of these words alone."""
-        return positions.holding(self._places(), words)
+        self._positional()
+        return positions.holding(self.postings.select("term", "id"), words)
 
     def phrase(self, phrase: str) -> DataFrame:
         """(id, starts) of texts that hold the words of a phrase one after the other, and at which words it begins."""
-        return positions.phrases(self._places(), phrase)
+        self._positional()
+        return positions.phrases(segments.alive(self.points.sparkSession, self.path, self.about["segments"], "blocks", blocks.places), phrase)
 
-    def _places(self) -> DataFrame:
+    def _positional(self) -> None:
         if not self.about.get("positional"):
             raise ValueError("create the collection with positional=True")
-        return segments.alive(self.points.sparkSession, self.path, self.about["segments"], "places")
 
     def scroll_page(self, limit: int, after: tuple | None = None, columns: list[str] | None = None) -> Page:
         """The next rows after a key, in the order of the layout's fields and the id, reading only the files in which they lie.
@@ -336,19 +336,18 @@ class Collection:
 
 def _write(folder: str, ided: DataFrame, embedder: Embedder | None, about: dict[str, Any], old: DataFrame | None = None) -> None:
     """All tables of a folder for rows with ids; old: (id, content) of what they replace, whose statistics are taken off."""
+    spark, parts = ided.sparkSession, segments.ranges(ided.sparkSession, f"{folder}/.staged") if storage.exists(ided.sparkSession, f"{folder}/.staged") else None
     vectors = F.col("vec") if embedder is None else embedder.column(F.col("content"))
     points = ided.drop("queries").withColumn("vec", vectors).withColumn("norm", scoring.norm(F.col("vec")))
-    segments.write_points(points, folder, about["layout"])
+    segments.write_points(points, folder, about["layout"], parts)
     if about.get("indexed"):
-        payload.write(ided.sparkSession, folder, about["indexed"])
-    if about.get("positional"):
-        positions.write(ided, folder)
+        payload.write(spark, folder, about["indexed"])
     if embedder is None:
         asked = ided.select("id", F.lit(0).alias("qpos"), "vec")
     else:
         asked = asked_texts(ided).select("id", "qpos", embedder.column(F.col("q")).alias("vec"))
     asked.withColumn("norm", scoring.norm(F.col("vec"))).write.parquet(f"{folder}/query_vectors")
-    segments.write_postings(postings(ided.select("id", "content")), folder, about["buckets"], None if old is None else postings(old))
+    segments.write_postings(ided, folder, about["buckets"], about.get("positional", False), old, parts)
     counts = segments.counts_of(ided, text_size())
     if old is not None:
         counts = counts.crossJoin(segments.counts_of(old, text_size()).toDF("m", "less"))  # a row each

@@ -1,4 +1,4 @@
-"""Words and phrases in texts: an inverted index that holds the places of each term, in the order of terms.
+"""Words and phrases in texts, by the places of each term that blocks of postings hold in the order of terms.
 
 Words are the terms of the sparse encoder, so "art" isn't found in "part". A search reads the lists of its own terms only, as
 these are literals that prune row groups; a text's lists meet in one row, where places are intersected after each was
@@ -22,17 +22,6 @@ def terms_of(words: str) -> list[str]:
     return re.findall("[a-z0-9]+", words.lower())
 
 
-def places(points: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
-    """(term, id, at): the places, from 0 and ascending, of every term of every text."""
-    each = points.select(F.col(key).alias("id"), F.posexplode(text.tokens(F.coalesce(F.col(content), F.lit("")))).alias("place", "term"))
-    return each.groupBy("term", "id").agg(F.sort_array(F.collect_list("place")).alias("at"))
-
-
-def write(points: DataFrame, folder: str) -> None:
-    """places() by term and id: a term that most texts hold takes several files."""
-    places(points).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/places")
-
-
 def _lists(held: DataFrame, terms: list[str]) -> DataFrame:
     """(id, lists): places by term of the texts that hold all terms."""
     some = sorted(set(terms))

@@ -23,6 +23,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(where) and fs.getFileStatus(where).isDirectory()
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all that is in a folder."""
+    where, fs = _at(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     """Remove a file or a folder with all that is in it; whether it was there."""
     where, fs = _at(spark, path)
