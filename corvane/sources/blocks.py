@@ -27,13 +27,14 @@ from . import storage
 SPAN = 512
 #: Words of a portion that is put together at once; what stands for a missing id there.
 PORTION, NONE = 1 << 20, -(1 << 63)
-BLOCK = "term string, span long, max_tf long, min_dl long, size long, held array<struct<id:long,tf:int,dl:int>>"
+BLOCK = "term string, span long, max_tf long, min_dl long, size long, ids array<long>, tfs array<int>, dls array<int>"
+HELD = "array<struct<id:long,tf:int,dl:int>>"
 #: Ranges that are scored for the threshold, by k; numbers of ranges up to which they are literals of the scan.
 FIRST, LITERALS = 4, 2000
 
 
 def blocks(points: DataFrame, key: str = "id", span: int = SPAN, *, content: str = "content", positional: bool = False, ranges: int | None = None) -> DataFrame:
-    """(term, span, max_tf, min_dl, size, held) of texts; held: the (id, tf, dl) postings of a block, by id; positional: also `at`, the places of each.
+    """(term, span, max_tf, min_dl, size, ids, tfs, dls) of texts: the last three are the postings of a block, by id; positional: also `at`, the places of each.
 
     Texts, not their words, are shuffled, into ranges of ids. There words come one by one, and what lies together is put
     together in portions of PORTION words, so a range of very long texts can give a term several blocks, each with other ids.
@@ -86,25 +87,30 @@ def _grouped(rows: pa.Table, positional: bool) -> pa.Table:
     block = starts(at[one])
     ends = pa.array(np.append(block, len(one)).astype(np.int32))
     known = lambda x: pa.array(x, pa.int64(), mask=x == NONE)
-    postings = pa.StructArray.from_arrays([known(ids[one]), pa.array(tf), pa.array(longest)], ["id", "tf", "dl"])
+    listed = lambda x: pa.ListArray.from_arrays(ends, x)
     first = one[block]
     columns = {
         "term": terms.dictionary.take(pa.array(code[first])), "span": known(spans[first]), "max_tf": pa.array(np.maximum.reduceat(tf, block).astype(np.int64)),
-        "min_dl": pa.array(np.minimum.reduceat(longest, block).astype(np.int64)), "size": pa.array(np.diff(np.append(block, len(one))).astype(np.int64)), "held": pa.ListArray.from_arrays(ends, postings),
+        "min_dl": pa.array(np.minimum.reduceat(longest, block).astype(np.int64)), "size": pa.array(np.diff(np.append(block, len(one))).astype(np.int64)), "ids": listed(known(ids[one])), "tfs": listed(pa.array(tf)), "dls": listed(pa.array(longest)),
     }
     if positional:
         places = pa.ListArray.from_arrays(pa.array(np.append(one, len(at)).astype(np.int32)), pa.array(place.astype(np.int32)))
-        columns["at"] = pa.ListArray.from_arrays(ends, places)
+        columns["at"] = listed(places)
     return pa.table(columns)
 
 
 def store(points: DataFrame, path: str, buckets: int | None = None, *, positional: bool = False, ranges: int | None = None) -> None:
-    """Blocks as Parquet in the order of terms and ranges, which prunes files and row groups by both. They are written once before, as ranges are sampled."""
+    """Blocks as Parquet in the order of terms and ranges, which prunes files and row groups by both; held: their (id, tf, dl) postings.
+
+    They are written once before, as ranges are sampled.
+    """
     spark = points.sparkSession
-    blocks(points, positional=positional, ranges=ranges).write.parquet(f"{path}-by-id")
+    blocks(points, positional=positional, ranges=ranges).write.option("compression", "zstd").parquet(f"{path}-by-id")
     found, parts = spark.read.parquet(f"{path}-by-id"), buckets or ranges
     laid = found.repartitionByRange(parts, "term", "span") if parts else found.repartitionByRange("term", "span")
-    laid.sortWithinPartitions("term", "span").write.parquet(path)
+    held = F.arrays_zip("ids", "tfs", "dls").cast(HELD).alias("held")
+    laid = laid.sortWithinPartitions("term", "span").select("term", "span", "max_tf", "min_dl", "size", held, *["at"] * positional)
+    laid.write.option("compression", "zstd").parquet(path)
     storage.delete(spark, f"{path}-by-id")
 
 

@@ -108,7 +108,7 @@ class Collection:
         at, staged = f"{path}/{folder}", f"{path}/{folder}/.staged"
         rows = chunks if content == "content" else chunks.withColumn("content", F.col(content))
         if key:
-            rows.withColumn("id", F.col(key).cast("long")).write.parquet(staged)
+            rows.withColumn("id", F.col(key).cast("long")).write.option("compression", "zstd").parquet(staged)
             ided = spark.read.parquet(staged)
         else:
             ties = rows.withColumn("__tie", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
@@ -158,9 +158,8 @@ class Collection:
         else:
             rows = chunks if self.about["content"] == "content" else chunks.withColumn("content", F.col(self.about["content"]))
             rows = rows.withColumn("id", F.col(key).cast("long")).filter("id IS NOT NULL")
-            last = Window.partitionBy("id").orderBy(F.desc(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
-            rows.withColumn("__last", F.row_number().over(last)).filter("__last = 1").drop("__last").write.parquet(staged)
-            ided = spark.read.parquet(staged)
+            rows.write.option("compression", "zstd").parquet(staged)
+            ided = segments.once(spark, staged)
         ids = ided.select("id")
         if removed is not None:
             ids = ids.unionByName((spark.createDataFrame([(int(i),) for i in removed], "id long") if isinstance(removed, list) else removed.select(F.col("id").cast("long").alias("id"))))
@@ -168,7 +167,6 @@ class Collection:
         segments.texts_of(self.points, spark.read.parquet(f"{at}/gone"), n_gone).write.parquet(f"{staged}-old")
         _write(at, ided, embedder, self.about, spark.read.parquet(f"{staged}-old"))
         segments.drop_staged(spark, at)
-        storage.delete(spark, f"{staged}-old")
         parts = [*self.about["segments"], {"folder": folder, "gone": n_gone}]
         manifest.commit(spark, self.path, self.about | {"segments": parts, "folders": [*self.about["folders"], folder]} | (note or {}), self.version)
         new = Collection.read(spark, self.name, self.path)

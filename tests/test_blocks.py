@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corvane.sources import blocks
+from corvane.sources import blocks, segments
 
 
 def test_portions_lose_and_repeat_nothing(monkeypatch):
@@ -17,10 +17,10 @@ def test_portions_lose_and_repeat_nothing(monkeypatch):
     monkeypatch.setattr(blocks, "PORTION", 50)
     parts = list(blocks._portions(iter(batches)))
     found = [b for p in parts for b in blocks._grouped(p, True).to_pylist()]
-    got = {(b["term"], h["id"]): (h["tf"], h["dl"], at) for b in found for h, at in zip(b["held"], b["at"], strict=True)}
+    got = {(b["term"], i): (tf, dl, at) for b in found for i, tf, dl, at in zip(b["ids"], b["tfs"], b["dls"], b["at"], strict=True)}
     assert got == {(t, i): (w.count(t), len(w), [n for n, x in enumerate(w) if x == t]) for i, w in docs.items() for t in set(w)}
     assert len(parts) > 5 and sum(b["size"] for b in found) == len(got)  # nothing is there twice
-    assert all(b["max_tf"] == max(h["tf"] for h in b["held"]) and b["min_dl"] == min(h["dl"] for h in b["held"]) and {h["id"] // 8 for h in b["held"]} == {b["span"]} for b in found)
+    assert all(b["max_tf"] == max(b["tfs"]) and b["min_dl"] == min(b["dls"]) and {i // 8 for i in b["ids"]} == {b["span"]} for b in found)
 
 
 def test_texts_are_shuffled_once_and_words_never(spark):
@@ -28,3 +28,12 @@ def test_texts_are_shuffled_once_and_words_never(spark):
     plan = blocks.blocks(texts)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1
     assert plan.index("MapInArrow") < plan.index("Generate") < plan.index("Exchange")  # from the last step to the first
+
+
+def test_only_rows_that_repeat_an_id_are_compared(spark, tmp_path):
+    df = lambda *rows: spark.createDataFrame(rows, "id long, content string")
+    df((1, "a"), (2, "b")).write.parquet(str(tmp_path / "one"))
+    plan = segments.once(spark, str(tmp_path / "one"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    df((1, "a"), (2, "b"), (2, "c"), (2, "c"), (3, None)).write.parquet(str(tmp_path / "two"))
+    assert sorted(map(tuple, segments.once(spark, str(tmp_path / "two")).collect())) == [(1, "a"), (2, "c"), (3, None)]
