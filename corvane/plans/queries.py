@@ -236,7 +236,7 @@ def indexed(spark: SparkSession, d: str) -> coll.Collection:
         rows = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("vtk_class"), F.col("lang").alias("role"), F.col("source").alias("module"), "n_chars")
         vecs = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
         path = f"{storage.shared_folder(spark)}/corvane-index-{key[0]}-{abs(hash(d))}"
-        _BUILT[key] = coll.Collection.create("docs", path, rows.join(vecs, "id", "left"), None, key="id", layout=("role",), indexed=("role", "module", "n_chars"))
+        _BUILT[key] = coll.Collection.create("docs", path, rows, None, key="id", layout=("role",), indexed=("role", "module", "n_chars"), vectors=vecs)
     return _BUILT[key]
 
 

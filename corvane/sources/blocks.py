@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,30 +26,74 @@ from ..functions import scoring, text
 from . import storage
 
 SPAN = 512
-#: Words of a portion that is put together at once; what stands for a missing id there.
-PORTION, NONE = 1 << 20, -(1 << 63)
+#: Words of a portion that is put together at once; what stands for a missing id there; bytes of texts that are split at once.
+PORTION, NONE, BYTES = 1 << 20, -(1 << 63), 4 << 20
 BLOCK = "term string, span long, max_tf long, min_dl long, size long, ids array<long>, tfs array<int>, dls array<int>"
-HELD = "array<struct<id:long,tf:int,dl:int>>"
+#: Blocks as they are shuffled and stored: ids by their distance from the first, and how many words the postings stand for.
+PACKED = "term string, span long, tokens long, first long, far array<short>, tfs array<int>, dls array<int>"
 #: Ranges that are scored for the threshold, by k; numbers of ranges up to which they are literals of the scan.
 FIRST, LITERALS = 4, 2000
 
 
-def blocks(points: DataFrame, key: str = "id", span: int = SPAN, *, content: str = "content", positional: bool = False, ranges: int | None = None) -> DataFrame:
+def blocks(points: DataFrame, key: str = "id", span: int = SPAN, *, content: str = "content", positional: bool = False, ranges: int | None = None, by_id: bool = False, packed: bool = False) -> DataFrame:
     """(term, span, max_tf, min_dl, size, ids, tfs, dls) of texts: the last three are the postings of a block, by id; positional: also `at`, the places of each.
 
-    Texts, not their words, are shuffled, into ranges of ids. There words come one by one, and what lies together is put
+    Texts, not their words, are shuffled, into ranges of ids; by_id: they lie in the order of ids, so nothing is. There words come one by one, and what lies together is put
     together in portions of PORTION words, so a range of very long texts can give a term several blocks, each with other ids.
+    packed: PACKED, and `at`.
     """
     texts = points.select(F.floor(F.col(key) / span).alias("span"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(content), F.lit("")).alias("t"))
+    form = f"{PACKED if packed else BLOCK}{', at array<array<int>>' * positional}"
+    if by_id:
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for portion in _portions(_words(batches)):
+                yield from _formed(portion, positional, packed)
+
+        return texts.select("span", "id", F.lower("t").alias("t")).mapInArrow(split, form)
     laid = texts.repartitionByRange(ranges, "span") if ranges else texts.repartitionByRange("span")
     words = laid.sortWithinPartitions("span", "id").select("span", "id", text.tokens("t").alias("w"))
-    each = words.select("span", "id", F.size("w").alias("dl"), F.posexplode("w").alias("place", "term"))
+    spread = words.select("span", "id", F.size("w").alias("dl"), F.posexplode("w").alias("place", "term"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for portion in _portions(batches):
-            yield from _grouped(portion, positional).to_batches()
+            yield from _formed(portion, positional, packed)
 
-    return each.mapInArrow(run, f"{BLOCK}, at array<array<int>>" if positional else BLOCK)
+    return spread.mapInArrow(run, form)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(span, id, dl, place, term) of (span, id, text in lower case) rows: the words of text.tokens(), BYTES of texts at once."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES, "right")))
+            rows = batch.slice(a, b - a)
+            listed = pc.split_pattern(pc.replace_substring_regex(rows.column(2), "[^a-z0-9]+", " "), " ")
+            words = listed.flatten()
+            some = pc.not_equal(words, "")
+            of = np.repeat(np.arange(len(rows)), pc.list_value_length(listed).to_numpy(zero_copy_only=False))[some.to_numpy(zero_copy_only=False)]
+            dl = np.bincount(of, minlength=len(rows)).astype(np.int32)
+            place = (np.arange(len(of)) - (np.cumsum(dl) - dl)[of]).astype(np.int32)
+            at = pa.array(of)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(dl[of]), pa.array(place), words.filter(some)], ["span", "id", "dl", "place", "term"])
+            a = b
+
+
+def _formed(rows: pa.Table, positional: bool, packed: bool) -> list[pa.RecordBatch]:
+    if not len(rows):
+        return []
+    found = _grouped(rows, positional)
+    if not packed:
+        return found.to_batches()
+    ids = found.column("ids").combine_chunks()
+    whole, ends = ids.flatten(), ids.offsets.to_numpy()
+    first = whole.take(pa.array(ends[:-1]))
+    far = pc.subtract(whole, first.take(pa.array(np.repeat(np.arange(len(first)), np.diff(ends)))))
+    tfs = found.column("tfs").combine_chunks().flatten().to_numpy()
+    columns = {n: found.column(n) for n in ("term", "span")} | {"tokens": np.add.reduceat(tfs, ends[:-1], dtype=np.int64), "first": first, "far": pa.ListArray.from_arrays(ids.offsets, far.cast(pa.int16()))} | {n: found.column(n) for n in ("tfs", "dls", "at")[: 2 + positional]}
+    return pa.table(columns).to_batches()
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -99,29 +144,36 @@ def _grouped(rows: pa.Table, positional: bool) -> pa.Table:
     return pa.table(columns)
 
 
-def store(points: DataFrame, path: str, buckets: int | None = None, *, positional: bool = False, ranges: int | None = None) -> None:
-    """Blocks as Parquet in the order of terms and ranges, which prunes files and row groups by both; held: their (id, tf, dl) postings.
+def store(points: DataFrame, path: str, buckets: int | None = None, *, positional: bool = False, ranges: int | None = None, by_id: bool = False) -> None:
+    """Blocks as Parquet in the order of terms and ranges, which prunes files and row groups by both; each() gives their postings.
 
     They are written once before, as ranges are sampled.
     """
     spark = points.sparkSession
-    blocks(points, positional=positional, ranges=ranges).write.option("compression", "zstd").parquet(f"{path}-by-id")
+    blocks(points, positional=positional, ranges=ranges, by_id=by_id, packed=True).write.option("compression", "zstd").parquet(f"{path}-by-id")
     found, parts = spark.read.parquet(f"{path}-by-id"), buckets or ranges
     laid = found.repartitionByRange(parts, "term", "span") if parts else found.repartitionByRange("term", "span")
-    held = F.arrays_zip("ids", "tfs", "dls").cast(HELD).alias("held")
-    laid = laid.sortWithinPartitions("term", "span").select("term", "span", "max_tf", "min_dl", "size", held, *["at"] * positional)
+    told = [F.array_max("tfs").cast("long").alias("max_tf"), F.array_min("dls").cast("long").alias("min_dl"), F.size("tfs").cast("long").alias("size")]
+    laid = laid.sortWithinPartitions("term", "span").select("term", "span", *told, "tokens", "first", "far", "tfs", "dls", *["at"] * positional)
     laid.write.option("compression", "zstd").parquet(path)
     storage.delete(spark, f"{path}-by-id")
 
 
+def each(held: DataFrame, *more: str) -> DataFrame:
+    """(term, id, and more of tf, dl, at) of stored blocks; a condition on terms prunes what is read."""
+    lists = {"tf": "tfs", "dl": "dls", "at": "at"}
+    some = held.select("term", "first", F.explode(F.arrays_zip("far", *[lists[m] for m in more])).alias("p"))
+    return some.select("term", (F.col("first") + F.col("p.far")).alias("id"), *[F.col(f"p.{lists[m]}").alias(m) for m in more])
+
+
 def postings(held: DataFrame) -> DataFrame:
-    """(term, id, tf, dl) of blocks; a condition on terms prunes what is read."""
-    return held.select("term", F.explode("held").alias("p")).select("term", "p.id", F.col("p.tf").cast("long").alias("tf"), F.col("p.dl").cast("long").alias("dl"))
+    """(term, id, tf, dl) of blocks."""
+    return each(held, "tf", "dl").select("term", "id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
 
 
 def places(held: DataFrame) -> DataFrame:
     """(term, id, at): the places, from 0 and ascending, of every term of every text, of blocks with places."""
-    return held.select("term", F.explode(F.arrays_zip(F.col("held.id").alias("id"), "at")).alias("p")).select("term", "p.id", "p.at")
+    return each(held, "at")
 
 
 def terms_of(query: str) -> list[str]:
@@ -152,9 +204,9 @@ class BlockMax:
         for held, dead in self.parts:
             some = held.filter(F.col("term").isin(terms))
             some = some.filter(F.col("span").isin(spans)) if isinstance(spans, list) else some.join(spans, "span", "left_semi")
-            each = some.select("term", F.explode("held").alias("p")).select("term", F.col("p.id").alias(key), F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
-            each = each if dead is None else each.join(dead.withColumnRenamed("id", key), key, "left_anti")
-            rows = each if rows is None else rows.unionByName(each)
+            own = each(some, "tf", "dl").withColumnRenamed("id", key)
+            own = own if dead is None else own.join(dead.withColumnRenamed("id", key), key, "left_anti")
+            rows = own if rows is None else rows.unionByName(own)
         rows = rows if allowed is None else rows.join(allowed.select(key), key, "left_semi")
         known = F.broadcast(self.term_stats.filter(F.col("term").isin(terms)))  # a row a term of the query
         both = rows.join(known, "term").crossJoin(F.broadcast(self.corpus))  # one row

@@ -94,6 +94,7 @@ class Collection:
     def create(
         cls, name: str, path: str, chunks: DataFrame, embedder: Embedder | None, key: str | None = None, order: tuple[str, ...] = ("chunk_id",), content: str = "content",
         layout: tuple[str, ...] = (), buckets: int | None = None, indexed: tuple[str, ...] = (), positional: bool = False, note: dict[str, Any] | None = None,
+        vectors: DataFrame | None = None,
     ) -> Collection:
         """A collection of chunks under path, in the place of what was there: the next version, which holds once all of it is written.
 
@@ -102,13 +103,14 @@ class Collection:
         content's. Without an embedder the chunks bring a column vec. layout: fields of filters; points lie in their order, so
         that statistics of files and row groups prune a filtered scan. indexed: fields with bitmaps, for filtered(). The inverted index lies in the order of terms.
         positional: places of terms are stored too, for words() and phrase(). note: what the manifest says besides, in this and later versions.
+        vectors: (id, vec) of the rows, for a key and no embedder; rows without one stay.
         """
         spark, folder = chunks.sparkSession, segments.new_folder()
         before, _ = manifest.load(spark, path)
         at, staged = f"{path}/{folder}", f"{path}/{folder}/.staged"
         rows = chunks if content == "content" else chunks.withColumn("content", F.col(content))
         if key:
-            rows.withColumn("id", F.col(key).cast("long")).write.option("compression", "zstd").parquet(staged)
+            segments.by_id(rows.withColumn("id", F.col(key).cast("long")), vectors).write.option("compression", "zstd").parquet(staged)
             ided = spark.read.parquet(staged)
         else:
             ties = rows.withColumn("__tie", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
@@ -116,7 +118,7 @@ class Collection:
             ided = placed(spark.read.parquet(staged), "id")
         about = {"key": key, "content": content, "layout": [f for f in layout if f in ided.columns], "buckets": buckets, "indexed": [f for f in indexed if f in ided.columns], "positional": positional} | (note or {})
         payload.check(ided.schema, about["indexed"])
-        _write(at, ided, embedder, about)
+        _write(at, ided, embedder, about, laid=True)
         segments.drop_staged(spark, at)
         manifest.commit(spark, path, about | {"segments": [{"folder": folder, "gone": 0}], "folders": [folder]}, before)
         manifest.vacuum(spark, path)
@@ -332,8 +334,8 @@ class Collection:
             need *= 4
 
 
-def _write(folder: str, ided: DataFrame, embedder: Embedder | None, about: dict[str, Any], old: DataFrame | None = None) -> None:
-    """All tables of a folder for rows with ids; old: (id, content) of what they replace, whose statistics are taken off."""
+def _write(folder: str, ided: DataFrame, embedder: Embedder | None, about: dict[str, Any], old: DataFrame | None = None, laid: bool = False) -> None:
+    """All tables of a folder for rows with ids; old: (id, content) of what they replace, whose statistics are taken off; laid: the rows lie in the order of ids."""
     spark, parts = ided.sparkSession, segments.ranges(ided.sparkSession, f"{folder}/.staged") if storage.exists(ided.sparkSession, f"{folder}/.staged") else None
     vectors = F.col("vec") if embedder is None else embedder.column(F.col("content"))
     points = ided.drop("queries").withColumn("vec", vectors).withColumn("norm", scoring.norm(F.col("vec")))
@@ -345,8 +347,10 @@ def _write(folder: str, ided: DataFrame, embedder: Embedder | None, about: dict[
     else:
         asked = asked_texts(ided).select("id", "qpos", embedder.column(F.col("q")).alias("vec"))
     asked.withColumn("norm", scoring.norm(F.col("vec"))).write.parquet(f"{folder}/query_vectors")
-    segments.write_postings(ided, folder, about["buckets"], about.get("positional", False), old, parts)
-    counts = segments.counts_of(ided, text_size())
+    segments.write_postings(ided, folder, about["buckets"], about.get("positional", False), old, parts, laid)
+    # the words of all texts are those of their postings
+    words = spark.read.parquet(f"{folder}/blocks").agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
+    counts = ided.agg(F.count("*").alias("n")).crossJoin(words)  # a row each
     if old is not None:
         counts = counts.crossJoin(segments.counts_of(old, text_size()).toDF("m", "less"))  # a row each
         counts = counts.select((F.col("n") - F.col("m")).alias("n"), (F.col("tokens") - F.col("less")).alias("tokens"))

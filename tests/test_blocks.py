@@ -37,3 +37,34 @@ def test_only_rows_that_repeat_an_id_are_compared(spark, tmp_path):
     assert "Exchange" not in plan and "Sort" not in plan
     df((1, "a"), (2, "b"), (2, "c"), (2, "c"), (3, None)).write.parquet(str(tmp_path / "two"))
     assert sorted(map(tuple, segments.once(spark, str(tmp_path / "two")).collect())) == [(1, "a"), (2, "c"), (3, None)]
+
+
+def test_texts_by_id_are_not_shuffled_and_give_the_same_blocks(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate([None, "", " .. ", "a A äK b-a\n9", "x" * 50, *[f"w{n % 7} the {n}" * 9 for n in range(60)]])] + [(None, "no id")]
+    texts = spark.createDataFrame(rows, "id long, content string").coalesce(1).sortWithinPartitions("id")
+    monkeypatch.setattr(blocks, "BYTES", 64)
+    found = blocks.blocks(texts, positional=True, by_id=True)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    plain = lambda df: sorted(map(repr, df.select("term", "span", "max_tf", "min_dl", "size", "ids", "tfs", "dls", "at").collect()))
+    assert plain(found) == plain(blocks.blocks(texts, positional=True)) != []
+
+
+def test_stored_blocks_are_packed(spark, tmp_path):
+    rows = [(10_000_000_000 + i * 3, "same same " + "t" * (i % 5)) for i in range(700)]
+    blocks.store(spark.createDataFrame(rows, "id long, content string").repartition(1).sortWithinPartitions("id"), str(tmp_path / "b"), by_id=True)
+    held = spark.read.parquet(str(tmp_path / "b"))
+    assert held.schema["far"].dataType.elementType.simpleString() == "smallint"  # 2 bytes an id instead of 8
+    got = {tuple(r) for r in blocks.postings(held).collect()}
+    assert got == {(t, i, w.split().count(t), len(w.split())) for i, w in rows for t in set(w.split())}
+    assert held.agg(F.sum("tokens")).first()[0] == sum(len(w.split()) for _, w in rows)
+    bounds = blocks.BlockMax([(held, None)], held.groupBy("term").agg(F.sum("size").alias("df")), spark.createDataFrame([(700, 3.0)], "n long, avgdl double")).bounds(["same"])
+    assert "tfs" not in bounds._jdf.queryExecution().executedPlan().toString()  # bounds come without postings
+
+
+def test_vectors_join_in_the_shuffle_that_orders_ids(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "id long, content string")
+    vecs = spark.createDataFrame([(1, [1.0]), (3, None), (2, [2.0]), (2, [3.0]), (7, [7.0]), (None, [0.0])], "id long, vec array<double>")
+    both = segments.by_id(rows, vecs)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, rows.join(vecs, "id", "left").collect()))
