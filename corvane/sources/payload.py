@@ -107,7 +107,7 @@ def matching(index: DataFrame, asked: list[Column]) -> DataFrame:
 def ids(matched: DataFrame) -> DataFrame:
     """The ids of bitmaps: bytes that aren't 0, then their bits."""
     at = F.explode(F.sequence(F.lit(0), F.lit(SPAN // 8 - 1))).alias("at")
-    some = matched.select("bucket", F.hex("bits").alias("h"), at).select("bucket", "at", F.substring("h", F.col("at") * 2 + 1, F.lit(2)).alias("h")).filter("h <> '00'")
+    some = matched.select("bucket", "bits", at).select("bucket", "at", F.hex(F.substring("bits", F.col("at") + 1, F.lit(1))).alias("h")).filter("h <> '00'")
     byte = some.select("bucket", "at", F.conv("h", 16, 10).cast("int").alias("byte"), F.explode(F.array(*map(F.lit, range(8)))).alias("bit"))
     return byte.filter(F.getbit("byte", F.col("bit")) == 1).select((F.col("bucket") * SPAN + F.col("at") * 8 + F.col("bit")).alias("id"))
 
