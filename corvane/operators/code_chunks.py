@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,13 +20,19 @@ MEMBER = (
     "methods:array<string>,calls:array<struct<name:string,args:array<string>>>,source:array<string>>"
 )
 GROUPS = f"example_id string, chunk_no int, helper string, members array<{MEMBER}>, error string"
+#: Files whose rows are held at once.
+FILES = 500
 #: Method calls of a class that its question list and synopsis show.
 SHOWN_CALLS = 8
 JOIN = " → "
 
 
 def lifecycle_groups(code: DataFrame, classes: DataFrame) -> DataFrame:
-    """GROUPS rows of (example_id, code). The API's classes and roles go to every task; beyond MOST_CLASSES each file gets those that it names by a join."""
+    """GROUPS rows of (example_id, code). The API's classes and roles go to every task; beyond MOST_CLASSES each file gets those that it names by a join.
+
+    Files are dealt over the partitions of a shuffle, as their analysis takes long for their bytes: a scan of a small table would be one task.
+    """
+    n = int(code.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = classes.select("class", api_dim.role().alias("role"))
     few = own.limit(api_dim.MOST_CLASSES + 1).collect()
     if len(few) <= api_dim.MOST_CLASSES:
@@ -33,24 +40,26 @@ def lifecycle_groups(code: DataFrame, classes: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield _analysed((e, c, roles.value) for e, c in zip(batch["example_id"], batch["code"], strict=True))
+                yield from _analysed(((e, c, roles.value) for e, c in zip(batch["example_id"], batch["code"], strict=True)))
 
-        return code.select("example_id", "code").mapInPandas(run, GROUPS)
+        return code.select("example_id", "code").repartition(n, "example_id", "code").mapInPandas(run, GROUPS)
 
     def run_named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _analysed((e, c, dict(zip(n, r, strict=True))) for e, c, n, r in zip(batch["example_id"], batch["code"], batch["names"], batch["roles"], strict=True))
+            yield from _analysed(((e, c, dict(zip(names, r, strict=True))) for e, c, names, r in zip(batch["example_id"], batch["code"], batch["names"], batch["roles"], strict=True)))
 
     keyed = code.select("example_id", "code", F.xxhash64("code").alias("key"))
     said = keyed.select("example_id", "key", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("class")).distinct()
     named = said.join(own, "class").groupBy("example_id", "key").agg(F.collect_list("class").alias("names"), F.collect_list("role").alias("roles"))
     none = F.array().cast("array<string>")
     both = keyed.join(named, ["example_id", "key"], "left").select("example_id", "code", F.coalesce("names", none).alias("names"), F.coalesce("roles", none).alias("roles"))
-    return both.mapInPandas(run_named, GROUPS)
+    return both.repartition(n, "example_id", "code").mapInPandas(run_named, GROUPS)
 
 
-def _analysed(given: Iterable[tuple[str, str, Mapping[str, str]]]) -> pd.DataFrame:
-    return pd.DataFrame([r for e, c, roles in given for r in files.rows(e, c, roles)], columns=["example_id", "chunk_no", "helper", "members", "error"])
+def _analysed(given: Iterable[tuple[str, str, Mapping[str, str]]]) -> Iterator[pd.DataFrame]:
+    given = iter(given)
+    while some := list(islice(given, FILES)):
+        yield pd.DataFrame([r for e, c, roles in some for r in files.rows(e, c, roles)], columns=["example_id", "chunk_no", "helper", "members", "error"])
 
 
 def lifecycles(code: DataFrame, classes: DataFrame) -> DataFrame:

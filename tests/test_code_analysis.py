@@ -195,3 +195,22 @@ def test_large_script_groups(large):
     assert by["source4"][0]["synopsis"].count("theta resolution") == 1  # of repeated calls the first
     assert "mapper3.SetInputConnection(source3.GetOutputPort())" in by["mapper3, actor3"][0]["content"]
     assert all("vtk.vtk" not in r["content"] and "self." not in r["content"] for r in large)
+
+
+def test_statements_have_their_source():
+    code = "a = vtkActor()\r\nä = 'é'; a.SetMapper('ü')\rif a:\n    a.Go(1,\x0c\r\n      '§'\n)\n"
+    lines = files.re.split(rb"(?<=\n)|(?<=\r)(?!\n)", code.encode())
+    found = [s for s in files.ast.walk(files.ast.parse(code)) if isinstance(s, files.ast.stmt)]
+    assert [files.segment(lines, s) for s in found] == [files.ast.get_source_segment(code, s) for s in found] and len(found) == 5
+
+
+def test_files_of_one_partition_are_dealt_over_tasks(spark, monkeypatch):
+    code = spark.createDataFrame([(f"e{i}", SNIPPETS[0][1]) for i in range(40)], "example_id string, code string").coalesce(1)
+    classes = spark.createDataFrame(CLASSES, CLASS_SCHEMA)
+    monkeypatch.setattr(code_chunks, "FILES", 7)
+    few = code_chunks.lifecycle_groups(code, classes)
+    monkeypatch.setattr(api_dim, "MOST_CLASSES", 2)
+    many = code_chunks.lifecycle_groups(code, classes)
+    for groups in (few, many):
+        assert groups.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+        assert sorted((r["example_id"], r["chunk_no"]) for r in groups.collect()) == sorted((f"e{i}", n) for i in range(40) for n in (1, 2))
