@@ -27,7 +27,7 @@ from . import storage
 
 SPAN = 512
 #: Words of a portion that is put together at once; what stands for a missing id there; bytes of texts that are split at once.
-PORTION, NONE, BYTES = 1 << 20, -(1 << 63), 4 << 20
+PORTION, NONE, BYTES = 1 << 20, -(1 << 63), 256 << 10
 BLOCK = "term string, span long, max_tf long, min_dl long, size long, ids array<long>, tfs array<int>, dls array<int>"
 #: Blocks as they are shuffled and stored: ids by their distance from the first, and how many words the postings stand for.
 PACKED = "term string, span long, tokens long, first long, far array<short>, tfs array<int>, dls array<int>"
@@ -49,6 +49,8 @@ def blocks(points: DataFrame, key: str = "id", span: int = SPAN, *, content: str
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for portion in _portions(_words(batches)):
                 yield from _formed(portion, positional, packed)
+                del portion
+                pa.default_memory_pool().release_unused()  # workers live on when their tasks have ended
 
         return texts.select("span", "id", F.lower("t").alias("t")).mapInArrow(split, form)
     laid = texts.repartitionByRange(ranges, "span") if ranges else texts.repartitionByRange("span")
@@ -125,7 +127,7 @@ def _grouped(rows: pa.Table, positional: bool) -> pa.Table:
     # spans ascend, so their ranks are numbers of changes
     at = np.concatenate([[0], np.cumsum(spans[1:] != spans[:-1])]) * len(terms.dictionary) + code
     order = np.argsort(at, kind="stable")
-    at, spans, ids, dl, place, code = at[order], spans[order], ids[order], dl[order], place[order], code[order]
+    at, ids, dl = at[order], ids[order], dl[order]
     starts = lambda *of: np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in of])]))
     one = starts(at, ids)  # a posting each
     tf, longest = np.diff(np.append(one, len(at))).astype(np.int32), np.maximum.reduceat(dl, one).astype(np.int32)
@@ -133,13 +135,13 @@ def _grouped(rows: pa.Table, positional: bool) -> pa.Table:
     ends = pa.array(np.append(block, len(one)).astype(np.int32))
     known = lambda x: pa.array(x, pa.int64(), mask=x == NONE)
     listed = lambda x: pa.ListArray.from_arrays(ends, x)
-    first = one[block]
+    first = order[one[block]]
     columns = {
         "term": terms.dictionary.take(pa.array(code[first])), "span": known(spans[first]), "max_tf": pa.array(np.maximum.reduceat(tf, block).astype(np.int64)),
         "min_dl": pa.array(np.minimum.reduceat(longest, block).astype(np.int64)), "size": pa.array(np.diff(np.append(block, len(one))).astype(np.int64)), "ids": listed(known(ids[one])), "tfs": listed(pa.array(tf)), "dls": listed(pa.array(longest)),
     }
     if positional:
-        places = pa.ListArray.from_arrays(pa.array(np.append(one, len(at)).astype(np.int32)), pa.array(place.astype(np.int32)))
+        places = pa.ListArray.from_arrays(pa.array(np.append(one, len(at)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
         columns["at"] = listed(places)
     return pa.table(columns)
 
